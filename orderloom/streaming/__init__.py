@@ -1,0 +1 @@
+"""Empty on purpose: the work covered by this library is batch only (see README)."""
