@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from orderloom.operators.validation import SchemaValidator
 from orderloom.sinks import LoadError, Warehouse
 from orderloom.sources import DelimitedSource
+from orderloom.sources.base import SPARK_ERRORS
 
 logger = logging.getLogger(__name__)
 
@@ -106,5 +106,5 @@ def _count_readable(rejects: DataFrame) -> int:
     """Number of rejects; none if the file itself is what could not be read."""
     try:
         return rejects.count()
-    except PySparkException:
+    except SPARK_ERRORS:
         return 0

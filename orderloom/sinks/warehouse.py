@@ -6,12 +6,11 @@ import logging
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.operators.upsert import matched_keys, merge_rows
-from orderloom.sources.base import reason
+from orderloom.sources.base import SPARK_ERRORS, reason
 
 logger = logging.getLogger(__name__)
 
@@ -94,7 +93,7 @@ class Warehouse:
                 rows = _write(self._conform(df, name, fill=True), name, "append")
             else:
                 rows = self._swap_in(df, name)
-        except PySparkException as error:
+        except SPARK_ERRORS as error:
             raise LoadError(f"Failed to load data: {reason(error)}") from error
         if rows == 0:
             logger.warning("Empty frame, nothing loaded to %s", name)
@@ -107,15 +106,18 @@ class Warehouse:
     ) -> DataFrame:
         """Rebuild a model's table, empty or not, and return its scan.
 
-        With ``partition_by`` the rows are first brought together by partition; the rebalance hint
+        The old table serves readers until the new one is complete. With ``partition_by`` it is
+        overwritten in place instead, because not every catalog renames a table's partitions with
+        it. Its rows are then brought together by partition before the write; the rebalance hint
         lets Spark split large partitions and merge small ones into files of even size.
         """
         name = self.name(table, schema)
         self._recover(name)
         if partition_by:
-            df = df.hint("rebalance", *partition_by)
-        self._swap_in(df, name, partition_by, keep_empty=True)
-        return self.spark.table(name)
+            _write(df.hint("rebalance", *partition_by), name, "overwrite", partition_by)
+        else:
+            self._swap_in(df, name, keep_empty=True)
+        return self.spark.table(name).select(*df.columns)
 
     def publish_view(self, df: DataFrame, name: str) -> DataFrame:
         """Register a model under a session-wide name without computing it."""
@@ -166,7 +168,7 @@ class Warehouse:
                 )
                 self._swap_in(merged, name)
             return rows
-        except PySparkException as error:
+        except SPARK_ERRORS as error:
             raise LoadError(f"Failed to load data: {reason(error)}") from error
         finally:
             if matched is not None:
@@ -189,9 +191,7 @@ class Warehouse:
         names = schema.names if fill else df.columns
         return df.select(*(value(c).cast(schema[c].dataType).alias(c) for c in names))
 
-    def _swap_in(
-        self, df: DataFrame, name: str, partition_by: Sequence[str] = (), keep_empty: bool = False
-    ) -> int:
+    def _swap_in(self, df: DataFrame, name: str, keep_empty: bool = False) -> int:
         """Write a new table aside, then give it the name; the old one goes last.
 
         The table is missing for the moment between two renames. ``_recover`` puts the old one
@@ -199,7 +199,7 @@ class Warehouse:
         """
         fresh = f"{name}__next_{uuid.uuid4().hex}"
         try:
-            rows = _write(df, fresh, "errorifexists", partition_by)
+            rows = _write(df, fresh, "errorifexists")
             if rows or keep_empty:
                 if self.spark.catalog.tableExists(name):
                     self.spark.sql(f"ALTER TABLE {name} RENAME TO {_previous(name)}")

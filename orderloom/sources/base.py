@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,20 @@ class Source(ABC):
         return True
 
 
+# What a failed Spark job or analysis raises.
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
+
+
 def reason(error: Exception) -> str:
-    """First line of an error, without the JVM stack trace."""
-    if isinstance(error, PySparkException) and error.getCondition():
-        text = error.getMessage() or str(error)
-    else:
-        text = str(error)
+    """The message of a Spark error with that of its cause, without the JVM stack traces."""
+    if not isinstance(error, Py4JJavaError):
+        return _first_line(str(error))
+    thrown, lines = error.java_exception, []
+    while thrown is not None and len(lines) < 2:
+        lines.append(_first_line(str(thrown.getMessage())))
+        thrown = thrown.getCause()
+    return "; ".join(lines)
+
+
+def _first_line(text: str) -> str:
     return text.strip().split("\n")[0]

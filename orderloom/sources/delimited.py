@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from datetime import datetime
 from pathlib import PurePosixPath
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.sources.base import ExtractionError, Source, reason
+from orderloom.sources.base import SPARK_ERRORS, ExtractionError, Source, reason
 
 # Texts that mean "no value".
 NULL_TOKENS = (
@@ -80,7 +79,7 @@ class DelimitedSource(Source):
             df = self._typed(self._text_columns())
             if verify:
                 df.write.format("noop").mode("overwrite").save()
-        except PySparkException as error:
+        except SPARK_ERRORS as error:
             raise ExtractionError(f"Extraction failed: {reason(error)}") from error
         return self.add_metadata(df, loaded_at)
 
@@ -115,7 +114,10 @@ class DelimitedSource(Source):
         """
         line = F.concat(F.col(_RAW_LINE), F.lit(self._line_options["sep"] + _END_MARK))
         again = F.from_csv(line, fields, self._line_options)
-        short = F.lit(_END_MARK).isin(*(again[n] for n in names))
+        # The one-element array keeps the line from being parsed once per column.
+        short = F.exists(
+            F.array(again), lambda row: F.lit(_END_MARK).isin(*(row[n] for n in names))
+        )
         message = F.concat(
             F.lit(f"Expected {len(names)} fields, saw more, in row starting with "),
             F.coalesce(F.col(f"`{names[0]}`"), F.lit("")),

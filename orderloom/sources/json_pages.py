@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from orderloom.sources.base import ExtractionError, Source, reason
+from orderloom.sources.base import SPARK_ERRORS, ExtractionError, Source, reason
 
 
 class JsonPagesSource(Source):
@@ -40,7 +39,7 @@ class JsonPagesSource(Source):
         """Lazy frame of the records, with metadata. No records give an empty frame."""
         try:
             df = self._records()
-        except PySparkException as error:
+        except SPARK_ERRORS as error:
             raise ExtractionError(f"Extraction failed: {reason(error)}") from error
         return self.add_metadata(df, loaded_at)
 

@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
-from orderloom import plans
-from orderloom.functions import calculate_margin, safe_divide, spine
-from orderloom.operators import quality
+from orderloom import functions, plans
+from orderloom.operators import metrics, quality, validation
 from orderloom.operators.latest import latest_per_key
-from orderloom.operators.metrics import customer_metrics, product_metrics
 from orderloom.operators.records import Field, Kind
-from orderloom.operators.validation import SchemaValidator, check_field, rule_counts
+from orderloom.operators.validation import SchemaValidator, check_field
 from orderloom.plans.checks import DECLARED
 from orderloom.plans.staging import clean_customers, clean_orders, clean_products
 from orderloom.runs import JOBS, IngestRun, build_models
@@ -208,7 +206,7 @@ def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = feed.raw_orders(spark, sf_dir).agg(
         F.to_date(F.min("order_date")).alias("first"), F.to_date(F.max("order_date")).alias("last")
     )
-    return portable(spine(days, F.col("first"), F.col("last")))
+    return portable(functions.spine(days, F.col("first"), F.col("last")))
 
 
 # Validation --------------------------------------------------------------------------------------
@@ -242,10 +240,10 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def rule_counts_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     validator = SchemaValidator("filter")
     parts = [
-        rule_counts(validator.validate(rows(spark, sf_dir), name)[1]).select(
+        validation.rule_counts(validator.validate(rows(spark, sf_dir), name)[1]).select(
             F.lit(name).alias("record"), "field", "rule", "n"
         )
         for name, rows in RAW.items()
@@ -253,9 +251,6 @@ def rule_counts_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
-QUERIES["rule_counts"] = QUERIES.pop("rule_counts_by_record")
-
-
 @_query
 def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id")
@@ -345,14 +340,16 @@ def margin_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed.raw_products(spark, sf_dir).select(
             "product_id",
             "_source",
-            calculate_margin(price, cost).alias("margin"),
-            calculate_margin(F.floor(price), F.floor(cost), integral=True).alias("whole_margin"),
+            functions.calculate_margin(price, cost).alias("margin"),
+            functions.calculate_margin(F.floor(price), F.floor(cost), integral=True).alias(
+                "whole_margin"
+            ),
         )
     )
 
 
 @_query
-def safe_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+def safe_divide(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, line = F.col("l_extendedprice"), F.col("l_linenumber")
     return feed.table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
@@ -360,15 +357,12 @@ def safe_division(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         "l_linenumber",
         "l_extendedprice",
-        safe_divide(price, line - 1).alias("plain"),
-        safe_divide(price, F.nullif(line, F.lit(7)), default=-1).alias("null_divisor"),
-        safe_divide(F.col("l_suppkey"), line - 1, integral=True).alias("whole"),
+        functions.safe_divide(price, line - 1).alias("plain"),
+        functions.safe_divide(price, F.nullif(line, F.lit(7)), default=-1).alias("null_divisor"),
+        functions.safe_divide(F.col("l_suppkey"), line - 1, integral=True).alias("whole"),
     )
 
 
-QUERIES["safe_divide"] = QUERIES.pop("safe_division")
-
-
 # Relational --------------------------------------------------------------------------------------
 
 
@@ -389,17 +383,13 @@ def _order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portable(customer_metrics(_order_versions(spark, sf_dir)))
+def customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(metrics.customer_metrics(_order_versions(spark, sf_dir)))
 
 
 @_query
-def product_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portable(product_metrics(_order_versions(spark, sf_dir)))
-
-
-QUERIES["customer_metrics"] = QUERIES.pop("customer_totals")
-QUERIES["product_metrics"] = QUERIES.pop("product_totals")
+def product_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable(metrics.product_metrics(_order_versions(spark, sf_dir)))
 
 
 # Models ------------------------------------------------------------------------------------------
