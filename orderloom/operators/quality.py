@@ -24,7 +24,7 @@ def relationship_failures(child: DataFrame, column: str, parent: DataFrame, key:
 
     Child values are counted before the join, so a frequent value is one row there.
     """
-    keys = parent.select(F.col(key).alias(column))
+    keys = parent.select(F.col(key).alias(column)).distinct()
     return _value_counts(child, column).join(keys, column, "left_anti")
 
 

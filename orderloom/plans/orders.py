@@ -42,7 +42,7 @@ def priced_orders(orders: DataFrame, products: DataFrame) -> DataFrame:
     """Staged orders with product attributes and amounts; orders of unknown products stay.
 
     This is all the dimension metrics need, so they can do without the join to customers.
-    No join here is forced to broadcast: Spark does that where the measured size allows it, and
+    No join here is forced to broadcast: Spark does that where the known size allows it, and
     elsewhere adaptive execution splits the partitions that a frequent key makes too large.
     """
     price, cost, quantity = F.col("unit_price"), F.col("unit_cost"), F.col("quantity")
@@ -74,8 +74,18 @@ def fct_orders(enriched: DataFrame) -> DataFrame:
 
 
 def _look_up(df: DataFrame, other: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    attributes = other.select(key, *(F.col(c).alias(name) for c, name in columns.items()))
-    return df.join(attributes, key, "left")
+    """Left join of attributes of ``other``, which is unique by the key.
+
+    The hash of the key is a second join column. It changes no result, but makes the join shuffle
+    both sides for itself alone. Staged rows are already partitioned by their key, and Spark would
+    join them in place, or group the joined rows by the key in place; adaptive execution can split
+    neither, and a key with a third of all orders would keep one task busy.
+    """
+    attributes = other.select(
+        F.col(key).alias("_key"), *(F.col(c).alias(name) for c, name in columns.items())
+    )
+    same = (F.col(key) == F.col("_key")) & (F.xxhash64(key) == F.xxhash64("_key"))
+    return df.join(attributes, same, "left").drop("_key")
 
 
 def _amount(value: Column) -> Column:

@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+
+from orderloom.__main__ import main
+from orderloom.operators.quality import run_suite
+from orderloom.plans.checks import DECLARED
+from orderloom.runs import IngestRun, Job, build_models, run_all
+from tests.conftest import rows
+
+CUSTOMERS = """customer_id,first_name,last_name,email,country,created_at
+C1,Ann,Lee,Ann@Mail.com,DE,2023-01-15 10:30:00
+C2,Bob,Ray,bob@mail.com,FR,2023-02-20 14:45:00
+C3,Cid,Fox,not-an-email,FR,2023-02-20 14:45:00
+C4,Dee,Day,dee@mail.com,FR,some day
+C5,Eve,Elm,eve@mail.com,NA,2023-02-20 14:45:00
+"""
+PRODUCTS = """product_id,product_name,category,price,cost
+P1,Lamp,Home,149.99,75.00
+P2,"Tea ""Earl"", loose",Food,24.99,12.50
+P3,Free,Home,0,0
+"""
+ORDERS = """order_id,customer_id,product_id,quantity,order_date,status
+O1,C1,P1,2,2024-01-05 10:30:00,completed
+O2,C1,P2,1.0,2024-01-08 14:45:00,pending
+O3,C2,P2,3,,shipped
+O4,C2,P2,0,2024-01-08 14:45:00,shipped
+O5,C2,P2,1,2024-01-08 14:45:00,Returned
+"""
+
+
+@pytest.fixture
+def inbox(tmp_path):
+    folder = tmp_path / "inbox"
+    folder.mkdir()
+    for name, text in (("customers", CUSTOMERS), ("products", PRODUCTS), ("orders", ORDERS)):
+        (folder / f"{name}.csv").write_text(text)
+    return folder
+
+
+def test_ingestion_loads_valid_rows_and_counts(warehouse, inbox):
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert (report.tables_processed, report.rows_loaded, report.rows_rejected) == (3, 7, 6)
+    assert not report.failed and report.end_time >= report.start_time
+    customers = warehouse.table("customers")
+    assert rows(customers.select("customer_id", "email", "_source")) == [
+        ("C1", "ann@mail.com", "csv_customers"), ("C2", "bob@mail.com", "csv_customers"),
+    ]
+    names = rows(warehouse.table("products").select("product_name"))
+    assert names == [("Lamp",), ('Tea "Earl", loose',)]
+    orders = {r.order_id: r for r in warehouse.table("orders").collect()}
+    assert orders["O2"].quantity == 2 - 1 and orders["O3"].order_date is None
+    assert orders["O1"].order_date == datetime(2024, 1, 5, 10, 30)
+
+
+def test_rejects_can_be_kept(warehouse, inbox):
+    IngestRun(warehouse, str(inbox), rejects_schema="raw").run()
+    kept = warehouse.table("orders_rejects").collect()
+    assert sorted(e.rule for r in kept for e in r["_errors"]) == ["greater_than", "one_of"]
+
+
+def test_a_failed_job_does_not_stop_the_others(warehouse, inbox):
+    (inbox / "products.csv").unlink()
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert report.failed and [e["job"] for e in report.errors] == ["products"]
+    assert (report.tables_processed, report.rows_loaded, report.rows_rejected) == (2, 5, 5)
+
+
+def test_a_long_row_fails_its_file_whole(warehouse, inbox):
+    (inbox / "orders.csv").write_text(ORDERS + "O6,C1,P1,1,2024-01-05,pending,extra\n")
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert [e["job"] for e in report.errors] == ["orders"]
+    assert "Expected 6 fields" in report.errors[0]["error"]
+    assert report.rows_rejected == 4 and warehouse.table("orders").count() == 0
+
+
+def test_rejects_count_even_if_the_load_fails(warehouse, inbox):
+    (inbox / "orders.csv").write_text(
+        "order_id,customer_id,product_id,quantity,order_date,status,unknown\n"
+        "O1,C1,P1,1,2024-01-05,pending,x\nO2,C1,P1,0,2024-01-05,pending,x\n"
+    )
+    report = IngestRun(warehouse, str(inbox), [Job("orders", "orders.csv", "orders")]).run()
+    assert report.failed and (report.rows_loaded, report.rows_rejected) == (0, 1)
+
+
+def test_file_without_valid_rows_counts_as_processed(warehouse, inbox):
+    (inbox / "products.csv").write_text("product_id,product_name,category,price,cost\n")
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert report.tables_processed == 3 and not report.failed
+
+
+def test_build_and_checks(warehouse, inbox):
+    IngestRun(warehouse, str(inbox)).run()
+    tables = build_models(warehouse, "2024-02-01", fact_partitions=("order_year", "order_month"))
+    got = {r.customer_id: r for r in tables["marts.dim_customers"].collect()}
+    assert set(got) == {"C1", "C2"}
+    assert got["C1"].customer_segment == "Gold" and got["C1"].activity_status == "Active"
+    # An order without a date counts, and leaves no last order to be active by.
+    assert got["C2"].total_orders == 1 and got["C2"].activity_status == "Churned"
+    assert warehouse.table("fct_orders", "marts").count() == 3
+    assert {r.status for r in run_suite(tables, DECLARED).collect()} == {"pass"}
+    marts = ("marts.dim_customers", "marts.dim_products", "marts.fct_orders")
+    built = {name: rows(tables[name]) for name in marts}
+    views = build_models(warehouse, "2024-02-01", materialize=False)
+    assert {name: rows(views[name]) for name in marts} == built
+
+
+def test_ingesting_twice_changes_no_mart(warehouse, inbox):
+    marts = ("marts.fct_orders", "marts.dim_customers", "marts.dim_products")
+    IngestRun(warehouse, str(inbox)).run()
+    once = build_models(warehouse, "2024-02-01")
+    first = {m: rows(once[m]) for m in marts}
+    IngestRun(warehouse, str(inbox)).run()
+    assert warehouse.table("orders").count() == 6
+    twice = build_models(warehouse, "2024-02-01")
+    assert {m: rows(twice[m]) for m in marts} == first
+
+
+def test_rows_in_equal_rows_loaded_plus_rejected(warehouse, inbox):
+    report = IngestRun(warehouse, str(inbox)).run()
+    lines = sum(text.strip().count("\n") for text in (CUSTOMERS, PRODUCTS, ORDERS))
+    assert report.rows_loaded + report.rows_rejected == lines
+
+
+def test_full_run(warehouse, inbox):
+    outcome = run_all(warehouse, str(inbox), "2024-02-01")
+    assert outcome.succeeded and outcome.failed_tests == []
+    # An order of a rejected product fails its relationship and its totals.
+    (inbox / "orders.csv").write_text(ORDERS + "O6,C1,P3,1,2024-01-05,pending\n")
+    outcome = run_all(warehouse, str(inbox), "2024-02-01")
+    assert not outcome.succeeded and not outcome.ingestion.failed
+    failed = {(t["test"], t["table"], t["column"]) for t in outcome.failed_tests}
+    assert ("relationships", "staging.stg_orders", "product_id") in failed
+    assert ("not_null", "marts.fct_orders", "order_total") in failed
+    (inbox / "orders.csv").unlink()
+    outcome = run_all(warehouse, str(inbox))
+    assert not outcome.succeeded and outcome.ingestion.failed and not outcome.failed_tests
+
+
+def test_command_line(spark, warehouse, inbox):
+    place = ["--data-dir", str(inbox), "--prefix", warehouse.prefix]
+    assert main(["all", *place]) == 0
+    assert main(["build", *place]) == 0
+    assert main(["test", *place]) == 0
+    (inbox / "customers.csv").unlink()
+    assert main(["ingest", *place]) == 1
+    assert main(["all", *place]) == 1
