@@ -24,6 +24,7 @@ class Job:
     table: str
     schema: str = "raw"
     date_columns: tuple[str, ...] = ()
+    multi_line: bool = False
 
 
 JOBS = (
@@ -89,6 +90,7 @@ class IngestRun:
             f"{self.data_dir}/{job.file}",
             source_name=f"csv_{job.name}",
             parse_dates=job.date_columns,
+            multi_line=job.multi_line,
         )
         checked = self.validator.check(source.extract(self.loaded_at), job.name)
         try:

@@ -14,6 +14,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Delimited files may come in any character set Java knows, such as cp1252.
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Sequence
 from datetime import datetime
 from pathlib import PurePosixPath
@@ -34,7 +35,7 @@ class DelimitedSource(Source):
 
     ``infer_types`` picks bigint, double or boolean for columns whose values all fit. It costs one
     pass over the data. ``multi_line`` accepts line breaks inside quotes, but then a file can not
-    be split between tasks.
+    be split between tasks; without it such a break fails the read.
     """
 
     def __init__(
@@ -52,6 +53,7 @@ class DelimitedSource(Source):
         self.file_path = str(file_path)
         super().__init__(source_name or PurePosixPath(self.file_path).stem)
         self.parse_dates = tuple(parse_dates or ())
+        self.multi_line = multi_line
         self.infer_types = infer_types
         self._line_options = {
             "sep": delimiter,
@@ -64,7 +66,7 @@ class DelimitedSource(Source):
         self._file_options = {
             **self._line_options,
             "header": "true",
-            "encoding": encoding,
+            "encoding": _charset(encoding),
             "multiLine": str(multi_line).lower(),
         }
 
@@ -72,8 +74,8 @@ class DelimitedSource(Source):
         """Lazy frame of the records, with metadata.
 
         A missing or empty file, an unknown encoding and a missing date column fail here. A row
-        with too many fields fails the job that reads it, so nothing of the file is loaded; with
-        ``verify`` it fails here, at the price of one more pass.
+        with too many fields, or cut off inside quotes, fails the job that reads it, so nothing of
+        the file is loaded; with ``verify`` it fails here, at the price of one more pass.
         """
         try:
             df = self._typed(self._text_columns())
@@ -84,53 +86,70 @@ class DelimitedSource(Source):
         return self.add_metadata(df, loaded_at)
 
     def _header(self) -> list[str]:
-        names = self.spark.read.options(**self._file_options).csv(self.file_path).columns
-        if not names:
+        """Fields of the header line; blank ones are null."""
+        lines = self.spark.read.options(**self._file_options).option("header", "false")
+        rows = lines.csv(self.file_path)
+        if not rows.columns:
             raise ExtractionError(f"Extraction failed: no columns in {self.file_path}")
+        return list(rows.first())
+
+    def _text_columns(self) -> DataFrame:
+        header = self._header()
+        names = _column_names(header)
         absent = sorted(set(self.parse_dates) - set(names))
         if absent:
             raise ExtractionError(f"Extraction failed: no column {absent} to parse as date")
-        return names
-
-    def _text_columns(self) -> DataFrame:
-        names = self._header()
-        fields = ", ".join(f"`{n}` string" for n in names)
+        fields = ", ".join(f"{_quoted(n)} string" for n in names)
+        # With one column, a line that was cut off could not be told from a whole one.
+        multi_line = self.multi_line or len(names) == 1
         df = (
             self.spark.read.options(**self._file_options)
-            # Compare every file's header line with the first one's instead of binding by position.
-            .option("enforceSchema", "false")
+            .option("multiLine", str(multi_line).lower())
+            # Every file's header line has to be like the first one's. Blank and repeated names
+            # can not be compared, so with these the columns are bound by position.
+            .option("enforceSchema", str(names != header).lower())
             .option("columnNameOfCorruptRecord", _RAW_LINE)
             .schema(f"{fields}, `{_RAW_LINE}` string")
             .csv(self.file_path)
         )
-        return df.where(self._row_fits(names, fields)).select(*(_null_tokens(n) for n in names))
+        fits = self._row_fits(names, fields, multi_line)
+        return df.where(fits).select(*(_null_tokens(n) for n in names))
 
-    def _row_fits(self, names: list[str], fields: str) -> Column:
-        """True, or an error for a row with more fields than the header.
+    def _row_fits(self, names: list[str], fields: str, multi_line: bool) -> Column:
+        """True, or an error for a row with more fields than the header or cut off inside quotes.
 
         Spark keeps the raw line of rows whose field count differs. Such a line is parsed again
         with an end mark as one more field: the mark lands in a named column only if fields are
-        missing, which is allowed.
+        missing, which is allowed. A value with a line break in it leaves at least one line with
+        another field count and an odd number of quotes.
         """
-        line = F.concat(F.col(_RAW_LINE), F.lit(self._line_options["sep"] + _END_MARK))
-        again = F.from_csv(line, fields, self._line_options)
+        raw = F.col(_RAW_LINE)
+        again = F.from_csv(
+            F.concat(raw, F.lit(self._line_options["sep"] + _END_MARK)), fields, self._line_options
+        )
         # The one-element array keeps the line from being parsed once per column.
         short = F.exists(
             F.array(again), lambda row: F.lit(_END_MARK).isin(*(row[n] for n in names))
         )
-        message = F.concat(
-            F.lit(f"Expected {len(names)} fields, saw more, in row starting with "),
-            F.coalesce(F.col(f"`{names[0]}`"), F.lit("")),
+        quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
+        cut_off = F.lit(not multi_line) & (quotes % 2 == 1)
+        start = F.coalesce(F.col(_quoted(names[0])), F.lit(""))
+        too_long = F.concat(
+            F.lit(f"Expected {len(names)} fields, saw more, in row starting with "), start
+        )
+        broken = F.concat(
+            F.lit("Line break inside quotes, read with multi_line, in row starting with "), start
         )
         return (
-            F.when(F.col(_RAW_LINE).isNull(), True)
+            F.when(raw.isNull(), True)
+            .when(cut_off, F.raise_error(broken).cast("boolean"))
             .when(short, True)
-            .otherwise(F.raise_error(message).cast("boolean"))
+            .otherwise(F.raise_error(too_long).cast("boolean"))
         )
 
     def _typed(self, df: DataFrame) -> DataFrame:
         for name in self.parse_dates:
-            text = F.col(f"`{name}`")
+            text = F.col(_quoted(name))
             moment = text.try_cast("timestamp_ntz")
             df = df.withColumns(
                 {name: moment, UNPARSED + name: F.when(moment.isNull(), text)}
@@ -141,8 +160,33 @@ class DelimitedSource(Source):
         return df
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _column_names(header: list[str | None]) -> list[str]:
+    """Unique names: blank fields are numbered, repeated ones get a counter."""
+    names: list[str] = []
+    for i, field in enumerate(header):
+        name = field or f"Unnamed: {i}"
+        repeats = header[:i].count(field) if field else 0
+        names.append(f"{name}.{repeats}" if repeats else name)
+    return names
+
+
+def _charset(encoding: str) -> str:
+    """Java name of a character set given by any of its Python names."""
+    try:
+        name = codecs.lookup(encoding).name
+    except LookupError as error:
+        raise ExtractionError(f"Extraction failed: {error}") from error
+    # Names that differ between the two.
+    java = {"ascii": "us-ascii", "utf-8-sig": "utf-8"}.get(name, name)
+    return java.replace("iso8859", "iso-8859")
+
+
 def _null_tokens(name: str) -> Column:
-    text = F.col(f"`{name}`")
+    text = F.col(_quoted(name))
     return F.when(~text.isin(*NULL_TOKENS), text).alias(name)
 
 
@@ -153,7 +197,7 @@ def _inferred(df: DataFrame, names: list[str]) -> dict[str, Column]:
         "double": lambda c: c.rlike("[0-9]$") & c.try_cast("double").isNotNull(),
         "boolean": lambda c: c.isin("True", "TRUE", "true", "False", "FALSE", "false"),
     }
-    columns = {n: F.col(f"`{n}`") for n in names}
+    columns = {n: F.col(_quoted(n)) for n in names}
     filled = [F.count(c).alias(f"{i}_filled") for i, c in enumerate(columns.values())]
     fitting = [
         F.count_if(fit(c)).alias(f"{i}_{name}")

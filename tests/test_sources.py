@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import csv
+import io
 import json
 from datetime import datetime
 
@@ -61,6 +63,19 @@ def test_unknown_encoding(spark, tmp_path):
         DelimitedSource(spark, path, encoding="no-such").extract()
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "utf-16", "utf-8-sig"])
+def test_python_encoding_names(spark, tmp_path, encoding):
+    path = tmp_path / "e.csv"
+    path.write_bytes("a,b\né,2\n".encode(encoding))
+    assert rows(read(spark, str(path), encoding=encoding, multi_line=True)) == [("é", "2")]
+
+
+def test_blank_and_repeated_header_fields(spark, tmp_path):
+    df = read(spark, write(tmp_path / "h.csv", "id,id,,x y,a.b,id\n1,2,3,4,5,6\n7\n"))
+    assert df.columns == ["id", "id.1", "Unnamed: 2", "x y", "a.b", "id.2"]
+    assert rows(df) == [("1", "2", "3", "4", "5", "6"), ("7", None, None, None, None, None)]
+
+
 def test_header_only(spark, tmp_path):
     df = read(spark, write(tmp_path / "h.csv", "a,b\n"))
     assert df.columns == ["a", "b"] and df.count() == 0
@@ -95,6 +110,29 @@ def test_line_break_in_quotes(spark, tmp_path):
     assert rows(read(spark, path, multi_line=True)) == [("1", "x\ny"), ("2", "z")]
 
 
+BROKEN_ROWS = [
+    '1,"x\ny",3', '1,2,"x\ny"', '"x\ny",2,3', '1,2,"x, ""q"" z\ny, w"', '1,2,"x\n\n\ny"',
+    '1,2,"x ""\ny"', '1,2,"\ny"', '"\n",2,3', '1,"a,b\nc,d,e",3', '1,2,"a\nb,c"',
+    '"a\nb","c\nd","e\nf"',
+]
+
+
+@pytest.mark.parametrize("row", BROKEN_ROWS)
+def test_line_break_in_quotes_is_never_cut_silently(spark, tmp_path, row):
+    path = write(tmp_path / "b.csv", f"a,b,c\n4,5,6\n{row}\n7,8,9\n")
+    with pytest.raises(ExtractionError, match="multi_line|Expected 3 fields"):
+        DelimitedSource(spark, path).extract(verify=True)
+    whole = list(csv.reader(io.StringIO(f"4,5,6\n{row}\n7,8,9\n")))
+    assert rows(read(spark, path, multi_line=True)) == sorted(
+        (tuple(r) for r in whole), key=repr
+    )
+
+
+def test_line_break_in_the_only_column(spark, tmp_path):
+    path = write(tmp_path / "one.csv", 'a\n"x\ny"\nz\n')
+    assert rows(read(spark, path)) == [("x\ny",), ("z",)]
+
+
 def test_leading_zeros_stay(spark, tmp_path):
     assert rows(read(spark, write(tmp_path / "z.csv", "id\n001\n"))) == [("001",)]
 
