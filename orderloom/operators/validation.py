@@ -155,7 +155,7 @@ def _moment(field: Field, raw: Column, kind) -> tuple[Column, list]:
 
 @dataclass(frozen=True)
 class Checked:
-    """Result of a validation: both frames are lazy.
+    """Result of a validation that counts; both frames are lazy.
 
     ``counts`` holds ``valid`` and ``rejected`` once an action has read all of ``rows``, so a
     load and its counts need one pass.
@@ -184,25 +184,32 @@ class SchemaValidator:
         return self._record(schema_name).columns
 
     def validate(self, df: DataFrame, schema_name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows that stay, and one report row per invalid row."""
-        checked = self.check(df, schema_name)
-        return checked.rows, checked.rejects
+        """Rows that stay, and one report row per invalid row; both are lazy."""
+        fields = self._fields(df, schema_name)
+        rejects = _rejects(df, fields)
+        if self.mode == "strict":
+            _raise_first(rejects)
+        return self._shape(_judged(df, fields), fields), rejects
 
     def check(self, df: DataFrame, schema_name: str) -> Checked:
-        """As ``validate``, with counts."""
-        fields = [check_field(f, df.schema) for f in self._record(schema_name).fields]
+        """As ``validate``, with counts taken while the rows are read."""
+        fields = self._fields(df, schema_name)
         rejects = _rejects(df, fields)
         if self.mode == "strict":
             _raise_first(rejects)
-        passes = reduce(lambda a, b: a & b, (f.passes for f in fields), F.lit(True))
         counts = Observation()
-        judged = df.withColumn(_VALID, passes).observe(
+        observed = _judged(df, fields).observe(
             counts,
             F.count_if(_VALID).alias("valid"),
             F.count_if(~F.col(_VALID)).alias("rejected"),
         )
-        shape = _flagged if self.mode == "flag" else _valid_only
-        return Checked(shape(judged, fields), rejects, counts)
+        return Checked(self._shape(observed, fields), rejects, counts)
+
+    def _shape(self, judged: DataFrame, fields: list[CheckedField]) -> DataFrame:
+        return _flagged(judged, fields) if self.mode == "flag" else _valid_only(judged, fields)
+
+    def _fields(self, df: DataFrame, schema_name: str) -> list[CheckedField]:
+        return [check_field(f, df.schema) for f in self._record(schema_name).fields]
 
     def _record(self, schema_name: str) -> Record:
         if schema_name not in self.records:
@@ -210,6 +217,14 @@ class SchemaValidator:
         return self.records[schema_name]
 
 
+def _passes(fields: list[CheckedField]) -> Column:
+    return reduce(lambda a, b: a & b, (f.passes for f in fields), F.lit(True))
+
+
+def _judged(df: DataFrame, fields: list[CheckedField]) -> DataFrame:
+    return df.withColumn(_VALID, _passes(fields))
+
+
 def _errors(fields: list[CheckedField]) -> Column:
     return F.array_compact(F.array(*(f.error for f in fields))).cast(_ERROR_TYPE)
 
@@ -251,11 +266,10 @@ def _rejects(df: DataFrame, fields: list[CheckedField]) -> DataFrame:
     Ids ascend in reading order but are not contiguous. Error arrays are built after the filter,
     for invalid rows only.
     """
-    passes = reduce(lambda a, b: a & b, (f.passes for f in fields), F.lit(True))
     data = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
     return (
         df.withColumn(_ROW_ID, F.monotonically_increasing_id())
-        .where(~passes)
+        .where(~_passes(fields))
         .select(_ROW_ID, _errors(fields).alias("_errors"), data.alias("_data"))
     )
 

@@ -112,6 +112,36 @@ def test_hot_keys_are_split_in_both_lookups(spark, hot):
     assert all(r.customer_name and r.product_name for r in rows)
 
 
+def test_hot_product_is_split_before_its_metrics(spark, hot):
+    """Grouping by the join key right after the join does not keep the join from being split."""
+    with settings(spark, **SKEW):
+        products = plans.stg_products(hot["products"])
+        lines = plans.priced_orders(plans.stg_orders(hot["orders"]), products)
+        dim = plans.dim_products(products, lines)
+        rows = dim.collect()
+        text = dim._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in text.split("== Initial Plan ==")[0]
+    assert sum(r.total_orders for r in rows) == N_ORDERS
+
+
+def test_orders_without_customer_are_split_too(spark, hot):
+    """Null keys gather in one partition like a hot key; none of their rows is lost."""
+    with settings(spark, **SKEW):
+        guest = F.col("customer_id") != "CHOT"
+        orders = plans.stg_orders(
+            hot["orders"].withColumn("customer_id", F.when(guest, F.col("customer_id")))
+        )
+        enriched = plans.int_orders_enriched(
+            orders, plans.stg_customers(hot["customers"]), plans.stg_products(hot["products"])
+        )
+        rows = enriched.collect()
+        text = enriched._jdf.queryExecution().executedPlan().toString()
+        assert text.split("== Initial Plan ==")[0].count("SortMergeJoin(skew=true)") == 2
+    assert len(rows) == N_ORDERS
+    assert sum(r.customer_id is None for r in rows) == N_ORDERS // 3
+    assert all(r.customer_name is None for r in rows if r.customer_id is None)
+
+
 def test_hot_customer_metrics_are_whole(spark, hot):
     orders = plans.stg_orders(hot["orders"])
     products = plans.stg_products(hot["products"])

@@ -151,6 +151,13 @@ def test_long_row_fails_the_read(spark, tmp_path, line):
         DelimitedSource(spark, path).extract().collect()
 
 
+def test_later_filters_do_not_hide_a_long_row(spark, tmp_path):
+    path = write(tmp_path / "l.csv", "a,b\n1,2\n,x,y\n")
+    df = DelimitedSource(spark, path).extract().where("a is not null and b = '2'")
+    with pytest.raises(PySparkException, match="Expected 2 fields"):
+        df.collect()
+
+
 def test_folder_of_files_with_one_header(spark, tmp_path):
     folder = tmp_path / "orders.csv"
     folder.mkdir()
