@@ -176,7 +176,7 @@ class SchemaValidator:
 
     def __init__(self, mode: str = "filter", records: Mapping[str, Record] = RECORDS):
         if mode not in MODES:
-            raise ValueError(f"Invalid mode: {mode}")
+            raise ValueError(f"mode must be one of {MODES}, not {mode}")
         self.mode = mode
         self.records = records
 
@@ -213,7 +213,7 @@ class SchemaValidator:
 
     def _record(self, schema_name: str) -> Record:
         if schema_name not in self.records:
-            raise ValueError(f"Unknown schema: {schema_name}")
+            raise ValueError(f"No record is named {schema_name}")
         return self.records[schema_name]
 
 
@@ -278,7 +278,7 @@ def _raise_first(rejects: DataFrame) -> None:
     first = rejects.orderBy(_ROW_ID).limit(1).collect()
     if first:
         broken = ", ".join(f"{e.field}: {e.rule} ({e.value})" for e in first[0]["_errors"])
-        raise ValueError(f"Validation failed: {broken}")
+        raise ValueError(f"First invalid row breaks {broken}")
 
 
 def rule_counts(rejects: DataFrame) -> DataFrame:

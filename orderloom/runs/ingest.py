@@ -78,7 +78,7 @@ class IngestRun:
                 self._process(job, report)
                 report.tables_processed += 1
             except Exception as error:  # any failure is this job's alone
-                logger.error("Failed to process %s: %s", job.name, error)
+                logger.error("Job %s failed: %s", job.name, error)
                 report.errors.append({"job": job.name, "error": str(error)})
         report.end_time = datetime.now()
         logger.info("Ingestion: %s", report)

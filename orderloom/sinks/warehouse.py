@@ -81,20 +81,20 @@ class Warehouse:
         """
         name = self.name(table_name, schema)
         if if_exists not in MODES:
-            raise LoadError(f"Failed to load data: unknown mode {if_exists}")
+            raise LoadError(f"if_exists must be one of {MODES}, not {if_exists}")
         try:
             self._recover(name)
             exists = self.spark.catalog.tableExists(name)
             if exists and if_exists == "fail":
                 if not df.isEmpty():
-                    raise LoadError(f"Failed to load data: table {name} exists")
+                    raise LoadError(f"{name} exists already")
                 rows = 0
             elif exists and if_exists == "append":
                 rows = _write(self._conform(df, name, fill=True), name, "append")
             else:
                 rows = self._swap_in(df, name)
         except SPARK_ERRORS as error:
-            raise LoadError(f"Failed to load data: {reason(error)}") from error
+            raise LoadError(f"{name} was not loaded: {reason(error)}") from error
         if rows == 0:
             logger.warning("Empty frame, nothing loaded to %s", name)
         else:
@@ -155,7 +155,7 @@ class Warehouse:
                 return 0
             matched = matched_keys(target, changes, key_columns).persist()
             if not matched.where("n_rows > 1").isEmpty():
-                raise LoadError(f"Failed to load data: {name} is not unique by {key_columns}")
+                raise LoadError(f"{name} is not unique by {key_columns}")
             if updates or not _all_known(matched, changes, key_columns):
                 merged = merge_rows(
                     target,
@@ -169,7 +169,7 @@ class Warehouse:
                 self._swap_in(merged, name)
             return rows
         except SPARK_ERRORS as error:
-            raise LoadError(f"Failed to load data: {reason(error)}") from error
+            raise LoadError(f"{name} was not loaded: {reason(error)}") from error
         finally:
             if matched is not None:
                 matched.unpersist()
@@ -180,7 +180,7 @@ class Warehouse:
         schema = self.spark.table(name).schema
         unknown = [c for c in df.columns if c not in schema.names]
         if unknown:
-            raise LoadError(f"Failed to load data: {name} has no column {unknown}")
+            raise LoadError(f"{name} has no column {unknown}")
         defaults = _defaults()
 
         def value(column: str):

@@ -43,7 +43,7 @@ class Source(ABC):
         """True if all required columns are there, else ``ValueError`` naming the missing ones."""
         missing = sorted(set(required_columns) - set(df.columns))
         if missing:
-            raise ValueError(f"Missing required columns: {missing}")
+            raise ValueError(f"Columns not found: {missing}")
         return True
 
 

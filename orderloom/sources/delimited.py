@@ -82,7 +82,7 @@ class DelimitedSource(Source):
             if verify:
                 df.write.format("noop").mode("overwrite").save()
         except SPARK_ERRORS as error:
-            raise ExtractionError(f"Extraction failed: {reason(error)}") from error
+            raise ExtractionError(f"{self.file_path} cannot be read: {reason(error)}") from error
         return self.add_metadata(df, loaded_at)
 
     def _header(self) -> list[str]:
@@ -90,7 +90,7 @@ class DelimitedSource(Source):
         lines = self.spark.read.options(**self._file_options).option("header", "false")
         rows = lines.csv(self.file_path)
         if not rows.columns:
-            raise ExtractionError(f"Extraction failed: no columns in {self.file_path}")
+            raise ExtractionError(f"{self.file_path} has no columns")
         return list(rows.first())
 
     def _text_columns(self) -> DataFrame:
@@ -98,7 +98,7 @@ class DelimitedSource(Source):
         names = _column_names(header)
         absent = sorted(set(self.parse_dates) - set(names))
         if absent:
-            raise ExtractionError(f"Extraction failed: no column {absent} to parse as date")
+            raise ExtractionError(f"{self.file_path} has no column {absent} to parse as date")
         fields = ", ".join(f"{_quoted(n)} string" for n in names)
         # With one column, a line that was cut off could not be told from a whole one.
         multi_line = self.multi_line or len(names) == 1
@@ -181,7 +181,7 @@ def _charset(encoding: str) -> str:
     try:
         name = codecs.lookup(encoding).name
     except LookupError as error:
-        raise ExtractionError(f"Extraction failed: {error}") from error
+        raise ExtractionError(f"{error}") from error
     # Names that differ between the two.
     java = {"ascii": "us-ascii", "utf-8-sig": "utf-8"}.get(name, name)
     return java.replace("iso8859", "iso-8859")

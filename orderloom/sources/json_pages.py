@@ -40,7 +40,7 @@ class JsonPagesSource(Source):
         try:
             df = self._records()
         except SPARK_ERRORS as error:
-            raise ExtractionError(f"Extraction failed: {reason(error)}") from error
+            raise ExtractionError(f"{self.path} cannot be read: {reason(error)}") from error
         return self.add_metadata(df, loaded_at)
 
     def _records(self) -> DataFrame:
@@ -59,11 +59,11 @@ class JsonPagesSource(Source):
             return self.spark.createDataFrame([], StructType())
         records = pages.schema[self.data_key].dataType
         if not isinstance(records, ArrayType):
-            raise ExtractionError(f"Extraction failed: {self.data_key} is not a list")
+            raise ExtractionError(f"{self.data_key} is not a list")
         if not isinstance(records.elementType, StructType):
             # Lists that are empty on every page carry no record type.
             empty = pages.where(F.size(F.col(f"`{self.data_key}`")) > 0).isEmpty()
             if not empty:
-                raise ExtractionError(f"Extraction failed: {self.data_key} holds no records")
+                raise ExtractionError(f"{self.data_key} holds no records")
             return self.spark.createDataFrame([], StructType())
         return pages.select(F.explode(F.col(f"`{self.data_key}`")).alias("r")).select("r.*")

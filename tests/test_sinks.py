@@ -94,7 +94,7 @@ def test_fail_mode(spark, warehouse):
     with pytest.raises(LoadError, match="exists"):
         warehouse.load(products(spark, P1), "products", if_exists="fail")
     assert warehouse.load(products(spark, P1), "other", if_exists="fail") == 1
-    with pytest.raises(LoadError, match="mode"):
+    with pytest.raises(LoadError, match="merge"):
         warehouse.load(products(spark, P1), "other", if_exists="merge")
 
 
