@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,16 +31,22 @@ _BEYOND_WIDE = 1e20
 _ERROR_TYPE = "array<struct<field:string,rule:string,value:string>>"
 _VALID = "_row_passes"
 _ROW_ID = "_row_id"
+_PARSED = "_parsed_"
 
 
 @dataclass(frozen=True)
 class CheckedField:
-    """A field's typed value and its checks, in the order in which the first failure is reported."""
+    """A field's typed value and its checks, in the order in which the first failure is reported.
+
+    ``parsed`` are columns that have to be added to the frame first. They are referred to more
+    than once, and as columns they are parsed once per row.
+    """
 
     field: Field
     value: Column
     shown: Column
     checks: list[tuple[str, Column]]
+    parsed: dict[str, Column]
 
     @property
     def passes(self) -> Column:
@@ -67,7 +73,7 @@ def check_field(field: Field, schema: StructType) -> CheckedField:
     if field.name not in schema.names:
         checks = [("missing", F.lit(False))] if field.required else []
         null = F.lit(None)
-        return CheckedField(field, null.cast(field.kind.value), null.cast("string"), checks)
+        return CheckedField(field, null.cast(field.kind.value), null.cast("string"), checks, {})
 
     raw = F.col(f"`{field.name}`")
     kind = schema[field.name].dataType
@@ -79,7 +85,8 @@ def check_field(field: Field, schema: StructType) -> CheckedField:
         Kind.WHOLE: _whole,
         Kind.MOMENT: _moment,
     }[field.kind]
-    value, checks = convert(field, raw, kind)
+    parsed: dict[str, Column] = {}
+    value, checks = convert(field, raw, kind, parsed)
     if field.required:
         checks.insert(0, ("required", raw.isNotNull()))
     shown = raw.cast("string")
@@ -88,7 +95,7 @@ def check_field(field: Field, schema: StructType) -> CheckedField:
         unparsed = F.col(f"`{helper}`")
         checks.append(("datetime", unparsed.isNull()))
         shown = F.coalesce(shown, unparsed)
-    return CheckedField(field, value, shown, checks)
+    return CheckedField(field, value, shown, checks, parsed)
 
 
 def _holds(condition: Column) -> Column:
@@ -96,7 +103,7 @@ def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(True))
 
 
-def _text(field: Field, raw: Column, kind) -> tuple[Column, list]:
+def _text(field: Field, raw: Column, kind, parsed) -> tuple[Column, list]:
     if not isinstance(kind, StringType):
         return raw.cast("string"), [("text", raw.isNull())]
     checks = []
@@ -109,50 +116,94 @@ def _text(field: Field, raw: Column, kind) -> tuple[Column, list]:
     return (F.lower(raw) if field.lower else raw), checks
 
 
-def _number(field: Field, raw: Column, kind) -> tuple[Column, list]:
-    """Exact number and the checks common to all numbers.
+@dataclass(frozen=True)
+class _Number:
+    """Ways to look at a number. ``quick`` is the loaded value where a plain cast finds it.
 
-    Text goes straight to decimal, so money is rounded half up in base ten. A number too large
-    for that is still a number, and fails later for its size.
+    Nearly all rows are settled by it; the exact decimal is only computed for the others.
     """
+
+    raw: Column
+    quick: Column
+    exact: Column
+    rough: Column
+
+    @property
+    def is_number(self) -> Column:
+        # A number too large to be exact is still a number; it fails later for its size.
+        huge = ~F.isnan(self.rough) & (F.abs(self.rough) >= _BEYOND_WIDE)
+        return self.or_null(
+            self.quick.isNotNull() | self.exact.isNotNull() | F.coalesce(huge, F.lit(False))
+        )
+
+    def or_null(self, condition: Column) -> Column:
+        return self.raw.isNull() | condition
+
+    def bounds(self, field: Field) -> list[tuple[str, Column]]:
+        size = F.coalesce(self.exact, F.signum(self.rough))
+        checks = []
+        for rule, limit, reached in (
+            ("greater_than", field.above, size > field.above),
+            ("at_least", field.at_least, size >= field.at_least),
+        ):
+            if limit is not None:
+                # The loaded value is rounded, so it only settles what is above the limit.
+                beyond = F.coalesce(self.quick > limit, F.lit(False))
+                checks.append((rule, _holds(beyond | reached)))
+        return checks
+
+    @property
+    def is_integral(self) -> Column:
+        same = self.exact.try_cast(Kind.WHOLE.value) == self.exact
+        return self.or_null(self.quick.isNotNull() | F.coalesce(same, F.lit(False)))
+
+
+def _number(field: Field, raw: Column, kind, parsed) -> _Number:
+    """Text goes straight to decimal, so money is rounded half up in base ten."""
+    if isinstance(kind, StringType):
+        quick = _parsed(parsed, field, raw.try_cast(field.kind.value))
+        return _Number(raw, quick, raw.try_cast(_WIDE), raw.try_cast("double"))
+    none = F.lit(None).cast(field.kind.value)
     if isinstance(kind, (IntegralType, DecimalType)):
-        exact, bounded, checks = raw, raw, []
-    else:
-        exact, rough = raw.try_cast(_WIDE), raw.try_cast("double")
-        huge = exact.isNull() & ~F.isnan(rough) & (F.abs(rough) >= _BEYOND_WIDE)
-        number = raw.isNull() | exact.isNotNull() | F.coalesce(huge, F.lit(False))
-        bounded, checks = F.coalesce(exact, F.signum(rough)), [("number", number)]
-    if field.above is not None:
-        checks.append(("greater_than", _holds(bounded > field.above)))
-    if field.at_least is not None:
-        checks.append(("at_least", _holds(bounded >= field.at_least)))
-    return exact, checks
-
-
-def _money(field: Field, raw: Column, kind) -> tuple[Column, list]:
-    exact, checks = _number(field, raw, kind)
-    value = exact.try_cast(field.kind.value)
-    return value, [*checks, ("finite", raw.isNull() | value.isNotNull())]
-
-
-def _whole(field: Field, raw: Column, kind) -> tuple[Column, list]:
-    exact, checks = _number(field, raw, kind)
-    value = exact.try_cast(field.kind.value)
-    integral = raw.isNull() | F.coalesce(value == exact, F.lit(False))
-    after_number = sum(rule == "number" for rule, _ in checks)
-    checks.insert(after_number, ("integer", integral))
-    return value, checks
-
-
-def _moment(field: Field, raw: Column, kind) -> tuple[Column, list]:
+        return _Number(raw, none, raw, raw.cast("double"))
+    return _Number(raw, none, _parsed(parsed, field, raw.try_cast(_WIDE)), raw.try_cast("double"))
+
+
+def _money(field: Field, raw: Column, kind, parsed) -> tuple[Column, list]:
+    number = _number(field, raw, kind, parsed)
+    value = F.coalesce(number.quick, number.exact.try_cast(field.kind.value))
+    fits = number.or_null(value.isNotNull())
+    return value, [("number", number.is_number), *number.bounds(field), ("finite", fits)]
+
+
+def _whole(field: Field, raw: Column, kind, parsed) -> tuple[Column, list]:
+    number = _number(field, raw, kind, parsed)
+    value = F.coalesce(number.quick, number.exact.try_cast(field.kind.value))
+    checks = [("number", number.is_number), ("integer", number.is_integral)]
+    return value, [*checks, *number.bounds(field)]
+
+
+def _moment(field: Field, raw: Column, kind, parsed) -> tuple[Column, list]:
     if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
         return raw.cast(field.kind.value), []
     if isinstance(kind, NumericType):
         return F.lit(None).cast(field.kind.value), [("datetime", raw.isNull())]
-    value = raw.try_cast(field.kind.value)
+    value = _parsed(parsed, field, raw.try_cast(field.kind.value))
     return value, [("datetime", raw.isNull() | value.isNotNull())]
 
 
+def _parsed(parsed: dict[str, Column], field: Field, value: Column) -> Column:
+    name = _PARSED + field.name
+    parsed[name] = value
+    return F.col(f"`{name}`")
+
+
+def with_parsed(df: DataFrame, fields: Iterable[CheckedField]) -> DataFrame:
+    """The frame with the columns that the values and checks of the fields refer to."""
+    columns = {name: value for f in fields for name, value in f.parsed.items()}
+    return df.withColumns(columns) if columns else df
+
+
 @dataclass(frozen=True)
 class Checked:
     """Result of a validation that counts; both frames are lazy.
@@ -222,7 +273,7 @@ def _passes(fields: list[CheckedField]) -> Column:
 
 
 def _judged(df: DataFrame, fields: list[CheckedField]) -> DataFrame:
-    return df.withColumn(_VALID, _passes(fields))
+    return with_parsed(df, fields).withColumn(_VALID, _passes(fields))
 
 
 def _errors(fields: list[CheckedField]) -> Column:
@@ -232,8 +283,8 @@ def _errors(fields: list[CheckedField]) -> Column:
 def _valid_only(judged: DataFrame, fields: list[CheckedField]) -> DataFrame:
     """Valid rows with normalised values. Unparsed helper columns are null in them, so they go."""
     values = {f.field.name: f.value for f in fields}
-    helpers = {UNPARSED + name for name in values}
-    kept = [c for c in judged.columns if c != _VALID and c not in helpers]
+    gone = {_VALID, *(UNPARSED + name for name in values), *(n for f in fields for n in f.parsed)}
+    kept = [c for c in judged.columns if c not in gone]
     return judged.where(_VALID).select(
         *(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in kept),
         *(v.alias(n) for n, v in values.items() if n not in kept),
@@ -252,8 +303,9 @@ def _flagged(judged: DataFrame, fields: list[CheckedField]) -> DataFrame:
         normal = values[name].try_cast(types[name])
         return F.when(F.col(_VALID), normal).otherwise(column).alias(name)
 
+    gone = {_VALID, *(n for f in fields for n in f.parsed)}
     return judged.select(
-        *(shown(c) for c in judged.columns if c != _VALID),
+        *(shown(c) for c in judged.columns if c not in gone),
         *(v.alias(n) for n, v in values.items() if n not in types),
         F.col(_VALID).alias("_is_valid"),
         F.when(~F.col(_VALID), F.to_json(_errors(fields))).alias("_validation_errors"),
@@ -266,9 +318,10 @@ def _rejects(df: DataFrame, fields: list[CheckedField]) -> DataFrame:
     Ids ascend in reading order but are not contiguous. Error arrays are built after the filter,
     for invalid rows only.
     """
-    data = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    data = F.to_json(row, {"ignoreNullFields": "false"})
     return (
-        df.withColumn(_ROW_ID, F.monotonically_increasing_id())
+        with_parsed(df.withColumn(_ROW_ID, F.monotonically_increasing_id()), fields)
         .where(~_passes(fields))
         .select(_ROW_ID, _errors(fields).alias("_errors"), data.alias("_data"))
     )

@@ -112,9 +112,9 @@ class DelimitedSource(Source):
             .schema(f"{fields}, `{_RAW_LINE}` string")
             .csv(self.file_path)
         )
-        # The second condition is always true. Being random, it keeps Spark from merging later
-        # filters into this one, where they could drop a row before it is found to be broken.
-        fits = self._row_fits(names, fields, multi_line) & (F.rand() >= 0)
+        # The second condition is always true. It is not deterministic, which keeps Spark from
+        # merging later filters into this one: they might drop a row before it is found broken.
+        fits = self._row_fits(names, fields, multi_line) & (F.monotonically_increasing_id() >= 0)
         return df.where(fits).select(*(_null_tokens(n) for n in names))
 
     def _row_fits(self, names: list[str], fields: str, multi_line: bool) -> Column:

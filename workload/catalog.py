@@ -274,6 +274,7 @@ def coerce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = check_field(Field("price", Kind.MONEY, above=0), texts.schema)
     quantity = check_field(Field("quantity", Kind.WHOLE, above=0), texts.schema)
     ordered = check_field(Field("order_date", Kind.MOMENT, required=False), texts.schema)
+    texts = validation.with_parsed(texts, [price, quantity, ordered])
     fits = F.when(quantity.value == F.col("quantity").try_cast("decimal(28,10)"), quantity.value)
     return portable(
         texts.select(
