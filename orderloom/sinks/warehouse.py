@@ -6,8 +6,9 @@ import logging
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from orderloom.operators.upsert import matched_keys, merge_rows
 from orderloom.sources.base import SPARK_ERRORS, reason
@@ -183,13 +184,15 @@ class Warehouse:
             raise LoadError(f"{name} has no column {unknown}")
         defaults = _defaults()
 
-        def value(column: str):
-            if column in df.columns:
-                return F.col(f"`{column}`")
-            return defaults.get(column, F.lit(None))
+        def value(column: str) -> Column:
+            kind = schema[column].dataType
+            if column not in df.columns:
+                return defaults.get(column, F.lit(None)).cast(kind)
+            given = F.col(f"`{column}`")
+            return given if df.schema[column].dataType == kind else _exactly(given, column, kind)
 
         names = schema.names if fill else df.columns
-        return df.select(*(value(c).cast(schema[c].dataType).alias(c) for c in names))
+        return df.select(*(value(c).alias(c) for c in names))
 
     def _swap_in(self, df: DataFrame, name: str, keep_empty: bool = False) -> int:
         """Write a new table aside, then give it the name; the old one goes last.
@@ -221,6 +224,14 @@ class Warehouse:
             self.spark.sql(f"ALTER TABLE {previous} RENAME TO {name}")
 
 
+def _exactly(given: Column, name: str, kind: DataType) -> Column:
+    """Cast that fails the load for a value the type can not hold, whatever the session's mode."""
+    value = given.try_cast(kind)
+    problem = F.concat(F.lit(f"{name} can not hold "), given.cast("string"))
+    lost = given.isNotNull() & value.isNull()
+    return F.when(lost, F.raise_error(problem).cast(kind)).otherwise(value)
+
+
 def _previous(name: str) -> str:
     return f"{name}__previous"
 

@@ -51,12 +51,17 @@ def test_append_refuses_unknown_columns(spark, warehouse):
     assert keys(warehouse) == []
 
 
-def test_append_is_all_or_nothing(spark, warehouse):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_append_is_all_or_nothing(spark, warehouse, ansi):
     warehouse.load(products(spark, P1), "products")
     bad = products(spark, *[(f"Q{i}", "a", "b", "1", "1") for i in range(50)],
                    ("QX", "a", "b", "123456789012", "1")).repartition(8)
-    with pytest.raises(LoadError):
-        warehouse.load(bad, "products")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(LoadError, match="price can not hold 123456789012"):
+            warehouse.load(bad, "products")
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
     assert keys(warehouse) == ["P1"]
 
 
