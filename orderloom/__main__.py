@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--location", help="folder of the tables")
     parser.add_argument("--prefix", default="", help="prefix of the database names")
     parser.add_argument("--as-of", help="date the customer activity is seen from")
+    parser.add_argument("--fact-partitions", nargs="*", default=(), help="such as order_year")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
 
@@ -28,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.step == "ingest":
         return int(IngestRun(warehouse, args.data_dir).run().failed)
     if args.step == "build":
-        build_models(warehouse, args.as_of)
+        build_models(warehouse, args.as_of, fact_partitions=tuple(args.fact_partitions))
         return 0
     if args.step == "test":
         names = sorted({check.table for check in DECLARED})
@@ -36,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         results = run_suite(tables, DECLARED)
         results.show(len(DECLARED), truncate=False)
         return int(not results.where("status = 'fail'").isEmpty())
-    outcome = run_all(warehouse, args.data_dir, args.as_of)
+    outcome = run_all(warehouse, args.data_dir, args.as_of, tuple(args.fact_partitions))
     for failure in outcome.failed_tests:
         logging.error("Data test failed: %s", failure)
     return int(not outcome.succeeded)

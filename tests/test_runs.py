@@ -142,7 +142,7 @@ def test_full_run(warehouse, inbox):
 def test_command_line(spark, warehouse, inbox):
     place = ["--data-dir", str(inbox), "--prefix", warehouse.prefix]
     assert main(["all", *place]) == 0
-    assert main(["build", *place]) == 0
+    assert main(["build", *place, "--as-of", "2024-02-01", "--fact-partitions", "order_year"]) == 0
     assert main(["test", *place]) == 0
     (inbox / "customers.csv").unlink()
     assert main(["ingest", *place]) == 1

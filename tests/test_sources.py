@@ -3,6 +3,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -277,3 +278,24 @@ def test_broken_or_missing_pages(spark, tmp_path):
         JsonPagesSource(spark, str(tmp_path / "bad.json"), "api").extract()
     with pytest.raises(ExtractionError):
         JsonPagesSource(spark, str(tmp_path / "none"), "api").extract()
+
+
+def test_random_files_against_the_csv_module(spark, tmp_path):
+    """Fields with quotes, delimiters, spaces and line breaks come back as they were written."""
+    generator = random.Random(7)
+    letters = [*'ab,"\n \t\\é#;0\'', "NA", "日"]
+    for case in range(16):
+        multi_line = case % 2 == 0
+        usable = letters if multi_line else [c for c in letters if c != "\n"]
+        width = generator.randint(2, 4)
+        data = [
+            ["".join(generator.choices(usable, k=generator.randint(0, 5))) for _ in range(width)]
+            for _ in range(40)
+        ]
+        text = io.StringIO()
+        quoting = csv.QUOTE_ALL if case % 4 < 2 else csv.QUOTE_MINIMAL
+        writer = csv.writer(text, lineterminator="\n", quoting=quoting)
+        writer.writerows([[f"c{i}" for i in range(width)], *data])
+        path = write(tmp_path / f"{case}.csv", text.getvalue())
+        expected = [tuple(None if v in NULL_TOKENS else v for v in row) for row in data]
+        assert rows(read(spark, path, multi_line=multi_line)) == sorted(expected, key=repr)

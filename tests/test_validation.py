@@ -1,14 +1,20 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 import pytest
 from pyspark.sql import functions as F
 
 from orderloom.operators.records import RECORDS, Field, Kind, Record
-from orderloom.operators.validation import SchemaValidator, rule_counts
+from orderloom.operators.validation import (
+    SchemaValidator,
+    check_field,
+    rule_counts,
+    with_parsed,
+)
 
 CUSTOMER = dict(
     customer_id="C1", first_name="Ann", last_name="Lee", email="Ann.Lee@Mail.com", country="DE",
@@ -253,3 +259,47 @@ def test_rule_counts(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [
         ("quantity", "greater_than", 1), ("status", "one_of", 2),
     ]
+
+
+def number_rules(text):
+    """Price rule, rounded price, quantity rule, quantity: by exact arithmetic in plain Python."""
+    try:
+        number = Decimal(text.strip(" "))
+    except InvalidOperation:
+        return ("number", None, "number", None)
+    cents = number.quantize(Decimal("0.01"), ROUND_HALF_UP)
+    price_rule = "greater_than" if number <= 0 else "finite" if cents >= 10**8 else None
+    whole = number == number.to_integral_value() and abs(number) < 2**31
+    quantity_rule = "integer" if not whole else "greater_than" if number <= 0 else None
+    return (
+        price_rule,
+        None if abs(cents) >= 10**8 else cents,
+        quantity_rule,
+        int(number) if whole else None,
+    )
+
+
+def test_random_numbers_against_exact_arithmetic(spark):
+    generator = random.Random(3)
+    texts = {
+        "".join(generator.choices("0123456789", k=generator.randint(1, size)))
+        .join(generator.choice([("", ""), ("-", ""), ("", ".0"), ("", ".5"), ("0.00", ""),
+                                ("", "e2"), (" ", " "), ("+", ".005"), ("", "."), ("-.", ""),
+                                ("", "x"), ("", "e"), ("1 ", "")]))
+        for size in (1, 2, 5, 9, 12)
+        for _ in range(300)
+    }
+    df = spark.createDataFrame([(t, t, t) for t in sorted(texts)], "t string, p string, q string")
+    price = check_field(Field("p", Kind.MONEY, above=0), df.schema)
+    quantity = check_field(Field("q", Kind.WHOLE, above=0), df.schema)
+    got = with_parsed(df, [price, quantity]).select(
+        "t",
+        price.error["rule"].alias("price_rule"),
+        price.value.alias("price"),
+        quantity.error["rule"].alias("quantity_rule"),
+        F.when(quantity.error["rule"] != "integer", quantity.value)
+        .when(quantity.error.isNull(), quantity.value)
+        .alias("quantity"),
+    )
+    for row in got.collect():
+        assert tuple(row)[1:] == number_rules(row.t), row.t
