@@ -35,8 +35,8 @@ def merge_rows(
     with a null matches nothing, so such changes are all inserted.
 
     The target is joined from the left, so it stays in place when the changes are small enough to
-    broadcast, and is shuffled once otherwise; a full outer join would always shuffle it. The
-    changes are reduced to one row per key before any join.
+    broadcast, and is shuffled once otherwise; a full outer join would always shuffle it. Changes
+    are reduced to one row per key before any join.
     """
     fixed = [c for c in changes.columns if c not in keys and c not in update_columns]
     by_key = (
@@ -69,12 +69,15 @@ def merge_rows(
         return value.cast(target.schema[name].dataType).alias(name)
 
     columns = target.columns
-    kept = target.join(by_key, list(keys), "left").select(*(updated(c) for c in columns))
+    known = target.where(_complete(keys)).join(by_key, list(keys), "left")
+    kept = known.select(*(updated(c) for c in columns))
+    # Rows with a null in the key stay out of the join, which would gather them in one task.
+    untouched = target.where(~_complete(keys))
     new = by_key.join(matched, list(keys), "left_anti").select(*(inserted(c) for c in columns))
     loose = changes.where(~_complete(keys)).select(
         *(F.col(f"`{c}`") if c in changes.columns else _default(c) for c in columns)
     )
-    return kept.unionAll(new).unionAll(loose)
+    return kept.unionAll(untouched).unionAll(new).unionAll(loose)
 
 
 def _complete(keys: Sequence[str]) -> Column:

@@ -289,6 +289,27 @@ def test_upsert_of_few_changes_does_not_shuffle_the_table(spark, hot):
     assert "FullOuter" not in physical
 
 
+def test_upsert_keeps_null_keys_out_of_the_join(spark, tmp_path):
+    """A table in which a third of the rows have no key: none is lost, none is shuffled."""
+    warehouse = Warehouse(spark, "scale_null_keys_", str(tmp_path)).create()
+    key = F.when(F.col("id") % 3 != 0, F.concat(F.lit("K"), "id"))
+    warehouse.load(spark.range(30_000).select(key.alias("k"), F.col("id").alias("v")), "t")
+    changes = spark.createDataFrame([("K1", -1), ("new", -2), (None, -3)], "k string, v bigint")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert warehouse.upsert(changes, "t", "raw", ["k"], order_by=["v"]) == 3
+    table = warehouse.table("t")
+    assert table.count() == 30_002 and table.where("k is null").count() == 10_001
+    assert {r.v for r in table.where("k = 'K1' or k = 'new' or v = -3").collect()} == {-1, -2, -3}
+
+    from orderloom.operators.upsert import matched_keys, merge_rows
+
+    merged = merge_rows(
+        table, changes, matched_keys(table, changes, ["k"]), ["k"], ["v"], ["v"], {}
+    )
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        assert max(shuffled_rows(spark, merged.select("*"))) <= 20_002
+
+
 def test_hot_key_in_upsert(spark, tmp_path):
     """A third of the changes hit one key; the last one wins and all others arrive."""
     warehouse = Warehouse(spark, "scale_upsert_", str(tmp_path)).create()
