@@ -236,31 +236,36 @@ class SchemaValidator:
 
     def validate(self, df: DataFrame, schema_name: str) -> tuple[DataFrame, DataFrame]:
         """Rows that stay, and one report row per invalid row; both are lazy."""
+        return self.rows(df, schema_name), self.rejects(df, schema_name)
+
+    def rows(self, df: DataFrame, schema_name: str) -> DataFrame:
+        """The rows that stay."""
         fields = self._fields(df, schema_name)
-        rejects = _rejects(df, fields)
-        if self.mode == "strict":
-            _raise_first(rejects)
-        return self._shape(_judged(df, fields), fields), rejects
+        return self._shape(_judged(df, fields), fields)
+
+    def rejects(self, df: DataFrame, schema_name: str) -> DataFrame:
+        """Row id, broken rules and original data of each invalid row."""
+        return _rejects(df, [check_field(f, df.schema) for f in self._record(schema_name).fields])
 
     def check(self, df: DataFrame, schema_name: str) -> Checked:
         """As ``validate``, with counts taken while the rows are read."""
-        fields = self._fields(df, schema_name)
-        rejects = _rejects(df, fields)
-        if self.mode == "strict":
-            _raise_first(rejects)
-        counts = Observation()
+        fields, counts = self._fields(df, schema_name), Observation()
         observed = _judged(df, fields).observe(
             counts,
             F.count_if(_VALID).alias("valid"),
             F.count_if(~F.col(_VALID)).alias("rejected"),
         )
-        return Checked(self._shape(observed, fields), rejects, counts)
+        return Checked(self._shape(observed, fields), _rejects(df, fields), counts)
 
     def _shape(self, judged: DataFrame, fields: list[CheckedField]) -> DataFrame:
         return _flagged(judged, fields) if self.mode == "flag" else _valid_only(judged, fields)
 
     def _fields(self, df: DataFrame, schema_name: str) -> list[CheckedField]:
-        return [check_field(f, df.schema) for f in self._record(schema_name).fields]
+        """The checks of a record; in strict mode, only if there is no invalid row."""
+        fields = [check_field(f, df.schema) for f in self._record(schema_name).fields]
+        if self.mode == "strict":
+            _raise_first(_rejects(df, fields))
+        return fields
 
     def _record(self, schema_name: str) -> Record:
         if schema_name not in self.records:

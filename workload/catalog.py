@@ -61,7 +61,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 
 def _valid(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return SchemaValidator("filter").validate(RAW[name](spark, sf_dir), name)[0]
+    return SchemaValidator("filter").rows(RAW[name](spark, sf_dir), name)
 
 
 def _staged(spark: SparkSession, sf_dir: str, rows=_valid) -> tuple[DataFrame, ...]:
@@ -230,12 +230,12 @@ def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def validate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = feed.raw_products(spark, sf_dir)
-    return portable(SchemaValidator("flag").validate(raw, "products")[0])
+    return portable(SchemaValidator("flag").rows(raw, "products"))
 
 
 @_query
 def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rejects = SchemaValidator("filter").validate(feed.raw_orders(spark, sf_dir), "orders")[1]
+    rejects = SchemaValidator("filter").rejects(feed.raw_orders(spark, sf_dir), "orders")
     return rejects.select(F.to_json("_errors").alias("errors"), F.col("_data").alias("data"))
 
 
@@ -243,7 +243,7 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     validator = SchemaValidator("filter")
     parts = [
-        validation.rule_counts(validator.validate(rows(spark, sf_dir), name)[1]).select(
+        validation.rule_counts(validator.rejects(rows(spark, sf_dir), name)).select(
             F.lit(name).alias("record"), "field", "rule", "n"
         )
         for name, rows in RAW.items()

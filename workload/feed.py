@@ -7,7 +7,7 @@ latest row has to be found, and some values break the record rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-08-01"
@@ -23,143 +23,110 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    customer = table(spark, sf_dir, "customer")
-    supplier = table(spark, sf_dir, "supplier")
-    key, balance = F.col("c_custkey").cast("string"), F.col("c_acctbal")
-    no_country = F.col("n_name") == "NATION_7"
-    segment, last_name = F.col("c_mktsegment"), F.expr("substr(c_name, 10)")
-
+    country = "if(n_name = 'NATION_7', 'X', n_name{space})"
     first = _customer(
-        F.concat(F.lit("C"), key),
-        F.concat(F.lit(" "), segment, F.lit(" ")),
-        last_name,
-        F.when(balance < -500, "bad-email")
-        .when(balance < -200, F.lit(None))
-        .otherwise(F.concat(F.lit("User."), key, F.lit("@Mail.com"))),
-        F.when(no_country, "X").otherwise(F.concat("n_name", F.lit(" "))),
+        "'C' || c_custkey",
+        "' ' || c_mktsegment || ' '",
+        "substr(c_name, 10)",
+        "if(c_acctbal < -500, 'bad-email', "
+        "if(c_acctbal < -200, null, 'User.' || c_custkey || '@Mail.com'))",
+        country.format(space=" || ' '"),
         _ts(FIRST_LOAD),
         "load1",
     )
     second = _customer(
-        F.concat(F.lit("C"), key),
-        F.lower(segment),
-        last_name,
-        F.concat(F.lit("New."), key, F.lit("@Mail.com")),
-        F.when(no_country, "X").otherwise(F.col("n_name")),
-        F.when(segment == "BUILDING", F.lit(None))
-        .when(segment == "MACHINERY", _ts(OLD_LOAD))
-        .when(segment == "AUTOMOBILE", _ts(FIRST_LOAD))
-        .otherwise(_ts(SECOND_LOAD)),
+        "'C' || c_custkey",
+        "lower(c_mktsegment)",
+        "substr(c_name, 10)",
+        "'New.' || c_custkey || '@Mail.com'",
+        country.format(space=""),
+        f"""case c_mktsegment when 'BUILDING' then null when 'MACHINERY' then {_ts(OLD_LOAD)}
+            when 'AUTOMOBILE' then {_ts(FIRST_LOAD)} else {_ts(SECOND_LOAD)} end""",
         "load2",
     )
     business = _customer(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")),
-        F.lit("Supplier"),
-        F.expr("substr(s_name, 10)"),
-        F.concat(F.lit("Sales."), F.col("s_suppkey").cast("string"), F.lit("@Supplier.com")),
-        F.col("n_name"),
+        "'S' || s_suppkey",
+        "'Supplier'",
+        "substr(s_name, 10)",
+        "'Sales.' || s_suppkey || '@Supplier.com'",
+        "n_name",
         _ts(FIRST_LOAD),
         "load1",
     )
-    customers = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    suppliers = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    return customers.select(F.inline(F.array(first, second))).unionAll(
-        suppliers.select(F.inline(F.array(business)))
-    )
+    customers = table(spark, sf_dir, "customer").join(nation, F.expr("c_nationkey = n_nationkey"))
+    suppliers = table(spark, sf_dir, "supplier").join(nation, F.expr("s_nationkey = n_nationkey"))
+    return _rows(customers, first, second).unionAll(_rows(suppliers, business))
 
 
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    size, brand = F.col("p_size"), F.col("p_brand")
-    above_base = F.col("p_retailprice").cast("decimal(10,2)") - F.lit(900)
-    spread = (above_base.cast("decimal(10,2)") * size * size * F.expr("0.001BD")).cast(
-        "decimal(10,2)"
-    )
-    price = F.when(brand == "Brand#13", F.lit(-400)).otherwise(spread).cast("decimal(10,2)")
-    cost = F.when(brand == "Brand#14", F.expr("-0.5BD")).otherwise(spread * F.expr("0.55BD"))
-    key = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
-    name = F.when(F.col("p_name") == "red widget", "").otherwise(
-        F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))
+    above_base = "cast(cast(p_retailprice as decimal(10,2)) - 900 as decimal(10,2))"
+    parts = table(spark, sf_dir, "part").withColumn(
+        "spread", F.expr(f"cast({above_base} * p_size * p_size * 0.001BD as decimal(10,2))")
     )
-    resent = (
-        F.when(size <= 10, F.lit(None))
-        .when(size <= 20, _ts(OLD_LOAD))
-        .otherwise(_ts(SECOND_LOAD))
+    price = "cast(if(p_brand = 'Brand#13', -400, spread) as decimal(10,2))"
+    cost = "if(p_brand = 'Brand#14', -0.5BD, spread * 0.55BD)"
+    first = _product(
+        "'P' || p_partkey",
+        "if(p_name = 'red widget', '', '  ' || p_name || ' ')",
+        "p_type",
+        price,
+        cost,
+        _ts(FIRST_LOAD),
+        "load1",
     )
-    parts = part.select(
-        F.inline(
-            F.array(
-                _product(key, name, F.col("p_type"), price, cost, _ts(FIRST_LOAD), "load1"),
-                _product(key, F.col("p_name"), F.col("p_type"), price + 1, cost, resent, "load2"),
-            )
-        )
+    resent = f"""case when p_size <= 10 then null when p_size <= 20 then {_ts(OLD_LOAD)}
+                 else {_ts(SECOND_LOAD)} end"""
+    second = _product(
+        "'P' || p_partkey", "p_name", "p_type", f"{price} + 1", cost, resent, "load2"
     )
     support = _product(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")),
-        F.concat(F.lit("Support by "), F.col("s_name")),
-        F.lit("SERVICE"),
-        F.col("s_acctbal"),
-        F.lit(0),
+        "'S' || s_suppkey",
+        "'Support by ' || s_name",
+        "'SERVICE'",
+        "s_acctbal",
+        "0",
         _ts(FIRST_LOAD),
         "load1",
     )
-    return parts.unionAll(supplier.select(F.inline(F.array(support))))
+    suppliers = table(spark, sf_dir, "supplier")
+    return _rows(parts, first, second).unionAll(_rows(suppliers, support))
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    returned, line, state = F.col("l_returnflag"), F.col("l_linestatus"), F.col("o_orderstatus")
-    ordered = F.col("l_quantity")
-    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("order_id"),
-        F.when(
-            ~((F.col("l_discount") == 0) & (F.col("l_tax") == 0)),
-            F.concat(F.lit("C"), F.col("o_custkey").cast("string")),
-        ).alias("customer_id"),
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
-        F.when(ordered <= 2, 0)
-        .when(ordered <= 30, 1)
-        .when(ordered <= 42, 2)
-        .when(ordered <= 48, 3)
-        .otherwise(12)
-        .alias("quantity"),
-        F.col("o_orderdate").alias("order_date"),
-        F.when((returned == "R") & (line == "F"), "cancelled")
-        .when((returned == "N") & (F.col("l_discount") > 0.095), "Returned")
-        .when(F.col("l_tax") > 0.075, " Shipped ")
-        .when(state == "F", "completed")
-        .when(state == "O", "shipped")
-        .otherwise("pending")
-        .alias("status"),
-        F.col("l_shipdate").alias("_loaded_at"),
-        F.lit("load1").alias("_source"),
+    return lineitem.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "'O' || l_orderkey as order_id",
+        "if(l_discount = 0 and l_tax = 0, null, 'C' || o_custkey) as customer_id",
+        "'P' || l_partkey as product_id",
+        """case when l_quantity <= 2 then 0 when l_quantity <= 30 then 1 when l_quantity <= 42 then 2
+                when l_quantity <= 48 then 3 else 12 end as quantity""",
+        "o_orderdate as order_date",
+        """case when l_returnflag = 'R' and l_linestatus = 'F' then 'cancelled'
+                when l_returnflag = 'N' and l_discount > 0.095 then 'Returned'
+                when l_tax > 0.075 then ' Shipped '
+                when o_orderstatus = 'F' then 'completed'
+                when o_orderstatus = 'O' then 'shipped' else 'pending' end as status""",
+        "l_shipdate as _loaded_at",
+        "'load1' as _source",
     )
 
 
-def _ts(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
+def _rows(df: DataFrame, *versions: str) -> DataFrame:
+    """One row per version of each input row, from a single scan."""
+    return df.selectExpr(f"inline(array({', '.join(versions)}))")
 
 
-def _customer(key, first, last, email, country, loaded_at, source) -> Column:
-    return F.struct(
-        key.alias("customer_id"),
-        first.alias("first_name"),
-        last.alias("last_name"),
-        email.alias("email"),
-        country.alias("country"),
-        _ts(SIGN_UP).alias("created_at"),
-        loaded_at.alias("_loaded_at"),
-        F.lit(source).alias("_source"),
-    )
+def _ts(text: str) -> str:
+    return f"timestamp_ntz '{text}'"
 
 
-def _product(key, name, category, price, cost, loaded_at, source) -> Column:
-    return F.struct(
-        key.alias("product_id"),
-        name.alias("product_name"),
-        category.alias("category"),
-        price.cast("decimal(10,2)").alias("price"),
-        cost.cast("decimal(10,2)").alias("cost"),
-        loaded_at.alias("_loaded_at"),
-        F.lit(source).alias("_source"),
-    )
+def _customer(key, first, last, email, country, loaded_at, source) -> str:
+    return f"""named_struct('customer_id', {key}, 'first_name', {first}, 'last_name', {last},
+        'email', {email}, 'country', {country}, 'created_at', {_ts(SIGN_UP)},
+        '_loaded_at', {loaded_at}, '_source', '{source}')"""
+
+
+def _product(key, name, category, price, cost, loaded_at, source) -> str:
+    return f"""named_struct('product_id', {key}, 'product_name', {name}, 'category', {category},
+        'price', cast({price} as decimal(10,2)), 'cost', cast({cost} as decimal(10,2)),
+        '_loaded_at', {loaded_at}, '_source', '{source}')"""
