@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +31,22 @@ def build_session(app_name: str = "orderloom", **conf: str) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder named by ``spark.checkpoint.dir``.
+    """A new path in the folder named by ``spark.checkpoint.dir``, or else beside the warehouse.
 
-    Only a local session may fall back to a temporary folder: on a cluster other machines could
-    not read it.
+    Both are folders that the driver and all executors share; a local disk is used only where the
+    session itself was set up with one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="orderloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    )
     return f"{root.rstrip('/')}/orderloom/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, for frames several plans start from."""
+    """Write ``df`` to the shared folder and read it back, for frames several plans start from.
+
+    The written table cuts the lineage: what is built on it outlives the executors that made it.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
