@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderloom.llm import exact_dedup, source_mix
+from orderloom.llm import exact_dedup, secret_scan, simhash, source_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,35 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM dr
 """
 
 
+@_query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+    def joined(findings):
+        spans = F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"]))
+        return F.array_join(spans, ",")
+
+    def number(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    base = F.filter("findings", lambda f: f["kind"].isin(kinds))
+    return found.select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in kinds),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
+@_query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 @_query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(_table(spark, sf_dir, "documents"))
