@@ -162,7 +162,7 @@ def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
     masks = _masks(64, scheme.max_distance // 2)
     points = members.select(
         "node", F.explode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("mask"), F.col("fp")[0].alias("fp0")
-    ).select("node", F.col("fp0").bitwiseXOR("mask").alias("point"))
+    ).select("node", F.col("fp0").bitwiseXOR(F.col("mask")).alias("point"))
     points = stored(points, "ball-points")
     least = stored(points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "ball-least")
     return points.join(least, "point").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
