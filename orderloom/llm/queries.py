@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import exact_dedup, secret_scan, simhash, source_mix
+from orderloom.llm import exact_dedup, quality, secret_scan, simhash, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,3 +109,32 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, text_sha256
 FROM shas WINDOW same AS (PARTITION BY text_sha256)
 """
+
+
+def _held_out() -> Column:
+    """Rows whose labels are not learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    weights = quality.train(docs, labels, allowed=~_held_out())
+    scored = quality.score(docs.select("doc_id", "text"), weights)
+    return scored.select(
+        "doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    weights = toxicity.train(docs, labels, allowed=~_held_out())
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select(
+        "doc_id",
+        _held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "offences",
+    )
