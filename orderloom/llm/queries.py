@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import exact_dedup, quality, secret_scan, simhash, source_mix, toxicity
+from orderloom.llm import decontaminate, exact_dedup, quality, secret_scan, simhash, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,6 +126,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.find_leaks(docs, items)
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
