@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, exact_dedup, quality, secret_scan, simhash, source_mix, toxicity
+from orderloom.llm import decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,3 +144,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "offences",
     )
+
+
+@_query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
