@@ -266,7 +266,7 @@ class Index:
             pattern, most = self.item_words[item], self.most_edits[item]
             if done[:2] == (text, item) and begin + most < done[2]:
                 continue
-            low = max(int(starts[text]), begin - most)
+            low = max(int(starts[text]), begin - most, done[2] if done[:2] == (text, item) else 0)
             high = min(int(starts[text + 1]), begin + len(pattern) + most)
             region = hashes[codes[low:high]].tolist()
             known = set(pattern)

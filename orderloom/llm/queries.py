@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, exact_dedup, html_text, quality, secret_scan, simhash, source_mix, toxicity
+from orderloom.llm import decontaminate, exact_dedup, html_text, license_scan, quality, secret_scan, simhash, source_mix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 @_query
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = source_mix.mix_plan(_table(spark, sf_dir, "documents"))
