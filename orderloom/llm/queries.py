@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, exact_dedup, html_text, license_scan, quality, secret_scan, simhash, source_mix, toxicity
+from orderloom.llm import decontaminate, exact_dedup, html_text, license_scan, quality, secret_scan, simhash, source_mix, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +93,110 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _captures(pages: DataFrame) -> DataFrame:
+    """Archive records made of the pages: each is captured, for every third once more in a new version, and
+    visited again; every fourth was also visited before. Some visits lack validators or have strange ones."""
+    page, k = F.col("page_id"), F.col("k")
+    tag = F.concat(F.md5("html"), F.when((k == 1) | ((k == 2) & (page % 3 == 0)), "-2").otherwise(""))
+    weak = F.when(page % 5 == 1, '"other"').otherwise(F.concat(F.lit('W/"'), tag, F.lit('"')))
+    revisit = k >= 2
+
+    def header(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    unchanged = F.concat(F.lit("day "), page.cast("string"))
+    response = F.array(
+        header("Content-Type", F.lit("text/html")),
+        header("ETag", F.concat(F.lit('"'), tag, F.lit('"'))),
+        header("Last-Modified", unchanged),
+        header("Date", F.concat(F.lit("at "), k.cast("string"))),
+        header("Cache-Control", F.lit("max-age=60")),
+    )
+    again = F.array(
+        F.when(page % 7 != 2, header("ETag", weak)).otherwise(header("last-modified", unchanged)),
+        header("Date", F.concat(F.lit("at "), k.cast("string"))),
+        header("Content-Length", F.lit("0")),
+        header("Cache-Control", F.lit("max-age=3600")),
+    )
+    seconds = F.element_at(F.array(*map(F.lit, (0, 600, 900, -60))), k + 1)
+    return (
+        pages.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+        .where((k == 0) | (k == 2) | ((k == 1) & (page % 3 == 0)) | ((k == 3) & (page % 4 == 0)))
+        .select(
+            (page * 4 + k).alias("record_id"),
+            F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
+            F.when(revisit, F.concat("url", F.lit("#again"))).otherwise(F.col("url")).alias("target_uri"),
+            F.timestamp_seconds(page * 60 + seconds).alias("warc_date"),
+            F.when(revisit, 304).otherwise(200).alias("status"),
+            F.when(revisit, again).otherwise(response).alias("headers"),
+            F.when(k == 0, F.col("html")).when(k == 1, F.concat("html", F.lit("<!-- 2 -->"))).alias("payload"),
+        )
+    )
+
+
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(_captures(_table(spark, sf_dir, "pages")))
+    names = F.array_sort(F.map_keys("headers"))
+    lines = F.transform(names, lambda n: F.concat(n, F.lit(": "), F.col("headers")[n]))
+    return found.select(
+        "record_id",
+        "response_id",
+        "outcome",
+        F.array_join(lines, "\n").alias("headers"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.length("payload").cast("long").alias("n_chars"),
+    )
+
+
+LLM_ORACLE["op4_warc"] = r"""
+WITH bare AS (
+    SELECT page_id, url, html,
+           regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS u
+    FROM pages
+), parts AS (
+    SELECT page_id, html,
+           regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host,
+           regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'),
+               lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS params
+    FROM bare
+), captured AS (
+    SELECT page_id AS p, k, html, p * 4 + k AS id, p * 60 + [0, 600, 900, -60][k + 1] AS ts,
+           host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url
+    FROM parts, unnest([0, 1, 2, 3]) AS t(k)
+    WHERE k IN (0, 2) OR (k = 1 AND page_id % 3 = 0) OR (k = 3 AND page_id % 4 = 0)
+), responses AS (
+    SELECT url, ts, max(id) AS response_id FROM captured WHERE k < 2 GROUP BY url, ts
+), tagged AS (
+    SELECT *, CASE WHEN p % 7 = 2 THEN NULL WHEN p % 5 = 1 THEN 'other'
+                   ELSE md5(html) || CASE WHEN k = 2 AND p % 3 = 0 THEN '-2' ELSE '' END END AS tag
+    FROM captured WHERE k >= 2
+), matched AS (
+    SELECT v.*, r.response_id FROM tagged v ASOF LEFT JOIN responses r ON v.url = r.url AND v.ts > r.ts
+), judged AS (
+    SELECT v.*, s.p AS origin, s.html AS body, s.k AS version,
+           CASE WHEN s.id IS NULL THEN 'unmatched'
+                WHEN coalesce(v.tag, 'day ' || v.p) =
+                     CASE WHEN v.tag IS NULL THEN 'day ' || s.p
+                          ELSE md5(s.html) || CASE WHEN s.k = 1 THEN '-2' ELSE '' END END THEN 'validated'
+                ELSE 'mismatch' END AS outcome
+    FROM matched v LEFT JOIN captured s ON v.response_id = s.id
+), merged AS (
+    SELECT *, body || CASE WHEN version = 1 THEN '<!-- 2 -->' ELSE '' END AS payload FROM judged
+)
+SELECT id AS record_id, response_id, outcome,
+       CASE WHEN outcome = 'validated' THEN
+            'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: at ' || k || chr(10) ||
+            'etag: ' || CASE WHEN tag IS NOT NULL THEN 'W/"' || tag || '"'
+                             ELSE '"' || md5(body) || CASE WHEN version = 1 THEN '-2' ELSE '' END || '"' END || chr(10) ||
+            'last-modified: day ' || origin END AS headers,
+       CASE WHEN outcome = 'validated' THEN sha256(payload) END AS payload_sha256,
+       CASE WHEN outcome = 'validated' THEN length(payload) END AS n_chars
+FROM merged
+"""
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"))
