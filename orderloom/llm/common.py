@@ -45,3 +45,11 @@ def private_row(df: DataFrame, **columns: Column) -> DataFrame:
         *(c.alias(name) for name, c in columns.items()),
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
     )
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or a longer one that no column of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.llm.common import unused
 from orderloom.llm.words import hashed_words, in_steps, mixed, segment_ids, split_words
 
 #: Items of one block: what a task holds of the benchmark at a time.
@@ -304,8 +305,6 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, similarity: float, re
 
 
 def _judged(docs: DataFrame, index: Index, text_col: str, out_col: str) -> DataFrame:
-    if out_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {out_col}")
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, LEAK)])
     place = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -349,7 +348,7 @@ def drop_leaking(
     recall: float = RECALL,
 ) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
-    columns = docs.columns
+    leaks = unused("leaks", docs)
     for index in _indexes(items, item_col, item_text_col, similarity, recall):
-        docs = _judged(docs, index, text_col, "_leaks").where(F.size("_leaks") == 0).select(*(f"`{c}`" for c in columns))
+        docs = _judged(docs, index, text_col, leaks).where(F.size(leaks) == 0).drop(leaks)
     return docs

@@ -12,7 +12,8 @@ back to the driver are the weights that are not zero, at most 2**bits.
 Defined results: a text that is null, empty or without words has only the bias, and so a score; a
 document without label, or with a null one, is not trained on; of several labels the largest counts; if
 there are no labels, all scores are the logistic function of zero; an empty table gives an empty
-table; other columns are passed on, whatever their names.
+table; other columns are passed on, but one named as the
+result is replaced.
 """
 
 from __future__ import annotations
@@ -203,8 +204,7 @@ def score(
     out_col: str = "score",
 ) -> DataFrame:
     """``docs`` with the probability of label 1."""
-    if out_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {out_col}")
+    docs = docs.drop(out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     place = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(weights)

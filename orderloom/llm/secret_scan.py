@@ -11,7 +11,8 @@ alternatives are multiplied out so that strings may cross the border of a group.
 breaks the string.
 
 Defined results: a null text is empty and has no findings; rows that repeat an identifier are scanned
-each; an empty table gives an empty table; other columns are passed on.
+each; an empty table gives an empty table; other columns are passed on, but one named as the
+result is replaced.
 """
 
 from __future__ import annotations
@@ -216,9 +217,7 @@ def scan(
 ) -> DataFrame:
     """``docs`` with an array of findings (kind, start, end), by start, then in the order of the rules."""
     rules = tuple(rules)
-    taken = {c.lower() for c in docs.columns}
-    if out_col.lower() in taken:
-        raise ValueError(f"docs already has a column {out_col}")
+    docs = docs.drop(out_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(FINDING))])
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = set().union(*(trigrams_of(q) for q in queries))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import stored
+from orderloom.llm.common import stored, unused
 from orderloom.llm.links import components
 from orderloom.llm.words import in_steps, mixed
 
@@ -47,7 +47,8 @@ CHUNK = 1 << 14
 class Scheme:
     """How fingerprints are made and searched: words of 64 bits, and the radius of each segment of them.
 
-    ``radii`` has one radius per segment; the segments cut every 64-bit word into equal parts. The
+    ``radii`` has one radius per segment; the segments cut every 64-bit word into equal parts of at most 32
+    bits. The
     search is exact if max_distance < sum(radius + 1). A wider fingerprint searches more segments than
     that needs, so that most, not all, of the pairs at a larger distance are found.
     """
@@ -115,41 +116,54 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def _segments(scheme: Scheme) -> list[tuple[int, Column]]:
-    """(radius, value) of each segment."""
+    """(radius, key) of each segment: its number above its bits."""
     per_word = len(scheme.radii) // scheme.words
     width = 64 // per_word
     low = (1 << width) - 1
     return [
-        (r, F.shiftrightunsigned(F.col("fp")[s // per_word], width * (s % per_word)).bitwiseAND(F.lit(low)))
-        for s, r in enumerate(scheme.radii)
+        (
+            radius,
+            F.shiftrightunsigned(F.col("fp")[s // per_word], width * (s % per_word))
+            .bitwiseAND(F.lit(low))
+            .bitwiseOR(F.lit(s << 32).cast("long")),
+        )
+        for s, radius in enumerate(scheme.radii)
     ]
 
 
+def _entries(prints: DataFrame, scheme: Scheme, *columns: str) -> DataFrame:
+    """The table: a row (key, ...) for each segment of each fingerprint."""
+    return prints.select(F.explode(F.array(*(key for _, key in _segments(scheme)))).alias("key"), *columns)
+
+
 def _hot_buckets(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """(s, value) of the segment values that too many fingerprints have."""
-    values = prints.select(F.posexplode(F.array(*(v for _, v in _segments(scheme)))).alias("s", "value"))
-    return values.groupBy("s", "value").count().where(F.col("count") > scheme.most_in_bucket).drop("count")
+    """The keys of segments that too many fingerprints have."""
+    counts = _entries(prints, scheme).groupBy("key").count()
+    return counts.where(F.col("count") > scheme.most_in_bucket).select("key")
 
 
 def _probe_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links found through segment values that few fingerprints have."""
+    """Links found through segments that few fingerprints have.
+
+    Probes and table carry a key and a node; the fingerprints join the pairs that met, to be verified.
+    """
     width = 64 * scheme.words // len(scheme.radii)
-    probes, entries = [], []
-    for s, (radius, value) in enumerate(_segments(scheme)):
-        ball = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
-        probes.append(
-            prints.select(F.lit(s).alias("s"), F.explode(F.transform(ball, lambda m, v=value: m.bitwiseXOR(v))).alias("value"), F.col("node").alias("a"), F.col("fp").alias("fp_a"))
-        )
-        entries.append(prints.select(F.lit(s).alias("s"), value.alias("value"), F.col("node").alias("b"), F.col("fp").alias("fp_b")))
-    table = reduce(DataFrame.unionByName, entries).join(hot, ["s", "value"], "left_anti")
-    near = distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.max_distance
-    pairs = reduce(DataFrame.unionByName, probes).join(table, ["s", "value"]).where("a <> b").where(near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    balls = []
+    for radius, key in _segments(scheme):
+        masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
+        balls.append(F.transform(masks, lambda m, key=key: m.bitwiseXOR(key)))
+    probes = prints.select(F.explode(F.concat(*balls)).alias("key"), F.col("node").alias("a"))
+    table = _entries(prints, scheme, "node").join(hot, "key", "left_anti").withColumnRenamed("node", "b")
+    met = probes.join(table, "key").where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")), side)
+    return pairs.where(distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.max_distance).select("a", "b")
 
 
 def _members_of_hot(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
-    values = prints.select("node", "fp", F.posexplode(F.array(*(v for _, v in _segments(scheme)))).alias("s", "value"))
-    return values.join(hot, ["s", "value"]).select("node", "fp")
+    """(key, node, fp) of the fingerprints that have a hot segment, once for each."""
+    return _entries(prints, scheme, "node", "fp").join(hot, "key")
 
 
 def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
@@ -158,7 +172,7 @@ def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
     Around every fingerprint the ball of half the distance is enumerated; whatever meets in a point is
     linked to the smallest that meets there, so a point with many fingerprints gives one link for each.
     """
-    members = _members_of_hot(prints, hot, scheme).distinct()
+    members = _members_of_hot(prints, hot, scheme).select("node", "fp").distinct()
     masks = _masks(64, scheme.max_distance // 2)
     points = members.select(
         "node", F.explode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("mask"), F.col("fp")[0].alias("fp0")
@@ -172,14 +186,13 @@ def _leader_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFram
     """Links between members of hot buckets of a wide fingerprint: every member is compared with the
     bucket's leaders, chosen by hash. Members of such a bucket agree in a whole segment and mostly lie
     within the distance of a leader, so the leaders hold their class together; the work is linear."""
-    values = prints.select("node", "fp", F.posexplode(F.array(*(v for _, v in _segments(scheme)))).alias("s", "value"))
-    members = stored(values.join(hot, ["s", "value"]), "hot-members")
-    leaders = members.groupBy("s", "value").agg(
+    members = stored(_members_of_hot(prints, hot, scheme), "hot-members")
+    leaders = members.groupBy("key").agg(
         F.array(*(F.min_by(F.struct("node", "fp"), F.xxhash64("node", F.lit(r))) for r in range(LEADERS))).alias("leaders")
     )
     leaders = stored(leaders, "hot-leaders")
     near = distance(F.col("fp"), F.col("leader.fp"), scheme.words) <= scheme.max_distance
-    pairs = members.join(leaders, ["s", "value"]).select("node", "fp", F.explode("leaders").alias("leader")).where(near)
+    pairs = members.join(leaders, "key").select("node", "fp", F.explode("leaders").alias("leader")).where(near)
     return pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).where("a <> b").distinct()
 
 
@@ -215,7 +228,8 @@ def classes(
     docs: DataFrame, scheme: Scheme = BITS_64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, fp, component_id (the smallest id that links lead to)."""
-    return _classes(_prints(docs, scheme, id_col, text_col), scheme).withColumnRenamed("id", id_col)
+    found = _classes(_prints(docs, scheme, id_col, text_col), scheme)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(
@@ -226,5 +240,6 @@ def drop_near_copies(
     Rows that share an identifier stay or go together; rows without one stay.
     """
     found = classes(docs, scheme, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(stored(gone, "near-copies"), F.col(f"`{id_col}`").cast("long") == F.col("gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(stored(gone, "near-copies"), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

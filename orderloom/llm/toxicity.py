@@ -13,7 +13,7 @@ Training reads a bounded sample of about ``max_rows`` labelled documents, chosen
 
 Defined results: a text that is null, empty or without words has no sentence and score 0; a document
 without label, or with a null one, is not trained on; of several labels the largest counts; an empty
-table gives an empty table; other columns are passed on, whatever their names.
+table gives an empty table; other columns are passed on, but those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderloom.llm.common import unused
 from orderloom.llm.quality import MAX_ROWS, Ftrl, Settings, trained_weights, logistic, training_rows
 from orderloom.llm.words import hashed_words, in_steps, mixed, split_words
 
@@ -165,8 +167,7 @@ def score(
     at_least: float = 0.5,
 ) -> DataFrame:
     """``docs`` with the probability of being toxic, and the sentences that are."""
-    if {score_col.lower(), offences_col.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs already has a column {score_col} or {offences_col}")
+    docs = docs.drop(score_col, offences_col)
     schema = T.StructType(
         [*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(offences_col, OFFENCE)]
     )
@@ -199,3 +200,10 @@ def score(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(scored, schema)
+
+
+def drop_toxic(docs: DataFrame, weights: np.ndarray, text_col: str = "text", at_least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``at_least``, with all their columns."""
+    score_col, offences_col = unused("toxicity", docs), unused("offences", docs)
+    scored = score(docs, weights, text_col=text_col, score_col=score_col, offences_col=offences_col)
+    return scored.where(F.col(score_col) < at_least).drop(score_col, offences_col)
