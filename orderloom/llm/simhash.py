@@ -115,6 +115,11 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
+def _ball(key: Column, masks: list[int]) -> Column:
+    """The key with each of the masks applied."""
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: m.bitwiseXOR(key))
+
+
 def _segments(scheme: Scheme) -> list[tuple[int, Column]]:
     """(radius, key) of each segment: its number above its bits."""
     per_word = len(scheme.radii) // scheme.words
@@ -148,10 +153,7 @@ def _probe_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame
     Probes and table carry a key and a node; the fingerprints join the pairs that met, to be verified.
     """
     width = 64 * scheme.words // len(scheme.radii)
-    balls = []
-    for radius, key in _segments(scheme):
-        masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
-        balls.append(F.transform(masks, lambda m, key=key: m.bitwiseXOR(key)))
+    balls = [_ball(key, _masks(width, radius)) for radius, key in _segments(scheme)]
     probes = prints.select(F.explode(F.concat(*balls)).alias("key"), F.col("node").alias("a"))
     table = _entries(prints, scheme, "node").join(hot, "key", "left_anti").withColumnRenamed("node", "b")
     met = probes.join(table, "key").where("a <> b")
