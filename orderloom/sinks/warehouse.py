@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import logging
+import re
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from orderloom.operators.upsert import matched_keys, merge_rows
+from orderloom.session import remove_folder, scratch_path
 from orderloom.sources.base import SPARK_ERRORS, reason
 
 logger = logging.getLogger(__name__)
@@ -18,6 +21,10 @@ logger = logging.getLogger(__name__)
 LAYERS = ("raw", "staging", "intermediate", "marts")
 MODES = ("append", "replace", "fail")
 
+# Names of a new version until it takes the table's name, and the folders of versions.
+_NEXT = "__next_"
+_VERSION = re.compile(r"/v-[0-9a-f]{32}/?$")
+
 # Columns of the raw tables.
 _LOAD_COLUMNS = "_loaded_at timestamp_ntz, _source string"
 RAW_TABLES = {
@@ -39,6 +46,10 @@ class Warehouse:
 
     ``prefix`` names the databases (``<prefix>raw`` and so on), ``location`` is the folder they
     live in; by default that is Spark's warehouse folder.
+
+    Every version of a table is a folder of its own, written whole before the catalog points to it; the
+    folder before it is deleted last. No file is ever renamed or overwritten by a rebuild, so a job
+    that fails leaves the old version as it was.
     """
 
     def __init__(self, spark: SparkSession, prefix: str = "", location: str | None = None):
@@ -52,9 +63,9 @@ class Warehouse:
             place = f" LOCATION '{self.location}/{layer}'" if self.location else ""
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.prefix}{layer}{place}")
         for name, columns in RAW_TABLES.items():
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {self.name(name, 'raw')} ({columns}) USING parquet"
-            )
+            if not self._finished(self.name(name, "raw")):
+                place = self._new_folder(self.name(name, "raw"))
+                self.spark.sql(f"CREATE TABLE {self.name(name, 'raw')} ({columns}) USING parquet LOCATION '{place}'")
         return self
 
     def name(self, table: str, schema: str) -> str:
@@ -63,7 +74,7 @@ class Warehouse:
     def table(self, table: str, schema: str = "raw") -> DataFrame:
         """Scan of a table."""
         name = self.name(table, schema)
-        self._recover(name)
+        self._finished(name)
         return self.spark.table(name)
 
     def execute_query(self, query: str) -> DataFrame:
@@ -84,8 +95,7 @@ class Warehouse:
         if if_exists not in MODES:
             raise LoadError(f"if_exists must be one of {MODES}, not {if_exists}")
         try:
-            self._recover(name)
-            exists = self.spark.catalog.tableExists(name)
+            exists = self._finished(name)
             if exists and if_exists == "fail":
                 if not df.isEmpty():
                     raise LoadError(f"{name} exists already")
@@ -107,17 +117,14 @@ class Warehouse:
     ) -> DataFrame:
         """Rebuild a model's table, empty or not, and return its scan.
 
-        The old table serves readers until the new one is complete. With ``partition_by`` it is
-        overwritten in place instead, because not every catalog renames a table's partitions with
-        it. Its rows are then brought together by partition before the write; the rebalance hint
-        lets Spark split large partitions and merge small ones into files of even size.
+        The old table serves readers until the new one is complete. With ``partition_by`` rows are
+        brought together by partition before the write; the rebalance hint lets Spark split large
+        partitions and merge small ones into files of even size.
         """
         name = self.name(table, schema)
-        self._recover(name)
-        if partition_by:
-            _write(df.hint("rebalance", *partition_by), name, "overwrite", partition_by)
-        else:
-            self._swap_in(df, name, keep_empty=True)
+        self._finished(name)
+        rows = df.hint("rebalance", *partition_by) if partition_by else df
+        self._swap_in(rows, name, keep_empty=True, partition_by=partition_by)
         return self.spark.table(name).select(*df.columns)
 
     def publish_view(self, df: DataFrame, name: str) -> DataFrame:
@@ -140,13 +147,14 @@ class Warehouse:
         distributed frame has no row order of its own. By default all columns are compared. The
         table must be unique by key where it meets the changes.
 
-        The new table is written aside and swapped in. Until the swap the table is unchanged.
+        The table keeps its partitioning. A partitioned table gets new files only in the partitions that
+        the changes touch; any other is written anew beside the old version, which serves until then.
         """
         name = self.name(table_name, schema)
         staged = f"{name}__changes_{uuid.uuid4().hex}"
         matched = None
         try:
-            self._recover(name)
+            self._finished(name)
             rows = _write(self._conform(df, name, fill=False), staged, "errorifexists")
             changes, target = self.spark.table(staged), self.spark.table(name)
             updates = update_columns
@@ -158,6 +166,11 @@ class Warehouse:
             if not matched.where("n_rows > 1").isEmpty():
                 raise LoadError(f"{name} is not unique by {key_columns}")
             if updates or not _all_known(matched, changes, key_columns):
+                parts = self._partition_columns(name)
+                touched = None
+                if parts:
+                    touched = self._touched(target, changes, matched, key_columns, parts)
+                    target = _of_partitions(target, touched, parts)
                 merged = merge_rows(
                     target,
                     changes,
@@ -167,7 +180,10 @@ class Warehouse:
                     order_by or changes.columns,
                     _defaults(),
                 )
-                self._swap_in(merged, name)
+                if touched is None:
+                    self._swap_in(merged, name)
+                else:
+                    self._replace_partitions(merged, name, touched, parts)
             return rows
         except SPARK_ERRORS as error:
             raise LoadError(f"{name} was not loaded: {reason(error)}") from error
@@ -194,34 +210,130 @@ class Warehouse:
         names = schema.names if fill else df.columns
         return df.select(*(value(c).alias(c) for c in names))
 
-    def _swap_in(self, df: DataFrame, name: str, keep_empty: bool = False) -> int:
-        """Write a new table aside, then give it the name; the old one goes last.
+    def _swap_in(
+        self, df: DataFrame, name: str, keep_empty: bool = False, partition_by: Sequence[str] = ()
+    ) -> int:
+        """Write a new version in a folder of its own, then let the catalog point to it.
 
-        The table is missing for the moment between two renames. ``_recover`` puts the old one
-        back if the job dies there.
+        Where columns and layout stay, that is one change of the table's location. Otherwise the new
+        version takes the name of the old entry, which is dropped without its files; if a job
+        dies between these two, ``_finished`` completes the swap at the next access.
         """
-        fresh = f"{name}__next_{uuid.uuid4().hex}"
+        fresh, folder, old = f"{name}{_NEXT}{uuid.uuid4().hex}", self._new_folder(name), None
         try:
-            rows = _write(df, fresh, "errorifexists")
+            rows = _write(df, fresh, "errorifexists", partition_by, folder)
             if rows or keep_empty:
-                if self.spark.catalog.tableExists(name):
-                    self.spark.sql(f"ALTER TABLE {name} RENAME TO {_previous(name)}")
-                self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
-                self.spark.sql(f"DROP TABLE IF EXISTS {_previous(name)}")
+                old = self._location(name)
+                if old and not partition_by and self._same_shape(name, fresh):
+                    self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+                    self.spark.sql(f"DROP TABLE {fresh}")
+                    self.spark.catalog.refreshTable(name)
+                else:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                    self._take_name(fresh, name)
+                folder = old
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-            self._recover(name)
+            # The folder that nothing points to now: the old version, or a new one that failed.
+            if folder and _VERSION.search(folder):
+                remove_folder(self.spark, folder)
         return rows
 
-    def _recover(self, name: str) -> None:
-        """Finish or undo a swap that was cut off."""
-        previous = _previous(name)
-        if not self.spark.catalog.tableExists(previous):
-            return
-        if self.spark.catalog.tableExists(name):
-            self.spark.sql(f"DROP TABLE {previous}")
-        else:
-            self.spark.sql(f"ALTER TABLE {previous} RENAME TO {name}")
+    def _take_name(self, fresh: str, name: str) -> None:
+        """Only the catalog changes: the table is external, so its files stay where they are."""
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+
+    def _finished(self, name: str) -> bool:
+        """Whether the table exists, after completing or clearing away a swap that was cut off."""
+        exists = self.spark.catalog.tableExists(name)
+        database, table = name.split(".")
+        if not self.spark.catalog.databaseExists(database):
+            return exists
+        for left in self.spark.catalog.listTables(database, f"{table}{_NEXT}*"):
+            fresh = f"{database}.{left.name}"
+            if exists:
+                self.spark.sql(f"DROP TABLE {fresh}")
+            else:
+                self._take_name(fresh, name)
+                exists = True
+        return exists
+
+    def _new_folder(self, name: str) -> str:
+        database, table = name.split(".")
+        root = self.spark.catalog.getDatabase(database).locationUri
+        return f"{root.rstrip('/')}/{table}/v-{uuid.uuid4().hex}"
+
+    def _location(self, name: str) -> str | None:
+        if not self.spark.catalog.tableExists(name):
+            return None
+        lines = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+        return lines.first()["data_type"]
+
+    def _same_shape(self, name: str, other: str) -> bool:
+        shapes = [[(f.name, f.dataType) for f in self.spark.table(t).schema.fields] for t in (name, other)]
+        return shapes[0] == shapes[1] and not self._partition_columns(name)
+
+    def _partition_columns(self, name: str) -> list[str]:
+        return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
+
+    def _touched(
+        self, target: DataFrame, changes: DataFrame, matched: DataFrame, keys: Sequence[str], parts: list[str]
+    ) -> list[Row]:
+        """Partitions that hold a row to update or get a new one; no more than there are partitions."""
+        defaults = _defaults()
+        to = [
+            F.col(f"`{c}`") if c in changes.columns else defaults.get(c, F.lit(None)).cast(target.schema[c].dataType).alias(c)
+            for c in parts
+        ]
+        columns = [F.col(f"`{c}`") for c in parts]
+        held = target.join(matched.select(*keys), list(keys), "left_semi").select(*columns)
+        return held.unionAll(changes.select(*to)).distinct().collect()
+
+    def _replace_partitions(self, df: DataFrame, name: str, touched: list[Row], parts: list[str]) -> None:
+        """Replace the touched partitions by the rows of ``df``.
+
+        The rows are complete in a table of their own before the first partition changes.
+        """
+        path = scratch_path(self.spark, "upsert")
+        try:
+            df.write.parquet(path)
+            # A session of its own, as only this write may replace single partitions.
+            session = self.spark.newSession()
+            session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            rows = session.read.schema(df.schema).parquet(path)
+            left = {tuple(row) for row in rows.select(*parts).distinct().collect()}
+            columns = [f"`{c}`" for c in session.table(name).columns]
+            rows.select(*columns).hint("rebalance", *parts).write.insertInto(name, overwrite=True)
+            for row in touched:
+                if tuple(row) not in left:
+                    spec = ", ".join(f"`{c}` = {_literal(row[c])}" for c in parts)
+                    self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+            self.spark.catalog.refreshTable(name)
+        finally:
+            remove_folder(self.spark, path)
+
+
+def _of_partitions(df: DataFrame, touched: list[Row], parts: list[str]) -> DataFrame:
+    """Rows of the given partitions; the condition reaches the scan as a partition filter."""
+
+    def one_of(column: str, values: set) -> Column:
+        given = F.col(f"`{column}`")
+        found = given.isin(*(v for v in values if v is not None))
+        return found | given.isNull() if None in values else found
+
+    # Column by column first, which prunes the scan; then the exact combinations.
+    coarse = reduce(lambda a, b: a & b, (one_of(c, {row[c] for row in touched}) for c in parts))
+    exact = reduce(
+        lambda a, b: a | b,
+        (reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in parts)) for row in touched),
+    )
+    return df.where(coarse) if len(parts) == 1 else df.where(coarse & exact)
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "null"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _exactly(given: Column, name: str, kind: DataType) -> Column:
@@ -232,22 +344,22 @@ def _exactly(given: Column, name: str, kind: DataType) -> Column:
     return F.when(lost, F.raise_error(problem).cast(kind)).otherwise(value)
 
 
-def _previous(name: str) -> str:
-    return f"{name}__previous"
-
-
 def _defaults() -> dict:
     """Values for absent columns, taken at load time."""
     return {"_loaded_at": F.localtimestamp()}
 
 
-def _write(df: DataFrame, name: str, mode: str, partition_by: Sequence[str] = ()) -> int:
-    """Write to a table and count the rows on the way."""
+def _write(
+    df: DataFrame, name: str, mode: str, partition_by: Sequence[str] = (), folder: str | None = None
+) -> int:
+    """Write to a table, a new one in the given folder, and count the rows on the way."""
     written = Observation()
     frame = df.observe(written, F.count(F.lit(1)).alias("rows"))
     writer = frame.write.mode(mode).format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if folder:
+        writer = writer.option("path", folder)
     writer.saveAsTable(name)
     return written.get["rows"]
 

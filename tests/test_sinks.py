@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderloom.sinks import LoadError
 from tests.conftest import rows
@@ -112,16 +115,76 @@ def test_failed_replace_keeps_the_table(spark, warehouse):
     assert tables(warehouse) == ["customers", "orders", "products"]
 
 
-def test_cut_off_swap_is_undone(spark, warehouse):
+def test_cut_off_swap_is_completed(spark, warehouse):
+    """The job died after the old entry was dropped, or before."""
     warehouse.load(products(spark, P1), "products")
     name = warehouse.name("products", "raw")
-    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__previous")
+    place = warehouse._new_folder(name)
+    spark.table(name).write.option("path", place).saveAsTable(f"{name}__next_1")
+    spark.sql(f"DROP TABLE {name}")
     assert keys(warehouse) == ["P1"]
-    spark.sql(f"CREATE TABLE {name}__previous USING parquet AS SELECT 1 AS x")
+    spark.sql(f"CREATE TABLE {name}__next_2 USING parquet LOCATION '{place}2' AS SELECT 1 AS x")
     assert keys(warehouse) == ["P1"]
     assert tables(warehouse) == ["customers", "orders", "products"]
 
 
+def files(df):
+    return {f.split("/", 3)[-1] for f in df.inputFiles()}
+
+
+@pytest.mark.parametrize("partitions", [[], ["product_id"]])
+def test_failed_publish_leaves_the_old_version(spark, warehouse, partitions):
+    frame = products(spark, P1, P2)
+    published = warehouse.publish(frame, "m", "marts", partitions)
+    broken = frame.withColumn("price", F.expr("cast(raise_error('boom') as decimal(10,2))"))
+    with pytest.raises(Exception, match="boom"):
+        warehouse.publish(broken, "m", "marts", partitions)
+    assert rows(warehouse.table("m", "marts").select(*frame.columns)) == rows(published) == rows(frame)
+    assert tables(warehouse, "marts") == ["m"]
+
+
+@pytest.mark.parametrize("partitions", [[], ["product_id"]])
+def test_a_version_is_a_folder_that_is_never_renamed(spark, warehouse, partitions):
+    """The files of a version stay where they were written, and only the current version's are left."""
+    frame, seen = products(spark, P1, P2), []
+    write = warehouse._new_folder
+
+    def noted(name):
+        seen.append(write(name))
+        return seen[-1]
+
+    warehouse._new_folder = noted
+    for _ in range(3):
+        published = warehouse.publish(frame, "m", "marts", partitions)
+    assert rows(published) == rows(frame)
+    assert all(seen[-1].split("/")[-1] in f for f in published.inputFiles())
+    folder = Path(seen[-1].removeprefix("file:")).parent
+    assert [f.name for f in folder.iterdir()] == [seen[-1].split("/")[-1]]
+
+
+def test_upsert_keeps_partitions_and_rewrites_only_those_it_touches(spark, warehouse):
+    table = spark.sql(
+        "select id, id % 4 as p, 'old' as v from range(40) union all select 100, cast(null as bigint), 'old'"
+    )
+    warehouse.publish(table, "t", "marts", ["p"])
+    before = files(warehouse.table("t", "marts"))
+    changes = spark.sql("select * from values (1L, 1L, 'new'), (5L, 2L, 'moved'), (200L, 7L, 'added') as t(id, p, v)")
+    assert warehouse.upsert(changes, "t", "marts", ["id"]) == 3
+    after = warehouse.table("t", "marts")
+    want = {r.id: (r.p, r.v) for r in table.collect()} | {1: (1, "new"), 5: (2, "moved"), 200: (7, "added")}
+    assert {r.id: (r.p, r.v) for r in after.collect()} == want and after.count() == len(want)
+    assert [c.name for c in spark.catalog.listColumns(warehouse.name("t", "marts")) if c.isPartition] == ["p"]
+    untouched = {f for f in before if re.search(r"/p=(0|3|__HIVE_DEFAULT_PARTITION__)/", f)}
+    assert len(untouched) >= 3 and untouched <= files(after)
+    assert not {f for f in before - untouched} & files(after)
+
+
+def test_upsert_empties_a_partition(spark, warehouse):
+    warehouse.publish(spark.sql("select id, id as p from range(3)"), "t", "marts", ["p"])
+    warehouse.upsert(spark.sql("select 1L as id, 2L as p"), "t", "marts", ["id"])
+    assert rows(warehouse.table("t", "marts")) == [(0, 0), (1, 2), (2, 2)]
+
+
 def test_publish_and_views(spark, warehouse):
     frame = products(spark, P1, P2)
     assert warehouse.publish(frame, "m", "marts").count() == 2
