@@ -193,10 +193,10 @@ def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         warehouse.publish_view(RAW[name](spark, sf_dir), f"{name}_{suffix}")
     return portable(
         warehouse.execute_query(
-            f"""SELECT o.status, p.category, count(*) AS n_orders, sum(o.quantity) AS items,
-                       sum(o.quantity * p.price) AS revenue
+            f"""SELECT o.status, p.category, p._source AS price_list, count(*) AS n_orders,
+                       sum(o.quantity) AS items, sum(o.quantity * p.price) AS revenue
                 FROM orders_{suffix} o JOIN products_{suffix} p ON o.product_id = p.product_id
-                WHERE p._source = 'load2' GROUP BY o.status, p.category"""
+                GROUP BY o.status, p.category, p._source"""
         )
     )
 
