@@ -25,6 +25,8 @@ class Job:
     schema: str = "raw"
     date_columns: tuple[str, ...] = ()
     multi_line: bool = False
+    date_formats: tuple[str, ...] | None = None
+    day_first: bool = False
 
 
 JOBS = (
@@ -91,6 +93,8 @@ class IngestRun:
             source_name=f"csv_{job.name}",
             parse_dates=job.date_columns,
             multi_line=job.multi_line,
+            date_formats=job.date_formats,
+            day_first=job.day_first,
         )
         checked = self.validator.check(source.extract(self.loaded_at), job.name)
         try:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import codecs
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from pathlib import PurePosixPath
 
@@ -18,6 +18,19 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Dates other than ISO that are read by default; numbers alone follow one of two orders.
+DATE_FORMATS = (
+    "yyyy/M/d[ H:mm[:ss]]",
+    "yyyyMMdd",
+    "MMM d[,] yyyy",
+    "MMMM d[,] yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+)
+MONTH_FIRST = ("M/d/yyyy[ H:mm[:ss]]", "M.d.yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")
+DAY_FIRST = ("d/M/yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")
+_WITH_OFFSET = r"\d[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|UTC|[+-]\d{1,2}(:?\d{2})?)$"
+
 # Not expected in any file: the first stands for "no null token", the second ends a re-parsed line.
 _NO_TOKEN = "\u0001"
 _END_MARK = "\u0002"
@@ -31,7 +44,11 @@ class DelimitedSource(Source):
 
     All columns are read as text; values get their types at validation, from the record schema.
     Columns in ``parse_dates`` become timestamps. Text that is not a date leaves a null there and
-    stays in the helper column ``_unparsed_<name>``, so that validation can reject the row.
+    stays in the helper column ``_unparsed_<name>``, so that validation can reject the row. ISO dates
+    are read first, then ``date_formats`` in their order: a list for all columns, or a dict of
+    lists by column; by default ``DATE_FORMATS`` and dates of three numbers with slashes, dots or dashes.
+    Their order is month, day, year, or with ``day_first`` day, month, year; it is the same for
+    every row and never guessed. A moment with an offset is converted to UTC.
 
     ``infer_types`` picks bigint, double or boolean for columns whose values all fit. It costs one
     pass over the data. ``multi_line`` accepts line breaks inside quotes, but then a file can not
@@ -48,6 +65,8 @@ class DelimitedSource(Source):
         parse_dates: Sequence[str] = (),
         multi_line: bool = False,
         infer_types: bool = False,
+        date_formats: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
+        day_first: bool = False,
     ):
         self.spark = spark
         self.file_path = str(file_path)
@@ -55,6 +74,7 @@ class DelimitedSource(Source):
         self.parse_dates = tuple(parse_dates or ())
         self.multi_line = multi_line
         self.infer_types = infer_types
+        self.date_formats = (*DATE_FORMATS, *(DAY_FIRST if day_first else MONTH_FIRST)) if date_formats is None else date_formats
         self._line_options = {
             "sep": delimiter,
             "quote": '"',
@@ -100,8 +120,8 @@ class DelimitedSource(Source):
         if absent:
             raise ExtractionError(f"{self.file_path} has no column {absent} to parse as date")
         fields = ", ".join(f"{_quoted(n)} string" for n in names)
-        # With one column, a line that was cut off could not be told from a whole one.
-        multi_line = self.multi_line or len(names) == 1
+        # With one column, a line that was cut off could not be told from a whole one afterwards.
+        multi_line = self.multi_line or len(names) == 1 and self._breaks_in_quotes()
         df = (
             self.spark.read.options(**self._file_options)
             .option("multiLine", str(multi_line).lower())
@@ -117,6 +137,13 @@ class DelimitedSource(Source):
         fits = self._row_fits(names, fields, multi_line) & (F.monotonically_increasing_id() >= 0)
         return df.where(fits).select(*(_null_tokens(n) for n in names))
 
+    def _breaks_in_quotes(self) -> bool:
+        """Whether some line has an odd number of quotes; the pass is split between tasks."""
+        plain = {**self._file_options, "header": "false", "multiLine": "false", "quote": "", "sep": _NO_TOKEN}
+        lines = self.spark.read.options(**plain).schema("line string").csv(self.file_path)
+        quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+        return not lines.where(quotes % 2 == 1).isEmpty()
+
     def _row_fits(self, names: list[str], fields: str, multi_line: bool) -> Column:
         """True, or an error for a row with more fields than the header or cut off inside quotes.
 
@@ -152,7 +179,8 @@ class DelimitedSource(Source):
     def _typed(self, df: DataFrame) -> DataFrame:
         for name in self.parse_dates:
             text = F.col(_quoted(name))
-            moment = text.try_cast("timestamp_ntz")
+            given = self.date_formats
+            moment = _moment(text, given.get(name, ()) if isinstance(given, Mapping) else given)
             df = df.withColumns(
                 {name: moment, UNPARSED + name: F.when(moment.isNull(), text)}
             )
@@ -162,6 +190,15 @@ class DelimitedSource(Source):
         return df
 
 
+def _moment(text: Column, formats: Sequence[str]) -> Column:
+    """The text as a time without zone: ISO, or the first of the formats that fits."""
+    there = text.try_cast("timestamp").cast("timestamp_ntz")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), there)
+    iso = F.when(text.rlike(_WITH_OFFSET), utc).otherwise(text.try_cast("timestamp_ntz"))
+    others = (F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats)
+    return F.coalesce(iso, *others)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

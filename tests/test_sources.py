@@ -134,6 +134,17 @@ def test_line_break_in_the_only_column(spark, tmp_path):
     assert rows(read(spark, path)) == [("x\ny",), ("z",)]
 
 
+def test_a_long_file_of_one_column_is_split(spark, tmp_path):
+    path = write(tmp_path / "one.csv", "a\n" + "".join(f"value {i}\n" for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = read(spark, path)
+        assert df.rdd.getNumPartitions() > 4 and df.distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_leading_zeros_stay(spark, tmp_path):
     assert rows(read(spark, write(tmp_path / "z.csv", "id\n001\n"))) == [("001",)]
 
@@ -188,6 +199,48 @@ def test_dates(spark, tmp_path):
     ]
 
 
+DATES = {
+    "2024-01-05": "2024-01-05 00:00:00",
+    "2024-01-05 10:30:00": "2024-01-05 10:30:00",
+    "2024-01-05T10:30:00+02:00": "2024-01-05 08:30:00",
+    "2024-01-05T10:30:00Z": "2024-01-05 10:30:00",
+    "2024/01/05": "2024-01-05 00:00:00",
+    "2024/1/5 9:07": "2024-01-05 09:07:00",
+    "20240105": "2024-01-05 00:00:00",
+    "Jan 5 2024": "2024-01-05 00:00:00",
+    "Jan 5, 2024": "2024-01-05 00:00:00",
+    "5 January 2024": "2024-01-05 00:00:00",
+    "13/01/2024": None,
+    "2024-13-05": None,
+    "soon": None,
+}
+
+
+@pytest.mark.parametrize("day_first", [False, True])
+def test_date_formats(spark, tmp_path, day_first):
+    """Numbers alone are read in one order for all rows, so 13/01 is no date if the month comes first."""
+    want = dict(DATES) | {"01/05/2024": "2024-05-01 00:00:00" if day_first else "2024-01-05 00:00:00"}
+    if day_first:
+        want["13/01/2024"] = "2024-01-13 00:00:00"
+    lines = "".join(f'"{d}","{d}"\n' for d in want)
+    path = write(tmp_path / "d.csv", "k,d\n" + lines)
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = DelimitedSource(spark, path, parse_dates=["d"], day_first=day_first).extract()
+            got = {r.k: (str(r.d) if r.d else None, r._unparsed_d) for r in df.collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == {k: (v, None if v else k) for k, v in want.items()}
+
+
+def test_given_date_formats(spark, tmp_path):
+    path = write(tmp_path / "d.csv", "d,e\n05.01.24,2024|01\n")
+    formats = {"d": ["dd.MM.yy"], "e": ["yyyy|MM"]}
+    row = DelimitedSource(spark, path, parse_dates=["d", "e"], date_formats=formats).extract().first()
+    assert (str(row.d), str(row.e)) == ("2024-01-05 00:00:00", "2024-01-01 00:00:00")
+
+
 def test_inferred_types(spark, tmp_path):
     path = write(
         tmp_path / "i.csv",

@@ -142,11 +142,19 @@ def add_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+# Written styles besides ISO: slashes, compact, month name, and a moment east of UTC.
+_DATE_STYLES = ("MM/dd/yyyy", "yyyyMMdd", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+
+
 @_query
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority, ordered = F.col("o_orderpriority"), F.col("o_orderdate")
+    priority, ordered, key = F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_orderkey")
     text = (
         F.when(priority == "1-URGENT", F.date_format(ordered, "yyyy-MM-dd"))
+        .when(priority == "2-HIGH", F.date_format(ordered, _DATE_STYLES[0]))
+        .when((priority == "3-MEDIUM") & (key % 4 == 0), F.date_format(ordered, _DATE_STYLES[1]))
+        .when((priority == "3-MEDIUM") & (key % 4 == 1), F.date_format(ordered, _DATE_STYLES[2]))
+        .when((priority == "3-MEDIUM") & (key % 4 == 2), F.date_format(ordered, _DATE_STYLES[3]))
         .when(priority == "5-LOW", F.concat(F.lit("on "), F.col("o_orderstatus")))
         .when(priority == "4-NOT SPECIFIED", F.lit("n/a"))
         .otherwise(F.date_format(ordered, "yyyy-MM-dd HH:mm:ss"))
