@@ -9,11 +9,16 @@ into segments; if two fingerprints differ in few bits, some segment differs in v
 fingerprint enumerates the Hamming ball of a small radius within each segment, fetches the
 table's fingerprints that have such a segment, and the complete distance is verified.
 
-A segment value that more than ``most_in_bucket`` fingerprints have is not joined pair by pair. Such
+With 64 bits and a small distance that is complete. A segment value that more than ``most_in_bucket``
+fingerprints have is not joined pair by pair. Such
 fingerprints enumerate the ball of half the distance around the complete fingerprint instead: two
 of them are within the distance exactly if their balls meet, so each point of a ball links the
 fingerprints around it to the smallest of them. The work is linear in the fingerprints, and no link is lost.
 
+A wide fingerprint serves larger distances, where no small ball can be complete: most pairs agree up to a
+bit in some of its segments (see the README for measured recall). There every segment value has a few leaders
+that the others meet.
+
 Defined results: a null text is empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; rows that repeat an identifier link like other copies; an empty table gives
 an empty table; other columns are not read, whatever their names. Identifiers are whole numbers; a
@@ -31,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import stored, unused
@@ -49,8 +54,8 @@ class Scheme:
 
     ``radii`` has one radius per segment; the segments cut every 64-bit word into equal parts of at most 32
     bits. The
-    search is exact if max_distance < sum(radius + 1). A wider fingerprint searches more segments than
-    that needs, so that most, not all, of the pairs at a larger distance are found.
+    search is exact if max_distance < sum(radius + 1); the pairs of a larger distance are found with
+    a probability that grows with the number of segments.
     """
 
     shingle: int = 3
@@ -70,8 +75,8 @@ BITS_64 = Scheme()
 #: shingles are expected to differ (256 * acos(2 * 0.8 / 1.8) / pi). Each of eight segments is searched
 #: one bit around.
 BITS_256 = Scheme(shingle=5, words=4, radii=(1,) * 8, max_distance=38)
-#: Leaders of a hot bucket of a wide fingerprint.
-LEADERS = 16
+#: Leaders of a segment value of a wide fingerprint.
+LEADERS = 3
 
 
 def fingerprint(text: bytes, scheme: Scheme) -> list[int]:
@@ -156,8 +161,12 @@ def _probe_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame
     balls = [_ball(key, _masks(width, radius)) for radius, key in _segments(scheme)]
     probes = prints.select(F.explode(F.concat(*balls)).alias("key"), F.col("node").alias("a"))
     table = _entries(prints, scheme, "node").join(hot, "key", "left_anti").withColumnRenamed("node", "b")
-    met = probes.join(table, "key").where("a <> b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _verified(probes.join(table, "key"), prints, scheme)
+
+
+def _verified(met: DataFrame, prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of the pairs (a, b) that met, those within the distance, each once."""
+    pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")), side)
     return pairs.where(distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.max_distance).select("a", "b")
@@ -184,28 +193,33 @@ def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
     return points.join(least, "point").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
-def _leader_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links between members of hot buckets of a wide fingerprint: every member is compared with the
-    bucket's leaders, chosen by hash. Members of such a bucket agree in a whole segment and mostly lie
-    within the distance of a leader, so the leaders hold their class together; the work is linear."""
-    members = stored(_members_of_hot(prints, hot, scheme), "hot-members")
-    leaders = members.groupBy("key").agg(
-        F.array(*(F.min_by(F.struct("node", "fp"), F.xxhash64("node", F.lit(r))) for r in range(LEADERS))).alias("leaders")
+def _leader_links(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links of wide fingerprints, found through a few leaders of each segment value.
+
+    A segment value has up to ``LEADERS`` leaders, chosen by hash. Every fingerprint meets the leaders of its own
+    values, and the leaders enumerate the balls around them for all. So values with up to that many
+    fingerprints are compared completely, and a class of many similar ones hangs together through leaders,
+    with work that is linear in the fingerprints.
+    """
+    width = 64 * scheme.words // len(scheme.radii)
+    entries = stored(_entries(prints, scheme, "node"), "segments")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    leaders = entries.withColumn("place", place).where(F.col("place") <= LEADERS)
+    leaders = stored(leaders.select("key", F.col("node").alias("b")), "segment-leaders")
+    around = _ball(F.col("key"), [m for m in _masks(width, max(scheme.radii)) if m])
+    probes = entries.withColumnRenamed("node", "a").unionByName(
+        leaders.select(F.explode(around).alias("key"), F.col("b").alias("a"))
     )
-    leaders = stored(leaders, "hot-leaders")
-    near = distance(F.col("fp"), F.col("leader.fp"), scheme.words) <= scheme.max_distance
-    pairs = members.join(leaders, "key").select("node", "fp", F.explode("leaders").alias("leader")).where(near)
-    return pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).where("a <> b").distinct()
+    return _verified(probes.join(leaders, "key"), prints, scheme)
 
 
 def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b) links between the nodes of distinct fingerprints (node, fp)."""
+    if not scheme.exact:
+        return _leader_links(prints, scheme)
     hot = stored(_hot_buckets(prints, scheme), "hot-segments")
     found = _probe_links(prints, hot, scheme)
-    if not hot.isEmpty():
-        through = _ball_links if scheme.exact else _leader_links
-        found = found.unionByName(through(prints, hot, scheme))
-    return found
+    return found if hot.isEmpty() else found.unionByName(_ball_links(prints, hot, scheme))
 
 
 def _prints(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
