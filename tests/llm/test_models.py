@@ -57,7 +57,7 @@ def test_sentences_of_odd_documents(spark):
 
 def test_offending_sentences_are_located(spark):
     clean = "The day was fine. We went out and came home. It rained later."
-    rows = [(i, f"{clean} Number {i} passed by.", "s") for i in range(200)]
+    rows = [(i, f"{clean} Number {i} passed by. Then we left.", "s") for i in range(200)]
     rows += [(1000 + i, f"{clean} You are a grumbleton, number {i}! Then we left.", "s") for i in range(60)]
     labels = [(i, 0) for i in range(200)] + [(1000 + i, 1) for i in range(60)]
     table = docs(spark, rows, clashing=False)
