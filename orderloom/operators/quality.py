@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -78,63 +78,80 @@ class RowRule:
 Check = NotNull | Unique | Relationship | AcceptedValues | RowRule
 
 
-@dataclass
-class _Branch:
-    """Checks that one pass over a table can count together."""
-
-    names: list[tuple[str, str, str]] = field(default_factory=list)
-    counts: list[Column] = field(default_factory=list)
-
-
 def run_suite(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """One row per check: test, table, column, failures, status.
 
-    All checks that only look at single rows share one pass per table. The result is one lazy
-    frame, so the checks run as one job.
+    Every table is scanned at most twice: once for all checks that look at single rows, once for all
+    checks that compare values. The result is one lazy frame, so the checks run as one job.
     """
-    rows: list[DataFrame] = []
-    passes: dict[str, _Branch] = {}
-    for check in checks:
-        df = tables[check.table]
+    single = [(n, c) for n, c in enumerate(checks) if isinstance(c, (NotNull, AcceptedValues, RowRule))]
+    compared = [(n, c) for n, c in enumerate(checks) if isinstance(c, (Unique, Relationship))]
+    counted = [_single_rows(tables[t], own) for t, own in _by_table(single).items()]
+    if compared:
+        counted.append(_compared_values(tables, compared))
+    names = [F.struct(F.lit(n).alias("check"), *_names(c)) for n, c in enumerate(checks)]
+    spark = next(iter(tables.values())).sparkSession
+    lines = spark.range(1).select(F.inline(F.array(*names)))
+    # One row per check on both sides.
+    found = lines.join(F.broadcast(reduce(DataFrame.unionAll, counted)), "check", "left")
+    failures = F.coalesce("failures", F.lit(0))
+    status = F.when(failures == 0, "pass").otherwise("fail")
+    return found.select("test", "table", "column", failures.alias("failures"), status.alias("status"))
+
+
+def _by_table(checks: Sequence[tuple[int, Check]]) -> dict[str, list[tuple[int, Check]]]:
+    out: dict[str, list[tuple[int, Check]]] = {}
+    for n, check in checks:
+        out.setdefault(check.table, []).append((n, check))
+    return out
+
+
+def _names(check: Check) -> list[Column]:
+    test = {NotNull: "not_null", Unique: "unique", Relationship: "relationships", AcceptedValues: "accepted_values"}
+    name = check.name if isinstance(check, RowRule) else test[type(check)]
+    return [F.lit(name).alias("test"), F.lit(check.table).alias("table"), F.lit(check.column).alias("column")]
+
+
+def _single_rows(df: DataFrame, checks: Sequence[tuple[int, Check]]) -> DataFrame:
+    """(check, failures) of the checks of one table that look at single rows, in one pass.
+
+    Of accepted values the different ones that are not accepted are counted, elsewhere the rows.
+    """
+
+    def failures(check: Check) -> Column:
+        column = F.col(f"`{check.column}`")
         if isinstance(check, NotNull):
-            _add(passes, "not_null", check, F.col(check.column).isNull())
-        elif isinstance(check, RowRule):
-            _add(passes, check.name, check, F.expr(check.fails))
-        elif isinstance(check, Unique):
-            rows.append(_total("unique", check, unique_failures(df, check.column)))
-        elif isinstance(check, AcceptedValues):
-            bad = accepted_value_failures(df, check.column, check.values)
-            rows.append(_total("accepted_values", check, bad))
-        else:
-            orphans = relationship_failures(df, check.column, tables[check.parent], check.key)
-            children = F.coalesce(F.sum("n_records"), F.lit(0))
-            rows.append(_total("relationships", check, orphans, children))
-    for table, branch in passes.items():
-        lines = [_line(*name, count) for name, count in zip(branch.names, branch.counts)]
-        rows.append(tables[table].agg(F.array(*lines).alias("r")).select(F.inline("r")))
-    result = reduce(DataFrame.unionAll, rows)
-    status = F.when(F.col("failures") == 0, "pass").otherwise("fail")
-    return result.withColumn("status", status)
-
-
-def _add(passes: dict[str, _Branch], test: str, check: Check, fails: Column) -> None:
-    branch = passes.setdefault(check.table, _Branch())
-    branch.names.append((test, check.table, check.column))
-    branch.counts.append(F.count_if(fails))
-
-
-def _total(
-    test: str, check: Check, failing: DataFrame, count: Column | None = None
-) -> DataFrame:
-    failures = F.count(F.lit(1)) if count is None else count
-    line = _line(test, check.table, check.column, F.col("failures"))
-    return failing.agg(failures.alias("failures")).select(line.alias("r")).select("r.*")
-
-
-def _line(test: str, table: str, column: str, failures: Column) -> Column:
-    return F.struct(
-        F.lit(test).alias("test"),
-        F.lit(table).alias("table"),
-        F.lit(column).alias("column"),
-        failures.alias("failures"),
+            return F.count_if(column.isNull())
+        if isinstance(check, AcceptedValues):
+            return F.count_distinct(F.when(~column.isin(*check.values), column))
+        return F.count_if(F.expr(check.fails))
+
+    lines = [F.struct(F.lit(n).alias("check"), failures(c).alias("failures")) for n, c in checks]
+    return df.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
+def _compared_values(tables: Mapping[str, DataFrame], checks: Sequence[tuple[int, Check]]) -> DataFrame:
+    """(check, failures) of uniqueness and relationships, from one count of all their values.
+
+    A row gives a value for each check that it takes part in, as child or as parent; the values are
+    counted before and after one shuffle, so a frequent value is one row for each task.
+    """
+    roles: dict[str, list[Column]] = {}
+
+    def role(table: str, column: str, n: int, parent: bool) -> None:
+        value = F.col(f"`{column}`").cast("string")
+        fields = (F.lit(n).alias("check"), F.lit(parent).alias("parent"), value.alias("value"))
+        roles.setdefault(table, []).append(F.struct(*fields))
+
+    for n, check in checks:
+        role(check.table, check.column, n, False)
+        if isinstance(check, Relationship):
+            role(check.parent, check.key, n, True)
+    values = [tables[t].select(F.inline(F.array(*own))).where("value is not null") for t, own in roles.items()]
+    counts = reduce(DataFrame.unionAll, values).groupBy("check", "value").agg(
+        F.count_if(~F.col("parent")).alias("n"), F.count_if("parent").alias("n_parents")
     )
+    unique = F.col("check").isin(*(n for n, c in checks if isinstance(c, Unique)))
+    repeated = F.when(F.col("n") > 1, 1).otherwise(0)
+    orphans = F.when(F.col("n_parents") == 0, F.col("n")).otherwise(0)
+    return counts.groupBy("check").agg(F.sum(F.when(unique, repeated).otherwise(orphans)).alias("failures"))

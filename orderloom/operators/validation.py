@@ -141,6 +141,8 @@ class _Number:
 
     def bounds(self, field: Field) -> list[tuple[str, Column]]:
         size = F.coalesce(self.exact, F.signum(self.rough))
+        # A number too small for the exact decimal is zero there; the double still has its sign.
+        tiny = F.coalesce((self.exact == 0) & (self.rough > 0), F.lit(False))
         checks = []
         for rule, limit, reached in (
             ("greater_than", field.above, size > field.above),
@@ -149,7 +151,8 @@ class _Number:
             if limit is not None:
                 # The loaded value is rounded, so it only settles what is above the limit.
                 beyond = F.coalesce(self.quick > limit, F.lit(False))
-                checks.append((rule, _holds(beyond | reached)))
+                positive = tiny if limit == 0 else F.lit(False)
+                checks.append((rule, _holds(beyond | positive | reached)))
         return checks
 
     @property

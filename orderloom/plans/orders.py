@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import order_value_tier
 
+# Columns of the models and where they come from.
 _PRODUCT_COLUMNS = {
     "product_name": "product_name",
     "category": "product_category",
@@ -79,7 +80,8 @@ def _look_up(df: DataFrame, other: DataFrame, key: str, columns: dict[str, str])
     The hash of the key is a second join column. It changes no result, but makes the join shuffle
     both sides for itself alone. Staged rows are already partitioned by their key, and Spark would
     join them in place, or group the joined rows by the key in place; adaptive execution can split
-    neither, and a key with a third of all orders would keep one task busy.
+    neither, and a key with a third of all orders would keep one task busy. The price is a shuffle of both
+    sides even where they are bucketed or partitioned by the key already.
     """
     attributes = other.select(
         F.col(key).alias("_key"), *(F.col(c).alias(name) for c, name in columns.items())

@@ -249,8 +249,8 @@ class Warehouse:
         database, table = name.split(".")
         if not self.spark.catalog.databaseExists(database):
             return exists
-        for left in self.spark.catalog.listTables(database, f"{table}{_NEXT}*"):
-            fresh = f"{database}.{left.name}"
+        for left in self.spark.sql(f"SHOW TABLES IN {database} LIKE '{table}{_NEXT}*'").collect():
+            fresh = f"{database}.{left['tableName']}"
             if exists:
                 self.spark.sql(f"DROP TABLE {fresh}")
             else:
@@ -266,8 +266,8 @@ class Warehouse:
     def _location(self, name: str) -> str | None:
         if not self.spark.catalog.tableExists(name):
             return None
-        lines = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
-        return lines.first()["data_type"]
+        lines = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+        return next(line["data_type"] for line in lines if line["col_name"] == "Location")
 
     def _same_shape(self, name: str, other: str) -> bool:
         shapes = [[(f.name, f.dataType) for f in self.spark.table(t).schema.fields] for t in (name, other)]

@@ -35,10 +35,16 @@ class JsonPagesSource(Source):
         self.record_schema = record_schema
         self.page_per_line = page_per_line
 
-    def extract(self, loaded_at: datetime | None = None) -> DataFrame:
-        """Lazy frame of the records, with metadata. No records give an empty frame."""
+    def extract(self, loaded_at: datetime | None = None, verify: bool = False) -> DataFrame:
+        """Lazy frame of the records, with metadata. No records give an empty frame.
+
+        With a given ``record_schema`` a broken page fails the job that reads it; with ``verify`` it
+        fails here, at the price of one more pass.
+        """
         try:
             df = self._records()
+            if verify:
+                df.write.format("noop").mode("overwrite").save()
         except SPARK_ERRORS as error:
             raise ExtractionError(f"{self.path} cannot be read: {reason(error)}") from error
         return self.add_metadata(df, loaded_at)

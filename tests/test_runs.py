@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -147,3 +151,16 @@ def test_command_line(spark, warehouse, inbox):
     (inbox / "customers.csv").unlink()
     assert main(["ingest", *place]) == 1
     assert main(["all", *place]) == 1
+
+
+def test_launcher_starts_from_any_folder(inbox, tmp_path):
+    """As a script of its own, as spark-submit starts it."""
+    launcher = Path(__file__).resolve().parent.parent / "orderloom_job.py"
+    command = [sys.executable, str(launcher), "all", "--data-dir", str(inbox), "--location", str(tmp_path / "tables")]
+    environment = {**os.environ, "PYTHONPATH": "", "PYSPARK_SUBMIT_ARGS": "--conf spark.ui.enabled=false pyspark-shell"}
+    done = subprocess.run(command, cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    (inbox / "orders.csv").unlink()
+    command[2] = "ingest"
+    done = subprocess.run(command, cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 1

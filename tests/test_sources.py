@@ -8,6 +8,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql.types import StructType
 
 from orderloom.sources import DelimitedSource, ExtractionError, JsonPagesSource, Source
 from orderloom.sources.delimited import NULL_TOKENS
@@ -352,3 +353,12 @@ def test_random_files_against_the_csv_module(spark, tmp_path):
         path = write(tmp_path / f"{case}.csv", text.getvalue())
         expected = [tuple(None if v in NULL_TOKENS else v for v in row) for row in data]
         assert rows(read(spark, path, multi_line=multi_line)) == sorted(expected, key=repr)
+
+
+def test_broken_page_with_given_schema_fails_on_verify(spark, tmp_path):
+    schema = StructType().add("a", "string")
+    (tmp_path / "p.json").write_text('{"data": [{"a": ')
+    source = JsonPagesSource(spark, str(tmp_path / "p.json"), "api", data_key="data", record_schema=schema)
+    source.extract()
+    with pytest.raises(ExtractionError, match="cannot be read"):
+        source.extract(verify=True)

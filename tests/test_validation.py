@@ -74,6 +74,8 @@ CASES = [
     ("products", dict(price="0"), "greater_than"),
     ("products", dict(price="-10"), "greater_than"),
     ("products", dict(price="0.004"), None),
+    ("products", dict(price="1e-19"), None),
+    ("products", dict(price="-1e-19"), "greater_than"),
     ("products", dict(price="1e3"), None),
     ("products", dict(price=" 12.5 "), None),
     ("products", dict(price="abc"), "number"),

@@ -17,9 +17,9 @@ from orderloom.operators.records import Field, Kind
 from orderloom.operators.validation import SchemaValidator, check_field
 from orderloom.plans.checks import DECLARED
 from orderloom.plans.staging import clean_customers, clean_orders, clean_products
-from orderloom.runs import JOBS, IngestRun, build_models
+from orderloom.runs import JOBS, IngestRun, build_models, run_all
 from orderloom.session import scratch_path
-from orderloom.sinks import Warehouse
+from orderloom.sinks import LoadError, Warehouse
 from orderloom.sources import DelimitedSource, JsonPagesSource, Source
 from workload import feed
 from workload.oracle import RUN_TIME, UPSERT_FROM
@@ -537,3 +537,154 @@ def dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in RAW:
         warehouse.load(_valid(spark, sf_dir, name), name)
     return quality.run_suite(build_models(warehouse, feed.AS_OF), DECLARED)
+
+
+# Outcomes ----------------------------------------------------------------------------------------
+
+
+@_query
+def validate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict validation says of all rows, ordered by every column, and of the valid ones."""
+    lines = []
+    for name in RAW:
+        raw, strict = RAW[name](spark, sf_dir), SchemaValidator("strict")
+        for kind, rows in (("raw", raw.orderBy(*raw.columns)), ("valid", _valid(spark, sf_dir, name))):
+            try:
+                lines.append((name, kind, "accepted", strict.rows(rows, name).count()))
+            except ValueError as error:
+                lines.append((name, kind, str(error), 0))
+    return spark.createDataFrame(lines, "record string, given string, outcome string, n_rows bigint")
+
+
+@_query
+def absent_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that come without the optional date: it is added as null."""
+    return SchemaValidator("filter").rows(feed.raw_orders(spark, sf_dir).drop("order_date"), "orders")
+
+
+@_query
+def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that come without customer and status: every row breaks the rule."""
+    rows = feed.raw_orders(spark, sf_dir).drop("customer_id", "status")
+    return validation.rule_counts(SchemaValidator("filter").rejects(rows, "orders"))
+
+
+@_query
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each raw table has the columns of each record, and how many rows it has."""
+    validator, lines = SchemaValidator(), []
+    for name in RAW:
+        source = _FeedSource(RAW[name](spark, sf_dir))
+        rows = source.extract()
+        n_rows = rows.count()
+        for record in RAW:
+            try:
+                source.validate_schema(rows, validator.get_schema_columns(record))
+                lines.append((name, record, "complete", n_rows))
+            except ValueError as error:
+                lines.append((name, record, str(error), n_rows))
+    return spark.createDataFrame(lines, "given string, record string, outcome string, n_rows bigint")
+
+
+@_query
+def json_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per order with a record per line; records differ in their keys, some pages have none."""
+    rows = feed.raw_orders(spark, sf_dir)
+    record = F.struct(
+        "order_id",
+        "product_id",
+        "quantity",
+        F.when(F.col("quantity") > 1, F.col("status")).alias("status"),
+        F.when(F.col("quantity") == 12, "gift").alias("extra"),
+    )
+    pages = rows.groupBy("order_id").agg(F.collect_list(record).alias("data"), F.max("quantity").alias("most"))
+    empty = F.to_json(F.struct(F.array().cast("array<string>").alias("data")))
+    page = F.when(F.col("most") <= 1, empty).otherwise(F.to_json(F.struct("data")))
+    path = scratch_path(spark, "pages")
+    pages.select(page.alias("value")).write.text(path)
+    return JsonPagesSource(spark, path, "orders_api", data_key="data", page_per_line=True).extract(_RUN_AT)
+
+
+@_query
+def load_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads that create, refuse, or change nothing: rows written and rows in the table after each."""
+    warehouse, rows = _warehouse(spark), feed.raw_orders(spark, sf_dir)
+    none, lines = rows.where("false"), []
+    steps = (
+        ("fail, new", rows, "fail"),
+        ("fail, exists", rows, "fail"),
+        ("fail, exists, empty", none, "fail"),
+        ("append, empty", none, "append"),
+        ("replace, empty", none, "replace"),
+        ("append", rows, "append"),
+    )
+    for step, frame, mode in steps:
+        try:
+            outcome, written = "loaded", warehouse.load(frame, "lines", if_exists=mode)
+        except LoadError:
+            outcome, written = "refused", 0
+        lines.append((step, outcome, written, warehouse.table("lines").count()))
+    return spark.createDataFrame(lines, "step string, outcome string, written bigint, in_table bigint")
+
+
+@_query
+def ingest_broken_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in which one file has a row that is too long: that job fails whole, the others go on."""
+    warehouse, folder = _warehouse(spark), _landed_feed(spark, sf_dir, *RAW)
+    header = ",".join(_ORDER_FIELDS)
+    broken = spark.range(1, numPartitions=1).select(F.lit(f"{header}\n1,2,3,4,5,6,7").alias("value"))
+    broken.write.mode("append").text(f"{folder}/orders.csv")
+    report = IngestRun(warehouse, folder, loaded_at=_RUN_AT).run()
+    jobs = {e["job"] for e in report.errors}
+    lines = [(name, name in jobs, warehouse.table(name).count()) for name in RAW]
+    tables = spark.createDataFrame(lines, "job string, failed boolean, in_table bigint")
+    return tables.select(
+        "*",
+        F.lit(report.tables_processed).alias("tables_processed"),
+        F.lit(report.rows_loaded).cast("bigint").alias("rows_loaded"),
+        F.lit(report.rows_rejected).cast("bigint").alias("rows_rejected"),
+        F.lit(int(report.failed)).alias("exit_status"),
+    )
+
+
+@_query
+def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingestion, models and data tests in one call: the tests that failed, with the run's counts."""
+    outcome = run_all(_warehouse(spark), _landed_feed(spark, sf_dir, *RAW), feed.AS_OF)
+    failed = [(t["test"], t["table"], t["column"], t["failures"]) for t in outcome.failed_tests]
+    lines = spark.createDataFrame(
+        [*failed, ("run", "", "", int(outcome.succeeded))],
+        "test string, `table` string, `column` string, failures bigint",
+    )
+    return lines.select(
+        "*",
+        F.lit(outcome.ingestion.rows_loaded).cast("bigint").alias("rows_loaded"),
+        F.lit(outcome.ingestion.rows_rejected).cast("bigint").alias("rows_rejected"),
+    )
+
+
+@_query
+def publish_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order fact by year and month, published twice and read back."""
+    warehouse, facts = _warehouse(spark), plans.fct_orders(_enriched(spark, sf_dir))
+    for _ in range(2):
+        warehouse.publish(facts, "fct_orders", "marts", ("order_year", "order_month"))
+    return portable(warehouse.table("fct_orders", "marts"))
+
+
+@_query
+def upsert_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as in ``upsert``, to a table by status: rows move between partitions."""
+    warehouse = _warehouse(spark)
+    rows, cutoff = feed.raw_orders(spark, sf_dir), F.lit(UPSERT_FROM).cast("timestamp_ntz")
+    early = latest_per_key(rows.where(F.col("_loaded_at") < cutoff), ["order_id"])
+    warehouse.publish(early, "orders", "marts", ["status"])
+    warehouse.upsert(
+        rows.where(F.col("_loaded_at") >= cutoff),
+        "orders",
+        "marts",
+        key_columns=["order_id"],
+        update_columns=["quantity", "status", "_loaded_at"],
+        order_by=["_loaded_at", "customer_id", "product_id", "quantity", "order_date", "status"],
+    )
+    return warehouse.table("orders", "marts")
