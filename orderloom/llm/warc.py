@@ -166,21 +166,22 @@ def resolve(
         F.col(f"`{headers_col}`").alias("headers"),
         F.col(f"`{payload_col}`").alias("payload"),
     ).where("(full or revisit) and id is not null")
-    first = Window.partitionBy("id", "full").orderBy(F.col("at").asc_nulls_last(), F.col("uri").asc_nulls_last())
 
-    def once(rows: DataFrame) -> DataFrame:
+    def once(rows: DataFrame, *by: str) -> DataFrame:
+        first = Window.partitionBy(*by).orderBy(F.col("at").asc_nulls_last(), F.col("uri").asc_nulls_last())
         return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "uri")
 
-    matched = stored(as_of_responses(once(own.drop("headers", "payload"))), "warc-matches")
+    matched = stored(as_of_responses(once(own.drop("headers", "payload"), "id", "full")), "warc-matches")
     salted, ranges = _salted(matched)
-    revisits = once(own.where("revisit").drop("payload")).join(salted, F.col("id") == F.col("of"), "left")
-    responses = (
-        once(own.where("full"))
+    revisits = once(own.where("revisit").drop("payload"), "id").join(salted, F.col("id") == F.col("of"), "left")
+    # Salted before they are made unique, so payloads are shuffled once: by what they are joined by.
+    dealt = (
+        own.where("full")
         .join(F.broadcast(ranges), F.col("id") == F.col("hot_id"), "left")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1)))
-        .select(
-            F.col("id").alias("source_id"), "part", header_map(F.col("headers")).alias("old"), F.col("payload").alias("found")
-        )
+    )
+    responses = once(dealt, "id", "part").select(
+        F.col("id").alias("source_id"), "part", header_map(F.col("headers")).alias("old"), F.col("payload").alias("found")
     )
     joined = revisits.withColumn("new", header_map(F.col("headers"))).join(
         responses, (F.col("response_id") == F.col("source_id")) & (F.col("salt") == F.col("part")), "left"
