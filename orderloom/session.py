@@ -36,10 +36,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     Both are folders that the driver and all executors share; a local disk is used only where the
     session itself was set up with one.
     """
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch data of this application; frames that were built on it end with it."""
+    remove_folder(spark, _scratch_root(spark))
+
+
+def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or (
         spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
     )
-    return f"{root.rstrip('/')}/orderloom/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/orderloom/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

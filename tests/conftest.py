@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from orderloom.session import build_session
+from orderloom.session import build_session, clear_scratch
 from orderloom.sinks import Warehouse
 
 
@@ -22,6 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

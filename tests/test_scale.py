@@ -276,12 +276,13 @@ def test_large_files_are_split_between_tasks(spark, tmp_path):
         assert df.select("a").distinct().count() == 20_000
 
 
-def test_upsert_of_few_changes_does_not_shuffle_the_table(spark, hot):
+def test_upsert_of_few_changes_does_not_shuffle_the_table(spark, hot, tmp_path):
     from orderloom.operators.upsert import matched_keys, merge_rows
 
     target = hot["orders"]
     few = target.limit(50).withColumn("status", F.lit("pending"))
-    changes = spark.createDataFrame(few.collect(), target.schema)
+    few.write.parquet(str(tmp_path / "changes"))  # as the upsert stages them: their size is known
+    changes = spark.read.parquet(str(tmp_path / "changes"))
     keys = ["order_id"]
     matched = matched_keys(target, changes, keys)
     merged = merge_rows(target, changes, matched, keys, ["status"], ["_loaded_at"], {})
