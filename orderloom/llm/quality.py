@@ -33,7 +33,7 @@ from orderloom.llm.common import stored
 from orderloom.llm.words import hashed_words, in_steps, mixed, segment_ids, split_words
 
 #: Labelled documents that a model is trained on, about.
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 
 
 @dataclass(frozen=True)
@@ -186,7 +186,8 @@ def train(
             starts, places, values = sparse_rows(step.column("text"), settings.bits)
             for i, label in enumerate(step.column("label").to_pylist()):
                 own = slice(starts[i], starts[i + 1])
-                seen.append((places[own], values[own], label))
+                # Kept for the whole training: as small as they can be.
+                seen.append((places[own].astype(np.int32), values[own].astype(np.float32), label))
         for _ in range(settings.passes):
             for places, values, label in seen:
                 model.update(places, values, label)

@@ -96,7 +96,7 @@ class Sentences:
         self.sentence = once >> 32
         views = [hashes, *(_beginnings(vocabulary, k) for k in BEGINNINGS)]
         # A row per word, a column per view of it.
-        places = (mixed(np.stack(views, axis=1)) % np.uint64(1 << bits)).astype(np.int64)
+        places = (mixed(np.stack(views, axis=1)) % np.uint64(1 << bits)).astype(np.int32)
         self.place = places[once & 0xFFFFFFFF]
         self.n_texts = len(starts) - 1
 
@@ -119,7 +119,9 @@ def _bags(step: pa.RecordBatch, bits: int) -> Iterator[tuple]:
         own = slice(word[i], word[i + 1])
         if own.stop > own.start:
             places, which = np.unique(s.place[own], return_inverse=True)
-            yield places, which.reshape(-1, s.place.shape[1]), s.sentence[own] - first[i], label
+            # Kept for the whole training: as small as they can be.
+            which = which.astype(np.int32).reshape(-1, s.place.shape[1])
+            yield places.astype(np.int32), which, (s.sentence[own] - first[i]).astype(np.int32), label
 
 
 def learn(model: Ftrl, bag: tuple) -> None:

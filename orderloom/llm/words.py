@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one step works on; a single longer text is a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def in_steps(batches: Iterator[pa.RecordBatch], text_col: str, step_bytes: int = STEP_BYTES):
