@@ -312,7 +312,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     known = runs.join(shared, ["host", "run"]).select("host", "section", "run")
     pages_of, runs_of = (df.groupBy("host", "section") for df in (_parsed(sections), known))
     id_type = own.schema["id"].dataType.simpleString()
-    out = pages_of.cogroup(runs_of).applyInArrow(
-        lambda pages_, runs_: _resolved(pages_, runs_), f"id {id_type}, url string, text string, n_boilerplate long"
-    )
+    columns = f"id {id_type}, url string, text string, n_boilerplate long"
+    out = pages_of.cogroup(runs_of).applyInArrow(_resolved, columns)
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, exact_dedup, html_text, license_scan, quality, secret_scan, simhash, source_mix, toxicity, warc
+from orderloom.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    license_scan,
+    quality,
+    secret_scan,
+    simhash,
+    source_mix,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -70,7 +70,10 @@ def header_map(headers: Column) -> Column:
     named = F.filter(headers, lambda h: h["name"].isNotNull())
     lowered = F.transform(named, lambda h: F.lower(F.trim(h["name"])))
     last = F.filter(
-        F.transform(named, lambda h, i: F.struct(F.lower(F.trim(h["name"])).alias("key"), h["value"].alias("value"), i.alias("i"))),
+        F.transform(
+            named,
+            lambda h, i: F.struct(F.lower(F.trim(h["name"])).alias("key"), h["value"].alias("value"), i.alias("i")),
+        ),
         lambda e: ~F.array_contains(F.slice(lowered, e["i"] + 2, F.size(lowered)), e["key"]),
     )
     return F.coalesce(F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))), empty)
@@ -119,10 +122,8 @@ def as_of_responses(records: DataFrame) -> DataFrame:
     pieces = ranges.groupBy("url", "part").agg(F.max(full_id).alias("last"))
     across = ranges.groupBy("url").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     before = Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    handed = stored(
-        pieces.join(F.broadcast(across), "url").select("url", "part", F.last("last", ignorenulls=True).over(before).alias("before")),
-        "warc-handed-on",
-    )
+    last_before = F.last("last", ignorenulls=True).over(before).alias("before")
+    handed = stored(pieces.join(F.broadcast(across), "url").select("url", "part", last_before), "warc-handed-on")
     joined = here.join(F.broadcast(handed), ["url", "part"], "left")
     return joined.select("id", F.coalesce(F.col("here.id"), F.col("before.id")).alias("response_id"))
 

@@ -92,7 +92,8 @@ def revisit(i, url, hours, headers):
 
 
 def resolved(spark, rows):
-    return {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as url")).collect()}
+    table = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as url")
+    return {r.record_id: r for r in warc.resolve(table).collect()}
 
 
 def test_revisits_take_the_latest_earlier_full_response(spark):

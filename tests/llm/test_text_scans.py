@@ -193,7 +193,8 @@ BANNER = "this site is kept by the same people on every single page of it"
 def test_repeated_runs_are_removed_from_pages_without_article(spark):
     rows = [(i, f"https://h.example/{i}", loose(f"{i} is its own page {i}", BANNER, f"{i} more")) for i in range(4)]
     rows += [(9, "https://other.example/", loose("another host", BANNER))]
-    rows += [(10, None, loose("no url")), (10, None, loose("no url")), (11, "https://h.example/a", f"<article>{BANNER}</article>")]
+    rows += [(10, None, loose("no url")), (10, None, loose("no url"))]
+    rows += [(11, "https://h.example/a", f"<article>{BANNER}</article>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'y' as text")
     got = {r.page_id: r for r in html_text.extract(table).collect()}
     assert {got[i].text for i in range(4)} == {f"{i} is its own page {i}\n{i} more" for i in range(4)}
