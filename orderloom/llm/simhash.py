@@ -16,8 +16,8 @@ of them are within the distance exactly if their balls meet, so each point of a
 fingerprints around it to the smallest of them. The work is linear in the fingerprints, and no link is lost.
 
 A wide fingerprint serves larger distances, where no small ball can be complete: most pairs agree up to a
-bit in some of its segments (see the README for measured recall). There every segment value has a few leaders
-that the others meet.
+bit in some of its segments (see the README for measured recall). Fingerprints that share a key are all compared,
+except those that links connect already.
 
 Defined results: a null text is empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; rows that repeat an identifier link like other copies; an empty table gives
@@ -27,7 +27,7 @@ null one is null in the result and is not the name of a class unless all of its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import stored, unused
@@ -75,8 +75,8 @@ BITS_64 = Scheme()
 #: shingles are expected to differ (256 * acos(2 * 0.8 / 1.8) / pi). Each of eight segments is searched
 #: one bit around.
 BITS_256 = Scheme(shingle=5, words=4, radii=(1,) * 8, max_distance=38)
-#: Leaders of a segment value of a wide fingerprint.
-LEADERS = 3
+#: Fingerprints whose keys are computed at a time.
+KEY_ROWS = 1024
 
 
 def fingerprint(text: bytes, scheme: Scheme) -> list[int]:
@@ -193,30 +193,67 @@ def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
     return points.join(least, "point").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
-def _leader_links(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links of wide fingerprints, found through a few leaders of each segment value.
+def _keys(prints: DataFrame, scheme: Scheme, tables: list[list[int]]) -> DataFrame:
+    """A row (key, node) for each table and fingerprint; the key has the bits at the table's positions."""
+    weights = np.zeros((64 * scheme.words, len(tables)))
+    for t, positions in enumerate(tables):
+        weights[positions, t] = 2.0 ** np.arange(len(positions))  # sums below 2**32 are exact
+    numbers = np.arange(len(tables), dtype=np.int64) << 32
 
-    A segment value has up to ``LEADERS`` leaders, chosen by hash. Every fingerprint meets the leaders of its own
-    values, and the leaders enumerate the balls around them for all. So values with up to that many
-    fingerprints are compared completely, and a class of many similar ones hangs together through leaders,
-    with work that is linear in the fingerprints.
-    """
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, KEY_ROWS):
+                step = batch.slice(start, KEY_ROWS)
+                words = step.column("fp").flatten().to_numpy().astype(">i8").view(np.uint8)
+                bits = np.unpackbits(words.reshape(step.num_rows, -1), axis=1)
+                key = (bits.astype(np.float64) @ weights).astype(np.int64) + numbers
+                node = np.repeat(step.column("node").to_numpy(), len(tables))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node)], ["key", "node"])
+
+    return prints.select("node", "fp").mapInArrow(keys, "key long, node long")
+
+
+def _one_bit_tables(scheme: Scheme) -> list[list[int]]:
+    """Each segment without one of its bits: segments that differ in at most one bit agree in one of these."""
     width = 64 * scheme.words // len(scheme.radii)
-    entries = stored(_entries(prints, scheme, "node"), "segments")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-    leaders = entries.withColumn("place", place).where(F.col("place") <= LEADERS)
-    leaders = stored(leaders.select("key", F.col("node").alias("b")), "segment-leaders")
-    around = _ball(F.col("key"), [m for m in _masks(width, max(scheme.radii)) if m])
-    probes = entries.withColumnRenamed("node", "a").unionByName(
-        leaders.select(F.explode(around).alias("key"), F.col("b").alias("a"))
+    segments = [range(s, s + width) for s in range(0, 64 * scheme.words, width)]
+    return [[p for p in segment if p != left_out] for segment in segments for left_out in segment]
+
+
+def _bucket_links(entries: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links of the nodes of (key, node) rows that connect what all near pairs of nodes with a common key connect.
+
+    First every node meets the smallest and the largest node of its keys. Then in each key with more than three
+    nodes all pairs are compared that those links leave in different components, so many nodes of one
+    class are linear work and nothing is left out.
+    """
+    entries = stored(entries, "keys")
+    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
+    ends = stored(ends.where("lo <> hi"), "key-ends")
+    met = entries.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    found = stored(near(met), "links-to-ends")
+    named = (
+        entries.join(ends.where("n > 3").select("key"), "key")
+        .join(components(found), "node", "left")
+        .select("key", "node", F.coalesce("root", "node").alias("root"))
+    )
+    named = stored(named, "key-members")
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    named = stored(named.join(several, "key"), "divided-keys")
+    parts = named.select("key", "root").distinct()
+    others = parts.withColumnRenamed("root", "other").join(parts, "key").where("root < other")
+    met = (
+        others.join(named.withColumnRenamed("node", "a"), ["key", "root"])
+        .join(named.select("key", F.col("root").alias("other"), F.col("node").alias("b")), ["key", "other"])
+        .select("a", "b")
     )
-    return _verified(probes.join(leaders, "key"), prints, scheme)
+    return found.unionByName(stored(near(met), "links-across"))
 
 
 def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b) links between the nodes of distinct fingerprints (node, fp)."""
     if not scheme.exact:
-        return _leader_links(prints, scheme)
+        return _bucket_links(_keys(prints, scheme, _one_bit_tables(scheme)), lambda met: _verified(met, prints, scheme))
     hot = stored(_hot_buckets(prints, scheme), "hot-segments")
     found = _probe_links(prints, hot, scheme)
     return found if hot.isEmpty() else found.unionByName(_ball_links(prints, hot, scheme))

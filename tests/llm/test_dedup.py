@@ -164,6 +164,23 @@ def test_wide_classes_hold_through_hot_segments(spark):
     assert [r.doc_id for r in simhash.drop_near_copies(docs(spark, rows, clashing=False)).collect()] == [0]
 
 
+def test_wide_fingerprints_of_a_hot_segment_are_all_compared(spark):
+    """One segment value in 300 fingerprints, pairs of which differ in two bits of every other segment."""
+    rng = random.Random(6)
+    hot = rng.getrandbits(32)
+    rows = []
+    for i in range(150):
+        first = [rng.getrandbits(32) for _ in range(7)]
+        second = [x ^ sum(1 << b for b in rng.sample(range(32), 2)) for x in first]
+        for node, rest in ((i, first), (1000 + i, second)):
+            halves = [hot, *rest]
+            words = [halves[w] << 32 | halves[w + 1] for w in range(0, 8, 2)]
+            rows.append((node, [w - 2**64 if w >> 63 else w for w in words]))
+    table = spark.createDataFrame(rows, "node long, fp array<long>")
+    got = {(r.a, r.b) for r in simhash.links(table, simhash.BITS_256).collect()}
+    assert got == {(i, 1000 + i) for i in range(150)}
+
+
 @pytest.mark.parametrize(
     "edges", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)] + [(400, 401), (401, 399)]]
 )
