@@ -15,9 +15,10 @@ fingerprints enumerate the ball of half the distance around the complete fingerp
 of them are within the distance exactly if their balls meet, so each point of a ball links the
 fingerprints around it to the smallest of them. The work is linear in the fingerprints, and no link is lost.
 
-A wide fingerprint serves larger distances, where no small ball can be complete: most pairs agree up to a
-bit in some of its segments (see the README for measured recall). Fingerprints that share a key are all compared,
-except those that links connect already.
+A wide fingerprint serves a similarity of shingle sets, where no small ball can be complete. Its keys are samples of
+its bits, so many that pairs at the least similarity share one with probability ``recall`` (see the README for measured
+recall). Fingerprints that share a key are all compared, except those that links connect already, and pairs
+within the distance are linked if their sets of shingles have the similarity.
 
 Defined results: a null text is empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; rows that repeat an identifier link like other copies; an empty table gives
@@ -29,8 +30,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from fractions import Fraction
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,9 @@ class Scheme:
     bits. The
     search is exact if max_distance < sum(radius + 1); the pairs of a larger distance are found with
     a probability that grows with the number of segments.
+
+    With a ``similarity`` (Jaccard, of sets of shingles) the fingerprint is that of the distinct shingles, keys
+    are sampled, and links are the pairs of that similarity; the distance only sorts out.
     """
 
     shingle: int = 3
@@ -63,6 +68,8 @@ class Scheme:
     radii: tuple[int, ...] = (1, 0)
     max_distance: int = 2
     most_in_bucket: int = 32
+    similarity: Fraction | None = None
+    recall: float = 0.98
 
     @property
     def exact(self) -> bool:
@@ -71,25 +78,43 @@ class Scheme:
 
 #: The fingerprint of a document, and links at two bits or fewer: complete.
 BITS_64 = Scheme()
-#: For classes of similar texts: five words, and 38 of 256 bits, where two texts that share 0.8 of their
-#: shingles are expected to differ (256 * acos(2 * 0.8 / 1.8) / pi). Each of eight segments is searched
-#: one bit around.
-BITS_256 = Scheme(shingle=5, words=4, radii=(1,) * 8, max_distance=38)
+#: For classes of similar texts: five words, 0.8. Two texts that share 0.8 of their shingles are expected to differ
+#: in 38 of 256 bits (256 * acos(2 * 0.8 / 1.8) / pi), nearly all in less than 64; unrelated ones differ in 128.
+BITS_256 = Scheme(shingle=5, words=4, radii=(), max_distance=64, similarity=Fraction(4, 5))
+#: Bits of a key: at least so many, and so many more than the logarithm of the number of fingerprints, so that those
+#: unrelated pairs that share a key grow with the fingerprints, not with their square.
+KEY_BITS, KEY_BITS_MORE = 16, 2
 #: Fingerprints whose keys are computed at a time.
 KEY_ROWS = 1024
 
 
+def _shingle_hashes(tokens: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, some at a time."""
+    n = max(1, len(tokens) - k + 1)
+    for start in range(0, n, CHUNK):
+        part = tokens[start : min(n, start + CHUNK) + k - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False)) if len(part) >= k else [b" ".join(part)]
+        yield np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), np.uint64)
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    tokens = text.lower().split()
+    return np.unique(np.concatenate(list(_shingle_hashes(tokens, k)))) if tokens else np.zeros(0, np.uint64)
+
+
 def fingerprint(text: bytes, scheme: Scheme) -> list[int]:
     """The 64-bit words of a text's fingerprint."""
     tokens, k = text.lower().split(), scheme.shingle
     if not tokens:
         return [0] * scheme.words
-    n = max(1, len(tokens) - k + 1)
-    total = np.zeros(64 * scheme.words, np.int64)
-    for start in range(0, n, CHUNK):
-        part = tokens[start : min(n, start + CHUNK) + k - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False)) if len(part) >= k else [b" ".join(part)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), np.uint64)
+    parts: Iterator[np.ndarray] = _shingle_hashes(tokens, k)
+    if scheme.similarity is not None:
+        distinct = np.unique(np.concatenate(list(parts)))
+        parts = (distinct[i : i + CHUNK] for i in range(0, len(distinct), CHUNK))
+    n, total = 0, np.zeros(64 * scheme.words, np.int64)
+    for hashes in parts:
+        n += len(hashes)
         for w in range(scheme.words):
             own = hashes if w == 0 else mixed(hashes + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
             bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -197,8 +222,8 @@ def _keys(prints: DataFrame, scheme: Scheme, tables: list[list[int]]) -> DataFra
     """A row (key, node) for each table and fingerprint; the key has the bits at the table's positions."""
     weights = np.zeros((64 * scheme.words, len(tables)))
     for t, positions in enumerate(tables):
-        weights[positions, t] = 2.0 ** np.arange(len(positions))  # sums below 2**32 are exact
-    numbers = np.arange(len(tables), dtype=np.int64) << 32
+        weights[positions, t] = 2.0 ** np.arange(len(positions))  # sums below 2**53 are exact
+    numbers = np.arange(len(tables), dtype=np.int64) << 40
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,25 +238,69 @@ def _keys(prints: DataFrame, scheme: Scheme, tables: list[list[int]]) -> DataFra
     return prints.select("node", "fp").mapInArrow(keys, "key long, node long")
 
 
-def _one_bit_tables(scheme: Scheme) -> list[list[int]]:
-    """Each segment without one of its bits: segments that differ in at most one bit agree in one of these."""
-    width = 64 * scheme.words // len(scheme.radii)
-    segments = [range(s, s + width) for s in range(0, 64 * scheme.words, width)]
-    return [[p for p in segment if p != left_out] for segment in segments for left_out in segment]
+def recall(similarity: float, n_bits: int, width: int, n_tables: int) -> float:
+    """Share of the pairs of a similarity expected to agree in one of the tables, each ``width`` of ``n_bits`` bits."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return sum(
+        comb(n_bits, d) * p**d * (1 - p) ** (n_bits - d) * (1 - (1 - comb(n_bits - d, width) / comb(n_bits, width)) ** n_tables)
+        for d in range(n_bits - width + 1)
+    )
+
 
+def _sampled_tables(scheme: Scheme, n: int) -> list[list[int]]:
+    """Positions of the keys of n fingerprints, as many tables as the recall takes."""
+    n_bits, width = 64 * scheme.words, max(KEY_BITS, n.bit_length() + KEY_BITS_MORE)
+    n_tables = 16
+    while recall(float(scheme.similarity), n_bits, width, n_tables) < scheme.recall:
+        n_tables += max(1, n_tables // 16)
+    rng = np.random.default_rng(HASH_SEED)
+    return [rng.permutation(n_bits)[:width].tolist() for _ in range(n_tables)]
 
-def _bucket_links(entries: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links of the nodes of (key, node) rows that connect what all near pairs of nodes with a common key connect.
+
+def _similar(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of the pairs (a, b) those whose texts' sets of shingles have the similarity; texts are (id, text) rows."""
+    least = scheme.similarity
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in (s for batch in batches for s in in_steps([batch], "text")):
+            found = [shingle_set((t.as_py() or "").encode(), scheme.shingle).tobytes() for t in step.column("text")]
+            yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(found, pa.binary())], ["of", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                which.append(both * least.denominator >= (len(x) + len(y) - both) * least.numerator)
+            yield batch.select(["a", "b"]).filter(pa.array(which, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = stored(texts.join(ends, "id", "left_semi").mapInArrow(sets, "of long, hashes binary"), "shingle-sets")
+    for side in ("a", "b"):
+        own = known.select(F.col("of").alias(side), F.col("hashes").alias(f"set_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long").distinct()
+
+
+def _bucket_links(
+    entries: DataFrame, near: Callable[[DataFrame], DataFrame], proven: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Links of the nodes of (key, node) rows that connect what all pairs with a common key that are proven connect.
 
     First every node meets the smallest and the largest node of its keys. Then in each key with more than three
     nodes all pairs are compared that those links leave in different components, so many nodes of one
-    class are linear work and nothing is left out.
+    class are linear work and nothing is left out. ``near`` sorts out pairs (a < b) cheaply before the proof.
     """
     entries = stored(entries, "keys")
     ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
     ends = stored(ends.where("lo <> hi"), "key-ends")
     met = entries.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    found = stored(near(met), "links-to-ends")
+    met = stored(near(met), "near-ends")
+    # One pair of each node first: most others are connected then.
+    one = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = stored(proven(one), "links-one")
+    found = found.unionByName(stored(proven(_across(met, components(found))), "links-to-ends"))
     named = (
         entries.join(ends.where("n > 3").select("key"), "key")
         .join(components(found), "node", "left")
@@ -247,29 +316,49 @@ def _bucket_links(entries: DataFrame, near: Callable[[DataFrame], DataFrame]) ->
         .join(named.select("key", F.col("root").alias("other"), F.col("node").alias("b")), ["key", "other"])
         .select("a", "b")
     )
-    return found.unionByName(stored(near(met), "links-across"))
+    return found.unionByName(stored(proven(stored(near(met), "near-across")), "links-across"))
 
 
-def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b) links between the nodes of distinct fingerprints (node, fp)."""
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    roots = stored(roots, "roots")
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(own, side, "left")
+    return stored(pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "pairs-across")
+
+
+def _wide_links(prints: DataFrame, scheme: Scheme, texts: DataFrame | None) -> DataFrame:
+    entries = _keys(prints, scheme, _sampled_tables(scheme, prints.count()))
+    return _bucket_links(
+        entries,
+        lambda met: _verified(met, prints, scheme),
+        lambda pairs: pairs if texts is None else _similar(pairs, texts, scheme),
+    )
+
+
+def links(prints: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
+    """(a, b) links between the nodes of distinct fingerprints (node, fp).
+
+    A similarity is proven by the texts, (id, text) rows; without them the distance alone decides.
+    """
     if not scheme.exact:
-        return _bucket_links(_keys(prints, scheme, _one_bit_tables(scheme)), lambda met: _verified(met, prints, scheme))
+        return _wide_links(prints, scheme, texts)
     hot = stored(_hot_buckets(prints, scheme), "hot-segments")
     found = _probe_links(prints, hot, scheme)
     return found if hot.isEmpty() else found.unionByName(_ball_links(prints, hot, scheme))
 
 
-def _prints(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    return stored(fingerprints(base, scheme), "fingerprints")
 
 
-def _classes(prints: DataFrame, scheme: Scheme) -> DataFrame:
+def _classes(prints: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
     # A fingerprint is named by its smallest id; one that has only null ids by none.
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct-fingerprints")
-    roots = components(links(nodes.where("node is not null"), scheme))
+    roots = components(links(nodes.where("node is not null"), scheme, texts))
     named = nodes.join(roots, "node", "left").select(
         F.col("fp").alias("of"), F.coalesce("root", "node").alias("component_id")
     )
@@ -281,7 +370,9 @@ def classes(
     docs: DataFrame, scheme: Scheme = BITS_64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, fp, component_id (the smallest id that links lead to)."""
-    found = _classes(_prints(docs, scheme, id_col, text_col), scheme)
+    texts = _texts(docs, id_col, text_col)
+    prints = stored(fingerprints(texts, scheme), "fingerprints")
+    found = _classes(prints, scheme, None if scheme.similarity is None else texts)
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -181,6 +181,27 @@ def test_wide_fingerprints_of_a_hot_segment_are_all_compared(spark):
     assert got == {(i, 1000 + i) for i in range(150)}
 
 
+def test_scattered_edits_are_found_and_only_similar_texts_go(spark):
+    """Isolated pairs at 0.8 and above go, and pairs just below stay, against the true Jaccard similarity."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    rows, similarity = [], {}
+    for i in range(200):
+        base = rng.choices(words, k=400)
+        changed = list(base)
+        for at in rng.sample(range(400), rng.choice([7, 8, 10, 12])):
+            changed[at] = "other"
+        one, two = ({tuple(t[j : j + 5]) for j in range(396)} for t in (base, changed))
+        similarity[1000 + i] = len(one & two) / len(one | two)
+        rows += [(i, " ".join(base), "s"), (1000 + i, " ".join(changed), "s")]
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs(spark, rows, clashing=False)).collect()}
+    assert set(range(200)) <= kept
+    assert all(i in kept for i, s in similarity.items() if s < 0.8)
+    similar = [i for i, s in similarity.items() if s >= 0.8]
+    assert 50 < len(similar) < 150
+    assert sum(i not in kept for i in similar) >= 0.95 * len(similar)
+
+
 @pytest.mark.parametrize(
     "edges", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)] + [(400, 401), (401, 399)]]
 )
