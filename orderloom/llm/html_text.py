@@ -14,8 +14,8 @@ belongs to each of them. Pages with the same loose text count as one page, so a
 boilerplate.
 
 A host with more than its share of all pages is cut into sections, each with a suffix array of its own.
-The runs that occur in two sections are found by their hashes, one row per section and run, and are added to
-what each section covers; the result is that of one array over the host.
+The runs that occur in two sections, on pages of different content, are found by their hashes, one row per section and
+run, and are added to what each section covers; the result is that of one array over the host.
 
 Text of a block: character references decoded, white space runs as one space, trimmed. Blocks without text
 are dropped, the others joined by one line feed.
@@ -265,11 +265,17 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
 
 def _run_hashes(table: pa.Table) -> pa.Table:
-    """The different runs of a section, as hashes."""
-    runs = np.unique(Streams(table.column("loose").to_pylist()).run_hash).view(np.int64)
+    """The different runs of a section, as hashes, each with the least and greatest hash of a page content that has it."""
+    pages = table.column("loose").to_pylist()
+    streams = Streams(pages)
+    contents = np.array([xxhash.xxh64_intdigest("\n".join(page)) for page in pages], np.uint64).view(np.int64)
+    run, content = streams.run_hash.view(np.int64), contents[streams.page[streams.start]]
+    order = np.lexsort((content, run))
+    runs, first, counts = np.unique(run[order], return_index=True, return_counts=True)
+    lo, hi = content[order][first], content[order][first + counts - 1]
     n = len(runs)
-    host, section = table.column("host")[0], table.column("section")[0]
-    return pa.table({"host": pa.repeat(host, n), "section": pa.repeat(section, n), "run": pa.array(runs)})
+    columns = {"host": pa.repeat(table.column("host")[0], n), "section": pa.repeat(table.column("section")[0], n)}
+    return pa.table(columns | {"run": pa.array(runs), "lo": pa.array(lo), "hi": pa.array(hi)})
 
 
 def _resolved(table: pa.Table, runs: pa.Table) -> pa.Table:
@@ -306,9 +312,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         .select("id", "url", "html", "host", "section", "n_sections")
     )
     cut = _parsed(sections.where("n_sections > 1")).select("host", "section", "loose")
-    runs = cut.groupBy("host", "section").applyInArrow(_run_hashes, "host string, section int, run long")
+    runs = cut.groupBy("host", "section").applyInArrow(_run_hashes, "host string, section int, run long, lo long, hi long")
     runs = stored(runs, "section-runs")
-    shared = stored(runs.groupBy("host", "run").count().where("count > 1").select("host", "run"), "shared-runs")
+    of_run = runs.groupBy("host", "run").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    shared = stored(of_run.where("n > 1 and lo <> hi").select("host", "run"), "shared-runs")
     known = runs.join(shared, ["host", "run"]).select("host", "section", "run")
     pages_of, runs_of = (df.groupBy("host", "section") for df in (_parsed(sections), known))
     id_type = own.schema["id"].dataType.simpleString()

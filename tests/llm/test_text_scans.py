@@ -219,6 +219,19 @@ def test_sections_of_a_large_host_give_what_one_array_gives(spark, monkeypatch):
     assert got == want
 
 
+def test_mirrored_pages_in_several_sections_are_not_their_own_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "HOT_PAGES", 3)
+    words = [f"w{i}" for i in range(300)]
+    body = " ".join(random.Random(10).choices(words, k=30))
+    pages = [loose(body, BANNER)] * 20 + [loose(f"only {i}", BANNER) for i in range(5)]
+    rows = [(i, f"https://h.example/{i}", page) for i, page in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(table).collect()}
+    assert {got[i].text for i in range(20)} == {body}
+    assert [got[20 + i].text for i in range(5)] == [f"only {i}" for i in range(5)]
+    assert {r.n_boilerplate for r in got.values()} == {len(BANNER.split())}
+
+
 def test_suffix_ranks_against_plain_counting():
     rng = random.Random(9)
     pages = [[" ".join(rng.choices("abc", k=rng.randint(0, 40)) or ["a"])] for _ in range(12)]
