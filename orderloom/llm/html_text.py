@@ -2,7 +2,9 @@
 
 A page is cut into blocks. Blocks inside an ``article`` or ``main`` element are its main text; blocks
 inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are not, whatever
-contains them. All text outside the main element is the page's loose text.
+contains them. All text outside the main element is the page's loose text. A class or id rules an element out only if
+its last word says what the element is, never the page or its outermost main element, and not what contains the
+only main text of a page; where names would leave a page without text, the suffix array decides on what they rule out.
 
 For each host the token streams of the loose texts are concatenated and their suffixes ranked by prefix
 doubling, up to ``RUN`` tokens (a power of two): suffixes of equal rank begin with the same run of that
@@ -63,32 +65,48 @@ ASIDE_NAMES = frozenset(
     "navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus respond reply "
     "share sharing social related recommended pagination pager login signup widget widgets toolbar".split()
 )
+#: Words of a class or id that is about what the element contains.
+ABOUT_OTHERS = frozenset("has have no not with without".split())
+#: How a block is ruled out.
+BY_NAME, SURE = 1, 2
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z0-9]+")
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def _names_aside(value: str) -> bool:
+    """Whether a class or id says what the element is: by its last word, unless it says what it has or has not."""
+    return any(
+        words[-1] in ASIDE_NAMES and ABOUT_OTHERS.isdisjoint(words) for name in value.split() if (words := _NAME.findall(name))
+    )
+
+
+def _is_aside(tag: str, attributes: str) -> int:
+    """SURE by tag, role or a hidden attribute, BY_NAME by class or id, otherwise 0."""
     if tag in ASIDE:
-        return True
+        return SURE
     if not attributes:
-        return False
+        return 0
+    named = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role" and value in ASIDE_ROLES:
-            return True
-        if name.lower() in ("class", "id") and not ASIDE_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+            return SURE
+        if name.lower() in ("class", "id") and _names_aside(value):
+            named = BY_NAME
+    return SURE if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) else named
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, whether in a main element, whether ruled out) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, in main, ruled out
+def blocks(html: str, lifted: bool = False) -> list[tuple[str, bool, int]]:
+    """(text, whether in a main element, how ruled out) of each block with text, in page order.
+
+    lifted: a main element is not ruled out by the names of what contains it.
+    """
+    out: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements: tag, in main, ruled out
     text: list[str] = []
-    main = aside = False
+    main, aside = False, 0
     at = 0
 
     def flush() -> None:
@@ -96,7 +114,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             out.append((joined, main, aside))
         text.clear()
 
-    def enter(state: tuple[str, bool, bool]) -> None:
+    def enter(state: tuple[str, bool, int]) -> None:
         nonlocal main, aside
         if state[1:] != (main, aside):
             flush()
@@ -105,7 +123,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
 
     def leave(n: int) -> None:
         nonlocal main, aside
-        state = stack[n - 1][1:] if n else (False, False)
+        state = stack[n - 1][1:] if n else (False, 0)
         if state != (main, aside):
             flush()
         del stack[n:]
@@ -147,9 +165,12 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if attributes.rstrip().endswith("/") and tag not in INLINE | MAIN:
             continue
         named = tag in MAIN or 'role="main"' in attributes
-        ruled_out = aside or _is_aside(tag, attributes)
+        own = _is_aside(tag, attributes)
+        if own == BY_NAME and (tag in ("html", "body") or named and not main):
+            own = 0  # the page or its main element, whatever its name
+        ruled_out = max(0 if lifted and named and not main and aside == BY_NAME else aside, own)
         if tag in HEADINGS and main and ruled_out and not any(s[2] and s[0] != "header" for s in stack):
-            ruled_out = False  # the heading of an article may stand in a header of its own
+            ruled_out = 0  # the heading of an article may stand in a header of its own
         enter((tag, main or named, ruled_out))
     tail = html[at:]
     text.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
@@ -161,8 +182,13 @@ def parsed(html: str) -> tuple[str | None, list[str], list[bool]]:
     """(main text, or None without a main element; loose blocks; which of them markup rules out)."""
     found = blocks(html)
     article = [t for t, main, aside in found if main and not aside]
+    if not article and any(main and aside == BY_NAME for _, main, aside in found):
+        found = blocks(html, lifted=True)
+        article = [t for t, main, aside in found if main and not aside]
     loose = [(t, aside) for t, main, aside in found if not main]
-    return "\n".join(article) if article else None, [t for t, _ in loose], [a for _, a in loose]
+    # Names alone do not leave a page empty: the runs of its host decide.
+    least = SURE if not article and all(a for _, a in loose) else BY_NAME
+    return "\n".join(article) if article else None, [t for t, _ in loose], [a >= least for _, a in loose]
 
 
 # Suffix arrays ------------------------------------------------------------------------------------

@@ -183,6 +183,26 @@ def test_main_text(spark, html, text):
     assert html_text.extract(table).first().text == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='single no-sidebar'><article>a</article><div class=sidebar>s</div></body>", "a"),
+        ("<body class=sidebar><p>a</p></body>", "a"),
+        ("<div class='content-with-sidebar'><p>a</p><div id=left-sidebar>s</div></div>", "a"),
+        ("<article class='post has-comments'><p>a</p><div class=comments>c</div></article>", "a"),
+        ("<section class='social-science'><p>a</p></section>", "a"),
+        ("<div class=sidebar><article><p>a</p><div class=comments>c</div></article></div>", "a"),
+        ("<article>a</article><div class=sidebar><article>teaser</article></div>", "a"),
+        ("<article>a<article class=comment>c</article></article>", "a"),
+        ("<div class=widget><p>a</p><nav>n</nav></div>", "a"),
+        ("<nav>n</nav>", ""),
+    ],
+)
+def test_names_of_wrappers_do_not_hide_the_text(html, text):
+    main, blocks, aside = html_text.parsed(html)
+    assert (main or "\n".join(t for t, a in zip(blocks, aside, strict=True) if not a)) == text
+
+
 def loose(*blocks):
     return "".join(f"<div>{b}</div>" for b in blocks)
 
