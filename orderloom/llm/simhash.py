@@ -9,17 +9,11 @@ into segments; if two fingerprints differ in few bits, some segment differs in v
 fingerprint enumerates the Hamming ball of a small radius within each segment, fetches the
 table's fingerprints that have such a segment, and the complete distance is verified.
 
-With 64 bits and a small distance that is complete. A segment value that more than ``most_in_bucket``
-fingerprints have is not joined pair by pair. Such
-fingerprints enumerate the ball of half the distance around the complete fingerprint instead: two
+That is complete. A segment value that more than ``most_in_bucket`` fingerprints have is not joined
+pair by pair. Such fingerprints enumerate the ball of half the distance around the complete fingerprint instead: two
 of them are within the distance exactly if their balls meet, so each point of a ball links the
 fingerprints around it to the smallest of them. The work is linear in the fingerprints, and no link is lost.
 
-A wide fingerprint serves a similarity of shingle sets, where no small ball can be complete. Its keys are samples of
-its bits, so many that pairs at the least similarity share one with probability ``recall`` (see the README for measured
-recall). Fingerprints that share a key are all compared, except those that links connect already, and pairs
-within the distance are linked if their sets of shingles have the similarity.
-
 Defined results: a null text is empty; a text without words has fingerprint zero; fewer words than a
 shingle make one shingle; rows that repeat an identifier link like other copies; an empty table gives
 an empty table; other columns are not read, whatever their names. Identifiers are whole numbers; a
@@ -28,11 +22,9 @@ null one is null in the result and is not the name of a class unless all of its
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 from itertools import combinations
-from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +35,7 @@ from pyspark.sql import functions as F
 
 from orderloom.llm.common import stored, unused
 from orderloom.llm.links import components
-from orderloom.llm.words import in_steps, mixed
+from orderloom.llm.words import in_steps
 
 HASH_SEED = 42
 #: Shingles that are counted at a time.
@@ -52,40 +44,25 @@ CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Scheme:
-    """How fingerprints are made and searched: words of 64 bits, and the radius of each segment of them.
-
-    ``radii`` has one radius per segment; the segments cut every 64-bit word into equal parts of at most 32
-    bits. The
-    search is exact if max_distance < sum(radius + 1); the pairs of a larger distance are found with
-    a probability that grows with the number of segments.
+    """How fingerprints are made and searched: words of a shingle, the radius of each segment, the largest distance.
 
-    With a ``similarity`` (Jaccard, of sets of shingles) the fingerprint is that of the distinct shingles, keys
-    are sampled, and links are the pairs of that similarity; the distance only sorts out.
+    ``radii`` has one radius per segment; the segments cut the 64 bits into equal parts of at most 32 bits. The
+    search is complete if max_distance is even and less than sum(radius + 1); others are refused.
     """
 
     shingle: int = 3
-    words: int = 1
     radii: tuple[int, ...] = (1, 0)
     max_distance: int = 2
     most_in_bucket: int = 32
-    similarity: Fraction | None = None
-    recall: float = 0.98
 
-    @property
-    def exact(self) -> bool:
-        return self.max_distance < sum(r + 1 for r in self.radii)
+    def __post_init__(self) -> None:
+        # Hot segments halve the distance.
+        if self.max_distance >= sum(r + 1 for r in self.radii) or self.max_distance % 2:
+            raise ValueError(f"balls of radii {self.radii} miss links at {self.max_distance} bits")
 
 
-#: The fingerprint of a document, and links at two bits or fewer: complete.
+#: The fingerprint of a document, and links at two bits or fewer.
 BITS_64 = Scheme()
-#: For classes of similar texts: five words, 0.8. Two texts that share 0.8 of their shingles are expected to differ
-#: in 38 of 256 bits (256 * acos(2 * 0.8 / 1.8) / pi), nearly all in less than 64; unrelated ones differ in 128.
-BITS_256 = Scheme(shingle=5, words=4, radii=(), max_distance=64, similarity=Fraction(4, 5))
-#: Bits of a key: at least so many, and so many more than the logarithm of the number of fingerprints, so that those
-#: unrelated pairs that share a key grow with the fingerprints, not with their square.
-KEY_BITS, KEY_BITS_MORE = 16, 2
-#: Fingerprints whose keys are computed at a time.
-KEY_ROWS = 1024
 
 
 def _shingle_hashes(tokens: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -97,48 +74,34 @@ def _shingle_hashes(tokens: list[bytes], k: int) -> Iterator[np.ndarray]:
         yield np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), np.uint64)
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """The hashes of a text's distinct shingles, ascending."""
+def fingerprint(text: bytes, scheme: Scheme) -> int:
+    """The 64 bits of a text's fingerprint."""
     tokens = text.lower().split()
-    return np.unique(np.concatenate(list(_shingle_hashes(tokens, k)))) if tokens else np.zeros(0, np.uint64)
-
-
-def fingerprint(text: bytes, scheme: Scheme) -> list[int]:
-    """The 64-bit words of a text's fingerprint."""
-    tokens, k = text.lower().split(), scheme.shingle
     if not tokens:
-        return [0] * scheme.words
-    parts: Iterator[np.ndarray] = _shingle_hashes(tokens, k)
-    if scheme.similarity is not None:
-        distinct = np.unique(np.concatenate(list(parts)))
-        parts = (distinct[i : i + CHUNK] for i in range(0, len(distinct), CHUNK))
-    n, total = 0, np.zeros(64 * scheme.words, np.int64)
-    for hashes in parts:
+        return 0
+    n, total = 0, np.zeros(64, np.int64)
+    for hashes in _shingle_hashes(tokens, scheme.shingle):
         n += len(hashes)
-        for w in range(scheme.words):
-            own = hashes if w == 0 else mixed(hashes + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64))
-            bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total[64 * w : 64 * w + 64] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(total * 2 > n).view(">u8").astype(np.uint64).tolist()
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme, text_col: str = "text") -> DataFrame:
-    """Of (id, text) rows: id and fp, an array of signed 64-bit words."""
+    """Of (id, text) rows: id and fp, the fingerprint as a signed number."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in in_steps(batches, "text"):
             texts = pc.fill_null(step.column(1).cast(pa.string()), "").cast(pa.binary())
-            words = [fingerprint(t.as_py(), scheme) for t in texts]
-            flat = np.array(words, np.uint64).view(np.int64).reshape(-1)
-            lists = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * scheme.words, flat)
-            yield pa.RecordBatch.from_arrays([step.column(0), lists], ["id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py(), scheme) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.col(text_col).alias("text")).mapInArrow(computed, f"id {id_type}, fp array<bigint>")
+    return docs.select("id", F.col(text_col).alias("text")).mapInArrow(computed, f"id {id_type}, fp bigint")
 
 
-def distance(a: Column, b: Column, words: int) -> Column:
-    return sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(words)), F.lit(0))
+def distance(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -152,15 +115,12 @@ def _ball(key: Column, masks: list[int]) -> Column:
 
 def _segments(scheme: Scheme) -> list[tuple[int, Column]]:
     """(radius, key) of each segment: its number above its bits."""
-    per_word = len(scheme.radii) // scheme.words
-    width = 64 // per_word
+    width = 64 // len(scheme.radii)
     low = (1 << width) - 1
     return [
         (
             radius,
-            F.shiftrightunsigned(F.col("fp")[s // per_word], width * (s % per_word))
-            .bitwiseAND(F.lit(low))
-            .bitwiseOR(F.lit(s << 32).cast("long")),
+            F.shiftrightunsigned("fp", width * s).bitwiseAND(F.lit(low)).bitwiseOR(F.lit(s << 32).cast("long")),
         )
         for s, radius in enumerate(scheme.radii)
     ]
@@ -182,7 +142,7 @@ def _probe_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame
 
     Probes and table carry a key and a node; the fingerprints join the pairs that met, to be verified.
     """
-    width = 64 * scheme.words // len(scheme.radii)
+    width = 64 // len(scheme.radii)
     balls = [_ball(key, _masks(width, radius)) for radius, key in _segments(scheme)]
     probes = prints.select(F.explode(F.concat(*balls)).alias("key"), F.col("node").alias("a"))
     table = _entries(prints, scheme, "node").join(hot, "key", "left_anti").withColumnRenamed("node", "b")
@@ -194,7 +154,7 @@ def _verified(met: DataFrame, prints: DataFrame, scheme: Scheme) -> DataFrame:
     pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("fp").alias(f"fp_{side}")), side)
-    return pairs.where(distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.max_distance).select("a", "b")
+    return pairs.where(distance(F.col("fp_a"), F.col("fp_b")) <= scheme.max_distance).select("a", "b")
 
 
 def _members_of_hot(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
@@ -211,139 +171,15 @@ def _ball_links(prints: DataFrame, hot: DataFrame, scheme: Scheme) -> DataFrame:
     members = _members_of_hot(prints, hot, scheme).select("node", "fp").distinct()
     masks = _masks(64, scheme.max_distance // 2)
     points = members.select(
-        "node", F.explode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("mask"), F.col("fp")[0].alias("fp0")
-    ).select("node", F.col("fp0").bitwiseXOR(F.col("mask")).alias("point"))
+        "node", F.explode(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))).alias("mask"), "fp"
+    ).select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
     points = stored(points, "ball-points")
     least = stored(points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "ball-least")
     return points.join(least, "point").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
-def _keys(prints: DataFrame, scheme: Scheme, tables: list[list[int]]) -> DataFrame:
-    """A row (key, node) for each table and fingerprint; the key has the bits at the table's positions."""
-    weights = np.zeros((64 * scheme.words, len(tables)))
-    for t, positions in enumerate(tables):
-        weights[positions, t] = 2.0 ** np.arange(len(positions))  # sums below 2**53 are exact
-    numbers = np.arange(len(tables), dtype=np.int64) << 40
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, KEY_ROWS):
-                step = batch.slice(start, KEY_ROWS)
-                words = step.column("fp").flatten().to_numpy().astype(">i8").view(np.uint8)
-                bits = np.unpackbits(words.reshape(step.num_rows, -1), axis=1)
-                key = (bits.astype(np.float64) @ weights).astype(np.int64) + numbers
-                node = np.repeat(step.column("node").to_numpy(), len(tables))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node)], ["key", "node"])
-
-    return prints.select("node", "fp").mapInArrow(keys, "key long, node long")
-
-
-def recall(similarity: float, n_bits: int, width: int, n_tables: int) -> float:
-    """Share of the pairs of a similarity expected to agree in one of the tables, each ``width`` of ``n_bits`` bits."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return sum(
-        comb(n_bits, d) * p**d * (1 - p) ** (n_bits - d) * (1 - (1 - comb(n_bits - d, width) / comb(n_bits, width)) ** n_tables)
-        for d in range(n_bits - width + 1)
-    )
-
-
-def _sampled_tables(scheme: Scheme, n: int) -> list[list[int]]:
-    """Positions of the keys of n fingerprints, as many tables as the recall takes."""
-    n_bits, width = 64 * scheme.words, max(KEY_BITS, n.bit_length() + KEY_BITS_MORE)
-    n_tables = 16
-    while recall(float(scheme.similarity), n_bits, width, n_tables) < scheme.recall:
-        n_tables += max(1, n_tables // 16)
-    rng = np.random.default_rng(HASH_SEED)
-    return [rng.permutation(n_bits)[:width].tolist() for _ in range(n_tables)]
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of the pairs (a, b) those whose texts' sets of shingles have the similarity; texts are (id, text) rows."""
-    least = scheme.similarity
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in (s for batch in batches for s in in_steps([batch], "text")):
-            found = [shingle_set((t.as_py() or "").encode(), scheme.shingle).tobytes() for t in step.column("text")]
-            yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(found, pa.binary())], ["of", "hashes"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            which = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                which.append(both * least.denominator >= (len(x) + len(y) - both) * least.numerator)
-            yield batch.select(["a", "b"]).filter(pa.array(which, pa.bool_()))
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = stored(texts.join(ends, "id", "left_semi").mapInArrow(sets, "of long, hashes binary"), "shingle-sets")
-    for side in ("a", "b"):
-        own = known.select(F.col("of").alias(side), F.col("hashes").alias(f"set_{side}"))
-        pairs = pairs.join(own, side)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long").distinct()
-
-
-def _bucket_links(
-    entries: DataFrame, near: Callable[[DataFrame], DataFrame], proven: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """Links of the nodes of (key, node) rows that connect what all pairs with a common key that are proven connect.
-
-    First every node meets the smallest and the largest node of its keys. Then in each key with more than three
-    nodes all pairs are compared that those links leave in different components, so many nodes of one
-    class are linear work and nothing is left out. ``near`` sorts out pairs (a < b) cheaply before the proof.
-    """
-    entries = stored(entries, "keys")
-    ends = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"))
-    ends = stored(ends.where("lo <> hi"), "key-ends")
-    met = entries.join(ends, "key").select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    met = stored(near(met), "near-ends")
-    # One pair of each node first: most others are connected then.
-    one = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = stored(proven(one), "links-one")
-    found = found.unionByName(stored(proven(_across(met, components(found))), "links-to-ends"))
-    named = (
-        entries.join(ends.where("n > 3").select("key"), "key")
-        .join(components(found), "node", "left")
-        .select("key", "node", F.coalesce("root", "node").alias("root"))
-    )
-    named = stored(named, "key-members")
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    named = stored(named.join(several, "key"), "divided-keys")
-    parts = named.select("key", "root").distinct()
-    others = parts.withColumnRenamed("root", "other").join(parts, "key").where("root < other")
-    met = (
-        others.join(named.withColumnRenamed("node", "a"), ["key", "root"])
-        .join(named.select("key", F.col("root").alias("other"), F.col("node").alias("b")), ["key", "other"])
-        .select("a", "b")
-    )
-    return found.unionByName(stored(proven(stored(near(met), "near-across")), "links-across"))
-
-
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that lie in different components."""
-    roots = stored(roots, "roots")
-    for side in ("a", "b"):
-        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        pairs = pairs.join(own, side, "left")
-    return stored(pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "pairs-across")
-
-
-def _wide_links(prints: DataFrame, scheme: Scheme, texts: DataFrame | None) -> DataFrame:
-    entries = _keys(prints, scheme, _sampled_tables(scheme, prints.count()))
-    return _bucket_links(
-        entries,
-        lambda met: _verified(met, prints, scheme),
-        lambda pairs: pairs if texts is None else _similar(pairs, texts, scheme),
-    )
-
-
-def links(prints: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
-    """(a, b) links between the nodes of distinct fingerprints (node, fp).
-
-    A similarity is proven by the texts, (id, text) rows; without them the distance alone decides.
-    """
-    if not scheme.exact:
-        return _wide_links(prints, scheme, texts)
+def links(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) links between the nodes of distinct fingerprints (node, fp)."""
     hot = stored(_hot_buckets(prints, scheme), "hot-segments")
     found = _probe_links(prints, hot, scheme)
     return found if hot.isEmpty() else found.unionByName(_ball_links(prints, hot, scheme))
@@ -355,10 +191,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _classes(prints: DataFrame, scheme: Scheme, texts: DataFrame | None = None) -> DataFrame:
+def _classes(prints: DataFrame, scheme: Scheme) -> DataFrame:
     # A fingerprint is named by its smallest id; one that has only null ids by none.
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("node")), "distinct-fingerprints")
-    roots = components(links(nodes.where("node is not null"), scheme, texts))
+    roots = components(links(nodes.where("node is not null"), scheme))
     named = nodes.join(roots, "node", "left").select(
         F.col("fp").alias("of"), F.coalesce("root", "node").alias("component_id")
     )
@@ -370,14 +206,13 @@ def classes(
     docs: DataFrame, scheme: Scheme = BITS_64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, fp, component_id (the smallest id that links lead to)."""
-    texts = _texts(docs, id_col, text_col)
-    prints = stored(fingerprints(texts, scheme), "fingerprints")
-    found = _classes(prints, scheme, None if scheme.similarity is None else texts)
+    prints = stored(fingerprints(_texts(docs, id_col, text_col), scheme), "fingerprints")
+    found = _classes(prints, scheme)
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_copies(
-    docs: DataFrame, scheme: Scheme = BITS_256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, scheme: Scheme = BITS_64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their class, with all their columns.
 

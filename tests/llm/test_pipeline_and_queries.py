@@ -11,9 +11,9 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import corpus_pipeline  # noqa: E402
 from compare import duck, expected, rows_of  # noqa: E402
-from orderloom.llm import simhash, source_mix, toxicity  # noqa: E402
+from orderloom.llm import source_mix, toxicity  # noqa: E402
 from orderloom.llm.queries import LLM_ORACLE, LLM_QUERIES  # noqa: E402
-from tests.llm.test_dedup import squeezed  # noqa: E402
+from tests.llm.test_dedup import brute_components, brute_fingerprint, squeezed  # noqa: E402
 from tests.llm.test_text_scans import brute_distance  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +58,7 @@ def test_stages_against_brute_force(spark):
         first.setdefault(squeezed(rows[i].text), i)
     assert set(done["exact_dedup"]) == set(first.values())
 
-    classes = brute_classes({i: rows[i].text for i in done["exact_dedup"]})
+    classes = brute_components([(i, brute_fingerprint(rows[i].text)) for i in sorted(done["exact_dedup"])])
     assert set(done["simhash"]) == set(classes.values())
 
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -85,27 +85,3 @@ def likely(items, text):
     """Items that share enough words with a text to be within the distance at all."""
     known = set(words(text))
     return [item for item in items if sum(w in known for w in item) >= 0.8 * len(item) - 1e-9]
-
-
-def brute_classes(texts):
-    """Smallest id of each document's class, over all pairs of fingerprints of the wide scheme."""
-    scheme = simhash.BITS_256
-    prints = {i: simhash.fingerprint(t.encode(), scheme) for i, t in texts.items()}
-    parent = {i: i for i in prints}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    def meets(x, y):
-        halves = [(w >> s) & 0xFFFFFFFF for w in x for s in (0, 32)], [(w >> s) & 0xFFFFFFFF for w in y for s in (0, 32)]
-        return any((a ^ b).bit_count() <= 1 for a, b in zip(*halves, strict=True))
-
-    ids = sorted(prints)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            far = sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True))
-            if far <= scheme.max_distance and meets(prints[a], prints[b]):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    return {i: find(i) for i in ids}
