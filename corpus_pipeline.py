@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of similar texts (five-word shingles, 0.8) the document with the smallest id stays."""
+    """Of documents linked by fingerprints of three-word shingles (two bits or fewer) the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 
