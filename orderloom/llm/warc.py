@@ -175,6 +175,9 @@ def resolve(
     matched = stored(as_of_responses(once(own.drop("headers", "payload"), "id", "full")), "warc-matches")
     salted, ranges = _salted(matched)
     revisits = once(own.where("revisit").drop("payload"), "id").join(salted, F.col("id") == F.col("of"), "left")
+    # Those without a response match nothing; the salt spreads them over the join's tasks.
+    alone = F.col("response_id").isNull()
+    revisits = revisits.withColumn("salt", F.when(alone, F.hash("id")).otherwise(F.col("salt")))
     # Salted before they are made unique, so payloads are shuffled once: by what they are joined by.
     dealt = (
         own.where("full")

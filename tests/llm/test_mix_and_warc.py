@@ -164,5 +164,25 @@ def test_a_url_with_most_records_lies_across_partitions(spark):
     assert got == want
 
 
+def test_revisits_without_response_are_spread(spark):
+    """Two thousand revisits that match nothing, by date or by a missing URL: no task of the join has most of them."""
+    rows = [(i, "revisit", f"http://h{i}/" if i % 2 else None, None if i % 3 == 0 else i) for i in range(2000)]
+    table = spark.createDataFrame(rows, "record_id long, warc_type string, target_uri string, at long").selectExpr(
+        "*", "timestamp_seconds(at) as warc_date", "304 as status", "'x' as payload",
+        "array(named_struct('name', 'etag', 'value', 'x')) as headers",
+    )
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for key, value in zip(old, ("false", "-1"), strict=True):
+        spark.conf.set(key, value)
+    try:
+        found = warc.resolve(table)
+        assert found.count() == 2000 and {r.outcome for r in found.select("outcome").distinct().collect()} == {"unmatched"}
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert len(sizes) > 4 and max(sizes) < 2000 / 3
+
+
 def test_no_records(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
