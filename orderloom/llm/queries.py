@@ -12,12 +12,15 @@ from orderloom.llm import (
     exact_dedup,
     html_text,
     license_scan,
+    prefix_trie,
     quality,
     secret_scan,
     simhash,
     source_mix,
     toxicity,
+    vector_codes,
     warc,
+    weighted_sampling,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,3 +274,130 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
+
+
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _vector_rounds(rounds: int) -> str:
+    """The common table expressions of the rounds, one after the other."""
+    return ", ".join(
+        f"""
+near{k} AS MATERIALIZED (
+    SELECT vec_id, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM (
+        SELECT vec_id, p, e, coalesce(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)::BIGINT AS d
+        FROM parts JOIN book{k} USING (p)
+    ) GROUP BY vec_id, p
+)""" + (f""", sums{k} AS (
+    SELECT p, e, i, sum(part[i])::BIGINT AS s, count(*) AS n
+    FROM near{k} JOIN parts USING (vec_id, p), unnest(range(1, len(part) + 1)) AS t(i) GROUP BY p, e, i
+), moved{k} AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS entry FROM sums{k} GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (
+    SELECT p, e, coalesce(m.entry, b.entry) AS entry FROM book{k} b LEFT JOIN moved{k} m USING (p, e)
+)""" if k < rounds else "")
+        for k in range(rounds + 1)
+    )
+
+
+LLM_ORACLE["op11_vector_codes"] = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, p, list_slice(v, p * (len(v) // 8) + 1, (p + 1) * (len(v) // 8)) AS part
+    FROM kept, unnest(range(8)) AS t(p)
+), book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry FROM parts
+    QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16
+), {_vector_rounds(6)}, codes AS (
+    SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near6 GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(entry[i]::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+    FROM book6, unnest(range(1, len(entry) + 1)) AS t(i)
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (vec_id), digest
+"""
+
+
+@_query
+def op12_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints_of_edits(_table(spark, sf_dir, "documents"))
+
+
+def _rebuilt(own: DataFrame) -> DataFrame:
+    """Of numbered turns: every conversation begins with up to three turns of the one whose number ends the twenty before."""
+    convs = own.select("conv").distinct().select(
+        "conv",
+        (F.col("conv") - F.col("conv") % 20).alias("of"),
+        (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).alias("h"),
+    )
+    turns = own.select(F.col("conv").alias("of"), "pos", "a", "b", "words")
+    starts = convs.join(turns.where("pos <= 3"), "of").where("pos <= h").select("conv", "pos", "a", "b", "words")
+    n_starts = starts.groupBy("conv").agg(F.count("*").alias("n_start"))
+    known = convs.join(n_starts, "conv", "left").select("conv", "h", F.coalesce("n_start", F.lit(0)).alias("n_start"))
+    rest = own.join(known, "conv").where("pos > h")
+    rest = rest.select("conv", (F.col("pos") - F.col("h") + F.col("n_start")).alias("pos"), "a", "b", "words")
+    # Every conversation is there even if nothing is left of it.
+    there = convs.select("conv", *(F.lit(None).cast("long").alias(c) for c in ("pos", "a", "b", "words")))
+    return starts.unionByName(rest).unionByName(there)
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.numbered(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.build(_rebuilt(own)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+# CRC-32 bit by bit: the reversed polynomial for each bit of each character.
+LLM_ORACLE["op13_prefix_trie"] = r"""
+WITH own AS (
+    SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id
+                              ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+    SELECT conv, pos, dense_rank() OVER (ORDER BY role, text) AS id,
+           len(regexp_extract_all(text, '[^ 	-
+]+')) AS words
+    FROM own
+), convs AS (
+    SELECT conv, conv - conv % 20 AS of,
+           xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(conv::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+                                          lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv FROM ids)
+), starts AS (
+    SELECT convs.conv, pos, id, words FROM convs JOIN ids ON ids.conv = convs.of WHERE pos <= h
+), rebuilt AS (
+    FROM starts UNION ALL
+    SELECT ids.conv, pos - h + coalesce(n, 0), id, words
+    FROM ids JOIN convs USING (conv) LEFT JOIN (SELECT conv, count(*) AS n FROM starts GROUP BY conv) USING (conv)
+    WHERE pos > h
+), whole AS (
+    SELECT conv, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []) AS ids,
+           coalesce(list(words ORDER BY pos) FILTER (id IS NOT NULL), []) AS words
+    FROM convs LEFT JOIN rebuilt USING (conv) GROUP BY conv
+), nodes AS (
+    SELECT d AS depth, list_slice(ids, 1, d) AS path, min(conv) AS conv_id, count(*) AS n_convs,
+           min(CASE WHEN d = 0 THEN 0 ELSE words[d] END) AS words,
+           sha256(coalesce(string_agg(CASE WHEN len(ids) = d THEN conv::VARCHAR END, ',' ORDER BY conv), '')) AS ends_sha256
+    FROM whole, unnest(range(len(ids) + 1)) AS t(d) GROUP BY depth, path
+), children AS (
+    SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+    SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)
+), subtrees AS (
+    SELECT list_slice(path, 1, up) AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+           sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+    FROM counted, unnest(range(depth + 1)) AS t(up) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1)
+"""
