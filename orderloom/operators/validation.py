@@ -22,6 +22,7 @@ from pyspark.sql.types import (
 )
 
 from orderloom.operators.records import RECORDS, Field, Kind, Record
+from orderloom.sources.base import ROW
 from orderloom.sources.delimited import UNPARSED
 
 MODES = ("strict", "filter", "flag")
@@ -323,13 +324,14 @@ def _flagged(judged: DataFrame, fields: list[CheckedField]) -> DataFrame:
 def _rejects(df: DataFrame, fields: list[CheckedField]) -> DataFrame:
     """Row id, broken rules and original data of each invalid row.
 
-    Ids ascend in reading order but are not contiguous. Error arrays are built after the filter,
-    for invalid rows only.
+    The id is the row's number in its source, where the frame has it (``_row``). Otherwise ids ascend in
+    reading order but are not contiguous. Error arrays are built after the filter, for invalid rows only.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    number = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != ROW))
     data = F.to_json(row, {"ignoreNullFields": "false"})
     return (
-        with_parsed(df.withColumn(_ROW_ID, F.monotonically_increasing_id()), fields)
+        with_parsed(df.withColumn(_ROW_ID, number), fields)
         .where(~_passes(fields))
         .select(_ROW_ID, _errors(fields).alias("_errors"), data.alias("_data"))
     )

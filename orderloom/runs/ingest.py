@@ -13,6 +13,7 @@ from orderloom.operators.validation import SchemaValidator
 from orderloom.sinks import LoadError, Warehouse
 from orderloom.sources import DelimitedSource
 from orderloom.sources.base import SPARK_ERRORS
+from orderloom.sources.delimited import BROKEN_RECORD
 
 logger = logging.getLogger(__name__)
 
@@ -24,7 +25,7 @@ class Job:
     table: str
     schema: str = "raw"
     date_columns: tuple[str, ...] = ()
-    multi_line: bool = False
+    multi_line: bool | None = None
     date_formats: tuple[str, ...] | None = None
     day_first: bool = False
 
@@ -54,8 +55,12 @@ class RunReport:
 class IngestRun:
     """Runs the jobs one after another; a failed job is reported and the others go on.
 
-    ``rejects_schema`` names a layer in which invalid rows are kept as ``<table>_rejects``. That
-    takes a second pass over the file; without it they are only counted, while the rest is loaded.
+    ``rejects_schema`` names a layer in which invalid rows are kept as ``<table>_rejects`` with their row numbers
+    in the file. That takes a second pass over the file, and one that numbers its rows; without it they are only
+    counted, while the rest is loaded.
+
+    A file is first read as if no record had line breaks, which saves the search for them. If one has,
+    nothing is loaded, and the file is read again with the breaks (unless the job rules them out).
     """
 
     def __init__(
@@ -87,14 +92,23 @@ class IngestRun:
         return report
 
     def _process(self, job: Job, report: RunReport) -> None:
+        try:
+            self._load(job, report, bool(job.multi_line))
+        except LoadError as error:
+            if job.multi_line is not None or BROKEN_RECORD not in str(error):
+                raise
+            self._load(job, report, True)
+
+    def _load(self, job: Job, report: RunReport, multi_line: bool) -> None:
         source = DelimitedSource(
             self.warehouse.spark,
             f"{self.data_dir}/{job.file}",
             source_name=f"csv_{job.name}",
             parse_dates=job.date_columns,
-            multi_line=job.multi_line,
+            multi_line=multi_line,
             date_formats=job.date_formats,
             day_first=job.day_first,
+            number_rows=self.rejects_schema is not None,
         )
         checked = self.validator.check(source.extract(self.loaded_at), job.name)
         try:

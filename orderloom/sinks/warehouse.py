@@ -7,23 +7,30 @@ import re
 import uuid
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from orderloom.operators.upsert import matched_keys, merge_rows
-from orderloom.session import remove_folder, scratch_path
-from orderloom.sources.base import SPARK_ERRORS, reason
+from orderloom.session import materialize, remove_folder
+from orderloom.sinks.versions import Conflict, Version, VersionLog
+from orderloom.sources.base import ROW, SPARK_ERRORS, reason
 
 logger = logging.getLogger(__name__)
 
 LAYERS = ("raw", "staging", "intermediate", "marts")
 MODES = ("append", "replace", "fail")
 
-# Names of a new version until it takes the table's name, and the folders of versions.
+# Names of a new version until it takes the table's name, the folders of versions, and the property with its number.
 _NEXT = "__next_"
-_VERSION = re.compile(r"/v-[0-9a-f]{32}/?$")
+_VERSION = re.compile(r"/v-[0-9a-f]{32}(?=/|$)")
+_NUMBER = "orderloom.version"
+#: How often a writer starts again after another one was first.
+ATTEMPTS = 5
+#: Partitions that one statement adds to a new catalog entry.
+_PARTITIONS_AT_ONCE = 500
 
 # Columns of the raw tables.
 _LOAD_COLUMNS = "_loaded_at timestamp_ntz, _source string"
@@ -47,25 +54,33 @@ class Warehouse:
     ``prefix`` names the databases (``<prefix>raw`` and so on), ``location`` is the folder they
     live in; by default that is Spark's warehouse folder.
 
-    Every version of a table is a folder of its own, written whole before the catalog points to it; the
-    folder before it is deleted last. No file is ever renamed or overwritten by a rebuild, so a job
-    that fails leaves the old version as it was.
+    Every version of a table is a folder of its own, written whole before anything points to it. One marker
+    file makes it the table's version (see ``versions``); then the catalog follows, and the folders that no
+    version needs are deleted last. No file is ever renamed or overwritten by a rebuild, so a job that fails leaves the old
+    version as it was.
+
+    Writers may work at the same time. A rebuild that comes later replaces the earlier one; an upsert that started
+    from a version that is not the latest any more starts again, ``ATTEMPTS`` times at most; of two that
+    create a table with ``fail`` one is refused. An append whose table is rebuilt meanwhile raises ``LoadError``, as
+    the other writer may or may not have seen its rows.
     """
 
     def __init__(self, spark: SparkSession, prefix: str = "", location: str | None = None):
         self.spark = spark
         self.prefix = prefix
         self.location = location
+        self._followed: dict[str, int] = {}
 
     def create(self) -> Warehouse:
         """Create databases and raw tables that do not exist yet."""
         for layer in LAYERS:
             place = f" LOCATION '{self.location}/{layer}'" if self.location else ""
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.prefix}{layer}{place}")
-        for name, columns in RAW_TABLES.items():
-            if not self._finished(self.name(name, "raw")):
-                place = self._new_folder(self.name(name, "raw"))
-                self.spark.sql(f"CREATE TABLE {self.name(name, 'raw')} ({columns}) USING parquet LOCATION '{place}'")
+        for table, columns in RAW_TABLES.items():
+            name = self.name(table, "raw")
+            if not self._finished(name):
+                place = self._new_folder(name)
+                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{place}'")
         return self
 
     def name(self, table: str, schema: str) -> str:
@@ -101,9 +116,11 @@ class Warehouse:
                     raise LoadError(f"{name} exists already")
                 rows = 0
             elif exists and if_exists == "append":
-                rows = _write(self._conform(df, name, fill=True), name, "append")
+                rows = self._append(df, name)
             else:
-                rows = self._swap_in(df, name)
+                rows = self._rebuild(df.drop(ROW), name, is_new=if_exists == "fail")
+        except Conflict as error:
+            raise LoadError(f"{name} exists already") from error
         except SPARK_ERRORS as error:
             raise LoadError(f"{name} was not loaded: {reason(error)}") from error
         if rows == 0:
@@ -124,7 +141,7 @@ class Warehouse:
         name = self.name(table, schema)
         self._finished(name)
         rows = df.hint("rebalance", *partition_by) if partition_by else df
-        self._swap_in(rows, name, keep_empty=True, partition_by=partition_by)
+        self._rebuild(rows, name, keep_empty=True, partition_by=partition_by)
         return self.spark.table(name).select(*df.columns)
 
     def publish_view(self, df: DataFrame, name: str) -> DataFrame:
@@ -143,59 +160,82 @@ class Warehouse:
     ) -> int:
         """Insert rows or update those whose key exists; return the number of input rows.
 
-        ``order_by`` names the columns that say which of several changes of one key comes later; a
-        distributed frame has no row order of its own. By default all columns are compared. The
-        table must be unique by key where it meets the changes.
+        ``order_by`` names the columns that say which of several changes of one key comes later. By default
+        that is ``_row``, the row's number in its source, if the frame has it, and otherwise all columns are compared: a
+        distributed frame has no row order of its own. The table must be unique by key where it meets the changes.
 
-        The table keeps its partitioning. A partitioned table gets new files only in the partitions that
-        the changes touch; any other is written anew beside the old version, which serves until then.
+        The table keeps its partitioning. A partitioned table gets new files only for the partitions that the
+        changes touch; any other is written anew beside the old version, which serves until then. Either way
+        all changes are seen at once or not at all.
         """
         name = self.name(table_name, schema)
-        staged = f"{name}__changes_{uuid.uuid4().hex}"
-        matched = None
         try:
             self._finished(name)
-            rows = _write(self._conform(df, name, fill=False), staged, "errorifexists")
-            changes, target = self.spark.table(staged), self.spark.table(name)
-            updates = update_columns
-            if updates is None:
-                updates = [c for c in changes.columns if c not in key_columns]
-            if rows == 0:
-                return 0
-            matched = matched_keys(target, changes, key_columns).persist()
-            if not matched.where("n_rows > 1").isEmpty():
-                raise LoadError(f"{name} is not unique by {key_columns}")
-            if updates or not _all_known(matched, changes, key_columns):
-                parts = self._partition_columns(name)
-                touched = None
-                if parts:
-                    touched = self._touched(target, changes, matched, key_columns, parts)
-                    target = _of_partitions(target, touched, parts)
-                merged = merge_rows(
-                    target,
-                    changes,
-                    matched,
-                    key_columns,
-                    updates,
-                    order_by or changes.columns,
-                    _defaults(),
-                )
-                if touched is None:
-                    self._swap_in(merged, name)
-                else:
-                    self._replace_partitions(merged, name, touched, parts)
+            rows, changes = self._staged(df, name)
+            order = order_by or ([ROW] if ROW in changes.columns else changes.columns)
+            columns = [c for c in changes.columns if c != ROW]
+            updates = [c for c in columns if c not in key_columns] if update_columns is None else update_columns
+            if rows:
+                self._merge(name, changes, columns, key_columns, updates, order)
             return rows
         except SPARK_ERRORS as error:
             raise LoadError(f"{name} was not loaded: {reason(error)}") from error
+
+    def _staged(self, df: DataFrame, name: str) -> tuple[int, DataFrame]:
+        """The changes as a written table with the target's types, and their number."""
+        counted = Observation()
+        changes = self._conform(df, name, fill=False).observe(counted, F.count(F.lit(1)).alias("rows"))
+        written = materialize(changes, "changes")
+        return counted.get["rows"], written
+
+    def _merge(self, name, changes, columns, keys, updates, order) -> None:
+        """Merge the changes into the latest version, again if another writer was first."""
+        for _ in range(ATTEMPTS):
+            base = self._log(name).number()
+            try:
+                self._merge_into(name, base, changes, columns, keys, updates, order)
+                return
+            except Conflict:
+                logger.info("%s was changed by another writer, starting again", name)
+            except SPARK_ERRORS:
+                # The other writer may have deleted files of the version that was being read.
+                if self._log(name).number() == base:
+                    raise
+            self._finished(name)
+            self.spark.catalog.refreshTable(name)
+        raise LoadError(f"{name} was changed by other writers {ATTEMPTS} times")
+
+    def _merge_into(self, name, base, changes, columns, keys, updates, order) -> None:
+        target, parts = self.spark.table(name), self._partition_columns(name)
+        matched = matched_keys(target, changes, keys).persist()
+        try:
+            if not matched.where("n_rows > 1").isEmpty():
+                raise LoadError(f"{name} is not unique by {keys}")
+            if not updates and _all_known(matched, changes, keys):
+                return
+            defaults = _defaults()
+            touched = self._touched(target, changes, matched, keys, parts) if parts else None
+            rows = _of_partitions(target, touched, parts) if parts else target
+            merged = merge_rows(rows, changes.select(*columns, *self._order_only(changes, columns, order)), matched, keys, updates, order, defaults)
+            folder = self._new_folder(name)
+            try:
+                _write_files(merged, folder, parts)
+                kept, gone = self._kept_and_gone(target, touched, parts) if parts else ([], [])
+                self._commit(name, Version(base + 1, folder, _ddl(target), parts, kept), gone)
+            except BaseException:
+                self._remove_unused(name, folder)
+                raise
         finally:
-            if matched is not None:
-                matched.unpersist()
-            self.spark.sql(f"DROP TABLE IF EXISTS {staged}")
+            matched.unpersist()
+
+    @staticmethod
+    def _order_only(changes: DataFrame, columns: Sequence[str], order: Sequence[str]) -> list[str]:
+        return [c for c in changes.columns if c not in columns and c in order]
 
     def _conform(self, df: DataFrame, name: str, fill: bool) -> DataFrame:
         """The frame with the table's types; with ``fill`` also with all its columns, in order."""
         schema = self.spark.table(name).schema
-        unknown = [c for c in df.columns if c not in schema.names]
+        unknown = [c for c in df.columns if c not in schema.names and c != ROW]
         if unknown:
             raise LoadError(f"{name} has no column {unknown}")
         defaults = _defaults()
@@ -207,61 +247,136 @@ class Warehouse:
             given = F.col(f"`{column}`")
             return given if df.schema[column].dataType == kind else _exactly(given, column, kind)
 
-        names = schema.names if fill else df.columns
-        return df.select(*(value(c).alias(c) for c in names))
+        names = schema.names if fill else [c for c in df.columns if c in schema.names]
+        number = [] if fill or ROW not in df.columns or ROW in schema.names else [F.col(ROW)]
+        return df.select(*(value(c).alias(c) for c in names), *number)
 
-    def _swap_in(
-        self, df: DataFrame, name: str, keep_empty: bool = False, partition_by: Sequence[str] = ()
-    ) -> int:
-        """Write a new version in a folder of its own, then let the catalog point to it.
+    def _append(self, df: DataFrame, name: str) -> int:
+        """Spark commits an append as one job; the version stays."""
+        base = self._log(name).number()
+        rows = _write(self._conform(df, name, fill=True), name)
+        if self._log(name).number() != base:
+            raise LoadError(f"{name} was rebuilt while rows were appended; whether it has them is not known")
+        return rows
 
-        Where columns and layout stay, that is one change of the table's location. Otherwise the new
-        version takes the name of the old entry, which is dropped without its files; if a job
-        dies between these two, ``_finished`` completes the swap at the next access.
-        """
-        fresh, folder, old = f"{name}{_NEXT}{uuid.uuid4().hex}", self._new_folder(name), None
+    def _rebuild(
+        self,
+        df: DataFrame,
+        name: str,
+        keep_empty: bool = False,
+        partition_by: Sequence[str] = (),
+        is_new: bool = False,
+    ) -> int:
+        """Write a new version; with ``is_new`` it has to be the first one."""
+        folder = self._new_folder(name)
         try:
-            rows = _write(df, fresh, "errorifexists", partition_by, folder)
-            if rows or keep_empty:
-                old = self._location(name)
-                if old and not partition_by and self._same_shape(name, fresh):
-                    self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
-                    self.spark.sql(f"DROP TABLE {fresh}")
-                    self.spark.catalog.refreshTable(name)
-                else:
-                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                    self._take_name(fresh, name)
-                folder = old
-        finally:
-            self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-            # The folder that nothing points to now: the old version, or a new one that failed.
-            if folder and _VERSION.search(folder):
+            rows = _write_files(df, folder, partition_by)
+            if not rows and not keep_empty:
                 remove_folder(self.spark, folder)
-        return rows
+                return 0
+            while True:
+                number = 1 if is_new else self._log(name).number() + 1
+                try:
+                    self._commit(name, Version(number, folder, _ddl(df), list(partition_by)))
+                    return rows
+                except Conflict:
+                    if is_new:
+                        raise
+        except BaseException:
+            self._remove_unused(name, folder)
+            raise
+
+    def _remove_unused(self, name: str, folder: str) -> None:
+        """Remove the folder of a version that did not come about."""
+        latest = self._log(name).latest()
+        if latest is None or latest.folder != folder:
+            remove_folder(self.spark, folder)
+
+    def _commit(self, name: str, version: Version, gone: Sequence[str] = ()) -> None:
+        """Make the version the table's, let the catalog follow, and delete what no version needs any more: whole
+        folders of versions, and partitions that are gone from the others."""
+        log = self._log(name)
+        before = log.latest()
+        place = self._location(name)
+        log.claim(version)
+        self._follow(name, version)
+        old = {version_root(f) for f in [*((before.folder, *before.kept) if before else ()), *([place] if place else ())]}
+        needed = {version_root(f) for f in (version.folder, *version.kept)}
+        for folder in [*(old - needed - {None}), *(f for f in gone if version_root(f) in needed)]:
+            remove_folder(self.spark, folder)
+
+    def _follow(self, name: str, version: Version) -> None:
+        """Let the catalog point to a version.
+
+        Where columns and layout stay, that is a change of the table's location. Otherwise a new entry takes the name of the
+        old one, which is dropped without its files; if the job dies between these two, ``_finished``
+        starts again from the version's marker.
+        """
+        number = f"'{_NUMBER}' = '{version.number}'"
+        exists = self.spark.catalog.tableExists(name)
+        if exists and not version.partition_by and _ddl(self.spark.table(name)) == version.columns and not self._partition_columns(name):
+            self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{version.folder}'")
+            self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({number})")
+        else:
+            fresh = f"{name}{_NEXT}{version.number}"
+            self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+            by = ", ".join(f"`{c}`" for c in version.partition_by)
+            self.spark.sql(
+                f"CREATE TABLE {fresh} ({version.columns}) USING parquet {f'PARTITIONED BY ({by})' if by else ''} "
+                f"LOCATION '{version.folder}' TBLPROPERTIES ({number})"
+            )
+            if by:
+                self.spark.sql(f"ALTER TABLE {fresh} RECOVER PARTITIONS")
+                self._add_partitions(fresh, version.kept, len(version.partition_by))
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._take_name(fresh, name)
+        self.spark.catalog.refreshTable(name)
+        self._followed[name] = version.number
+
+    def _add_partitions(self, name: str, folders: Sequence[str], depth: int) -> None:
+        """Partitions whose files lie in folders of earlier versions."""
+        for start in range(0, len(folders), _PARTITIONS_AT_ONCE):
+            added = []
+            for folder in folders[start : start + _PARTITIONS_AT_ONCE]:
+                pairs = (part.split("=", 1) for part in folder.rstrip("/").split("/")[-depth:])
+                spec = ", ".join(f"`{unquote(c)}` = {_literal(_partition_value(v))}" for c, v in pairs)
+                added.append(f"PARTITION ({spec}) LOCATION '{folder}'")
+            self.spark.sql(f"ALTER TABLE {name} ADD {' '.join(added)}")
 
     def _take_name(self, fresh: str, name: str) -> None:
         """Only the catalog changes: the table is external, so its files stay where they are."""
         self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
 
     def _finished(self, name: str) -> bool:
-        """Whether the table exists, after completing or clearing away a swap that was cut off."""
-        exists = self.spark.catalog.tableExists(name)
+        """Whether the table exists, after the catalog has followed a version that it has not followed yet."""
         database, table = name.split(".")
         if not self.spark.catalog.databaseExists(database):
-            return exists
-        for left in self.spark.sql(f"SHOW TABLES IN {database} LIKE '{table}{_NEXT}*'").collect():
-            fresh = f"{database}.{left['tableName']}"
-            if exists:
-                self.spark.sql(f"DROP TABLE {fresh}")
-            else:
-                self._take_name(fresh, name)
-                exists = True
+            return False
+        exists, number = self.spark.catalog.tableExists(name), self._log(name).number()
+        if number and (not exists or self._followed.get(name) != number):
+            if not exists or self._number_of(name) != number:
+                self._follow(name, self._log(name).latest())
+                for left in self.spark.sql(f"SHOW TABLES IN {database} LIKE '{table}{_NEXT}*'").collect():
+                    if int(left["tableName"].rsplit("_", 1)[1]) <= number:
+                        self.spark.sql(f"DROP TABLE IF EXISTS {database}.{left['tableName']}")
+            self._followed[name], exists = number, True
         return exists
 
-    def _new_folder(self, name: str) -> str:
+    def _number_of(self, name: str) -> int:
+        """The version that the catalog points to."""
+        found = self.spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == _NUMBER).first()
+        return int(found["value"]) if found else 0
+
+    def _log(self, name: str) -> VersionLog:
+        return VersionLog(self.spark, self._table_folder(name))
+
+    def _table_folder(self, name: str) -> str:
         database, table = name.split(".")
         root = self.spark.catalog.getDatabase(database).locationUri
-        return f"{root.rstrip('/')}/{table}/v-{uuid.uuid4().hex}"
+        return f"{root.rstrip('/')}/{table}"
+
+    def _new_folder(self, name: str) -> str:
+        return f"{self._table_folder(name)}/v-{uuid.uuid4().hex}"
 
     def _location(self, name: str) -> str | None:
         if not self.spark.catalog.tableExists(name):
@@ -269,17 +384,13 @@ class Warehouse:
         lines = self.spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
         return next(line["data_type"] for line in lines if line["col_name"] == "Location")
 
-    def _same_shape(self, name: str, other: str) -> bool:
-        shapes = [[(f.name, f.dataType) for f in self.spark.table(t).schema.fields] for t in (name, other)]
-        return shapes[0] == shapes[1] and not self._partition_columns(name)
-
     def _partition_columns(self, name: str) -> list[str]:
         return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
 
     def _touched(
         self, target: DataFrame, changes: DataFrame, matched: DataFrame, keys: Sequence[str], parts: list[str]
-    ) -> list[Row]:
-        """Partitions that hold a row to update or get a new one; no more than there are partitions."""
+    ) -> DataFrame:
+        """Partitions that hold a row to update or get a new one, as a written table."""
         defaults = _defaults()
         to = [
             F.col(f"`{c}`") if c in changes.columns else defaults.get(c, F.lit(None)).cast(target.schema[c].dataType).alias(c)
@@ -287,47 +398,50 @@ class Warehouse:
         ]
         columns = [F.col(f"`{c}`") for c in parts]
         held = target.join(matched.select(*keys), list(keys), "left_semi").select(*columns)
-        return held.unionAll(changes.select(*to)).distinct().collect()
+        return materialize(held.unionAll(changes.select(*to)).distinct(), "touched")
 
-    def _replace_partitions(self, df: DataFrame, name: str, touched: list[Row], parts: list[str]) -> None:
-        """Replace the touched partitions by the rows of ``df``.
+    def _kept_and_gone(self, target: DataFrame, touched: DataFrame, parts: list[str]) -> tuple[list[str], list[str]]:
+        """Folders of the partitions that stay as they are, and of those that are replaced."""
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+        folders = target.select(*(F.col(f"`{c}`") for c in parts), folder.alias("_folder")).distinct()
+        marked = touched.withColumn("_touched", F.lit(True))
+        found = folders.join(F.broadcast(marked), _same(folders, marked, parts), "left").select("_folder", "_touched").collect()
+        return [r[0] for r in found if not r[1]], [r[0] for r in found if r[1]]
 
-        The rows are complete in a table of their own before the first partition changes.
-        """
-        path = scratch_path(self.spark, "upsert")
-        try:
-            df.write.parquet(path)
-            # A session of its own, as only this write may replace single partitions.
-            session = self.spark.newSession()
-            session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            rows = session.read.schema(df.schema).parquet(path)
-            left = {tuple(row) for row in rows.select(*parts).distinct().collect()}
-            columns = [f"`{c}`" for c in session.table(name).columns]
-            rows.select(*columns).hint("rebalance", *parts).write.insertInto(name, overwrite=True)
-            for row in touched:
-                if tuple(row) not in left:
-                    spec = ", ".join(f"`{c}` = {_literal(row[c])}" for c in parts)
-                    self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
-            self.spark.catalog.refreshTable(name)
-        finally:
-            remove_folder(self.spark, path)
+
+def version_root(folder: str) -> str | None:
+    """The version's folder that a folder is or lies in."""
+    found = _VERSION.search(folder)
+    return folder[: found.end()] if found else None
 
 
-def _of_partitions(df: DataFrame, touched: list[Row], parts: list[str]) -> DataFrame:
-    """Rows of the given partitions; the condition reaches the scan as a partition filter."""
+def _same(one: DataFrame, two: DataFrame, columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (one[f"`{c}`"].eqNullSafe(two[f"`{c}`"]) for c in columns))
 
-    def one_of(column: str, values: set) -> Column:
+
+def _of_partitions(df: DataFrame, touched: DataFrame, parts: list[str]) -> DataFrame:
+    """Rows of the given partitions.
+
+    Each column's values are a list that prunes the scan, which does not grow with combinations; a join finds those.
+    """
+
+    def one_of(column: str) -> Column:
         given = F.col(f"`{column}`")
+        values = [r[0] for r in touched.select(f"`{column}`").distinct().collect()]
         found = given.isin(*(v for v in values if v is not None))
         return found | given.isNull() if None in values else found
 
-    # Column by column first, which prunes the scan; then the exact combinations.
-    coarse = reduce(lambda a, b: a & b, (one_of(c, {row[c] for row in touched}) for c in parts))
-    exact = reduce(
-        lambda a, b: a | b,
-        (reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.lit(row[c])) for c in parts)) for row in touched),
-    )
-    return df.where(coarse) if len(parts) == 1 else df.where(coarse & exact)
+    coarse = df.where(reduce(lambda a, b: a & b, (one_of(c) for c in parts)))
+    return coarse if len(parts) == 1 else coarse.join(touched, _same(coarse, touched, parts), "left_semi")
+
+
+def _partition_value(text: str) -> str | None:
+    # Fixed value: the folder name of null.
+    return None if text == "__HIVE_DEFAULT_PARTITION__" else unquote(text)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def _literal(value: object) -> str:
@@ -349,18 +463,18 @@ def _defaults() -> dict:
     return {"_loaded_at": F.localtimestamp()}
 
 
-def _write(
-    df: DataFrame, name: str, mode: str, partition_by: Sequence[str] = (), folder: str | None = None
-) -> int:
-    """Write to a table, a new one in the given folder, and count the rows on the way."""
+def _write(df: DataFrame, name: str) -> int:
+    """Append rows that have the table's columns in its order, and count them on the way."""
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(name)
+    return written.get["rows"]
+
+
+def _write_files(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> int:
+    """Write to a folder that nothing points to yet and count the rows on the way."""
     written = Observation()
     frame = df.observe(written, F.count(F.lit(1)).alias("rows"))
-    writer = frame.write.mode(mode).format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if folder:
-        writer = writer.option("path", folder)
-    writer.saveAsTable(name)
+    frame.write.partitionBy(*partition_by).parquet(folder)
     return written.get["rows"]
 
 

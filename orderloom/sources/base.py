@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The number of a row in its source, from 0. It is no data: loads leave it out.
+ROW = "_row"
+
+
 class ExtractionError(Exception):
     """A source is missing or cannot be read."""
 

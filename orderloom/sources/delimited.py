@@ -10,7 +10,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.sources.base import SPARK_ERRORS, ExtractionError, Source, reason
+from orderloom.sources import splits
+from orderloom.sources.base import ROW, SPARK_ERRORS, ExtractionError, Source, reason
 
 # Texts that mean "no value".
 NULL_TOKENS = (
@@ -37,6 +38,8 @@ _END_MARK = "\u0002"
 _RAW_LINE = "_raw_line"
 
 UNPARSED = "_unparsed_"
+#: How the error for a line break inside quotes begins, where none is expected.
+BROKEN_RECORD = "Line break inside quotes, read with multi_line"
 
 
 class DelimitedSource(Source):
@@ -51,8 +54,15 @@ class DelimitedSource(Source):
     every row and never guessed. A moment with an offset is converted to UTC.
 
     ``infer_types`` picks bigint, double or boolean for columns whose values all fit. It costs one
-    pass over the data. ``multi_line`` accepts line breaks inside quotes, but then a file can not
-    be split between tasks; without it such a break fails the read.
+    pass over the data.
+
+    Line breaks inside quotes are accepted. By default a pass over the quotes of all lines looks for them; with
+    ``multi_line`` they are expected, and without (False) the pass is saved and such a break fails the
+    read. Large files are read in splits either way (character sets of two or four bytes are not). Where breaks
+    are expected or found, a quote that is never closed fails in ``extract``.
+
+    ``number_rows`` adds ``_row``, the number of each row from 0 over all files in the order of their paths.
+    It costs one pass that parses nothing (none where line breaks are expected).
     """
 
     def __init__(
@@ -63,10 +73,11 @@ class DelimitedSource(Source):
         delimiter: str = ",",
         encoding: str = "utf-8",
         parse_dates: Sequence[str] = (),
-        multi_line: bool = False,
+        multi_line: bool | None = None,
         infer_types: bool = False,
         date_formats: Sequence[str] | Mapping[str, Sequence[str]] | None = None,
         day_first: bool = False,
+        number_rows: bool = False,
     ):
         self.spark = spark
         self.file_path = str(file_path)
@@ -74,6 +85,8 @@ class DelimitedSource(Source):
         self.parse_dates = tuple(parse_dates or ())
         self.multi_line = multi_line
         self.infer_types = infer_types
+        self.number_rows = number_rows
+        self._charset = _charset(encoding)
         self.date_formats = (*DATE_FORMATS, *(DAY_FIRST if day_first else MONTH_FIRST)) if date_formats is None else date_formats
         self._line_options = {
             "sep": delimiter,
@@ -86,9 +99,9 @@ class DelimitedSource(Source):
         self._file_options = {
             **self._line_options,
             "header": "true",
-            "encoding": _charset(encoding),
-            "multiLine": str(multi_line).lower(),
+            "encoding": self._charset,
         }
+        self._quoted_records = splits.QuotedRecords(spark, self.file_path, delimiter, self._charset)
 
     def extract(self, loaded_at: datetime | None = None, verify: bool = False) -> DataFrame:
         """Lazy frame of the records, with metadata.
@@ -107,8 +120,9 @@ class DelimitedSource(Source):
 
     def _header(self) -> list[str]:
         """Fields of the header line; blank ones are null."""
+        # Reading whole files is lazy too: only the beginning of one is read.
         lines = self.spark.read.options(**self._file_options).option("header", "false")
-        rows = lines.csv(self.file_path)
+        rows = lines.option("multiLine", str(self.multi_line is not False).lower()).csv(self.file_path)
         if not rows.columns:
             raise ExtractionError(f"{self.file_path} has no columns")
         return list(rows.first())
@@ -120,8 +134,18 @@ class DelimitedSource(Source):
         if absent:
             raise ExtractionError(f"{self.file_path} has no column {absent} to parse as date")
         fields = ", ".join(f"{_quoted(n)} string" for n in names)
+        if not splits.can_split(self._charset):
+            return self._fitting(self._scan(names, header, fields, True), names, fields, True)
+        multi_line = self.multi_line
         # With one column, a line that was cut off could not be told from a whole one afterwards.
-        multi_line = self.multi_line or len(names) == 1 and self._breaks_in_quotes()
+        if multi_line is None or not multi_line and len(names) == 1:
+            multi_line = not self._quoted_records.none_broken()
+        if multi_line:
+            return self._fitting(self._parsed_records(names, header, fields), names, fields, True)
+        return self._fitting(self._scan(names, header, fields, False), names, fields, False)
+
+    def _scan(self, names: list[str], header: list, fields: str, multi_line: bool) -> DataFrame:
+        """The rows as Spark's reader gives them; whole files at a time where records may span lines."""
         df = (
             self.spark.read.options(**self._file_options)
             .option("multiLine", str(multi_line).lower())
@@ -132,17 +156,32 @@ class DelimitedSource(Source):
             .schema(f"{fields}, `{_RAW_LINE}` string")
             .csv(self.file_path)
         )
+        if not self.number_rows:
+            return df
+        located = df.select("*", *(c.alias(n) for n, c in splits.placed(df).items()))
+        return splits.numbered(self.spark, self.file_path, located, ROW)
+
+    def _parsed_records(self, names: list[str], header: list, fields: str) -> DataFrame:
+        """The rows of records that may span lines, whose files are read in splits."""
+        records = self._quoted_records.frame()
+        options = {**self._line_options, "multiLine": "true", "columnNameOfCorruptRecord": _RAW_LINE}
+        parsed = F.from_csv("record", F.lit(f"{fields}, `{_RAW_LINE}` string"), options)
+        # An exploded array keeps the record from being parsed once per column.
+        rows = records.select("header", F.col("row").alias(ROW), F.explode(F.array(parsed)).alias("r"))
+        same = F.lit(True)
+        for name in names if names == header else []:
+            same = same & F.col("r")[name].eqNullSafe(F.lit(name))
+        other = F.raise_error(F.lit(f"A file of {self.file_path} has another header")).cast("boolean")
+        # One condition: as two, the second would imply the first, and Spark would leave that out.
+        is_row = F.when(~F.col("header"), True).when(same, False).otherwise(other)
+        return rows.where(is_row).select("r.*", *([ROW] if self.number_rows else []))
+
+    def _fitting(self, df: DataFrame, names: list[str], fields: str, multi_line: bool) -> DataFrame:
+        """The named columns of rows that are neither too long nor cut off; others fail the read."""
         # The second condition is always true. It is not deterministic, which keeps Spark from
         # merging later filters into this one: they might drop a row before it is found broken.
         fits = self._row_fits(names, fields, multi_line) & (F.monotonically_increasing_id() >= 0)
-        return df.where(fits).select(*(_null_tokens(n) for n in names))
-
-    def _breaks_in_quotes(self) -> bool:
-        """Whether some line has an odd number of quotes; the pass is split between tasks."""
-        plain = {**self._file_options, "header": "false", "multiLine": "false", "quote": "", "sep": _NO_TOKEN}
-        lines = self.spark.read.options(**plain).schema("line string").csv(self.file_path)
-        quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-        return not lines.where(quotes % 2 == 1).isEmpty()
+        return df.where(fits).select(*(_null_tokens(n) for n in names), *([ROW] if self.number_rows else []))
 
     def _row_fits(self, names: list[str], fields: str, multi_line: bool) -> Column:
         """True, or an error for a row with more fields than the header or cut off inside quotes.
@@ -167,7 +206,7 @@ class DelimitedSource(Source):
             F.lit(f"Expected {len(names)} fields, saw more, in row starting with "), start
         )
         broken = F.concat(
-            F.lit("Line break inside quotes, read with multi_line, in row starting with "), start
+            F.lit(f"{BROKEN_RECORD}, in row starting with "), start
         )
         return (
             F.when(raw.isNull(), True)
@@ -185,7 +224,7 @@ class DelimitedSource(Source):
                 {name: moment, UNPARSED + name: F.when(moment.isNull(), text)}
             )
         if self.infer_types:
-            dates = {n for d in self.parse_dates for n in (d, UNPARSED + d)}
+            dates = {ROW, *(n for d in self.parse_dates for n in (d, UNPARSED + d))}
             df = df.withColumns(_inferred(df, [n for n in df.columns if n not in dates]))
         return df
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import threading
 from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
@@ -9,7 +10,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.sinks import LoadError
+from orderloom.sinks import LoadError, Warehouse
+from orderloom.sinks import warehouse as sinks
+from orderloom.sinks.versions import Version, VersionLog
+from orderloom.sources import DelimitedSource
 from tests.conftest import rows
 
 T1 = datetime(2024, 1, 1)
@@ -115,17 +119,38 @@ def test_failed_replace_keeps_the_table(spark, warehouse):
     assert tables(warehouse) == ["customers", "orders", "products"]
 
 
-def test_cut_off_swap_is_completed(spark, warehouse):
-    """The job died after the old entry was dropped, or before."""
+class Died(Exception):
+    pass
+
+
+def dies(*_):
+    raise Died
+
+
+def test_cut_off_swap_is_completed(spark, warehouse, monkeypatch):
+    """The job died after the version was made: before the catalog changed, or between its two changes."""
     warehouse.load(products(spark, P1), "products")
-    name = warehouse.name("products", "raw")
-    place = warehouse._new_folder(name)
-    spark.table(name).write.option("path", place).saveAsTable(f"{name}__next_1")
-    spark.sql(f"DROP TABLE {name}")
-    assert keys(warehouse) == ["P1"]
-    spark.sql(f"CREATE TABLE {name}__next_2 USING parquet LOCATION '{place}2' AS SELECT 1 AS x")
-    assert keys(warehouse) == ["P1"]
-    assert tables(warehouse) == ["customers", "orders", "products"]
+    frame = products(spark, P2).select("product_id", "price")
+    for step in ("_follow", "_take_name"):
+        with monkeypatch.context() as broken:
+            broken.setattr(warehouse, step, dies)
+            with pytest.raises(Died):
+                warehouse.load(frame, "products", if_exists="replace")
+        assert keys(warehouse) == ["P2"]
+        assert tables(warehouse) == ["customers", "orders", "products"]
+        assert warehouse.load(products(spark, P1), "products", if_exists="replace") == 1
+    assert keys(Warehouse(spark, warehouse.prefix, warehouse.location)) == ["P1"]
+
+
+def test_another_writer_sees_versions_that_it_did_not_make(spark, warehouse, monkeypatch):
+    other = Warehouse(spark, warehouse.prefix, warehouse.location)
+    assert keys(other) == []
+    warehouse.load(products(spark, P1), "products", if_exists="replace")
+    assert keys(other) == ["P1"]
+    monkeypatch.setattr(warehouse, "_take_name", dies)
+    with pytest.raises(Died):
+        warehouse.load(products(spark, P2).select("product_id"), "products", if_exists="replace")
+    assert keys(other) == ["P2"]
 
 
 def files(df):
@@ -159,7 +184,7 @@ def test_a_version_is_a_folder_that_is_never_renamed(spark, warehouse, partition
     assert rows(published) == rows(frame)
     assert all(seen[-1].split("/")[-1] in f for f in published.inputFiles())
     folder = Path(seen[-1].removeprefix("file:")).parent
-    assert [f.name for f in folder.iterdir()] == [seen[-1].split("/")[-1]]
+    assert [f.name for f in folder.iterdir() if f.name != "_versions"] == [seen[-1].split("/")[-1]]
 
 
 def test_upsert_keeps_partitions_and_rewrites_only_those_it_touches(spark, warehouse):
@@ -185,6 +210,112 @@ def test_upsert_empties_a_partition(spark, warehouse):
     assert rows(warehouse.table("t", "marts")) == [(0, 0), (1, 2), (2, 2)]
 
 
+@pytest.mark.parametrize("step", ["_write_files", "_commit", "_kept_and_gone"])
+def test_an_upsert_of_partitions_that_stops_leaves_the_old_table(spark, warehouse, monkeypatch, step):
+    """New partitions are complete in a folder that nothing points to; stopping there changes nothing."""
+    warehouse.publish(spark.sql("select id, id % 4 as p, 'old' as v from range(40)"), "t", "marts", ["p"])
+    before, listed = state_of(warehouse, "t"), files(warehouse.table("t", "marts"))
+    changes = spark.sql("select id, id % 4 as p, 'new' as v from range(0, 40, 3)")
+    with monkeypatch.context() as broken:
+        if step == "_write_files":
+            write = sinks._write_files
+            broken.setattr(sinks, step, lambda *a: (write(*a), dies()))
+        else:
+            broken.setattr(warehouse, step, dies)
+        with pytest.raises(Died):
+            warehouse.upsert(changes, "t", "marts", ["id"])
+    assert state_of(warehouse, "t") == before and files(warehouse.table("t", "marts")) == listed
+    assert warehouse.upsert(changes, "t", "marts", ["id"]) == 14
+    assert state_of(warehouse, "t") == sorted((i, "new" if i % 3 == 0 else "old", i % 4) for i in range(40))
+
+
+def state_of(warehouse, table):
+    return sorted(tuple(r) for r in warehouse.table(table, "marts").select("id", "v", "p").collect())
+
+
+def test_an_upsert_of_partitions_that_stops_after_its_version_is_completed(spark, warehouse, monkeypatch):
+    warehouse.publish(spark.sql("select id, id % 4 as p, 'old' as v from range(8)"), "t", "marts", ["p"])
+    with monkeypatch.context() as broken:
+        broken.setattr(warehouse, "_add_partitions", dies)
+        with pytest.raises(Died):
+            warehouse.upsert(spark.sql("select 1L as id, 1L as p, 'new' as v"), "t", "marts", ["id"])
+    assert state_of(warehouse, "t") == [(i, "new" if i == 1 else "old", i % 4) for i in range(8)]
+    assert warehouse.load(spark.sql("select 9L as id, 7L as p, 'more' as v"), "t", "marts") == 1
+    assert warehouse.upsert(spark.sql("select 9L as id, 1L as p, 'moved' as v"), "t", "marts", ["id"]) == 1
+    assert state_of(warehouse, "t")[-1] == (9, "moved", 1)
+
+
+@pytest.mark.parametrize("partitions", [[], ["p"]])
+def test_two_upserts_of_one_version(spark, warehouse, monkeypatch, partitions):
+    """The second starts from the version that the first replaces: it starts again and no row is lost."""
+    warehouse.publish(spark.sql("select id, 'old' as v, id % 3 as p from range(6)"), "t", "marts", partitions)
+    other = Warehouse(spark, warehouse.prefix, warehouse.location)
+    commit, tried = other._commit, []
+
+    def late(*args):
+        if not tried:
+            tried.append(warehouse.upsert(spark.sql("select 0L as id, 'first' as v, 0L as p union all select 7L, 'first', 1L"), "t", "marts", ["id"]))
+        return commit(*args)
+
+    monkeypatch.setattr(other, "_commit", late)
+    changes = spark.sql("select 1L as id, 'second' as v, 1L as p union all select 8L, 'second', 2L")
+    assert other.upsert(changes, "t", "marts", ["id"]) == 2
+    want = {i: "old" for i in range(6)} | {0: "first", 7: "first", 1: "second", 8: "second"}
+    assert {i: v for i, v, _ in state_of(warehouse, "t")} == want == {i: v for i, v, _ in state_of(other, "t")}
+
+
+def test_an_upsert_that_is_always_late_raises(spark, warehouse, monkeypatch):
+    warehouse.publish(spark.sql("select id, 'old' as v, id % 3 as p from range(3)"), "t", "marts")
+    monkeypatch.setattr(warehouse, "_commit", lambda *a: (_ for _ in ()).throw(sinks.Conflict("late")))
+    with pytest.raises(LoadError, match="other writers"):
+        warehouse.upsert(spark.sql("select 1L as id, 'x' as v, 1L as p"), "t", "marts", ["id"])
+    assert {v for _, v, _ in state_of(warehouse, "t")} == {"old"}
+
+
+def test_two_writers_that_create_a_table(spark, warehouse, monkeypatch):
+    other = Warehouse(spark, warehouse.prefix, warehouse.location)
+    commit = other._commit
+    monkeypatch.setattr(other, "_commit", lambda *a: (warehouse.load(products(spark, P1), "new", if_exists="fail"), commit(*a)))
+    with pytest.raises(LoadError, match="exists"):
+        other.load(products(spark, P2), "new", if_exists="fail")
+    assert keys(other, "new") == ["P1"]
+
+
+def test_an_append_to_a_table_that_is_rebuilt_meanwhile_raises(spark, warehouse, monkeypatch):
+    warehouse.load(products(spark, P1), "products", if_exists="replace")
+    write = sinks._write
+
+    def late(*args):
+        monkeypatch.setattr(sinks, "_write", write)
+        Warehouse(spark, warehouse.prefix, warehouse.location).load(products(spark, P2), "products", if_exists="replace")
+        return write(*args)
+
+    monkeypatch.setattr(sinks, "_write", late)
+    with pytest.raises(LoadError):
+        warehouse.load(products(spark, P1), "products")
+
+
+def test_only_one_marker_of_a_number(spark, tmp_path):
+    """Many threads claim the same version: one gets it."""
+    log, won = VersionLog(spark, f"file:{tmp_path}/t"), []
+
+    def claim(i):
+        try:
+            log.claim(Version(1, f"folder {i}", "a int"))
+            won.append(i)
+        except sinks.Conflict:
+            pass
+
+    threads = [threading.Thread(target=claim, args=(i,)) for i in range(12)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert len(won) == 1 and log.latest() == Version(1, f"folder {won[0]}", "a int")
+    log.claim(Version(2, "f", "a int", ["a"], ["x"]))
+    assert log.number() == 2 and log.latest().kept == ["x"]
+
+
 def test_publish_and_views(spark, warehouse):
     frame = products(spark, P1, P2)
     assert warehouse.publish(frame, "m", "marts").count() == 2
@@ -290,6 +421,31 @@ def test_upsert_refuses_unknown_columns(spark, warehouse):
         warehouse.upsert(change(spark, [(1, 2)], "k1 int, zz int"), "t", "raw", ["k1"])
 
 
+def test_upsert_takes_the_last_line_of_a_file(spark, warehouse, tmp_path, monkeypatch):
+    """Without order columns the position in the file decides, over splits and files; it is not stored."""
+    folder = tmp_path / "changes"
+    folder.mkdir()
+    lines = [f"{i % 37},x,{i},b{i},c{i},{(i * 7919) % 1000}" for i in range(900)]
+    for part in range(3):
+        body = "\n".join(["k1,k2,a,b,c,ord", *lines[300 * part : 300 * part + 300]])
+        (folder / f"part-{part}.csv").write_text(body + "\n")
+    fill(spark, warehouse, [(1, "x", 0, "old", "old", 0)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        source = DelimitedSource(spark, str(folder), number_rows=True)
+        df = source.extract().drop("_loaded_at", "_source")
+        assert df.rdd.getNumPartitions() > 4
+        assert warehouse.upsert(df, "t", "raw", ["k1", "k2"], ["a", "b"]) == 900
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "_row" not in warehouse.table("t").columns
+    got = {r.k1: (r.a, r.b, r.c) for r in warehouse.table("t").collect()}
+    last = {i % 37: i for i in range(900)}
+    first = {k: k for k in range(37)}
+    assert got == {k: (last[k], f"b{last[k]}", "old" if k == 1 else f"c{first[k]}") for k in range(37)}
+
+
 @pytest.mark.parametrize("broadcast", ["10485760", "-1"])
 def test_upsert_against_brute_force(spark, warehouse, broadcast):
     generator = random.Random(11)

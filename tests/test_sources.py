@@ -123,11 +123,103 @@ BROKEN_ROWS = [
 def test_line_break_in_quotes_is_never_cut_silently(spark, tmp_path, row):
     path = write(tmp_path / "b.csv", f"a,b,c\n4,5,6\n{row}\n7,8,9\n")
     with pytest.raises(ExtractionError, match="multi_line|Expected 3 fields"):
-        DelimitedSource(spark, path).extract(verify=True)
+        DelimitedSource(spark, path, multi_line=False).extract(verify=True)
     whole = list(csv.reader(io.StringIO(f"4,5,6\n{row}\n7,8,9\n")))
-    assert rows(read(spark, path, multi_line=True)) == sorted(
-        (tuple(r) for r in whole), key=repr
-    )
+    for expected in (True, None):
+        assert rows(read(spark, path, multi_line=expected)) == sorted((tuple(r) for r in whole), key=repr)
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of about a hundred bytes, several to a task."""
+    settings = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def random_fields(generator, n, width, letters):
+    return [
+        ["".join(generator.choices(letters, k=generator.choice([0, 1, 3, 9, 60]))) for _ in range(width)] for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_files_with_line_breaks_are_read_in_splits(spark, tmp_path, small_splits, newline):
+    """Several files whose records cross splits, some of them over several, against the csv module; rows are numbered."""
+    generator, want = random.Random(3), []
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in "cab":
+        data = random_fields(generator, 40, 3, [*'xyz,"\n\t é;', "line\n\n"])
+        text = io.StringIO()
+        csv.writer(text, lineterminator=newline).writerows([["f1", "f 2", "f3"], *data])
+        (folder / f"{name}.csv").write_bytes(text.getvalue().encode())
+        want.append((name, data))
+    want = [row for _, data in sorted(want) for row in data]
+    for expected in (None, True):
+        source = DelimitedSource(spark, str(folder), multi_line=expected, number_rows=True)
+        got = source.extract()
+        assert got.select("f1").rdd.getNumPartitions() > 4
+        found = sorted(got.select("_row", "f1", "f 2", "f3").collect())
+        assert [r["_row"] for r in found] == list(range(len(want)))
+        assert [tuple(r)[1:] for r in found] == [tuple(v if v not in NULL_TOKENS else None for v in row) for row in want]
+
+
+def test_odd_quotes_in_unquoted_fields_are_text(spark, tmp_path, small_splits):
+    lines = ['a,b', '5" pipe,x', 'y,"two\nlines"', '"done"later,6" more', 'z," ""q"" "'] * 1
+    data = "\n".join(lines + [f'{i}" pipe,"a\n{i}"' for i in range(60)]) + "\n"
+    got = read(spark, write(tmp_path / "q.csv", data), number_rows=True).orderBy("_row").collect()
+    assert [tuple(r)[:2] for r in got[:2]] == [('5" pipe', "x"), ("y", "two\nlines")]
+    assert [tuple(r) for r in got[4:]] == [(f'{i}" pipe', f"a\n{i}", 4 + i) for i in range(60)]
+
+
+@pytest.mark.parametrize("body", ['a,b\n1,2\n3,"open\n5,6\n', 'a,b\n1,"x\ny"\n2,"z""\n', 'a\n"x\n', '"a,b\n1,2\n'])
+@pytest.mark.parametrize("expected", [None, True])
+def test_a_quote_that_is_never_closed_fails(spark, tmp_path, small_splits, body, expected):
+    with pytest.raises(ExtractionError, match="never closed"):
+        DelimitedSource(spark, write(tmp_path / "o.csv", body), multi_line=expected).extract()
+
+
+def test_a_field_longer_than_many_splits(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {i}" for i in range(300))
+    path = write(tmp_path / "l.csv", f'a,b\n1,"{long}"\n2,"{long}x"\n3,y\n')
+    got = read(spark, path, number_rows=True).orderBy("_row").collect()
+    assert [tuple(r) for r in got] == [("1", long, 0), ("2", long + "x", 1), ("3", "y", 2)]
+
+
+def test_records_with_line_breaks_fail_like_others(spark, tmp_path, small_splits):
+    path = write(tmp_path / "l.csv", 'a,b\n1,"x\ny"\n1,2,"3\n4"\n')
+    with pytest.raises(ExtractionError, match="Expected 2 fields"):
+        DelimitedSource(spark, path).extract(verify=True)
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "p1.csv", 'a,b\n1,"2\n"\n')
+    write(folder / "p2.csv", 'b,a\n3,"4\n"\n')
+    with pytest.raises(ExtractionError, match="another header"):
+        DelimitedSource(spark, str(folder)).extract(verify=True)
+
+
+def test_rows_without_line_breaks_are_numbered(spark, tmp_path, small_splits):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, start in (("b", 100), ("a", 0), ("c", 200)):
+        write(folder / f"{name}.csv", "n,v\n" + "".join(f"{i},x\n\n" for i in range(start, start + 100)))
+    for expected in (False, None):
+        df = read(spark, str(folder), multi_line=expected, number_rows=True)
+        assert df.rdd.getNumPartitions() > 4
+        assert [(int(r.n), r._row) for r in df.orderBy("_row").collect()] == [(i, i) for i in range(300)]
+
+
+def test_numbers_are_refused_when_splits_changed(spark, tmp_path, small_splits):
+    df = read(spark, write(tmp_path / "n.csv", "n\n" + "".join(f"{i}\n" for i in range(200))), multi_line=False, number_rows=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "411")
+    spark.conf.set("spark.sql.files.openCostInBytes", "411")
+    with pytest.raises(PySparkException, match="splits|split sizes"):
+        df.collect()
 
 
 def test_line_break_in_the_only_column(spark, tmp_path):
