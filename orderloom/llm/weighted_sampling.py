@@ -10,6 +10,12 @@ probability of their generalised Jaccard similarity: the sum over terms of the s
 of the larger one. A fingerprint has SAMPLES samples, so the share of equal ones estimates the similarity with a
 standard deviation of at most 0.5 / sqrt(SAMPLES).
 
+Most terms are ruled out without a logarithm. As ln y <= ln w and c >= 2 (1 - q) / (1 + q), where c = -ln q, no a is
+below exp(-r) * 2 (1 - q) / (1 + q) / w, and exp(-r) is the product that r is the logarithm of. The least a of
+a text of W words is exponential with mean 1 / W, so it is above LIKELY / W hardly ever; terms that cannot be below
+that are skipped. If the least a found is below it, skipping changed nothing; documents in which it is not
+are done again with all their terms.
+
 The value of a names (k, t), so the least a is all that is kept of a sample: 16 bits of its hash, from 1 to 65535;
 unequal samples agree by chance with probability 2**-16. Zero stands for a text without words.
 
@@ -27,6 +33,7 @@ gives an empty table; other columns are not read, whatever their names. Identifi
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +42,9 @@ from orderloom.llm.common import SPACES, stored, text_of
 
 SAMPLES = 64
 #: Samples that one row of the aggregation holds: few enough for the compiled method to stay small.
-LANE = 8
+LANE = 4
+#: Least values are looked for below so many times their mean. A sample is beyond with probability exp(-LIKELY).
+LIKELY = 25.0
 #: Rows that a document's repetitions are returned in at a time.
 REPEATS = 4096
 # Fixed value: what words are trimmed of.
@@ -74,59 +83,68 @@ def _runs(hashes: Column) -> Column:
 
 
 def weighted_terms(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """A row per document and distinct word of its texts: keys, term, and the logarithm of the word's number in each
-    text (ln_0, ln_1; null where it is not). A document without words has one row without term."""
-    hashes = F.concat(*(_hashed_words(F.col(text), v) for v, text in enumerate(texts)))
-    runs = rows.select(*keys, _runs(hashes).alias("runs"))
+    """A row per document and distinct word of its texts: keys, words_0 and words_1 (of the whole texts), term, and the
+    word's number in each text (n_0, n_1; null where it is not). A document without words has one row without term."""
+    versions = range(len(texts))
+    counted = rows.select(*keys, *(_hashed_words(F.col(text), v).alias(f"hashes_{v}") for v, text in enumerate(texts)))
+    sizes = [F.size(f"hashes_{v}").alias(f"words_{v}") for v in versions]
+    runs = counted.select(*keys, *sizes, _runs(F.concat(*(f"hashes_{v}" for v in versions))).alias("runs"))
     # A word's numbers in both versions lie next to each other.
-    placed = runs.select(*keys, "runs", F.posexplode_outer("runs").alias("place", "run"))
+    placed = runs.select("*", F.posexplode_outer("runs").alias("place", "run"))
     term, n = F.col("run.hash"), F.col("run.n")
     before, after = F.get("runs", F.col("place") - 1), F.get("runs", F.col("place") + 1)
     is_second = term.bitwiseAND(F.lit(1)) == 1
     first = F.when(~is_second, n).when(before["hash"] == term - 1, before["n"])
-    merged = placed.where(term.isNull() | is_second | ~after["hash"].eqNullSafe(term + 1)).select(
-        *keys,
-        F.shiftright(term, 1).alias("term"),
-        F.ln(first).alias("ln_0"),
-        F.ln(F.when(is_second, n)).alias("ln_1"),
-    )
-    return merged
-
-
-def _uniforms(h: Column) -> tuple[Column, Column]:
-    """The halves of a hash, each in (0, 2**32)."""
-    return (
-        F.shiftrightunsigned(h, 32).cast("double") + 0.5,
-        h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5,
+    numbers = [first.alias("n_0"), F.when(is_second, n).alias("n_1")]
+    return placed.where(term.isNull() | is_second | ~after["hash"].eqNullSafe(term + 1)).select(
+        *keys, *(f"words_{v}" for v in versions), F.shiftright(term, 1).alias("term"), *(numbers[v] for v in versions)
     )
 
 
-def _gamma(h: Column) -> Column:
-    """A Gamma(2, 1) variate: the sum of two exponential ones."""
-    one, two = _uniforms(h)
-    return -F.ln(one * two * F.lit(2.0**-64))
+def _product(h: Column) -> Column:
+    """The product of two uniform numbers in (0, 1), the halves of a hash: exp(-x) of a Gamma(2, 1) variate x."""
+    one = F.shiftrightunsigned(h, 32).cast("double") + 0.5
+    two = h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5
+    return one * two * F.lit(2.0**-64)
 
 
-def signatures(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """keys (which tell documents apart) and an array of SAMPLES numbers for each of one or two text columns (sig_0, sig_1).
-
-    Rows that are partitioned by some of the keys are not shuffled.
-    """
+def _minima(rows: DataFrame, keys: list[str], texts: list[str], likely: float | None) -> DataFrame:
+    """keys, and for each text the array of SAMPLES least values (logarithms of a, a0 and a1) and its number of
+    words. With ``likely`` those above ln(likely / words) may not be the least; without it all terms are looked at."""
+    versions, samples = range(len(texts)), range(LANE)
+    terms = weighted_terms(rows, keys, texts)
+    limit = F.lit(float("inf"))
+    if likely is not None:
+        limit = F.greatest(
+            F.lit(0.0), *(F.coalesce(F.col(f"n_{v}") * F.lit(likely) / F.col(f"words_{v}"), F.lit(0.0)) for v in versions)
+        )
+    sizes = [f"words_{v}" for v in versions]
     lanes = F.array(*(F.lit(lane).cast("long") for lane in range(SAMPLES // LANE)))
-    terms = weighted_terms(rows, keys, texts).select("*", F.explode(lanes).alias("lane"))
-    samples = range(LANE)
+    lined = terms.select(
+        *keys, *sizes, "term", limit.alias("limit"), *(F.ln(f"n_{v}").alias(f"ln_{v}") for v in versions),
+        F.explode(lanes).alias("lane"),
+    )
+    passed = [*keys, *sizes, "lane", *(f"ln_{v}" for v in versions)]
 
     def hashed(sample: int, which: int) -> Column:
         return F.xxhash64(F.col("term").bitwiseXOR((F.col("lane") * LANE + sample) * 3 + which))
 
-    drawn = terms.select(
-        *keys,
-        "lane",
-        "ln_0",
-        "ln_1",
-        *(_gamma(hashed(j, 0)).alias(f"r{j}") for j in samples),
-        *(F.ln(_gamma(hashed(j, 1))).alias(f"c{j}") for j in samples),
-        *((F.shiftrightunsigned(hashed(j, 2), 11).cast("double") * F.lit(2.0**-53)).alias(f"b{j}") for j in samples),
+    products = lined.select(
+        *passed, "term", "limit", *(_product(hashed(j, w)).alias(f"{name}{j}") for j in samples for w, name in enumerate("pq"))
+    )
+
+    def if_small(j: int, value: Column) -> Column:
+        p, q = F.col(f"p{j}"), F.col(f"q{j}")
+        return F.when(p * (1.0 - q) * 2.0 < F.col("limit") * (1.0 + q), value)
+
+    drawn = products.select(
+        *passed,
+        *(if_small(j, -F.ln(f"p{j}")).alias(f"r{j}") for j in samples),
+        *(if_small(j, F.ln(-F.ln(f"q{j}"))).alias(f"c{j}") for j in samples),
+        *(
+            if_small(j, F.shiftrightunsigned(hashed(j, 2), 11).cast("double") * F.lit(2.0**-53)).alias(f"b{j}")
+            for j in samples
+        ),
     )
 
     def least(j: int, version: int) -> Column:
@@ -134,20 +152,35 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
         t = F.floor(F.col(f"ln_{version}") / r + b).cast("double")
         return F.min(F.col(f"c{j}") - r * (t - b + 1.0)).alias(f"a{version}_{j}")
 
+    found = drawn.groupBy(*keys, *sizes, "lane").agg(*(least(j, v) for v in versions for j in samples))
+    parts = [F.array(*(F.col(f"a{v}_{j}") for j in samples)).alias(f"part_{v}") for v in versions]
+    in_lanes = found.select(*keys, *sizes, F.struct("lane", *parts).alias("samples"))
+    gathered = in_lanes.groupBy(*keys, *sizes).agg(F.array_sort(F.collect_list("samples")).alias("samples"))
+    return gathered.select(*keys, *sizes, *(F.flatten(F.col(f"samples.part_{v}")).alias(f"a{v}") for v in versions))
+
+
+def signatures(rows: DataFrame, keys: list[str], texts: list[str], likely: float = LIKELY) -> DataFrame:
+    """keys (which tell documents apart) and an array of SAMPLES numbers for each of one or two text columns (sig_0, sig_1).
+
+    Rows that are partitioned by some of the keys are not shuffled.
+    """
     versions = range(len(texts))
-    minima = drawn.groupBy(*keys, "lane").agg(*(least(j, v) for v in versions for j in samples))
+
+    def sure(v: int) -> Column:
+        most = F.ln(F.lit(likely) / F.col(f"words_{v}"))
+        return (F.col(f"words_{v}") == 0) | F.forall(f"a{v}", lambda a: F.coalesce(a <= most, F.lit(False)))
+
+    quick = _minima(rows, keys, texts, likely).withColumn("sure", reduce(lambda a, b: a & b, (sure(v) for v in versions)))
+    quick = stored(quick, "weighted-minima")
+    minima, doubtful = quick.where("sure").drop("sure"), quick.where("not sure").select(*keys)
+    if not doubtful.isEmpty():
+        again = _minima(rows.join(doubtful, keys, "left_semi"), keys, texts, None)
+        minima = minima.unionByName(stored(again, "weighted-minima"))
 
     def sample(value: Column) -> Column:
-        return F.coalesce(F.pmod(F.xxhash64(value), F.lit(65535)) + 1, F.lit(0)).cast("int")
+        return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(65535)) + 1).cast("int")
 
-    # No value at all is told from the hash of null.
-    parts = {
-        v: F.array(*(F.when(F.col(f"a{v}_{j}").isNotNull(), sample(F.col(f"a{v}_{j}"))).otherwise(0) for j in samples))
-        for v in versions
-    }
-    in_lanes = minima.select(*keys, F.struct("lane", *(parts[v].alias(f"part_{v}") for v in versions)).alias("samples"))
-    gathered = in_lanes.groupBy(*keys).agg(F.array_sort(F.collect_list("samples")).alias("samples"))
-    return gathered.select(*keys, *(F.flatten(F.col(f"samples.part_{v}")).alias(f"sig_{v}") for v in versions))
+    return minima.select(*keys, *(F.transform(f"a{v}", sample).alias(f"sig_{v}") for v in versions))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -202,9 +235,11 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("hash").alias("to_hash"),
         F.floor(F.col("n") / 4).cast("int").alias("to_n"),
     )
-    chain = stored(ranked.join(previous, "rank").drop("n"), "document-chain").drop("id")
+    chain = stored(ranked.join(previous, "rank"), "document-chain")
     once = Window.partitionBy("kid", "hash").orderBy(F.lit(1))
-    whole = documents.join(chain, ["kid", "hash"]).withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    # Of the documents both sides read the same columns, so that the texts are shuffled once for both.
+    whole = documents.select("kid", "hash", "text").join(chain, ["kid", "hash"])
+    whole = whole.withColumn("nth", F.row_number().over(once)).where("nth = 1")
     starts = whole.select(
         F.col("to_kid").alias("kid"), F.col("to_hash").alias("hash"), F.expr("substring(text, 1, to_n)").alias("start")
     )
@@ -227,7 +262,7 @@ def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fingerprint to the edited version's (near_edited) and to the next document's (near_next)."""
     rows = edited_versions(docs, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["kid", "hash", "id", "n", "n_repeats", "rank", "next_rank", "edited_sha256"]
-    signed = stored(signatures(rows, keys, ["text", "edited"]), "weighted-samples")
+    signed = signatures(rows, keys, ["text", "edited"])
     following = signed.select(F.col("rank").alias("next_rank"), F.col("sig_0").alias("sig_next"))
     found = signed.join(following, "next_rank").select(
         F.col("id").alias(id_col),

@@ -245,11 +245,22 @@ def test_collisions_estimate_the_generalised_jaccard_similarity(spark):
     assert np.abs(errors).max() < 4.5 * 0.5 / 64**0.5
 
 
+@pytest.mark.parametrize("likely", [0.0, 0.3, 3.0])
+def test_skipping_terms_changes_nothing(spark, likely):
+    """However low the limit below which least values are looked for, and with it the share of documents done again."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.choice([0, 1, 5, 60])) + " " + " ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in range(0, 200, 4)]
+    table = spark.createDataFrame([(i, x, x[len(x) // 3 :]) for i, x in enumerate(texts)], "id long, x string, y string")
+    got = {r.id: (r.sig_0, r.sig_1) for r in weighted_sampling.signatures(table, ["id"], ["x", "y"], likely).collect()}
+    assert got == {r.id: (r.sig_0, r.sig_1) for r in weighted_sampling.signatures(table, ["id"], ["x", "y"], 1e9).collect()}
+    assert len(got) == len(texts)
+
+
 def test_fingerprints_run_without_python(spark):
     plan = LLM_QUERIES["op12_document_fingerprint"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
     texts = weighted_sampling.edited_versions(sample(spark, "documents"))
-    signed = weighted_sampling.signatures(texts, ["kid", "hash"], ["text", "edited"])
+    signed = weighted_sampling._minima(texts, ["kid", "hash"], ["text", "edited"], weighted_sampling.LIKELY)
     physical = signed._jdf.queryExecution().executedPlan().toString()
     before = texts._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange") == before.count("Exchange")  # words and samples are not shuffled
