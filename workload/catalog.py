@@ -32,6 +32,7 @@ RAW = {
     "orders": feed.raw_orders,
 }
 _RUN_AT = datetime.fromisoformat(RUN_TIME)
+_LANDED = {"_loaded_at": "loaded_at", "_source": "source"}
 _ORDER_FIELDS = ["order_id", "customer_id", "product_id", "quantity", "order_date", "status"]
 
 QUERIES: dict[str, Query] = {}
@@ -169,6 +170,14 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DelimitedSource(spark, path, parse_dates=["order_date"]).extract(_RUN_AT)
 
 
+@_query
+def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with line breaks, landed in the order of their ids: records cross splits, and rows are numbered."""
+    documents = feed.table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id")
+    path = _land(documents, f"{scratch_path(spark, 'landing')}/documents.csv")
+    return DelimitedSource(spark, path, number_rows=True).extract(_RUN_AT).drop("_loaded_at", "_source")
+
+
 @_query
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = feed.table(spark, sf_dir, "documents")
@@ -247,6 +256,16 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.select(F.to_json("_errors").alias("errors"), F.col("_data").alias("data"))
 
 
+@_query
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows of which files were rejected: orders landed in the order of all their columns."""
+    rows = feed.raw_orders(spark, sf_dir).select(*_ORDER_FIELDS).orderBy(*_ORDER_FIELDS)
+    path = _land(rows, f"{scratch_path(spark, 'landing')}/orders.csv")
+    source = DelimitedSource(spark, path, parse_dates=["order_date"], number_rows=True)
+    rejects = SchemaValidator("filter").rejects(source.extract(_RUN_AT), "orders")
+    return rejects.select("_row_id", F.to_json("_errors").alias("errors"))
+
+
 @_query
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     validator = SchemaValidator("filter")
@@ -467,6 +486,26 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.table("orders")
 
 
+@_query
+def upsert_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as in ``upsert``, from files: the later line of a key wins, no column says so."""
+    warehouse = _warehouse(spark)
+    rows, cutoff = feed.raw_orders(spark, sf_dir), F.lit(UPSERT_FROM).cast("timestamp_ntz")
+    warehouse.load(latest_per_key(rows.where(F.col("_loaded_at") < cutoff), ["order_id"]), "orders")
+    order = ["_loaded_at", "customer_id", "product_id", "quantity", "order_date", "status"]
+    late = rows.where(F.col("_loaded_at") >= cutoff).orderBy("order_id", *order).withColumnsRenamed(_LANDED)
+    path = _land(late, f"{scratch_path(spark, 'landing')}/changes.csv")
+    changes = DelimitedSource(spark, path, number_rows=True).extract().drop("_loaded_at", "_source")
+    warehouse.upsert(
+        changes.withColumnsRenamed({given: name for name, given in _LANDED.items()}),
+        "orders",
+        "raw",
+        key_columns=["order_id"],
+        update_columns=["quantity", "status", "_loaded_at"],
+    )
+    return warehouse.table("orders")
+
+
 @_query
 def ingest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = _warehouse(spark)
