@@ -5,7 +5,8 @@ the embedding emits the word the walk is at, and the word and the step decide by
 walk moves on. Strings at a small edit distance mostly get embeddings at a small Hamming distance, as
 the walks meet again after an edit. Bit sampling then is the hash: a few sampled steps of the embedding.
 Walk and sample are repeated until edited copies of the items, made for the purpose, are found at the
-target recall. Each match is verified by the exact edit distance.
+target recall: for each quarter of a window's range of lengths, with as many edits as its shortest items allow, and
+at last on copies that no repetition was chosen by. Each match is verified by the exact edit distance.
 
 Windows are item-sized: items of m to 2m-1 words (m a power of two) share a window of about 3m/4 words. A
 document's windows start every s = m/4 words, an item's at every word, and the window is s-1
@@ -13,12 +14,16 @@ words shorter than m, so that wherever an item stands in a document, one of the
 exactly one of the item's. A document contains an item if some run of its words is within
 ``floor((1 - similarity) * words of the item)`` insertions, deletions or replacements of words.
 
-The items are the smaller side: they are hashed in blocks of ``BLOCK_ITEMS``, each sent to the tasks by
-itself, and every block meets all documents in a pass without shuffle. Words are compared in lower case and
-without punctuation around them.
+Items for which ``MOST_REPEATS`` repetitions do not reach the target are found by plain seeds instead: cut into
+one piece more than the edits allowed, one piece is always whole. That is complete, but meets more candidates.
+Items of fewer than ``LEAST_WORDS`` words allow no edit, so the whole item is the seed.
 
-Defined results: a null or empty text contains nothing; an item of fewer than ``LEAST_WORDS`` words is
-not looked for, as chance gives it; items with equal texts are found each; an empty table of items
+The items are the smaller side: they are hashed in blocks of at most ``BLOCK_ITEMS`` items and about
+``BLOCK_BYTES`` of text, each sent to the tasks by itself, and every block meets all documents in a pass without shuffle.
+Words are compared in lower case and without punctuation around them.
+
+Defined results: a null or empty text contains nothing; an item of no words is nowhere; a short item is
+found wherever its words stand in a row, and one common word is an item like any other; items with equal texts are found each; an empty table of items
 leaves all documents clean; rows that repeat an identifier are judged each; other columns are passed on.
 """
 
@@ -39,13 +44,15 @@ from orderloom.llm.common import unused
 from orderloom.llm.words import hashed_words, in_steps, mixed, segment_ids, split_words
 
 #: Items of one block: what a task holds of the benchmark at a time.
-BLOCK_ITEMS = 10_000
+BLOCK_ITEMS, BLOCK_BYTES = 10_000, 32 << 20
 LEAST_WORDS = 5
 SIMILARITY = 0.8
 #: Share of items, edited as much as is allowed, that the repetitions shall find.
 RECALL = 0.98
+#: Edited copies of each quarter of lengths that the recall is measured on.
+COPIES = 400
 #: Sampled steps of a hash, and the most repetitions that are tried.
-SAMPLES, MOST_REPEATS = 4, 24
+SAMPLES, MOST_REPEATS = 4, 48
 SEED = 8
 
 LEAK = T.ArrayType(
@@ -168,51 +175,84 @@ class Index:
     most_edits: list[int]
     repeats: dict[int, int] = field(default_factory=dict)
     tables: dict[tuple[int, int], tuple] = field(default_factory=dict)
+    #: Pieces of items by their number of words: signatures in order, items, places in the item.
+    seeds: dict[int, tuple] = field(default_factory=dict)
 
     @staticmethod
     def of(ids: list[int], texts: list[str | None], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
         codes, hashes, starts = word_hashes(pa.array(texts, pa.string()))
         words = [hashes[codes[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        kept = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
+        kept = [i for i, w in enumerate(words) if len(w)]
         index = Index(
             [ids[i] for i in kept],
             [words[i].tolist() for i in kept],
-            [int((1 - similarity) * len(words[i]) + 1e-9) for i in kept],
+            [int((1 - similarity) * len(words[i]) + 1e-9) if len(words[i]) >= LEAST_WORDS else 0 for i in kept],
         )
         by_window: dict[int, list[int]] = defaultdict(list)
+        plain = []
         for i, w in enumerate(index.item_words):
-            by_window[Window.of(len(w)).m].append(i)
+            if len(w) < LEAST_WORDS:
+                plain.append(i)
+            else:
+                by_window[Window.of(len(w)).m].append(i)
         for m, items in by_window.items():
-            index._add(Window(m), items, recall)
+            if not index._add(Window(m), items, recall):
+                plain += items
+        index._add_seeds(plain)
         return index
 
-    def _add(self, window: Window, items: list[int], recall: float) -> None:
+    def _add(self, window: Window, items: list[int], recall: float) -> bool:
+        """Add repetitions until the copies are found; False, and none, if that takes too many."""
         flat = np.concatenate([np.array(self.item_words[i], np.uint64) for i in items])
-        ends = np.cumsum([len(self.item_words[i]) for i in items])
-        item = np.repeat(items, [len(self.item_words[i]) - window.length + 1 for i in items])
-        offset = np.concatenate([np.arange(len(self.item_words[i]) - window.length + 1) for i in items])
-        begin = np.repeat(ends - [len(self.item_words[i]) for i in items], [len(self.item_words[i]) - window.length + 1 for i in items])
+        lengths = np.array([len(self.item_words[i]) for i in items])
+        n_starts = lengths - window.length + 1
+        item = np.repeat(items, n_starts)
+        offset = _counting(n_starts)
+        begin = np.repeat(np.cumsum(lengths) - lengths, n_starts)
         codes = np.arange(len(flat))
-        found, edited = None, self._edited(window, items)
+        chosen_by = self._copies(window, items, 0)
+        found = [np.zeros(COPIES, bool) for _ in chosen_by]
         for repeat in range(MOST_REPEATS):
             signature = signatures(codes, flat, begin + offset, window, repeat)
             order = np.argsort(signature, kind="stable")
             slots = np.zeros(1 << _SLOT_BITS, bool)
             slots[signature >> np.uint64(64 - _SLOT_BITS)] = True
             self.tables[window.m, repeat] = (slots, signature[order], item[order], offset[order])
-            self.repeats[window.m] = repeat + 1
-            hit = self._hits(window, repeat, *edited)
-            found = hit if found is None else found | hit
-            if found.mean() >= recall:
-                break
-
-    def _edited(self, window: Window, items: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Copies of up to 200 items with as many random edits as are allowed, in strange surroundings:
+            for band, copies in enumerate(chosen_by):
+                found[band] |= self._hits(window, repeat, *copies)
+            if all(hits.mean() >= recall for hits in found) and self._holds(window, items, repeat + 1, recall):
+                self.repeats[window.m] = repeat + 1
+                return True
+        for repeat in range(MOST_REPEATS):
+            del self.tables[window.m, repeat]
+        return False
+
+    def _holds(self, window: Window, items: list[int], repeats: int, recall: float) -> bool:
+        """Whether copies made anew are found, too."""
+        for copies in self._copies(window, items, repeats):
+            hits = np.zeros(COPIES, bool)
+            for repeat in range(repeats):
+                hits |= self._hits(window, repeat, *copies)
+            if hits.mean() < recall:
+                return False
+        return True
+
+    def _copies(self, window: Window, items: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each quarter of the window's lengths that items have: edited copies of its shortest items."""
+        bands: dict[int, list[int]] = defaultdict(list)
+        for i in sorted(items, key=lambda i: len(self.item_words[i])):
+            band = bands[len(self.item_words[i]) * 4 // window.m]
+            if len(band) < COPIES and len(self.item_words[band[0] if band else i]) == len(self.item_words[i]):
+                band.append(i)
+        return [self._edited(window, band, (SEED, window.m, quarter, seed)) for quarter, band in bands.items()]
+
+    def _edited(self, window: Window, items: list[int], seed: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """COPIES copies of the items, in turn, with as many random edits as are allowed, in strange surroundings:
         (words, starts of their windows, copy of each start)."""
-        rng = np.random.default_rng((SEED, window.m))
-        chosen = items if len(items) <= 200 else rng.choice(items, 200, replace=False).tolist()
+        rng = np.random.default_rng(seed)
         words, starts, owner = [], [], []
-        for copy, i in enumerate(chosen * max(1, 100 // len(chosen))):
+        for copy in range(COPIES):
+            i = items[copy % len(items)]
             text = list(self.item_words[i])
             for _ in range(self.most_edits[i]):
                 at, kind = int(rng.integers(len(text))), int(rng.integers(3))
@@ -229,7 +269,20 @@ class Index:
     def _hits(self, window: Window, repeat: int, words: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
         signature = signatures(np.arange(len(words)), words, starts, window, repeat)
         known = np.isin(signature, self.tables[window.m, repeat][1])
-        return np.bincount(owner, known, owner[-1] + 1) > 0
+        return np.bincount(owner, known, COPIES) > 0
+
+    def _add_seeds(self, items: list[int]) -> None:
+        """Pieces of which one is whole in every copy within the distance."""
+        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i in items:
+            words = self.item_words[i]
+            cuts = [len(words) * k // (self.most_edits[i] + 1) for k in range(self.most_edits[i] + 2)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                signature = int(_run_signatures(np.array(words[a:b], np.uint64), b - a)[0])
+                pieces[b - a].append((signature, i, a))
+        for n_words, found in pieces.items():
+            signature, item, offset = zip(*sorted(found), strict=True)
+            self.seeds[n_words] = (np.array(signature, np.uint64), np.array(item), np.array(offset))
 
     def candidates(
         self, codes: np.ndarray, hashes: np.ndarray, starts: np.ndarray
@@ -249,13 +302,15 @@ class Index:
                 slots, known, item, offset = self.tables[m, repeat]
                 signature = signatures(codes, hashes, begin, window, repeat)
                 maybe = np.flatnonzero(slots[signature >> np.uint64(64 - _SLOT_BITS)])
-                low = np.searchsorted(known, signature[maybe], side="left")
-                high = np.searchsorted(known, signature[maybe], side="right")
-                hit = np.flatnonzero(high > low)
-                low, high, at = low[hit], high[hit], begin[maybe[hit]]
-                which = np.repeat(low, high - low) + _counting(high - low)
-                at = np.repeat(at, high - low)
+                at, which = _matches(known, signature[maybe])
+                at = begin[maybe[at]]
                 found.append(np.stack((text[at], item[which], at - offset[which]), axis=1))
+        for n_words, (known, item, offset) in self.seeds.items():
+            signature = _run_signatures(hashes[codes], n_words)
+            begin = np.flatnonzero(starts[text[: len(signature)] + 1] - np.arange(len(signature)) >= n_words)
+            at, which = _matches(known, signature[begin])
+            at = begin[at]
+            found.append(np.stack((text[at], item[which], at - offset[which]), axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def leaks(self, texts: pa.Array) -> dict[int, list[dict]]:
@@ -288,6 +343,24 @@ class Index:
         return out
 
 
+def _run_signatures(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """A number for each run of so many words."""
+    n = max(0, len(hashes) - n_words + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(n_words):
+        out = out * _FOLD + hashes[i : i + n]
+    return mixed(out)
+
+
+def _matches(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``wanted`` and in the sorted ``known`` that are equal, all pairs of them."""
+    low = np.searchsorted(known, wanted, side="left")
+    high = np.searchsorted(known, wanted, side="right")
+    hit = np.flatnonzero(high > low)
+    low, high = low[hit], high[hit]
+    return np.repeat(hit, high - low), np.repeat(low, high - low) + _counting(high - low)
+
+
 def _counting(lengths: np.ndarray) -> np.ndarray:
     """0, 1, ... anew for each length."""
     ends = np.cumsum(lengths)
@@ -297,7 +370,8 @@ def _counting(lengths: np.ndarray) -> np.ndarray:
 def _indexes(items: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> Iterator[Index]:
     """An index for each block of items; a block is all that the driver holds of them at a time."""
     own = items.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    n_blocks = -(-own.count() // BLOCK_ITEMS)
+    size = own.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(-(-size["items"] // BLOCK_ITEMS), -(-size["bytes"] // BLOCK_BYTES))
     for block in range(n_blocks):
         rows = own.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id", "text").toArrow()
         if rows.num_rows:

@@ -110,6 +110,63 @@ def test_distances_against_dynamic_programming():
         assert decontaminate.distances(pattern, run, True)[-1] == got[0]
 
 
+def edited(rng, words, edits):
+    """As many random insertions, replacements and deletions of words."""
+    text = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(text)), rng.randrange(3)
+        text[at : at + (kind != 0)] = [] if kind == 2 else [f"strange{rng.randrange(10**9)}"]
+    return text
+
+
+@pytest.mark.parametrize("shortest", [5, 8, 12, 16, 24, 32, 48, 64, 100])
+def test_recall_at_the_shortest_items_of_a_band(shortest):
+    """Copies with the most allowed edits, of items of one length among others up to twice as long."""
+    rng = random.Random(shortest)
+    lengths = [shortest] * 60 + [rng.randrange(shortest, 2 * shortest) for _ in range(140)]
+    items = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in lengths]
+    index = decontaminate.Index.of(list(range(200)), [" ".join(x) for x in items])
+    texts = []
+    for copy in range(600):
+        item = items[copy % 60]
+        around = [[f"a{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 60))] for _ in range(2)]
+        texts.append(" ".join([*around[0], *edited(rng, item, int(0.2 * len(item) + 1e-9)), *around[1]]))
+    leaks = index.leaks(pa.array(texts))
+    found = [copy % 60 in {leak["item"] for leak in leaks.get(copy, [])} for copy in range(600)]
+    assert sum(found) >= 0.96 * len(found)
+
+
+def test_seeds_are_complete(monkeypatch):
+    """Where repetitions do not reach the target, pieces of the items find every copy."""
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 1)
+    rng = random.Random(4)
+    items = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 40))] for _ in range(120)]
+    index = decontaminate.Index.of(list(range(120)), [" ".join(x) for x in items], recall=1.1)
+    assert not index.repeats and not index.tables
+    texts = [" ".join(["x", *edited(rng, item, int(0.2 * len(item) + 1e-9) if len(item) >= 5 else 0), "y"]) for item in items]
+    leaks = index.leaks(pa.array(texts))
+    assert all(i in {leak["item"] for leak in leaks.get(i, [])} for i in range(120))
+
+
+def test_short_items_are_whole_runs_of_words(spark):
+    rows = [(1, "The quick, brown fox", "s"), (2, "the brown quick fox", "s"), (3, "Fox!", "s"), (4, None, "s"), (5, "the quick brown", "s")]
+    items = spark.createDataFrame([(7, "quick brown"), (8, "fox"), (9, ""), (10, None), (11, "the quick brown fox")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.distance) for r in decontaminate.find_leaks(docs(spark, rows), items).collect())
+    assert got == [(1, 7, 1, 2, 0), (1, 8, 3, 1, 0), (1, 11, 0, 4, 0), (2, 8, 3, 1, 0), (3, 8, 0, 1, 0), (5, 7, 1, 2, 0)]
+
+
+def test_blocks_are_bounded_by_items_and_bytes(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(30)) for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    table = docs(spark, [(i, f"before {t} after", "s") for i, t in enumerate(texts)], clashing=False)
+    whole = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    blocks = list(decontaminate._indexes(items, "item_id", "text", 0.8, 0.98))
+    assert len(blocks) > 2 and sum(len(b.item_ids) for b in blocks) == 60
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, items).collect()) == whole == [(i, i) for i in range(60)]
+
+
 def test_edited_items_are_found_and_others_are_not(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(800)]
