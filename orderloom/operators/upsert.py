@@ -8,76 +8,82 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Number of a change with a null in its key: such a change is a group of its own.
+LOOSE = "_loose"
+#: What a merged row is: a row of the target that a change met, a new key, or anything else.
+KIND, MET, NEW, OTHER = "_kind", 1, 2, 0
 
-def matched_keys(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of the changes that the target has, with their number of target rows (``n_rows``).
 
-    Only key columns are read. The result is never larger than the changes.
+def reduce_changes(
+    changes: DataFrame, columns: Sequence[str], keys: Sequence[str], updates: Sequence[str], order_by: Sequence[str]
+) -> DataFrame:
+    """One row per key: its last change's update columns, its first change's other columns, its number of changes.
+
+    A key with a null matches nothing, not even another one, so each such change stays a row.
     """
-    wanted = changes.select(*keys).where(_complete(keys)).distinct()
-    found = target.select(*keys).join(wanted, list(keys), "left_semi")
-    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    fixed = [c for c in columns if c not in keys and c not in updates]
+    loose = F.when(~_complete(keys), F.monotonically_increasing_id())
+    return (
+        changes.withColumn(LOOSE, loose)
+        .groupBy(*keys, LOOSE)
+        .agg(
+            F.max(_versioned(order_by, updates)).alias("_last"),
+            F.min(_versioned(order_by, fixed)).alias("_first"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+        .select(*keys, LOOSE, F.col("_last.row").alias("_last"), F.col("_first.row").alias("_first"), "_n")
+    )
+
+
+def found_keys(target: DataFrame, reduced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the changes that the target has. Only its key columns are read, and it stays in place, too."""
+    return target.select(*keys).join(reduced.select(*keys), list(keys), "left_semi")
+
+
+def inserted(
+    column: str, target: DataFrame, columns: Sequence[str], keys: Sequence[str], updates: Sequence[str], defaults: Mapping[str, Column]
+) -> Column:
+    """A column of the row that a reduced change inserts."""
+    if column in keys:
+        return F.col(f"`{column}`")
+    if column in updates:
+        return F.col(f"_last.`{column}`").alias(column)
+    if column in columns:
+        return F.col(f"_first.`{column}`").alias(column)
+    return defaults.get(column, F.lit(None)).cast(target.schema[column].dataType).alias(column)
 
 
 def merge_rows(
     target: DataFrame,
-    changes: DataFrame,
-    matched: DataFrame,
+    reduced: DataFrame,
+    columns: Sequence[str],
     keys: Sequence[str],
-    update_columns: Sequence[str],
-    order_by: Sequence[str],
+    updates: Sequence[str],
     defaults: Mapping[str, Column],
 ) -> DataFrame:
-    """The whole target after the changes.
+    """The whole target after the changes, with the kind of each row.
 
-    Changes apply in the order of ``order_by``: a known key takes ``update_columns`` from its last
-    change, a new key takes them from its last and all other columns from its first change. A key
-    with a null matches nothing, so such changes are all inserted.
+    ``reduced`` is a written table of reduced changes. A known key takes the update columns from its last change, a new
+    key takes them from its last and all other columns from its first change.
 
     The target is joined from the left, so it stays in place when the changes are small enough to
-    broadcast, and is shuffled once otherwise; a full outer join would always shuffle it. Changes
-    are reduced to one row per key before any join.
+    broadcast, and is shuffled once otherwise; a full outer join would always shuffle it.
     """
-    fixed = [c for c in changes.columns if c not in keys and c not in update_columns]
-    by_key = (
-        changes.where(_complete(keys))
-        .groupBy(*keys)
-        .agg(
-            F.max(_versioned(order_by, update_columns)).alias("_last"),
-            F.min(_versioned(order_by, fixed)).alias("_first"),
-        )
-        .select(*keys, F.col("_last.row").alias("_last"), F.col("_first.row").alias("_first"))
-    )
-
-    def inserted(name: str) -> Column:
-        if name in keys:
-            return F.col(name)
-        if name in update_columns:
-            return F.col(f"_last.`{name}`").alias(name)
-        if name in fixed:
-            return F.col(f"_first.`{name}`").alias(name)
-        return _default(name)
+    by_key, loose = reduced.where(f"{LOOSE} is null"), reduced.where(f"{LOOSE} is not null")
+    met = F.col("_n").isNotNull()
 
     def updated(name: str) -> Column:
-        if name not in update_columns:
+        if name not in updates:
             return F.col(f"`{name}`")
-        hit = F.col("_last").isNotNull()
-        return F.when(hit, F.col(f"_last.`{name}`")).otherwise(F.col(f"`{name}`")).alias(name)
-
-    def _default(name: str) -> Column:
-        value = defaults.get(name, F.lit(None))
-        return value.cast(target.schema[name].dataType).alias(name)
-
-    columns = target.columns
-    known = target.where(_complete(keys)).join(by_key, list(keys), "left")
-    kept = known.select(*(updated(c) for c in columns))
-    # Rows with a null in the key stay out of the join, which would gather them in one task.
-    untouched = target.where(~_complete(keys))
-    new = by_key.join(matched, list(keys), "left_anti").select(*(inserted(c) for c in columns))
-    loose = changes.where(~_complete(keys)).select(
-        *(F.col(f"`{c}`") if c in changes.columns else _default(c) for c in columns)
-    )
-    return kept.unionAll(untouched).unionAll(new).unionAll(loose)
+        return F.when(met, F.col(f"_last.`{name}`")).otherwise(F.col(f"`{name}`")).alias(name)
+
+    new_row = [inserted(c, target, columns, keys, updates, defaults) for c in target.columns]
+    known = target.where(_complete(keys)).join(by_key.drop(LOOSE, "_first"), list(keys), "left")
+    kept = known.select(*(updated(c) for c in target.columns), F.when(met, MET).otherwise(OTHER).alias(KIND))
+    # Rows with a null in the key stay out of the joins, which would gather them in one task.
+    untouched = target.where(~_complete(keys)).withColumn(KIND, F.lit(OTHER))
+    new = by_key.join(found_keys(target, by_key, keys), list(keys), "left_anti").select(*new_row, F.lit(NEW).alias(KIND))
+    return kept.unionAll(untouched).unionAll(new).unionAll(loose.select(*new_row, F.lit(OTHER).alias(KIND)))
 
 
 def _complete(keys: Sequence[str]) -> Column:

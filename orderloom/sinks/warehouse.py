@@ -6,6 +6,7 @@ import logging
 import re
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from orderloom.operators.upsert import matched_keys, merge_rows
+from orderloom.operators.upsert import KIND, LOOSE, MET, NEW, found_keys, inserted, merge_rows, reduce_changes
 from orderloom.session import materialize, remove_folder
 from orderloom.sinks.versions import Conflict, Version, VersionLog
 from orderloom.sources.base import ROW, SPARK_ERRORS, reason
@@ -171,29 +172,28 @@ class Warehouse:
         name = self.name(table_name, schema)
         try:
             self._finished(name)
-            rows, changes = self._staged(df, name)
-            order = order_by or ([ROW] if ROW in changes.columns else changes.columns)
+            changes = self._conform(df, name, fill=False)
             columns = [c for c in changes.columns if c != ROW]
-            updates = [c for c in columns if c not in key_columns] if update_columns is None else update_columns
-            if rows:
-                self._merge(name, changes, columns, key_columns, updates, order)
-            return rows
+            updates = [c for c in columns if c not in key_columns] if update_columns is None else list(update_columns)
+            order = order_by or ([ROW] if ROW in changes.columns else columns)
+            # Reduced before anything else: what is written, joined and compared has one row for each key.
+            counts = Observation()
+            reduced = reduce_changes(changes, columns, key_columns, updates, order).observe(
+                counts, F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if(F.col(LOOSE).isNull()).alias("keys")
+            )
+            merge = _Merge(materialize(reduced, "changes"), columns, list(key_columns), updates, counts.get["keys"])
+            if counts.get["rows"]:
+                self._merge(name, merge)
+            return counts.get["rows"]
         except SPARK_ERRORS as error:
             raise LoadError(f"{name} was not loaded: {reason(error)}") from error
 
-    def _staged(self, df: DataFrame, name: str) -> tuple[int, DataFrame]:
-        """The changes as a written table with the target's types, and their number."""
-        counted = Observation()
-        changes = self._conform(df, name, fill=False).observe(counted, F.count(F.lit(1)).alias("rows"))
-        written = materialize(changes, "changes")
-        return counted.get["rows"], written
-
-    def _merge(self, name, changes, columns, keys, updates, order) -> None:
+    def _merge(self, name: str, merge: _Merge) -> None:
         """Merge the changes into the latest version, again if another writer was first."""
         for _ in range(ATTEMPTS):
             base = self._log(name).number()
             try:
-                self._merge_into(name, base, changes, columns, keys, updates, order)
+                self._merge_into(name, base, merge)
                 return
             except Conflict:
                 logger.info("%s was changed by another writer, starting again", name)
@@ -205,32 +205,26 @@ class Warehouse:
             self.spark.catalog.refreshTable(name)
         raise LoadError(f"{name} was changed by other writers {ATTEMPTS} times")
 
-    def _merge_into(self, name, base, changes, columns, keys, updates, order) -> None:
+    def _merge_into(self, name: str, base: int, merge: _Merge) -> None:
         target, parts = self.spark.table(name), self._partition_columns(name)
-        matched = matched_keys(target, changes, keys).persist()
+        if not merge.updates and merge.all_known(target):
+            return
+        touched = materialize(merge.touched(target, parts), "touched") if parts else None
+        merged = merge.rows(_of_partitions(target, touched, parts) if parts else target)
+        counts = Observation()
+        counted = merged.observe(
+            counts, F.count_if(F.col(KIND) == MET).alias("met"), F.count_if(F.col(KIND) == NEW).alias("new")
+        )
+        folder = self._new_folder(name)
         try:
-            if not matched.where("n_rows > 1").isEmpty():
-                raise LoadError(f"{name} is not unique by {keys}")
-            if not updates and _all_known(matched, changes, keys):
-                return
-            defaults = _defaults()
-            touched = self._touched(target, changes, matched, keys, parts) if parts else None
-            rows = _of_partitions(target, touched, parts) if parts else target
-            merged = merge_rows(rows, changes.select(*columns, *self._order_only(changes, columns, order)), matched, keys, updates, order, defaults)
-            folder = self._new_folder(name)
-            try:
-                _write_files(merged, folder, parts)
-                kept, gone = self._kept_and_gone(target, touched, parts) if parts else ([], [])
-                self._commit(name, Version(base + 1, folder, _ddl(target), parts, kept), gone)
-            except BaseException:
-                self._remove_unused(name, folder)
-                raise
-        finally:
-            matched.unpersist()
-
-    @staticmethod
-    def _order_only(changes: DataFrame, columns: Sequence[str], order: Sequence[str]) -> list[str]:
-        return [c for c in changes.columns if c not in columns and c in order]
+            _write_files(counted.drop(KIND), folder, parts)
+            if counts.get["met"] > merge.n_keys - counts.get["new"]:
+                raise LoadError(f"{name} is not unique by {merge.keys}")
+            kept, gone = self._kept_and_gone(target, touched, parts) if parts else ([], [])
+            self._commit(name, Version(base + 1, folder, _ddl(target), parts, kept), gone)
+        except BaseException:
+            self._remove_unused(name, folder)
+            raise
 
     def _conform(self, df: DataFrame, name: str, fill: bool) -> DataFrame:
         """The frame with the table's types; with ``fill`` also with all its columns, in order."""
@@ -387,19 +381,6 @@ class Warehouse:
     def _partition_columns(self, name: str) -> list[str]:
         return [c.name for c in self.spark.catalog.listColumns(name) if c.isPartition]
 
-    def _touched(
-        self, target: DataFrame, changes: DataFrame, matched: DataFrame, keys: Sequence[str], parts: list[str]
-    ) -> DataFrame:
-        """Partitions that hold a row to update or get a new one, as a written table."""
-        defaults = _defaults()
-        to = [
-            F.col(f"`{c}`") if c in changes.columns else defaults.get(c, F.lit(None)).cast(target.schema[c].dataType).alias(c)
-            for c in parts
-        ]
-        columns = [F.col(f"`{c}`") for c in parts]
-        held = target.join(matched.select(*keys), list(keys), "left_semi").select(*columns)
-        return materialize(held.unionAll(changes.select(*to)).distinct(), "touched")
-
     def _kept_and_gone(self, target: DataFrame, touched: DataFrame, parts: list[str]) -> tuple[list[str], list[str]]:
         """Folders of the partitions that stay as they are, and of those that are replaced."""
         folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
@@ -409,6 +390,30 @@ class Warehouse:
         return [r[0] for r in found if not r[1]], [r[0] for r in found if r[1]]
 
 
+@dataclass(frozen=True)
+class _Merge:
+    """Reduced changes, a written table, and what to do with them."""
+
+    reduced: DataFrame
+    columns: list[str]
+    keys: list[str]
+    updates: list[str]
+    n_keys: int
+
+    def rows(self, target: DataFrame) -> DataFrame:
+        return merge_rows(target, self.reduced, self.columns, self.keys, self.updates, _defaults())
+
+    def all_known(self, target: DataFrame) -> bool:
+        return self.reduced.join(found_keys(target, self.reduced, self.keys), self.keys, "left_anti").isEmpty()
+
+    def touched(self, target: DataFrame, parts: Sequence[str]) -> DataFrame:
+        """Partitions that hold a row to update or may get a new one."""
+        names = [F.col(f"`{c}`") for c in parts]
+        held = target.join(self.reduced.select(*self.keys), self.keys, "left_semi").select(*names)
+        to = [inserted(c, target, self.columns, self.keys, self.updates, _defaults()) for c in parts]
+        return held.unionAll(self.reduced.select(*to)).distinct()
+
+
 def version_root(folder: str) -> str | None:
     """The version's folder that a folder is or lies in."""
     found = _VERSION.search(folder)
@@ -476,7 +481,3 @@ def _write_files(df: DataFrame, folder: str, partition_by: Sequence[str] = ()) -
     frame = df.observe(written, F.count(F.lit(1)).alias("rows"))
     frame.write.partitionBy(*partition_by).parquet(folder)
     return written.get["rows"]
-
-
-def _all_known(matched: DataFrame, changes: DataFrame, keys: Sequence[str]) -> bool:
-    return changes.select(*keys).join(matched, list(keys), "left_anti").isEmpty()

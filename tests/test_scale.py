@@ -277,18 +277,17 @@ def test_large_files_are_split_between_tasks(spark, tmp_path):
 
 
 def test_upsert_of_few_changes_does_not_shuffle_the_table(spark, hot, tmp_path):
-    from orderloom.operators.upsert import matched_keys, merge_rows
+    from orderloom.operators.upsert import merge_rows, reduce_changes
 
-    target = hot["orders"]
+    target, keys = hot["orders"], ["order_id"]
     few = target.limit(50).withColumn("status", F.lit("pending"))
-    few.write.parquet(str(tmp_path / "changes"))  # as the upsert stages them: their size is known
+    # As the upsert stages them: their size is known.
+    reduce_changes(few, few.columns, keys, ["status"], ["_loaded_at"]).write.parquet(str(tmp_path / "changes"))
     changes = spark.read.parquet(str(tmp_path / "changes"))
-    keys = ["order_id"]
-    matched = matched_keys(target, changes, keys)
-    merged = merge_rows(target, changes, matched, keys, ["status"], ["_loaded_at"], {})
+    merged = merge_rows(target, changes, few.columns, keys, ["status"], {})
     assert merged.count() == N_ORDERS
     # Only changes and their keys are shuffled, never rows of the table.
-    assert max(shuffled_rows(spark, merged.select("*"))) <= 50
+    assert max(shuffled_rows(spark, merged.select("*")), default=0) <= 50
 
 
 def test_upsert_keeps_null_keys_out_of_the_join(spark, tmp_path):
@@ -303,11 +302,10 @@ def test_upsert_keeps_null_keys_out_of_the_join(spark, tmp_path):
     assert table.count() == 30_002 and table.where("k is null").count() == 10_001
     assert {r.v for r in table.where("k = 'K1' or k = 'new' or v = -3").collect()} == {-1, -2, -3}
 
-    from orderloom.operators.upsert import matched_keys, merge_rows
+    from orderloom.operators.upsert import merge_rows, reduce_changes
 
-    merged = merge_rows(
-        table, changes, matched_keys(table, changes, ["k"]), ["k"], ["v"], ["v"], {}
-    )
+    reduced = reduce_changes(changes, ["k", "v"], ["k"], ["v"], ["v"])
+    merged = merge_rows(table, reduced, ["k", "v"], ["k"], ["v"], {})
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
         assert max(shuffled_rows(spark, merged.select("*"))) <= 20_002
 
