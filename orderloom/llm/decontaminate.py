@@ -36,12 +36,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.llm.common import unused
-from orderloom.llm.words import hashed_words, in_steps, mixed, segment_ids, split_words
+from orderloom.llm.words import in_steps, mixed, segment_ids, split_words
 
 #: Items of one block: what a task holds of the benchmark at a time.
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 32 << 20
@@ -77,8 +78,16 @@ def _bare(word: bytes) -> bytes:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code of each word, hash of each code, where each text's words start)."""
     words, starts = split_words(texts.cast(pa.string()))
-    codes, hashes, _ = hashed_words(words, _bare)
-    return codes, hashes, starts
+    coded = words.dictionary_encode()
+    vocabulary = coded.dictionary
+    # ASCII words, most of them, are made bare as a whole column.
+    trimmed = pc.ascii_lower(pc.ascii_trim(vocabulary, characters=_MARKS.decode()))
+    plain = pc.and_(pc.string_is_ascii(vocabulary), pc.greater(pc.binary_length(trimmed), 0))
+    bare = pc.if_else(plain, trimmed, vocabulary).cast(pa.binary()).to_pylist()
+    for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+        bare[i] = _bare(bare[i])
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, bare), np.uint64, len(bare))
+    return coded.indices.to_numpy(zero_copy_only=False), hashes, starts
 
 
 @dataclass(frozen=True)
@@ -110,24 +119,42 @@ def _sampled_steps(window: Window, repeat: int) -> np.ndarray:
     return np.sort(rng.choice(window.length, min(SAMPLES, window.length), replace=False))
 
 
-def signatures(codes: np.ndarray, hashes: np.ndarray, starts: np.ndarray, window: Window, repeat: int) -> np.ndarray:
-    """The hash of the window at each start: sampled steps of its embedding.
+def padded(codes: np.ndarray, n_words: int) -> np.ndarray:
+    """The words with the last one repeated."""
+    return np.append(codes, np.full(n_words, codes[-1]))
 
-    A walk moves on every other step, so within as many steps as the window has words it stays inside.
+
+def signatures(
+    codes: np.ndarray,
+    hashes: np.ndarray,
+    starts: np.ndarray,
+    window: Window,
+    repeat: int,
+    filters: list[np.ndarray] | None = None,
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the window at each start, of one, two, ... sampled steps of its embedding; the last is its signature.
+
+    ``codes`` are ``padded`` by the window's length, as a walk may leave the words. With ``filters``, a bitmap for each
+    sampled step, only starts that pass go on; which these are comes first.
     """
-    at = starts.astype(np.int64)
-    out = np.zeros(len(starts), np.uint64)
-    sampled = set(_sampled_steps(window, repeat).tolist())
-    last, bits = max(sampled), None
-    for step in range(last + 1):
+    at, alive = starts.astype(np.int64), np.arange(len(starts))
+    out, found = np.zeros(len(starts), np.uint64), []
+    sampled, bits = _sampled_steps(window, repeat).tolist(), None
+    for step in range(sampled[-1] + 1):
         if step % 64 == 0:
-            bits = _random_bits(hashes, repeat, step // 64)[codes]
-        here = bits[at]
+            bits = _random_bits(hashes, repeat, step // 64)
+        here = bits[codes[at]]
         if step in sampled:
             out = out * _FOLD + (here ^ np.uint64(step))
-        at += ((here >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-        np.minimum(at, len(codes) - 1, out=at)
-    return mixed(out)
+            found.append(mixed(out))
+            if filters is not None:
+                passed = np.flatnonzero(filters[len(found) - 1][found[-1] >> np.uint64(64 - _SLOT_BITS)])
+                at, out, alive, here = at[passed], out[passed], alive[passed], here[passed]
+                found[-1] = found[-1][passed]
+        here >>= np.uint64(step % 64)
+        here &= np.uint64(1)
+        at += here.view(np.int64)
+    return alive, found
 
 
 def distances(pattern: list[int], text: list[int], anchored: bool) -> list[int]:
@@ -209,15 +236,16 @@ class Index:
         item = np.repeat(items, n_starts)
         offset = _counting(n_starts)
         begin = np.repeat(np.cumsum(lengths) - lengths, n_starts)
-        codes = np.arange(len(flat))
+        codes = padded(np.arange(len(flat)), window.length)
         chosen_by = self._copies(window, items, 0)
         found = [np.zeros(COPIES, bool) for _ in chosen_by]
         for repeat in range(MOST_REPEATS):
-            signature = signatures(codes, flat, begin + offset, window, repeat)
-            order = np.argsort(signature, kind="stable")
-            slots = np.zeros(1 << _SLOT_BITS, bool)
-            slots[signature >> np.uint64(64 - _SLOT_BITS)] = True
-            self.tables[window.m, repeat] = (slots, signature[order], item[order], offset[order])
+            _, levels = signatures(codes, flat, begin + offset, window, repeat)
+            filters = [np.zeros(1 << _SLOT_BITS, bool) for _ in levels]
+            for bitmap, level in zip(filters, levels, strict=True):
+                bitmap[level >> np.uint64(64 - _SLOT_BITS)] = True
+            order = np.argsort(levels[-1], kind="stable")
+            self.tables[window.m, repeat] = (filters, levels[-1][order], item[order], offset[order])
             for band, copies in enumerate(chosen_by):
                 found[band] |= self._hits(window, repeat, *copies)
             if all(hits.mean() >= recall for hits in found) and self._holds(window, items, repeat + 1, recall):
@@ -267,8 +295,8 @@ class Index:
         return np.array(words, np.uint64), np.array(starts), np.array(owner)
 
     def _hits(self, window: Window, repeat: int, words: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        signature = signatures(np.arange(len(words)), words, starts, window, repeat)
-        known = np.isin(signature, self.tables[window.m, repeat][1])
+        _, levels = signatures(padded(np.arange(len(words)), window.length), words, starts, window, repeat)
+        known = np.isin(levels[-1], self.tables[window.m, repeat][1])
         return np.bincount(owner, known, COPIES) > 0
 
     def _add_seeds(self, items: list[int]) -> None:
@@ -294,15 +322,15 @@ class Index:
         text = segment_ids(starts)
         within = np.arange(n) - starts[text]
         found = []
+        words = padded(codes, max((Window(m).length for m in self.repeats), default=0))
         for m, repeats in self.repeats.items():
             window = Window(m)
             begin = np.flatnonzero(within % window.stride == 0)
             begin = begin[starts[text[begin] + 1] - begin > window.length // 2]
             for repeat in range(repeats):
-                slots, known, item, offset = self.tables[m, repeat]
-                signature = signatures(codes, hashes, begin, window, repeat)
-                maybe = np.flatnonzero(slots[signature >> np.uint64(64 - _SLOT_BITS)])
-                at, which = _matches(known, signature[maybe])
+                filters, known, item, offset = self.tables[m, repeat]
+                maybe, levels = signatures(words, hashes, begin, window, repeat, filters)
+                at, which = _matches(known, levels[-1])
                 at = begin[maybe[at]]
                 found.append(np.stack((text[at], item[which], at - offset[which]), axis=1))
         for n_words, (known, item, offset) in self.seeds.items():
@@ -318,16 +346,18 @@ class Index:
         codes, hashes, starts = word_hashes(texts)
         out: dict[int, list[dict]] = {}
         done: tuple[int, int, int] = (-1, -1, -1)  # text, item, end of its last run
+        stream, bounds, known = hashes[codes].tolist(), starts.tolist(), {}
         for text, item, begin in self.candidates(codes, hashes, starts).tolist():
             pattern, most = self.item_words[item], self.most_edits[item]
             if done[:2] == (text, item) and begin + most < done[2]:
                 continue
-            low = max(int(starts[text]), begin - most, done[2] if done[:2] == (text, item) else 0)
-            high = min(int(starts[text + 1]), begin + len(pattern) + most)
-            region = hashes[codes[low:high]].tolist()
-            known = set(pattern)
+            low = max(bounds[text], begin - most, done[2] if done[:2] == (text, item) else 0)
+            high = min(bounds[text + 1], begin + len(pattern) + most)
+            region = stream[low:high]
+            if item not in known:
+                known[item] = frozenset(pattern).__contains__
             # Words that are not in the item can only be inserted or replaced.
-            if sum(word in known for word in region) < len(pattern) - most:
+            if sum(map(known[item], region)) < len(pattern) - most:
                 continue
             if run := best_run(pattern, region, most):
                 distance, first, end = run
@@ -335,7 +365,7 @@ class Index:
                 out.setdefault(text, []).append(
                     {
                         "item": self.item_ids[item],
-                        "first_word": low + first - int(starts[text]),
+                        "first_word": low + first - bounds[text],
                         "n_words": end - first,
                         "distance": distance,
                     }
