@@ -42,11 +42,11 @@ def placed(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _files(spark: SparkSession, path: str) -> dict[int, str]:
-    """The files of a path by their hash; their content is not read."""
+def files(spark: SparkSession, path: str) -> dict[int, tuple[str, int]]:
+    """Path and size of the files by their hash; their content is not read."""
     listed = spark.read.format("binaryFile").load(path)
-    found = listed.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"))
-    return {r["file"]: r["path"] for r in found.collect()}
+    name = F.col("_metadata.file_path")
+    return {r[0]: (r[1], r[2]) for r in listed.select(F.xxhash64(name), name, "length").collect()}
 
 
 # Rows as the reader gives them ---------------------------------------------------------------------
@@ -58,7 +58,7 @@ def numbered(spark: SparkSession, path: str, df: DataFrame, name: str) -> DataFr
     Costs one more pass, which counts rows and parses nothing.
     """
     counted = df.groupBy("_file", "_start").agg(F.min("_at").alias("low"), F.count("*").alias("n")).collect()
-    paths, total, plan = _files(spark, path), 0, []
+    paths, total, plan = files(spark, path), 0, []
     for split in sorted(counted, key=lambda r: (paths[r["_file"]], r["_start"])):
         plan.append((split["_file"], split["_start"], split["low"], split["n"], total))
         total += split["n"]
@@ -159,7 +159,7 @@ class QuotedRecords:
     def _chained(self) -> list[tuple]:
         """The splits in file order, with the state that each begins with."""
         found = self._lines().select("_file", "_start", "_at", "out", "in", "blank").mapInArrow(_summaries, _SUMMARY)
-        paths = _files(self.spark, self.path)
+        paths = {file: path for file, (path, _) in files(self.spark, self.path).items()}
         splits = [
             _Split(r.file, r.start, r.low, (r.end0, r.end1), (r.begun0, r.begun1), r.first_end, (r.open0, r.open1))
             for r in found.collect()

@@ -388,6 +388,55 @@ def test_pages_with_data_key(spark, tmp_path):
     assert got == {1: ("x", None, "api"), 2: (None, None, "api"), 3: (None, 1.5, "api")}
 
 
+def nested(generator, depth=0):
+    kind = generator.choice(["text", "number", "list", "object", "null"] if depth < 3 else ["text", "number"])
+    if kind == "text":
+        return "".join(generator.choices([*'ab{}[]",:\\\n', "data", "é"], k=generator.randrange(12)))
+    if kind == "list":
+        return [nested(generator, depth + 1) for _ in range(generator.randrange(4))]
+    if kind == "object":
+        return {generator.choice(["data", "x}", '"y"', "z"]): nested(generator, depth + 1) for _ in range(generator.randrange(4))}
+    return generator.randrange(1000) if kind == "number" else None
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("key", ["data", None])
+def test_large_pages_are_read_in_splits(spark, tmp_path, small_splits, indent, key):
+    """Records with braces, brackets, quotes and other lists in them, from several pages, as the json module reads them."""
+    generator = random.Random(5)
+    folder, want = tmp_path / "pages", []
+    folder.mkdir()
+    for page in range(4):
+        records = [{"id": 100 * page + i, "body": json.dumps(nested(generator)), "more": {"data": [{"n": i}], "}": "]"}} for i in range(25)]
+        body = records if key is None else {"before": [{"id": -1}], "data": records, "after": {"data": [{"id": -2}]}, "end": "}]"}
+        (folder / f"{page}.json").write_text(json.dumps(body, indent=indent, ensure_ascii=page % 2 == 0) + ("\n" if page % 2 else ""))
+        want += records
+    (folder / "none.json").write_text('{"data": []}' if key else "[]")
+    if key is None:
+        (folder / "one.json").write_text('{"id": 999, "body": "alone", "more": {}}')
+        want.append({"id": 999, "body": "alone", "more": {}})
+    source = JsonPagesSource(spark, str(folder), "api", data_key=key, record_schema=StructType().add("id", "long").add("body", "string"))
+    raw = spark.read.option("lineSep", "}").text(str(folder))
+    assert raw.rdd.getNumPartitions() > 4
+    got = source.extract().select("id", "body").collect()
+    assert sorted(map(tuple, got)) == sorted((r["id"], r["body"]) for r in want)
+    inferred = JsonPagesSource(spark, str(folder), "api", data_key=key, split_pages=True).extract()
+    assert sorted(r.id for r in inferred.collect()) == sorted(r["id"] for r in want)
+
+
+@pytest.mark.parametrize("body", ['{"data": [{"id": 1}, {"id": 2}', '{"data": [{"id": "1}]}', '[{"id": 1}}]', '{"data": [{"id": 1]}'])
+def test_broken_pages_read_in_splits(spark, tmp_path, body):
+    (tmp_path / "bad.json").write_text(body)
+    with pytest.raises(ExtractionError, match="broken page"):
+        JsonPagesSource(spark, str(tmp_path / "bad.json"), "api", data_key="data", split_pages=True).extract()
+
+
+@pytest.mark.parametrize("body", [{"other": 1}, {"data": []}])
+def test_no_records_in_splits(spark, tmp_path, body):
+    df = JsonPagesSource(spark, pages(tmp_path / "p", body), "api", data_key="data", split_pages=True).extract()
+    assert df.columns == ["_loaded_at", "_source"] and df.count() == 0
+
+
 def test_pages_that_are_lists_or_objects(spark, tmp_path):
     path = pages(tmp_path / "p", [{"id": 1}, {"id": 2}], {"id": 3})
     df = JsonPagesSource(spark, path, "api").extract()

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
@@ -202,6 +203,25 @@ def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).extract(_RUN_AT)
 
 
+def _as_page(batches):
+    """The lines of a partition as one page: a list."""
+    started = False
+    for batch in batches:
+        lines = [("," if started or i else "[") + line for i, line in enumerate(batch.column(0).to_pylist())]
+        started = started or bool(lines)
+        yield pa.RecordBatch.from_pydict({"value": lines}, pa.schema([("value", pa.string())]))
+    yield pa.RecordBatch.from_pydict({"value": ["]" if started else "[]"]})
+
+
+@_query
+def json_large_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in a few large pages, each one list, which are read in splits."""
+    order = F.to_json(F.struct(*_ORDER_FIELDS))
+    path = scratch_path(spark, "pages")
+    feed.raw_orders(spark, sf_dir).select(order.alias("value")).mapInArrow(_as_page, "value string").write.text(path)
+    return JsonPagesSource(spark, path, "orders_api", split_pages=True).extract(_RUN_AT)
+
+
 @_query
 def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse(spark)
