@@ -54,6 +54,8 @@ RECALL = 0.98
 COPIES = 400
 #: Sampled steps of a hash, and the most repetitions that are tried.
 SAMPLES, MOST_REPEATS = 4, 48
+#: Words around candidates that are looked at together.
+REGION_WORDS = 1 << 22
 SEED = 8
 
 LEAK = T.ArrayType(
@@ -315,10 +317,17 @@ class Index:
     def candidates(
         self, codes: np.ndarray, hashes: np.ndarray, starts: np.ndarray
     ) -> np.ndarray:
-        """Distinct (text, item, word of the block at which the item would begin) rows."""
-        n = len(codes)
-        if not n:
+        """Distinct (text, item, word of the block at which the item would begin) rows, in order."""
+        n, n_items = len(codes), len(self.item_ids)
+        if not n or not n_items:
             return np.zeros((0, 3), np.int64)
+        # A row is one number; an item can begin before the words.
+        before = max(map(len, self.item_words))
+        bits = np.int64((n + before).bit_length())
+
+        def packed(at: np.ndarray, which: np.ndarray, offset: np.ndarray) -> np.ndarray:
+            return (text[at] * n_items + which << bits) + (at - offset + before)
+
         text = segment_ids(starts)
         within = np.arange(n) - starts[text]
         found = []
@@ -332,40 +341,59 @@ class Index:
                 maybe, levels = signatures(words, hashes, begin, window, repeat, filters)
                 at, which = _matches(known, levels[-1])
                 at = begin[maybe[at]]
-                found.append(np.stack((text[at], item[which], at - offset[which]), axis=1))
+                found.append(packed(at, item[which], offset[which]))
         for n_words, (known, item, offset) in self.seeds.items():
             signature = _run_signatures(hashes[codes], n_words)
             begin = np.flatnonzero(starts[text[: len(signature)] + 1] - np.arange(len(signature)) >= n_words)
             at, which = _matches(known, signature[begin])
             at = begin[at]
-            found.append(np.stack((text[at], item[which], at - offset[which]), axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            found.append(packed(at, item[which], offset[which]))
+        rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        texts, items = np.divmod(rows >> bits, n_items)
+        return np.stack((texts, items, (rows & ((1 << bits) - 1)) - before), axis=1)
+
+    def _likely(self, rows: np.ndarray, codes: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of the candidates those that have enough of the item's words near by; others need more edits than allowed."""
+        by_hash = np.argsort(hashes)
+        known = hashes[by_hash]
+        mark = np.zeros(len(hashes), bool)
+        kept = np.zeros(len(rows), bool)
+        order = np.argsort(rows[:, 1], kind="stable")
+        firsts = np.flatnonzero(np.diff(rows[order, 1], prepend=-1))
+        for a, b in zip(firsts, [*firsts[1:], len(order)], strict=True):
+            item = int(rows[order[a], 1])
+            pattern, most = np.array(self.item_words[item], np.uint64), self.most_edits[item]
+            own = by_hash[_matches(known, pattern)[1]]  # several written forms of a word have one hash
+            mark[own] = True
+            width = len(pattern) + 2 * most
+            for some in np.array_split(order[a:b], 1 + (b - a) * width // REGION_WORDS):
+                text, begin = rows[some, 0], rows[some, 2]
+                place = (begin - most)[:, None] + np.arange(width)
+                inside = (place >= starts[text][:, None]) & (place < starts[text + 1][:, None])
+                words = codes[np.clip(place, 0, len(codes) - 1)]
+                kept[some] = (mark[words] & inside).sum(axis=1) >= len(pattern) - most
+            mark[own] = False
+        return rows[kept]
 
     def leaks(self, texts: pa.Array) -> dict[int, list[dict]]:
         """For each text that contains items: where."""
         codes, hashes, starts = word_hashes(texts)
         out: dict[int, list[dict]] = {}
         done: tuple[int, int, int] = (-1, -1, -1)  # text, item, end of its last run
-        stream, bounds, known = hashes[codes].tolist(), starts.tolist(), {}
-        for text, item, begin in self.candidates(codes, hashes, starts).tolist():
+        rows = self.candidates(codes, hashes, starts)
+        for text, item, begin in self._likely(rows, codes, hashes, starts).tolist() if len(rows) else []:
             pattern, most = self.item_words[item], self.most_edits[item]
             if done[:2] == (text, item) and begin + most < done[2]:
                 continue
-            low = max(bounds[text], begin - most, done[2] if done[:2] == (text, item) else 0)
-            high = min(bounds[text + 1], begin + len(pattern) + most)
-            region = stream[low:high]
-            if item not in known:
-                known[item] = frozenset(pattern).__contains__
-            # Words that are not in the item can only be inserted or replaced.
-            if sum(map(known[item], region)) < len(pattern) - most:
-                continue
-            if run := best_run(pattern, region, most):
+            low = max(int(starts[text]), begin - most, done[2] if done[:2] == (text, item) else 0)
+            high = min(int(starts[text + 1]), begin + len(pattern) + most)
+            if run := best_run(pattern, hashes[codes[low:high]].tolist(), most):
                 distance, first, end = run
                 done = (text, item, low + end)
                 out.setdefault(text, []).append(
                     {
                         "item": self.item_ids[item],
-                        "first_word": low + first - bounds[text],
+                        "first_word": low + first - int(starts[text]),
                         "n_words": end - first,
                         "distance": distance,
                     }
