@@ -32,6 +32,14 @@ _TOKEN = re.compile(rf"{_KEY}\s*:\s*\[|[\[\]{{]")
 
 def tokens(piece: str, in_string: bool, key: str | None) -> tuple[list[tuple[int, str]], bool]:
     """Where brackets open or close in a piece of text without closing braces, and whether it ends inside a string."""
+    if "\\" not in piece and (key is None or f'"{key}"' not in piece):
+        # Most pieces have no escapes and open one flat object at most: counting quotes is enough.
+        parts = piece.split('"')
+        outside = "".join(parts[in_string::2])
+        ends_inside = (len(parts) - 1 + in_string) % 2 == 1
+        n = outside.count("{")
+        if "[" not in outside and "]" not in outside and (not n or n == piece.count("{") == 1):
+            return ([(piece.index("{"), _OBJECT)] if n else []), ends_inside
     at = 0
     if in_string:
         rest = _REST_OF_STRING.match(piece)
