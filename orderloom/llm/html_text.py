@@ -10,12 +10,13 @@ For each host the token streams of the loose texts are concatenated and their su
 doubling, up to ``RUN`` tokens (a power of two): suffixes of equal rank begin with the same run of that
 many tokens, so the runs that occur on two distinct pages are known, and their union is every repeated
 substring of at least that length. What they cover is boilerplate. A page without a main element keeps
-the runs of its loose text that nothing covers and no markup rules out; in a page with one, the
-boilerplate found is counted. The article itself is never cut: a passage that several pages of a host quote
+the runs of its loose text that nothing covers and no markup rules out. So does a page whose main element is a mere
+teaser, with less than ``TEASER`` of the words of those runs: its text is both, in page order. In other pages
+the boilerplate found is counted. The article itself is never cut: a passage that several pages of a host quote
 belongs to each of them. Pages with the same loose text count as one page, so a mirrored page is not its own
 boilerplate.
 
-A host with more than its share of all pages is cut into sections, each with a suffix array of its own.
+A host with more than its share of all pages or bytes is cut into sections, each with a suffix array of its own.
 The runs that occur in two sections, on pages of different content, are found by their hashes, one row per section and
 run, and are added to what each section covers; the result is that of one array over the host.
 
@@ -45,8 +46,10 @@ from orderloom.llm.words import in_steps, mixed
 
 #: Tokens of a repeated run, a power of two.
 RUN = 8
-#: A host is cut into sections from this share of an average partition's pages, and this many pages.
-HOT_SHARE, HOT_PAGES = 0.25, 128
+#: A host is cut into sections from this share of an average partition's pages or bytes of html, and at least so many.
+HOT_SHARE, HOT_PAGES, HOT_BYTES = 0.25, 128, 32 << 20
+#: A main element with fewer words than this share of what else the page alone has is a teaser.
+TEASER = 0.2
 
 # Elements by what they are in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +59,8 @@ INLINE = frozenset(
 )
 HIDDEN = frozenset("script style title textarea noscript template iframe".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button select svg canvas object audio video".split())
+#: Those of them that may stand in a sentence: they are skipped and do not end it.
+SKIPPED = frozenset("button select svg canvas object audio video".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu".split())
@@ -106,10 +111,12 @@ def blocks(html: str, lifted: bool = False) -> list[tuple[str, bool, int]]:
     out: list[tuple[str, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, in main, ruled out
     text: list[str] = []
-    main, aside = False, 0
+    main, aside, skipped = False, 0, 0
     at = 0
 
     def flush() -> None:
+        if skipped:
+            return
         if joined := " ".join(unescape("".join(text)).split()):
             out.append((joined, main, aside))
         text.clear()
@@ -122,15 +129,17 @@ def blocks(html: str, lifted: bool = False) -> list[tuple[str, bool, int]]:
         main, aside = state[1:]
 
     def leave(n: int) -> None:
-        nonlocal main, aside
+        nonlocal main, aside, skipped
         state = stack[n - 1][1:] if n else (False, 0)
+        skipped = sum(tag in SKIPPED for tag, *_ in stack[:n])
         if state != (main, aside):
             flush()
         del stack[n:]
         main, aside = state
 
     while found := _PIECE.search(html, at):
-        text.append(html[at : found.start()])
+        if not skipped:
+            text.append(html[at : found.start()])
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag or tag in VOID:
@@ -141,17 +150,25 @@ def blocks(html: str, lifted: bool = False) -> list[tuple[str, bool, int]]:
             continue
         if found[1]:
             place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE:
+            if tag not in INLINE | SKIPPED:
                 flush()
-            elif place is not None and any(s[0] not in INLINE for s in stack[place:]):
+            elif tag in INLINE and place is not None and any(s[0] not in INLINE | SKIPPED for s in stack[place:]):
                 continue  # an inline element does not end the blocks inside it
             if place is not None:
+                was_skipped = skipped
                 leave(place)
+                if was_skipped and not skipped and tag not in SKIPPED:
+                    flush()  # what was skipped was never closed
             continue
         if tag in HIDDEN:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if tag in SKIPPED:
+            if not found[3].rstrip().endswith("/"):
+                skipped += 1
+                stack.append((tag, main, aside))
+            continue
         if tag not in INLINE:
             flush()
             # A new block ends an open paragraph, and an item the item before it.
@@ -173,22 +190,34 @@ def blocks(html: str, lifted: bool = False) -> list[tuple[str, bool, int]]:
             ruled_out = 0  # the heading of an article may stand in a header of its own
         enter((tag, main or named, ruled_out))
     tail = html[at:]
-    text.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
+    if not skipped:
+        text.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
+    skipped = 0
     flush()
     return out
 
 
-def parsed(html: str) -> tuple[str | None, list[str], list[bool]]:
-    """(main text, or None without a main element; loose blocks; which of them markup rules out)."""
+#: Kinds of blocks: of the main text, loose, loose and ruled out by markup.
+IN_MAIN, LOOSE, OUT = 0, 1, 2
+
+
+def parsed(html: str) -> tuple[list[str], list[int]]:
+    """The blocks of a page that may belong to its text or to boilerplate, and their kinds."""
     found = blocks(html)
-    article = [t for t, main, aside in found if main and not aside]
-    if not article and any(main and aside == BY_NAME for _, main, aside in found):
+    has_main = any(main and not aside for _, main, aside in found)
+    if not has_main and any(main and aside == BY_NAME for _, main, aside in found):
         found = blocks(html, lifted=True)
-        article = [t for t, main, aside in found if main and not aside]
-    loose = [(t, aside) for t, main, aside in found if not main]
+        has_main = any(main and not aside for _, main, aside in found)
+    # What is ruled out within a main element is neither.
+    found = [f for f in found if not (f[1] and f[2])]
     # Names alone do not leave a page empty: the runs of its host decide.
-    least = SURE if not article and all(a for _, a in loose) else BY_NAME
-    return "\n".join(article) if article else None, [t for t, _ in loose], [a >= least for _, a in loose]
+    least = SURE if not has_main and all(aside for _, main, aside in found if not main) else BY_NAME
+    kinds = [IN_MAIN if main else OUT if aside >= least else LOOSE for _, main, aside in found]
+    return [text for text, *_ in found], kinds
+
+
+def loose_blocks(texts: list[str], kinds: list[int]) -> list[str]:
+    return [t for t, kind in zip(texts, kinds, strict=True) if kind != IN_MAIN]
 
 
 # Suffix arrays ------------------------------------------------------------------------------------
@@ -264,7 +293,7 @@ class Streams:
 
 # Spark --------------------------------------------------------------------------------------------
 
-_PARSED = "id {id}, url string, host string, section int, n_sections int, main string, loose array<string>, aside array<boolean>"
+_PARSED = "id {id}, url string, host string, section int, n_sections int, texts array<string>, kinds array<int>"
 
 
 def host_of(url: Column) -> Column:
@@ -278,21 +307,21 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in in_steps(batches, "html"):
             rows = [parsed(h or "") for h in step.column("html").to_pylist()]
-            columns = [step.column(c) for c in ("id", "url", "host", "section", "n_sections")]
-            columns += [
-                pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.list_(pa.string())),
-                pa.array([r[2] for r in rows], pa.list_(pa.bool_())),
-            ]
-            names = ["id", "url", "host", "section", "n_sections", "main", "loose", "aside"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            names = ["id", "url", "host", "section", "n_sections"]
+            columns = [step.column(c) for c in names]
+            columns += [pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "texts", "kinds"])
 
     return pages.mapInArrow(steps, _PARSED.format(id=pages.schema["id"].dataType.simpleString()))
 
 
+def _loose(table: pa.Table) -> list[list[str]]:
+    return [loose_blocks(*page) for page in zip(table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True)]
+
+
 def _run_hashes(table: pa.Table) -> pa.Table:
     """The different runs of a section, as hashes, each with the least and greatest hash of a page content that has it."""
-    pages = table.column("loose").to_pylist()
+    pages = _loose(table)
     streams = Streams(pages)
     contents = np.array([xxhash.xxh64_intdigest("\n".join(page)) for page in pages], np.uint64).view(np.int64)
     run, content = streams.run_hash.view(np.int64), contents[streams.page[streams.start]]
@@ -304,14 +333,24 @@ def _run_hashes(table: pa.Table) -> pa.Table:
     return pa.table(columns | {"run": pa.array(runs), "lo": pa.array(lo), "hi": pa.array(hi)})
 
 
+def _chosen(left: list[str], texts: list[str], kinds: list[int]) -> list[str]:
+    """The blocks of a page's text; ``left`` has what of its loose blocks nothing covers."""
+    rest = iter(left)
+    shown = [text if kind == IN_MAIN else next(rest) for text, kind in zip(texts, kinds, strict=True)]
+    n_words = [0, 0, 0]
+    for text, kind in zip(shown, kinds, strict=True):
+        n_words[kind] += text.count(" ") + 1 if text else 0
+    is_teaser = n_words[IN_MAIN] < TEASER * n_words[LOOSE]
+    wanted = (IN_MAIN, LOOSE) if is_teaser or IN_MAIN not in kinds else (IN_MAIN,)
+    return [text for text, kind in zip(shown, kinds, strict=True) if text and kind in wanted]
+
+
 def _resolved(table: pa.Table, runs: pa.Table) -> pa.Table:
-    streams = Streams(table.column("loose").to_pylist())
+    streams = Streams(_loose(table))
     streams.cover_hashes(runs.column("run").to_numpy().view(np.uint64))
     texts, counts = [], []
-    rows = zip(streams.kept(), table.column("main").to_pylist(), table.column("aside").to_pylist(), strict=True)
-    for (left, n), main, aside in rows:
-        loose = (t for t, ruled_out in zip(left, aside, strict=True) if t and not ruled_out)
-        texts.append("\n".join(loose) if main is None else main)
+    for (left, n), blocks_of, kinds in zip(streams.kept(), table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True):
+        texts.append("\n".join(_chosen(left, blocks_of, kinds)))
         counts.append(n)
     return pa.table(
         {"id": table.column("id"), "url": table.column("url"), "text": texts, "n_boilerplate": pa.array(counts, pa.int64())}
@@ -326,24 +365,32 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(f"`{html_col}`").cast("string").alias("html"),
     ).withColumn("host", host_of(F.col("url")))
     spark = pages.sparkSession
-    limit = max(HOT_PAGES, int(own.count() / shuffle_partitions(spark) * HOT_SHARE))
-    # At most pages / limit = partitions / HOT_SHARE hosts have that many pages: small enough to broadcast.
-    hot = own.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
-        "host", F.ceil(F.col("n") / limit).cast("int").alias("parts")
-    )
+    size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    share = HOT_SHARE / shuffle_partitions(spark)
+    most_pages, most_bytes = max(HOT_PAGES, int(size["n"] * share)), max(HOT_BYTES, int((size["bytes"] or 0) * share))
+    # At most twice as many hosts as partitions / HOT_SHARE have that much: few enough to broadcast.
+    by_host = own.groupBy("host").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / most_pages, F.col("bytes") / most_bytes)).cast("int")
+    hot = by_host.select("host", parts.alias("parts")).where("parts > 1")
     sections = (
         own.join(F.broadcast(stored(hot, "hot-hosts")), "host", "left")
         .withColumn("n_sections", F.coalesce("parts", F.lit(1)))
         .withColumn("section", F.pmod(F.xxhash64("id", "url"), F.col("n_sections")).cast("int"))
         .select("id", "url", "html", "host", "section", "n_sections")
     )
-    cut = _parsed(sections.where("n_sections > 1")).select("host", "section", "loose")
-    runs = cut.groupBy("host", "section").applyInArrow(_run_hashes, "host string, section int, run long, lo long, hi long")
+    # Pages of cut hosts are needed twice and parsed once.
+    cut = stored(_parsed(sections.where("n_sections > 1")), "section-pages")
+    runs = (
+        cut.select("host", "section", "texts", "kinds")
+        .groupBy("host", "section")
+        .applyInArrow(_run_hashes, "host string, section int, run long, lo long, hi long")
+    )
     runs = stored(runs, "section-runs")
     of_run = runs.groupBy("host", "run").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     shared = stored(of_run.where("n > 1 and lo <> hi").select("host", "run"), "shared-runs")
     known = runs.join(shared, ["host", "run"]).select("host", "section", "run")
-    pages_of, runs_of = (df.groupBy("host", "section") for df in (_parsed(sections), known))
+    all_pages = _parsed(sections.where("n_sections = 1")).unionByName(cut)
+    pages_of, runs_of = (df.groupBy("host", "section") for df in (all_pages, known))
     id_type = own.schema["id"].dataType.simpleString()
     columns = f"id {id_type}, url string, text string, n_boilerplate long"
     out = pages_of.cogroup(runs_of).applyInArrow(_resolved, columns)

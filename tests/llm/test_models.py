@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import math
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from orderloom.llm import quality, toxicity
@@ -74,3 +79,172 @@ def test_offending_sentences_are_located(spark):
 def test_noisy_or():
     got = toxicity.noisy_or(np.array([0.5, 0.5, 0.1]), np.array([0, 0, 2]), 4)
     assert got == pytest.approx([0.75, 0.0, 0.1, 0.0])
+
+
+# Against plain versions ---------------------------------------------------------------------------
+
+ALL = (1 << 64) - 1
+
+
+def plain_mixed(x):
+    x ^= x >> 31
+    x = x * 0x9E3779B97F4A7C15 & ALL
+    x ^= x >> 29
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    return x ^ (x >> 32)
+
+
+def digest(word, seed=0):
+    return xxhash.xxh64_intdigest(word, seed)
+
+
+class PlainFtrl:
+    """Per-coordinate follow-the-regularised-leader, with dictionaries."""
+
+    def __init__(self, settings):
+        self.s, self.z, self.n = settings, defaultdict(float), defaultdict(float)
+
+    def weight(self, place):
+        z = self.z[place]
+        if abs(z) <= self.s.l1 or self.s.only_positive and z > 0:
+            return 0.0
+        return -(z - math.copysign(self.s.l1, z)) / ((self.s.beta + math.sqrt(self.n[place])) / self.s.alpha + self.s.l2)
+
+    def step(self, gradients):
+        weights = {place: self.weight(place) for place in gradients}
+        for place, g in gradients.items():
+            sigma = (math.sqrt(self.n[place] + g * g) - math.sqrt(self.n[place])) / self.s.alpha
+            self.z[place] += g - sigma * weights[place]
+            self.n[place] += g * g
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-min(max(x, -40), 40)))
+
+
+def in_training_order(rows, labels):
+    """(label, text) in the order of the hash of the id that training uses."""
+    order = []
+    for i, text, _ in rows:
+        h = digest(b"train", digest(i.to_bytes(8, "little"), 42))
+        order.append((h - (1 << 64) if h >> 63 else h, text, labels[i]))
+    return [(label, text) for _, text, label in sorted(order, key=lambda r: r[:2])]
+
+
+def plain_quality_features(text, bits):
+    words = text.encode().split()
+    hashes = [digest(w) for w in words]
+    pairs = list(zip(hashes, hashes[1:], strict=False))
+    kinds = [
+        Counter(hashes),
+        Counter((plain_mixed(a) * 3 + b) & ALL for a, b in pairs),
+        Counter(digest(re.sub(rb"(.)\1+", rb"\1", bytes(map(kind_of, w))), 1) for w in words),
+        Counter(1 + (a == b) for a, b in pairs),
+    ]
+    found = {0: 1.0}
+    for counts in kinds:
+        for hashed, n in counts.items():
+            place = plain_mixed(hashed) % ((1 << bits) - 1) + 1
+            assert place not in found  # so few features do not meet
+            found[place] = math.sqrt(n / sum(counts.values()))
+    return found
+
+
+def kind_of(c):
+    return 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else 48 if 48 <= c < 58 else c
+
+
+def small_corpus(n):
+    rng = random.Random(12)
+    good, bad = ["The", "house", "stands", "nearby,", "Öfter", "is"], ["BUY", "now!!!", "$$$", "click", "x1"]
+    rows, labels = [], {}
+    for i in range(n):
+        labels[i] = rng.randrange(2)
+        words = rng.choices(good if labels[i] else bad, k=rng.randrange(1, 9)) + rng.choices(good + bad, k=2)
+        rows.append((i, " ".join(words), "s"))
+    return rows, labels
+
+
+def test_quality_against_plain_ftrl(spark):
+    rows, labels = small_corpus(80)
+    settings = quality.SETTINGS
+    model = PlainFtrl(settings)
+    ordered = [(label, plain_quality_features(text, settings.bits)) for label, text in in_training_order(rows, labels)]
+    for _ in range(settings.passes):
+        for label, features in ordered:
+            p = sigmoid(sum(model.weight(place) * v for place, v in features.items()))
+            model.step({place: (p - label) * v for place, v in features.items()})
+    table = docs(spark, rows, clashing=False)
+    weights = quality.train(table, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(table, weights).collect()}
+    for i, text, _ in rows:
+        features = plain_quality_features(text, settings.bits)
+        assert got[i] == pytest.approx(sigmoid(sum(model.weight(place) * v for place, v in features.items())), abs=1e-4)
+    assert np.mean([(got[i] >= 0.5) == bool(labels[i]) for i in labels]) > 0.9
+
+
+def plain_sentences(text):
+    """Sentences as lists of words: they end with a line or with a word that ends with a full stop or the like."""
+    found = []
+    for line in (text or "").split("\n"):
+        now = []
+        for word in line.encode().split():
+            now.append(word)
+            if word.rstrip(b"\"')]}\xbb").endswith((b".", b"!", b"?")):
+                found.append(now)
+                now = []
+        found.append(now)
+    return [s for s in found if s]
+
+
+def plain_places(word, bits):
+    bare = word.strip(b".,;:!?\"'()[]{}|*&%$#<>").decode().casefold()
+    hashes = [digest(bare.encode()), *(digest(bare[:k].encode(), k) for k in toxicity.BEGINNINGS)]
+    return [plain_mixed(h) % (1 << bits) for h in hashes]
+
+
+def plain_sentence_scores(text, weight, bits):
+    return [
+        sigmoid(toxicity.PRIOR + sum(weight(p) for word in set(s) for p in plain_places(word, bits))) for s in plain_sentences(text)
+    ]
+
+
+def test_toxicity_against_plain_multiple_instance_learning(spark):
+    rng = random.Random(13)
+    words = ["one", "Two,", "three", "four", "Fünf", "six"]
+    rows, labels = [], {}
+    for i in range(60):
+        labels[i] = int(i % 4 == 0)
+        sentences = [" ".join(rng.choices(words, k=rng.randrange(1, 6))) + rng.choice([".", "!\n", ".) ", "\n"]) for _ in range(3)]
+        if labels[i]:
+            sentences.insert(rng.randrange(3), "you " + rng.choice(["rotter", "Rotters"]) + "! ")
+        rows.append((i, " ".join(sentences), "s"))
+    settings = toxicity.SETTINGS
+    model = PlainFtrl(settings)
+    for _ in range(settings.passes):
+        for label, text in in_training_order(rows, labels):
+            p = plain_sentence_scores(text, model.weight, settings.bits)
+            none = math.prod(1 - x for x in p)
+            slopes = [-x * none / (1 - none) if label else x for x in p]  # of the loss, by each sentence's log-odds
+            gradients = defaultdict(float)
+            for sentence, slope in zip(plain_sentences(text), slopes, strict=True):
+                for word in set(sentence):
+                    for place in plain_places(word, settings.bits):
+                        gradients[place] += slope
+            model.step(gradients)
+    table = docs(spark, rows, clashing=False)
+    weights = toxicity.train(table, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(table, weights).collect()}
+    for i, text, _ in rows:
+        p = plain_sentence_scores(text, model.weight, settings.bits)
+        assert got[i].score == pytest.approx(1 - math.prod(1 - x for x in p), abs=1e-6)
+        assert [o.sentence for o in got[i].offences] == [k for k, x in enumerate(p) if x >= 0.5]
+        assert (got[i].score >= 0.5) == bool(labels[i])
+
+
+def test_a_column_of_offences_that_is_there_is_replaced(spark):
+    table = docs(spark).selectExpr("*", "'mine' as offences")
+    got = toxicity.score(table, np.zeros(1 << toxicity.SETTINGS.bits))
+    assert got.columns.count("offences") == 1 and got.count() == len(ODD)
+    kept = toxicity.drop_toxic(table, np.zeros(1 << toxicity.SETTINGS.bits))
+    assert kept.columns == table.columns and {r.offences for r in kept.collect()} == {"mine"}

@@ -233,6 +233,11 @@ def test_leak_query_finds_every_whole_item(spark):
         ("<article><p>a <b", "a"),
         ("<article><p>1 < 2 & 3</article>", "1 < 2 & 3"),
         ("<article>  </article><p>body", "body"),
+        ("<article><p>a<svg><path d='x'/><text>t</text></svg> b <button>click <b>me</b></button>c</p><p>d</article>", "a b c\nd"),
+        ("<article><p>a <select><option>1<option>2</select>b<audio src=x /> c<video><p>no video</p></video> d</article>", "a b c d"),
+        ("<article><p>a<svg><path></p><p>b</p></article>", "a\nb"),
+        ("<article class=teaser>Short teaser.</article><div>" + "body text " * 20 + "</div><nav>menu</nav>", "Short teaser.\n" + "body text " * 19 + "body text"),
+        ("<article>An article of seven words in all.</article><div>a few loose words beside it</div>", "An article of seven words in all."),
     ],
 )
 def test_main_text(spark, html, text):
@@ -256,8 +261,35 @@ def test_main_text(spark, html, text):
     ],
 )
 def test_names_of_wrappers_do_not_hide_the_text(html, text):
-    main, blocks, aside = html_text.parsed(html)
-    assert (main or "\n".join(t for t, a in zip(blocks, aside, strict=True) if not a)) == text
+    texts, kinds = html_text.parsed(html)
+    shown = html_text.IN_MAIN if html_text.IN_MAIN in kinds else html_text.LOOSE
+    assert "\n".join(t for t, kind in zip(texts, kinds, strict=True) if kind == shown) == text
+
+
+def test_a_teaser_does_not_hide_the_body_and_boilerplate_stays_out(spark):
+    """Beside a short article the runs that no other page has are the text; repeated ones and menus are not."""
+    words = [f"w{i}" for i in range(900)]
+    bodies = [" ".join(random.Random(i).choices(words, k=80)) for i in range(5)]
+    page = "<article>teaser {i}</article><div>{banner}</div><div>{body}</div><div class=sidebar>side</div>"
+    rows = [(i, f"https://h.example/{i}", page.format(i=i, banner=BANNER, body=b)) for i, b in enumerate(bodies)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(table).collect()}
+    assert {i: got[i].text for i in range(5)} == {i: f"teaser {i}\n{b}" for i, b in enumerate(bodies)}
+
+
+def test_long_pages_and_sections_by_bytes(spark, monkeypatch):
+    """A page of some megabytes, and hosts that are cut by the bytes of their pages with the result of one section."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, f"https://h{i % 2}.example/{i}", loose(" ".join(rng.choices(words, k=60)), BANNER)) for i in range(60)]
+    long = "<article>" + "".join(f"<p>line {i} of a long page" for i in range(60_000)) + "</article>"
+    rows.append((100, "https://h0.example/long", long))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(tuple(r) for r in html_text.extract(table).collect())
+    assert len(dict((r[0], r[2]) for r in whole)[100].split("\n")) == 60_000
+    monkeypatch.setattr(html_text, "HOT_BYTES", 2000)
+    monkeypatch.setattr(html_text, "HOT_SHARE", 1e-9)
+    assert sorted(tuple(r) for r in html_text.extract(table).collect()) == whole
 
 
 def loose(*blocks):
@@ -291,7 +323,7 @@ def test_sections_of_a_large_host_give_what_one_array_gives(spark, monkeypatch):
     ]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(table).collect()}
-    whole = html_text.Streams([html_text.parsed(h)[1] for _, _, h in rows])
+    whole = html_text.Streams([html_text.loose_blocks(*html_text.parsed(h)) for _, _, h in rows])
     want = {i: "\n".join(t for t in left if t) for (i, _, _), (left, _) in zip(rows, whole.kept(), strict=True)}
     assert got == want
 
