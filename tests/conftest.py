@@ -9,7 +9,9 @@ from orderloom.sinks import Warehouse
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    # A folder of their own, so that two runs at once do not meet.
+    warehouse = tmp_path_factory.mktemp("spark") / "warehouse"
     session = build_session(
         "orderloom-tests",
         **{
@@ -17,7 +19,7 @@ def spark():
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.sql.warehouse.dir": "/tmp/orderloom-tests-warehouse",
+            "spark.sql.warehouse.dir": str(warehouse),
         },
     )
     session.sparkContext.setLogLevel("OFF")

@@ -164,3 +164,34 @@ def test_launcher_starts_from_any_folder(inbox, tmp_path):
     command[2] = "ingest"
     done = subprocess.run(command, cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
     assert done.returncode == 1
+
+
+def test_line_breaks_in_quotes_are_found_while_loading(warehouse, inbox):
+    """The first read fails and loads nothing; the second takes the breaks."""
+    (inbox / "products.csv").write_text(PRODUCTS + 'P4,"Two\nlines",Home,9.99,1\nP5,Plain,Home,1,1\n')
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert (report.tables_processed, report.rows_loaded, report.rows_rejected) == (3, 9, 6)
+    names = {r.product_name for r in warehouse.table("products").collect()}
+    assert "Two\nlines" in names and len(names) == 4
+
+
+def test_line_breaks_that_a_job_rules_out_fail_it(warehouse, inbox):
+    (inbox / "products.csv").write_text(PRODUCTS + 'P4,"Two\nlines",Home,9.99,1\n')
+    jobs = [Job("products", "products.csv", "products", multi_line=False)]
+    report = IngestRun(warehouse, str(inbox), jobs).run()
+    assert report.failed and warehouse.table("products").count() == 0
+
+
+def test_a_quote_that_is_never_closed_fails_its_job(warehouse, inbox):
+    (inbox / "products.csv").write_text(PRODUCTS + 'P4,"Open,Home,9.99,1\nP5,Plain,Home,1,1\n')
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert [e["job"] for e in report.errors] == ["products"] and "never closed" in report.errors[0]["error"]
+    assert warehouse.table("products").count() == 0
+
+
+def test_kept_rejects_have_row_numbers_of_their_file(warehouse, inbox):
+    IngestRun(warehouse, str(inbox), rejects_schema="raw").run()
+    numbers = {name: rows(warehouse.table(f"{name}_rejects").select("_row_id")) for name in ("customers", "products", "orders")}
+    assert numbers == {"customers": [(2,), (3,), (4,)], "products": [(2,)], "orders": [(3,), (4,)]}
+    assert "_row" not in warehouse.table("orders").columns
+    assert all('"_row"' not in r._data for r in warehouse.table("orders_rejects").collect())

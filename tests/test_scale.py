@@ -325,3 +325,14 @@ def test_hot_key_in_upsert(spark, tmp_path):
     for i in range(90_000):
         expected["K0" if i % 3 == 0 else f"K{i % 2000}"] = i
     assert got == expected
+
+
+def test_several_distinct_counts_do_not_copy_rows(spark, hot):
+    """Orders are not known to be unique: still no Expand, and a hot customer's rows are reduced before the last shuffle."""
+    from orderloom.operators import metrics
+
+    priced = plans.priced_orders(hot["orders"], plans.stg_products(hot["products"]))
+    for totals in (metrics.customer_metrics(priced), metrics.product_metrics(priced)):
+        assert "Expand" not in totals._jdf.queryExecution().executedPlan().toString()
+    key = metrics._per_value(priced, "customer_id", "product_category")
+    assert "hashpartitioning(customer_id" in key._jdf.queryExecution().executedPlan().toString()
