@@ -321,7 +321,7 @@ def _loose(table: pa.Table) -> list[list[str]]:
 
 def _run_hashes(table: pa.Table) -> pa.Table:
     """The different runs of a section, as hashes, each with the least and greatest hash of a page content that has it."""
-    pages = _loose(table)
+    pages = table.column("loose").to_pylist()
     streams = Streams(pages)
     contents = np.array([xxhash.xxh64_intdigest("\n".join(page)) for page in pages], np.uint64).view(np.int64)
     run, content = streams.run_hash.view(np.int64), contents[streams.page[streams.start]]
@@ -380,8 +380,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     # Pages of cut hosts are needed twice and parsed once.
     cut = stored(_parsed(sections.where("n_sections > 1")), "section-pages")
+    loose = F.filter("texts", lambda _, i: F.get("kinds", i) != IN_MAIN)
     runs = (
-        cut.select("host", "section", "texts", "kinds")
+        cut.select("host", "section", loose.alias("loose"))
         .groupBy("host", "section")
         .applyInArrow(_run_hashes, "host string, section int, run long, lo long, hi long")
     )
