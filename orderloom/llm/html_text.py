@@ -378,8 +378,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         .withColumn("section", F.pmod(F.xxhash64("id", "url"), F.col("n_sections")).cast("int"))
         .select("id", "url", "html", "host", "section", "n_sections")
     )
-    # Pages of cut hosts are needed twice and parsed once.
-    cut = stored(_parsed(sections.where("n_sections > 1")), "section-pages")
+    # Pages of cut hosts are parsed twice: their blocks take more room than the time is worth.
+    cut = _parsed(sections.where("n_sections > 1"))
     loose = F.filter("texts", lambda _, i: F.get("kinds", i) != IN_MAIN)
     runs = (
         cut.select("host", "section", loose.alias("loose"))
@@ -390,8 +390,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     of_run = runs.groupBy("host", "run").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     shared = stored(of_run.where("n > 1 and lo <> hi").select("host", "run"), "shared-runs")
     known = runs.join(shared, ["host", "run"]).select("host", "section", "run")
-    all_pages = _parsed(sections.where("n_sections = 1")).unionByName(cut)
-    pages_of, runs_of = (df.groupBy("host", "section") for df in (all_pages, known))
+    pages_of, runs_of = (df.groupBy("host", "section") for df in (_parsed(sections), known))
     id_type = own.schema["id"].dataType.simpleString()
     columns = f"id {id_type}, url string, text string, n_boilerplate long"
     out = pages_of.cogroup(runs_of).applyInArrow(_resolved, columns)
