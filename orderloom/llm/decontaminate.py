@@ -55,7 +55,7 @@ COPIES = 400
 #: Sampled steps of a hash, and the most repetitions that are tried.
 SAMPLES, MOST_REPEATS = 4, 48
 #: Words around candidates that are looked at together.
-REGION_WORDS = 1 << 22
+REGION_WORDS = 1 << 18
 SEED = 8
 
 LEAK = T.ArrayType(
@@ -70,7 +70,8 @@ LEAK = T.ArrayType(
 )
 _MARKS = b".,;:!?\"'()[]{}|*&%$#<>"
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
-_SLOT_BITS = 18
+#: Bits of the numbers of a filter's slots: of whole signatures, and of their beginnings.
+_SLOT_BITS, _FIRST_BITS = 18, 16
 
 
 def _bare(word: bytes) -> bytes:
@@ -121,6 +122,15 @@ def _sampled_steps(window: Window, repeat: int) -> np.ndarray:
     return np.sort(rng.choice(window.length, min(SAMPLES, window.length), replace=False))
 
 
+def _slot_numbers(signature: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The upper bits, as many as the bitmap has slots for."""
+    return signature >> np.uint64(65 - len(bitmap).bit_length())
+
+
+def _slots(signature: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    return bitmap[_slot_numbers(signature, bitmap)]
+
+
 def padded(codes: np.ndarray, n_words: int) -> np.ndarray:
     """The words with the last one repeated."""
     return np.append(codes, np.full(n_words, codes[-1]))
@@ -150,7 +160,7 @@ def signatures(
             out = out * _FOLD + (here ^ np.uint64(step))
             found.append(mixed(out))
             if filters is not None:
-                passed = np.flatnonzero(filters[len(found) - 1][found[-1] >> np.uint64(64 - _SLOT_BITS)])
+                passed = np.flatnonzero(_slots(found[-1], filters[len(found) - 1]))
                 at, out, alive, here = at[passed], out[passed], alive[passed], here[passed]
                 found[-1] = found[-1][passed]
         here >>= np.uint64(step % 64)
@@ -243,9 +253,9 @@ class Index:
         found = [np.zeros(COPIES, bool) for _ in chosen_by]
         for repeat in range(MOST_REPEATS):
             _, levels = signatures(codes, flat, begin + offset, window, repeat)
-            filters = [np.zeros(1 << _SLOT_BITS, bool) for _ in levels]
+            filters = [np.zeros(1 << (_SLOT_BITS if level is levels[-1] else _FIRST_BITS), bool) for level in levels]
             for bitmap, level in zip(filters, levels, strict=True):
-                bitmap[level >> np.uint64(64 - _SLOT_BITS)] = True
+                bitmap[_slot_numbers(level, bitmap)] = True
             order = np.argsort(levels[-1], kind="stable")
             self.tables[window.m, repeat] = (filters, levels[-1][order], item[order], offset[order])
             for band, copies in enumerate(chosen_by):
