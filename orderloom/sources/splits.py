@@ -24,7 +24,7 @@ from orderloom.sources.base import ExtractionError
 
 #: Character sets in which the bytes of line breaks and quotes stand for nothing else.
 _WIDE_SETS = re.compile(r"utf[_-]?(16|32)", re.IGNORECASE)
-_MARK = "﻿"
+_MARK = "\ufeff"
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
 
@@ -209,9 +209,10 @@ class QuotedRecords:
         # A split that begins inside quotes and never leaves them belongs to that record as a whole.
         head = (F.col("state") == 1) & (F.col("_at") <= F.when(F.col("head_to") < 0, F.col("_at")).otherwise(F.col("head_to")))
         tail = F.col("_at") >= F.col("tail_from")
+        kept = F.when(F.col("_at") >= F.col("low"), F.col("line")).otherwise(_moved().cast("string"))
         parts = lines.where(head | tail).select(
             F.when(head, F.col("owner")).otherwise(F.col("number")).alias("record_of"),
-            F.struct("number", "_at", F.when(F.col("_at") >= F.col("low"), F.col("line")).otherwise(_moved().cast("string")).alias("line")).alias("part"),
+            F.struct("number", "_at", kept.alias("line")).alias("part"),
             F.when(~head, F.col("tail_row")).alias("row"),
             F.when(~head, F.col("tail_header")).alias("header"),
         )
