@@ -23,8 +23,8 @@ The items are the smaller side: they are hashed in blocks of at most ``BLOCK_ITE
 Words are compared in lower case and without punctuation around them.
 
 Defined results: a null or empty text contains nothing; an item of no words is nowhere; a short item is
-found wherever its words stand in a row, and one common word is an item like any other; items with equal texts are found each; an empty table of items
-leaves all documents clean; rows that repeat an identifier are judged each; other columns are passed on.
+found wherever its words stand in a row, and one common word is an item like any other; items with
+equal texts are found each; an empty table of items leaves all documents clean; rows that repeat an identifier are judged each; other columns are passed on.
 """
 
 from __future__ import annotations

@@ -349,7 +349,8 @@ def _resolved(table: pa.Table, runs: pa.Table) -> pa.Table:
     streams = Streams(_loose(table))
     streams.cover_hashes(runs.column("run").to_numpy().view(np.uint64))
     texts, counts = [], []
-    for (left, n), blocks_of, kinds in zip(streams.kept(), table.column("texts").to_pylist(), table.column("kinds").to_pylist(), strict=True):
+    pages = (table.column(c).to_pylist() for c in ("texts", "kinds"))
+    for (left, n), blocks_of, kinds in zip(streams.kept(), *pages, strict=True):
         texts.append("\n".join(_chosen(left, blocks_of, kinds)))
         counts.append(n)
     return pa.table(

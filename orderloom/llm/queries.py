@@ -287,7 +287,8 @@ def _vector_rounds(rounds: int) -> str:
         f"""
 near{k} AS MATERIALIZED (
     SELECT vec_id, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM (
-        SELECT vec_id, p, e, coalesce(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)::BIGINT AS d
+        SELECT vec_id, p, e, coalesce(list_sum(list_transform(list_zip(part, entry),
+                   lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0)::BIGINT AS d
         FROM parts JOIN book{k} USING (p)
     ) GROUP BY vec_id, p
 )""" + (f""", sums{k} AS (
