@@ -93,6 +93,16 @@ class Warehouse:
         self._finished(name)
         return self.spark.table(name)
 
+    def drop(self, table: str, schema: str) -> None:
+        """Remove a table with all its versions.
+
+        (One that SQL alone drops comes back at the next access here: its files and its latest version's marker are there.)
+        """
+        name = self.name(table, schema)
+        remove_folder(self.spark, self._table_folder(name))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._followed.pop(name, None)
+
     def execute_query(self, query: str) -> DataFrame:
         """Result of an SQL query over the tables."""
         return self.spark.sql(query)

@@ -328,6 +328,16 @@ def test_publish_and_views(spark, warehouse):
     assert rows(view) == rows(frame)
 
 
+def test_drop(spark, warehouse):
+    warehouse.publish(products(spark, P1), "m", "marts")
+    spark.sql(f"DROP TABLE {warehouse.name('m', 'marts')}")
+    assert keys(warehouse, "m", "marts") == ["P1"]
+    warehouse.drop("m", "marts")
+    assert tables(warehouse, "marts") == []
+    assert warehouse.load(products(spark, P2), "m", "marts", if_exists="fail") == 1
+    assert keys(warehouse, "m", "marts") == ["P2"]
+
+
 def test_query(spark, warehouse):
     warehouse.load(products(spark, P1, P2), "products")
     name = warehouse.name("products", "raw")
