@@ -32,7 +32,7 @@ gives an empty table; other columns are not read, whatever their names. Identifi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,11 +108,13 @@ def _product(h: Column) -> Column:
     return one * two * F.lit(2.0**-64)
 
 
-def _minima(rows: DataFrame, keys: list[str], texts: list[str], likely: float | None) -> DataFrame:
+def _minima(
+    rows: DataFrame, keys: list[str], texts: list[str], likely: float | None, carried: Sequence[str] = ()
+) -> DataFrame:
     """keys, and for each text the array of SAMPLES least values (logarithms of a, a0 and a1) and its number of
     words. With ``likely`` those above ln(likely / words) may not be the least; without it all terms are looked at."""
     versions, samples = range(len(texts)), range(LANE)
-    terms = weighted_terms(rows, keys, texts)
+    terms = weighted_terms(rows, [*keys, *carried], texts)
     limit = F.lit(float("inf"))
     if likely is not None:
         limit = F.greatest(
@@ -121,10 +123,10 @@ def _minima(rows: DataFrame, keys: list[str], texts: list[str], likely: float |
     sizes = [f"words_{v}" for v in versions]
     lanes = F.array(*(F.lit(lane).cast("long") for lane in range(SAMPLES // LANE)))
     lined = terms.select(
-        *keys, *sizes, "term", limit.alias("limit"), *(F.ln(f"n_{v}").alias(f"ln_{v}") for v in versions),
+        *keys, *carried, *sizes, "term", limit.alias("limit"), *(F.ln(f"n_{v}").alias(f"ln_{v}") for v in versions),
         F.explode(lanes).alias("lane"),
     )
-    passed = [*keys, *sizes, "lane", *(f"ln_{v}" for v in versions)]
+    passed = [*keys, *carried, *sizes, "lane", *(f"ln_{v}" for v in versions)]
 
     def hashed(sample: int, which: int) -> Column:
         return F.xxhash64(F.col("term").bitwiseXOR((F.col("lane") * LANE + sample) * 3 + which))
@@ -152,17 +154,21 @@ def _minima(rows: DataFrame, keys: list[str], texts: list[str], likely: float |
         t = F.floor(F.col(f"ln_{version}") / r + b).cast("double")
         return F.min(F.col(f"c{j}") - r * (t - b + 1.0)).alias(f"a{version}_{j}")
 
-    found = drawn.groupBy(*keys, *sizes, "lane").agg(*(least(j, v) for v in versions for j in samples))
+    # What else is known of a document is carried as numbers beside the minima: every row looks up its key.
+    beside = [F.max(c).alias(c) for c in (*carried, *sizes)]
+    found = drawn.groupBy(*keys, "lane").agg(*beside, *(least(j, v) for v in versions for j in samples))
     parts = [F.array(*(F.col(f"a{v}_{j}") for j in samples)).alias(f"part_{v}") for v in versions]
-    in_lanes = found.select(*keys, *sizes, F.struct("lane", *parts).alias("samples"))
-    gathered = in_lanes.groupBy(*keys, *sizes).agg(F.array_sort(F.collect_list("samples")).alias("samples"))
-    return gathered.select(*keys, *sizes, *(F.flatten(F.col(f"samples.part_{v}")).alias(f"a{v}") for v in versions))
+    in_lanes = found.select(*keys, *carried, *sizes, F.struct("lane", *parts).alias("samples"))
+    gathered = in_lanes.groupBy(*keys).agg(*beside, F.array_sort(F.collect_list("samples")).alias("samples"))
+    return gathered.select(*keys, *carried, *sizes, *(F.flatten(F.col(f"samples.part_{v}")).alias(f"a{v}") for v in versions))
 
 
-def signatures(rows: DataFrame, keys: list[str], texts: list[str], likely: float = LIKELY) -> DataFrame:
+def signatures(
+    rows: DataFrame, keys: list[str], texts: list[str], likely: float = LIKELY, carried: Sequence[str] = ()
+) -> DataFrame:
     """keys (which tell documents apart) and an array of SAMPLES numbers for each of one or two text columns (sig_0, sig_1).
 
-    Rows that are partitioned by some of the keys are not shuffled.
+    Rows that are partitioned by some of the keys are not shuffled. ``carried`` are columns of numbers that the keys determine.
     """
     versions = range(len(texts))
 
@@ -170,17 +176,17 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], likely: float
         most = F.ln(F.lit(likely) / F.col(f"words_{v}"))
         return (F.col(f"words_{v}") == 0) | F.forall(f"a{v}", lambda a: F.coalesce(a <= most, F.lit(False)))
 
-    quick = _minima(rows, keys, texts, likely).withColumn("sure", reduce(lambda a, b: a & b, (sure(v) for v in versions)))
+    quick = _minima(rows, keys, texts, likely, carried).withColumn("sure", reduce(lambda a, b: a & b, (sure(v) for v in versions)))
     quick = stored(quick, "weighted-minima")
     minima, doubtful = quick.where("sure").drop("sure"), quick.where("not sure").select(*keys)
     if not doubtful.isEmpty():
-        again = _minima(rows.join(doubtful, keys, "left_semi"), keys, texts, None)
+        again = _minima(rows.join(doubtful, keys, "left_semi"), keys, texts, None, carried)
         minima = minima.unionByName(stored(again, "weighted-minima"))
 
     def sample(value: Column) -> Column:
         return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(65535)) + 1).cast("int")
 
-    return minima.select(*keys, *(F.transform(f"a{v}", sample).alias(f"sig_{v}") for v in versions))
+    return minima.select(*keys, *carried, *(F.transform(f"a{v}", sample).alias(f"sig_{v}") for v in versions))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -260,14 +266,17 @@ def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprints_of_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, and the likeness of its
     fingerprint to the edited version's (near_edited) and to the next document's (near_next)."""
-    rows = edited_versions(docs, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["kid", "hash", "id", "n", "n_repeats", "rank", "next_rank", "edited_sha256"]
-    signed = signatures(rows, keys, ["text", "edited"])
+    rows = edited_versions(docs, id_col, text_col).withColumn("sha", F.sha2("edited", 256))
+    # The digest as four signed numbers.
+    rows = rows.withColumns({f"sha_{i}": F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)})
+    carried = ["id", "n", "n_repeats", "rank", "next_rank", *(f"sha_{i}" for i in range(4))]
+    signed = signatures(rows, ["kid", "hash"], ["text", "edited"], carried=carried)
+    sha = F.concat(*(F.lower(F.lpad(F.hex(f"sha_{i}"), 16, "0")) for i in range(4)))
     following = signed.select(F.col("rank").alias("next_rank"), F.col("sig_0").alias("sig_next"))
     found = signed.join(following, "next_rank").select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
-        "edited_sha256",
+        sha.alias("edited_sha256"),
         as_text(F.col("sig_0")).alias("fingerprint"),
         as_text(F.col("sig_1")).alias("edited_fingerprint"),
         likeness(F.col("sig_0"), F.col("sig_1")).alias("near_edited"),
