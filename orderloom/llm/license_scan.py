@@ -1,12 +1,12 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Each becomes a sparse vector of its words and word pairs, and a
-multinomial logistic regression gives the probability of each licence family and of ``unknown``. It is
-trained on the templates below and, as ``unknown``, on a bounded sample of the corpus's own paragraphs. A
-second sample, not trained on, calibrates the unknown class: a family is only reported from the
-probability that at most ``FALSE_SHARE`` of those paragraphs reach. A prediction is confirmed if the
-paragraph contains at least ``SIMILARITY`` of the word pairs of some template of the family. DataFrame
-functions and pipelines only.
+Paragraphs are the lines of a text. Each becomes a sparse vector of marks: the words and word pairs of the templates
+that it has, and its number of words by powers of two. A multinomial logistic regression gives the probability of each
+licence family and of ``unknown``. It is trained on the templates below and, as ``unknown``, on every paragraph of the
+corpus that contains no template. Paragraphs with the same marks have the same vector, so they are trained on once with
+their number as weight. All of these paragraphs calibrate the unknown class, too: a family is only reported from
+the probability that at most ``FALSE_SHARE`` of them reach. A prediction is confirmed if the paragraph contains at least
+``SIMILARITY`` of the word pairs of some template of the family. DataFrame functions and pipelines only.
 
 Defined results: a null or empty text has no paragraphs; lines without words have none either; rows that
 repeat an identifier are scanned each; an empty table gives an empty table; other columns are not read,
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,17 +103,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 FAMILIES = ("unknown", *TEMPLATES)
 
-#: Paragraphs of the corpus in each of the two samples, about.
-SAMPLE = 4000
-#: Share of the calibrating paragraphs that may be taken for licences, and the least probability.
-FALSE_SHARE, LEAST_PROBABILITY = 0.0005, 0.5
+#: Share of the unknown paragraphs that may be taken for licences, the least probability, and the steps between
+#: the probabilities that are tried.
+FALSE_SHARE, LEAST_PROBABILITY, STEPS = 0.0005, 0.5, 10_000
 #: Share of a template's word pairs that a paragraph must contain.
 SIMILARITY = 0.6
-FEATURES = 1 << 14
-#: How many paragraphs a template counts as in training.
-TEMPLATE_WEIGHT = 20.0
-#: Partitions of the bounded training set: every step of the training is a job over them.
-TRAINING_PARTITIONS = 4
+#: The share of the unknown paragraphs that a template weighs in training, however many they are.
+TEMPLATE_SHARE = 0.005
+#: Lengths are told apart up to this power of two.
+LONGEST = 12
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -135,24 +133,60 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _featured(lines: DataFrame) -> DataFrame:
-    """``lines`` with words, pairs, and the vector of both. None of the steps has to be fitted."""
+def _worded(lines: DataFrame) -> DataFrame:
+    """``lines`` with words and pairs. Neither step has to be fitted."""
     words = RegexTokenizer(inputCol="line", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
-    both = pairs.transform(words.transform(lines)).withColumn("grams", F.concat("words", "pairs"))
-    return hashing.transform(both)
+    return NGram(n=2, inputCol="words", outputCol="pairs").transform(words.transform(lines))
 
 
-def _samples(lines: DataFrame, n: int) -> DataFrame:
-    """About 2n paragraphs chosen by hash, half of them marked as calibrating; without those that contain
-    a template: they are no examples of the unknown class."""
+def _length_marks(words: Column) -> Column:
+    """A mark for each power of two that the number of words reaches."""
+    power = F.least(F.floor(F.log2(F.greatest(F.size(words), F.lit(1)))).cast("int"), F.lit(LONGEST))
+    return F.transform(F.sequence(F.lit(0), power), lambda k: F.concat(F.lit("#"), k.cast("string")))
+
+
+def _marked(lines: DataFrame, terms: list[str]) -> DataFrame:
+    """``lines`` with words, pairs and marks; equal sets of marks are equal arrays."""
+    known = F.filter(F.concat("words", "pairs"), lambda g: g.isin(terms))
+    return _worded(lines).withColumn("marks", F.concat(F.array_sort(F.array_distinct(known)), _length_marks(F.col("words"))))
+
+
+def _featured(marked: DataFrame, terms: list[str]) -> DataFrame:
+    """The vector of the marks. The vocabulary is given, so nothing has to be fitted."""
+    vocabulary = [*terms, *(f"#{k}" for k in range(LONGEST + 1))]
+    return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="marks", outputCol="features").transform(marked)
+
+
+def _some(lines: DataFrame, n: int) -> DataFrame:
+    """About n paragraphs chosen by hash."""
     chosen = F.xxhash64("id", "paragraph", F.lit("licence sample"))
-    share = min(1.0, 2 * n / max(1, lines.count()))
-    sample = lines.where(F.pmod(chosen, F.lit(1 << 24)) < int(share * (1 << 24)))
-    return stored(
-        sample.select("line", (F.pmod(F.shiftright(chosen, 24), F.lit(2)) == 0).alias("calibrates")), "licence-sample"
-    )
+    share = min(1.0, n / max(1, lines.count()))
+    return lines.where(F.pmod(chosen, F.lit(1 << 24)) < int(share * (1 << 24)))
+
+
+def _unknown(lines: DataFrame, templates: list[tuple[list[str], list[str]]], terms: list[str]) -> DataFrame:
+    """(marks, n): how many paragraphs have the marks, without those that contain a template: they are
+    no examples of the unknown class."""
+    counted = _marked(lines, terms).groupBy("marks").agg(F.count("*").alias("n"))
+    pairs = F.filter("marks", lambda m: m.contains(" "))
+    contained = _largest_share(pairs, [p for _, p in templates if p])
+    return stored(counted.where(contained < SIMILARITY / 2), "licence-unknown")
+
+
+def _largest_share(pairs: Column, templates: list[list[str]]) -> Column:
+    """The same as ``_containment`` of all templates, for distinct pairs that are all in some template."""
+    of: dict[str, list[int]] = {}
+    for number, template in enumerate(templates):
+        for pair in template:
+            of.setdefault(pair, []).append(number)
+    numbers = F.map_from_arrays(F.array(*map(F.lit, of)), F.array(*(F.array(*map(F.lit, n)) for n in of.values())))
+    sizes = F.array(*(F.lit(len(t)) for t in templates))
+
+    def largest(hits: Column) -> Column:
+        share = F.transform(F.array_distinct(hits), lambda t: F.size(F.filter(hits, lambda h: h == t)) / F.get(sizes, t))
+        return F.coalesce(F.array_max(share), F.lit(0.0))
+
+    return F.transform(F.array(F.flatten(F.transform(pairs, lambda p: numbers[p]))), largest)[0]
 
 
 def _containment(pairs: Column, templates: Column) -> Column:
@@ -163,52 +197,68 @@ def _containment(pairs: Column, templates: Column) -> Column:
 
 def _template_pairs(spark: SparkSession) -> DataFrame:
     """(label, templates as arrays of word pairs): a row per family."""
-    featured = _featured(_templates(spark)).select("label", F.array_distinct("pairs").alias("pairs"))
-    return featured.groupBy("label").agg(F.collect_list("pairs").alias("templates"))
+    worded = _worded(_templates(spark)).select("label", F.array_distinct("pairs").alias("pairs"))
+    return worded.groupBy("label").agg(F.collect_list("pairs").alias("templates"))
 
 
-def _pairs_of_templates(spark: SparkSession) -> list[list[str]]:
-    """The word pairs of every template; as many as there are fixed values."""
-    return [t for row in _template_pairs(spark).collect() for t in row["templates"] if t]
+def _terms_of_templates(spark: SparkSession) -> list[tuple[list[str], list[str]]]:
+    """The words and the word pairs of every template; as many as there are fixed values."""
+    found = _worded(_templates(spark)).select(F.array_distinct("words").alias("words"), F.array_distinct("pairs").alias("pairs"))
+    return [(row["words"], row["pairs"]) for row in found.collect()]
 
 
 class LicenceModel:
-    """A trained classifier and the probability from which it names a family."""
+    """A trained classifier, the terms it knows, and the probability from which it names a family."""
 
-    def __init__(self, model: PipelineModel, least: float):
-        self.model, self.least = model, least
+    def __init__(self, model: PipelineModel, terms: list[str], least: float):
+        self.model, self.terms, self.least = model, terms, least
 
     def predict(self, lines: DataFrame) -> DataFrame:
         """``lines`` with words, pairs, label and probability; label 0 if unknown."""
+        return self.classify(_marked(lines, self.terms)).drop("marks")
+
+    def classify(self, marked: DataFrame) -> DataFrame:
+        """Rows with marks, with label and probability."""
         p = vector_to_array("probability")
-        scored = self.model.transform(_featured(lines)).withColumn("p", p)
+        scored = self.model.transform(_featured(marked, self.terms)).withColumn("p", p)
         best = F.slice("p", 2, len(FAMILIES) - 1)
         return (
             scored.withColumn("probability", F.array_max(best))
             .withColumn("label", F.array_position(best, F.col("probability")).cast("int"))
             .withColumn("label", F.when(F.col("probability") >= self.least, F.col("label")).otherwise(0))
-            .drop("features", "rawPrediction", "prediction", "p", "grams")
+            .drop("features", "rawPrediction", "prediction", "p")
         )
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LicenceModel:
+def _least_probability(scored: DataFrame, n_unknown: int) -> float:
+    """The least of the probabilities tried that at most ``FALSE_SHARE`` of the unknown paragraphs reach; 1 if none is."""
+    step = F.floor(F.col("probability") * STEPS).cast("int")
+    first = round(LEAST_PROBABILITY * STEPS)
+    # A row per step.
+    reached = {r["step"]: r["n"] for r in scored.groupBy(step.alias("step")).agg(F.sum("n").alias("n")).where(f"step >= {first}").collect()}
+    above = sum(reached.values())
+    for tried in range(first, STEPS):
+        if above <= FALSE_SHARE * n_unknown:
+            return tried / STEPS
+        above -= reached.get(tried, 0)
+    return 1.0
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> LicenceModel:
+    """A model of the whole corpus, or of about ``sample`` of its paragraphs where a caller asks for that."""
     spark = docs.sparkSession
-    drawn = _samples(paragraphs(docs, id_col, text_col), sample)
-    every = F.array(*(F.array(*map(F.lit, pairs)) for pairs in _pairs_of_templates(spark)))
-    clean = stored(
-        _featured(drawn).where(_containment(F.col("pairs"), every) < SIMILARITY / 2).select("line", "calibrates"),
-        "licence-unknown",
-    )
-    known = _templates(spark)
-    unknown = clean.where("not calibrates").select(F.lit(0).alias("label"), "line")
+    lines = paragraphs(docs, id_col, text_col)
+    templates = _terms_of_templates(spark)
+    terms = sorted({term for words, pairs in templates for term in (*words, *pairs)})
+    unknown = _unknown(lines if sample is None else _some(lines, sample), templates, terms)
+    n_unknown = unknown.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # There are far fewer templates than unknown paragraphs.
-    weight = F.when(F.col("label") == 0, 1.0).otherwise(TEMPLATE_WEIGHT)
-    rows = _featured(known.unionByName(unknown)).withColumn("weight", weight).repartition(TRAINING_PARTITIONS)
+    known = _marked(_templates(spark), terms).select("label", "marks", F.lit(max(1.0, TEMPLATE_SHARE * n_unknown)).alias("weight"))
+    rows = known.unionByName(unknown.select(F.lit(0).alias("label"), "marks", F.col("n").cast("double").alias("weight")))
     regression = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=30, weightCol="weight")
-    model = Pipeline(stages=[regression]).fit(rows)
-    scored = LicenceModel(model, 0.0).predict(clean.where("calibrates"))
-    reached = scored.approxQuantile("probability", [1 - FALSE_SHARE], 1e-4)
-    return LicenceModel(model, max([LEAST_PROBABILITY, *reached]))
+    model = Pipeline(stages=[regression]).fit(_featured(rows, terms))
+    scored = LicenceModel(model, terms, 0.0).classify(unknown)
+    return LicenceModel(model, terms, _least_probability(scored, n_unknown))
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orderloom.llm import decontaminate, html_text, license_scan, secret_scan
 from orderloom.llm.queries import LLM_QUERIES
@@ -391,6 +392,25 @@ def test_notices_of_the_corpus(spark, licence_model):
     assert got == want
 
 
+def test_licences_are_learned_from_every_paragraph(spark, monkeypatch):
+    """More paragraphs than any sample took; only those with a template are left out."""
+    seen = {}
+
+    def stored(df, label, keep=license_scan.stored):
+        seen[label] = keep(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(license_scan, "stored", stored)
+    prose = spark.range(20_000).selectExpr("id AS doc_id", "concat('We met on day ', id, ' and\nwent home\nAll rights reserved.') AS text")
+    model = license_scan.train(prose)
+    unknown = seen["licence-unknown"]
+    assert unknown.agg({"n": "sum"}).first()[0] == 40_000 if "n" in unknown.columns else unknown.count() == 40_000
+    found = license_scan.scan(prose, model)
+    assert {(r.paragraph, r.family, r.n) for r in found.groupBy("paragraph", "family").agg(F.count("*").alias("n")).collect()} == {
+        (2, "proprietary", 20_000)
+    }
+
+
 def test_scan_runs_without_python(spark, licence_model):
     plan = license_scan.scan(docs(spark), licence_model)._jdf.queryExecution().toString()
     assert not re.search(r"Python|InArrow|InPandas", plan[plan.index("== Physical Plan ==") :])
