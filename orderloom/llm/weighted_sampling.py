@@ -84,7 +84,8 @@ def _runs(hashes: Column) -> Column:
 
 def weighted_terms(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """A row per document and distinct word of its texts: keys, words_0 and words_1 (of the whole texts), term, and the
-    word's number in each text (n_0, n_1; null where it is not). A document without words has one row without term."""
+    word's number in each text (n_0, n_1; null where it is not). A document without words has one row without term. One row
+    of each document is marked as first."""
     versions = range(len(texts))
     counted = rows.select(*keys, *(_hashed_words(F.col(text), v).alias(f"hashes_{v}") for v, text in enumerate(texts)))
     sizes = [F.size(f"hashes_{v}").alias(f"words_{v}") for v in versions]
@@ -96,9 +97,13 @@ def weighted_terms(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFr
     is_second = term.bitwiseAND(F.lit(1)) == 1
     first = F.when(~is_second, n).when(before["hash"] == term - 1, before["n"])
     numbers = [first.alias("n_0"), F.when(is_second, n).alias("n_1")]
+    # The second run takes the place of the first one if both are of one word.
+    follows = (F.col("place") == 1) & is_second & before["hash"].eqNullSafe(term - 1)
+    is_first = F.col("place").isNull() | (F.col("place") == 0) | follows
     return placed.where(term.isNull() | is_second | ~after["hash"].eqNullSafe(term + 1)).select(
-        *keys, *(f"words_{v}" for v in versions), F.shiftright(term, 1).alias("term"), *(numbers[v] for v in versions)
-    )
+        *keys, *(f"words_{v}" for v in versions), F.shiftright(term, 1).alias("term"), *(numbers[v] for v in versions),
+        is_first.alias("first"),
+    )
 
 
 def _product(h: Column) -> Column:
@@ -123,7 +128,7 @@ def _minima(
     sizes = [f"words_{v}" for v in versions]
     lanes = F.array(*(F.lit(lane).cast("long") for lane in range(SAMPLES // LANE)))
     lined = terms.select(
-        *keys, *carried, *sizes, "term", limit.alias("limit"), *(F.ln(f"n_{v}").alias(f"ln_{v}") for v in versions),
+        *keys, *carried, *sizes, "term", "first", limit.alias("limit"), *(F.ln(f"n_{v}").alias(f"ln_{v}") for v in versions),
         F.explode(lanes).alias("lane"),
     )
     passed = [*keys, *carried, *sizes, "lane", *(f"ln_{v}" for v in versions)]
@@ -132,14 +137,20 @@ def _minima(
         return F.xxhash64(F.col("term").bitwiseXOR((F.col("lane") * LANE + sample) * 3 + which))
 
     products = lined.select(
-        *passed, "term", "limit", *(_product(hashed(j, w)).alias(f"{name}{j}") for j in samples for w, name in enumerate("pq"))
+        *passed, "term", "first", "limit", *(_product(hashed(j, w)).alias(f"{name}{j}") for j in samples for w, name in enumerate("pq"))
     )
 
-    def if_small(j: int, value: Column) -> Column:
+    def is_small(j: int) -> Column:
         p, q = F.col(f"p{j}"), F.col(f"q{j}")
-        return F.when(p * (1.0 - q) * 2.0 < F.col("limit") * (1.0 + q), value)
+        return p * (1.0 - q) * 2.0 < F.col("limit") * (1.0 + q)
+
+    def if_small(j: int, value: Column) -> Column:
+        return F.when(is_small(j), value)
 
-    drawn = products.select(
+    # Rows without a small sample are not aggregated, but a row for each document and lane is. Exploded and not
+    # filtered: a filter would be moved below the products, which would then be computed twice.
+    wanted = reduce(lambda a, b: a | b, (is_small(j) for j in samples), F.col("first"))
+    drawn = products.select("*", F.explode(F.when(wanted, F.array(F.lit(True)))).alias("wanted")).select(
         *passed,
         *(if_small(j, -F.ln(f"p{j}")).alias(f"r{j}") for j in samples),
         *(if_small(j, F.ln(-F.ln(f"q{j}"))).alias(f"c{j}") for j in samples),

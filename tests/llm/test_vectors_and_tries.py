@@ -266,6 +266,18 @@ def test_fingerprints_run_without_python(spark):
     assert physical.count("Exchange") == before.count("Exchange")  # words and samples are not shuffled
 
 
+def test_terms_without_small_samples_are_not_aggregated(spark):
+    rows = [(1, "a b a c", "c b a c"), (2, "", "b"), (3, "", ""), (4, " ".join(f"w{i}" for i in range(5000)), "w1 x")]
+    table = spark.createDataFrame(rows, "id long, x string, y string")
+    # With a limit that no sample is below, only one row a document and lane is left, and no document is lost.
+    found = weighted_sampling._minima(table, ["id"], ["x", "y"], 1e-12)
+    got = {r.id: (r.words_0, r.words_1, set(r.a0), len(r.a0), set(r.a1), len(r.a1)) for r in found.collect()}
+    n, nothing_found = weighted_sampling.SAMPLES, {None}
+    assert got == {i: (len(x.split()), len(y.split()), nothing_found, n, nothing_found, n) for i, x, y in rows}
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[.*lane(.|\n)*Generate explode\(CASE WHEN", optimized)
+
+
 def test_the_query_of_fingerprints_covers_the_table(spark):
     rows = [(r.doc_id, r.text) for r in sample(spark, "documents").collect()]
     rows = [(i, t) for i, t in rows if len(t or "") < 3000]
