@@ -6,6 +6,9 @@ there. Every split is read once under both assumptions about the string; it then
 were open before and leaves some open. Chained in file order on the driver (a few letters a split), that tells what is
 open where each split begins, and each split can be cut into records. A record that crosses splits is put together
 from its parts.
+
+Most pieces are a flat record: one that opens an object outside strings, in which nothing else is open at its closing
+brace. They are found a batch at a time. A run of them does what one of them does, so they are not looked into one by one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +72,23 @@ def tokens(piece: str, in_string: bool, key: str | None) -> tuple[list[tuple[int
     return found, opened >= 0
 
 
+def flat(pieces: pa.Array, key: str | None) -> np.ndarray:
+    """Which pieces open one object before their first string and end outside strings if they begin outside (and inside
+    if they begin inside): with its closing brace such a piece leaves all as it was."""
+
+    def number(of: str) -> np.ndarray:
+        return pc.count_substring(pieces, of).to_numpy(zero_copy_only=False)
+
+    def place(of: str) -> np.ndarray:
+        return pc.find_substring(pieces, of).to_numpy(zero_copy_only=False)
+
+    quotes, first = number('"'), place('"')
+    found = (number("{") == 1) & (quotes % 2 == 0) & ((quotes == 0) | (place("{") < first))
+    for other in ("[", "]", "\\", *([f'"{key}"'] if key is not None else [])):
+        found &= place(other) < 0
+    return found
+
+
 def _same(text: str, key: str) -> bool:
     try:
         return json.loads(text) == key
@@ -100,7 +122,21 @@ def _summaries(key: str | None):
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now, states, n, size = [], None, None, 0, 0
         for batch in batches:
-            for file, start, piece, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not batch.num_rows:
+                continue
+            of, since, pieces, lengths = batch.columns
+            flats, of, since = flat(pieces, key), of.to_numpy(), since.to_numpy()
+            # Of a run of flat pieces of a split the first one stands for all.
+            repeats = np.zeros(len(flats), bool)
+            repeats[1:] = flats[1:] & flats[:-1] & (of[1:] == of[:-1]) & (since[1:] == since[:-1])
+            looked_at = np.flatnonzero(~repeats)
+            numbers = np.diff(np.append(looked_at, len(flats)))
+            sizes = np.add.reduceat(lengths.to_numpy(), looked_at)
+            seen = zip(
+                of[looked_at].tolist(), since[looked_at].tolist(), pieces.take(pa.array(looked_at)).to_pylist(), sizes.tolist(),
+                numbers.tolist(), strict=True,
+            )
+            for file, start, piece, length, count in seen:
                 if (file, start) != now:
                     if now:
                         done.append((now, size, n, states))
@@ -108,7 +144,7 @@ def _summaries(key: str | None):
                 if n:
                     states = [s and (s if s[0] else _after(s, "}")) for s in states]
                 states = [s and _piece_after(s, piece, key) for s in states]
-                n, size = n + 1, size + length
+                n, size = n + count, size + length
         if now:
             done.append((now, size, n, states))
         rows = [(*k, size, n, *(x for s in states for x in (s or (None, None, None)))) for k, size, n, states in done]
@@ -195,13 +231,18 @@ def _records(key: str | None, targets: tuple[str, ...]):
             parts.clear()
 
         for batch in batches:
-            for split, before, string, of, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = zip(*(c.to_pylist() for c in batch.columns), flat(batch.column("piece"), key).tolist(), strict=True)
+            for split, before, string, of, piece, is_flat in rows:
                 if split != number:
                     if around is not None:
                         finish(False)
                     number, opened, in_string, owner = split, before, string, of
                     around = _inside(opened, targets)
                     is_rest = around is not None
+                if is_flat and around is None and not in_string and opened in targets:
+                    text = piece[piece.index("{") :] + "}"
+                    out.append((None, None, text.replace("\n", " ").replace("\r", " ")))
+                    continue
                 found, in_string = tokens(piece, in_string, key)
                 begin = 0
                 for at, kind in found:
@@ -240,18 +281,27 @@ def as_lines(spark: SparkSession, path: str, key: str | None) -> str:
     raw = spark.read.option("lineSep", "}").text(path)
     pieces = raw.select(F.col("value").alias("piece"), *(c.alias(n) for n, c in placed(raw).items()))
     targets = ("", _LIST) if key is None else (_OBJECT + _RECORDS,)
+    chained = _chained(spark, path, pieces, key, targets)
     plan = spark.createDataFrame(
-        _chained(spark, path, pieces, key, targets),
-        "number int, _of long, _from long, opened string, in_string boolean, owner int",
+        chained, "number int, _of long, _from long, opened string, in_string boolean, owner int"
     )
     here = (F.col("_file") == F.col("_of")) & (F.col("_start") == F.col("_from"))
     located = pieces.join(F.broadcast(plan), here).select("number", "opened", "in_string", "owner", "piece")
     found = located.mapInArrow(_records(key, targets), "record_of int, number int, text string")
-    whole = found.where("record_of is null").select("text")
-    parts = found.where("record_of is not null").groupBy("record_of").agg(
-        F.array_sort(F.collect_list(F.struct("number", "text"))).alias("parts")
-    )
-    crossing = parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    # Both are written by the one pass that cuts the records: whole ones as they are, parts after two numbers.
+    is_part = F.col("record_of").isNotNull()
+    line = F.when(is_part, F.concat_ws(" ", "record_of", "number", "text")).otherwise(F.col("text"))
     folder = scratch_path(spark, "records")
-    whole.unionByName(crossing).write.text(folder)
-    return folder
+    found.select(line.alias("value"), is_part.cast("int").alias("part")).write.partitionBy("part").text(folder)
+    lines = f"{folder}/part=0"
+    written = spark.read.text(f"{folder}/part=1") if any(owner is not None for *_, owner in chained) else None
+    if written is None:
+        # The folder is there even if no page has a record.
+        spark.createDataFrame([], "value string").write.mode("append").text(lines)
+        return lines
+    split = F.split("value", " ", 3)
+    numbered = written.select(split[0].alias("record_of"), split[1].cast("int").alias("number"), split[2].alias("text"))
+    parts = numbered.groupBy("record_of").agg(F.array_sort(F.collect_list(F.struct("number", "text"))).alias("parts"))
+    crossing = parts.select(F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    crossing.write.mode("append").text(lines)
+    return lines

@@ -4,13 +4,16 @@ import csv
 import io
 import json
 import random
+import uuid
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql.types import StructType
 
 from orderloom.sources import DelimitedSource, ExtractionError, JsonPagesSource, Source
+from orderloom.sources import json_splits
 from orderloom.sources.delimited import NULL_TOKENS
 from tests.conftest import rows
 
@@ -503,3 +506,45 @@ def test_broken_page_with_given_schema_fails_on_verify(spark, tmp_path):
     source.extract()
     with pytest.raises(ExtractionError, match="cannot be read"):
         source.extract(verify=True)
+
+
+def test_large_pages_are_cut_once(spark, tmp_path, monkeypatch):
+    """One pass gives whole records and parts of those that cross splits."""
+    page, seen = tmp_path / "pages", tmp_path / "seen"
+    page.mkdir()
+    seen.mkdir()
+    records = [{"n": i, "t": "x" * (i % 300)} for i in range(4000)]
+    (page / "one.json").write_text(json.dumps(records))
+    cut = json_splits._records
+
+    def noted(*args):
+        def noting(batches):
+            (seen / uuid.uuid4().hex).touch()
+            yield from cut(*args)(batches)
+
+        return noting
+
+    monkeypatch.setattr(json_splits, "_records", noted)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        got = JsonPagesSource(spark, str(page), "s", split_pages=True).extract().select("n", "t").collect()
+        splits = spark.read.text(str(page)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == sorted((r["n"], r["t"]) for r in records)
+    assert splits > 1 and len(list(seen.iterdir())) == splits
+
+
+@pytest.mark.parametrize("key", [None, "data"])
+def test_flat_pieces_change_nothing(key):
+    pieces = [
+        '[{"a": 1', ',{"a": "x", "b": 2', ',{"a": "x", "b": 3', ', {"a": "[", "b": 3', ',{"a": {"b": 1', "", '",{"a":"', ' "k": "v", {"x": 1',
+        ',{"data": 1', ',{"a": "q\\"{"', ",{", "{{", ',{"a": "{"',
+    ]
+    found = json_splits.flat(pa.array(pieces), key).tolist()
+    assert found[1:3] == [True, True] and found[10]
+    for piece, is_flat in zip(pieces, found, strict=True):
+        if is_flat:
+            for inside in (False, True):
+                at, ends = json_splits.tokens(piece, inside, key)
+                assert (ends, [k for _, k in at]) == (inside, [] if inside else ["O"])
