@@ -14,6 +14,7 @@ from orderloom.operators.latest import latest_per_key
 from orderloom.operators.validation import SchemaValidator
 from orderloom.sinks import Warehouse
 from orderloom.sources import DelimitedSource
+from workload.catalog import QUERIES
 
 N_ORDERS = 240_000
 
@@ -336,3 +337,16 @@ def test_several_distinct_counts_do_not_copy_rows(spark, hot):
         assert "Expand" not in totals._jdf.queryExecution().executedPlan().toString()
     key = metrics._per_value(priced, "customer_id", "product_category")
     assert "hashpartitioning(customer_id" in key._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_fact_that_is_published_twice_is_computed_once(spark, monkeypatch):
+    plans_seen, publish = [], Warehouse.publish
+
+    def noted(self, df, *args):
+        plans_seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return publish(self, df, *args)
+
+    monkeypatch.setattr(Warehouse, "publish", noted)
+    QUERIES["publish_partitioned"](spark, "/root/testdata/sf0.001")
+    assert len(plans_seen) == 2
+    assert not any("Join" in plan or "Aggregate" in plan for plan in plans_seen)
