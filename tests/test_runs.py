@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 from datetime import datetime
+from threading import Barrier, Lock
 from pathlib import Path
 
 import pytest
@@ -195,3 +196,35 @@ def test_kept_rejects_have_row_numbers_of_their_file(warehouse, inbox):
     assert numbers == {"customers": [(2,), (3,), (4,)], "products": [(2,)], "orders": [(3,), (4,)]}
     assert "_row" not in warehouse.table("orders").columns
     assert all('"_row"' not in r._data for r in warehouse.table("orders_rejects").collect())
+
+
+def test_jobs_of_different_tables_are_submitted_together(warehouse, inbox, monkeypatch):
+    meet, load = Barrier(3, timeout=60), IngestRun._load
+
+    def load_together(self, *given):
+        meet.wait()  # fails unless all three jobs get here
+        load(self, *given)
+
+    monkeypatch.setattr(IngestRun, "_load", load_together)
+    (inbox / "customers.csv").unlink()
+    (inbox / "orders.csv").unlink()
+    report = IngestRun(warehouse, str(inbox)).run()
+    assert [e["job"] for e in report.errors] == ["customers", "orders"]
+    assert (report.tables_processed, report.rows_loaded, report.rows_rejected) == (1, 2, 1)
+
+
+def test_jobs_of_one_table_run_one_after_another(warehouse, inbox, monkeypatch):
+    lock, process = Lock(), IngestRun._process
+
+    def process_alone(self, *given):
+        assert lock.acquire(blocking=False)
+        try:
+            process(self, *given)
+        finally:
+            lock.release()
+
+    monkeypatch.setattr(IngestRun, "_process", process_alone)
+    jobs = [Job("orders", "orders.csv", table) for table in ("orders", "orders", "ORDERS")]
+    report = IngestRun(warehouse, str(inbox), jobs, rejects_schema="raw").run()
+    assert not report.failed and (report.rows_loaded, report.rows_rejected) == (9, 6)
+    assert warehouse.table("orders").count() == 9 and warehouse.table("orders_rejects").count() == 6

@@ -192,6 +192,13 @@ def test_a_hot_key_is_reduced_before_the_shuffle(spark, hot):
     assert [tuple(r) for r in orphans.collect()] == [("CHOT", N_ORDERS // 3)]
 
 
+def test_compared_versions_are_put_together_once(spark, hot):
+    """The struct that is compared is a column below the aggregates, which only refer to it."""
+    latest = latest_per_key(hot["orders"], ["order_id"])
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("max(_latest") == 2 and "max(struct(" not in plan
+
+
 def test_metrics_use_one_distinct_column(spark, hot):
     lines = plans.priced_orders(plans.stg_orders(hot["orders"]), plans.stg_products(hot["products"]))
     for dim in (

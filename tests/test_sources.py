@@ -10,11 +10,12 @@ from datetime import datetime
 import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orderloom.sources import DelimitedSource, ExtractionError, JsonPagesSource, Source
 from orderloom.sources import json_splits
-from orderloom.sources.delimited import NULL_TOKENS
+from orderloom.sources.delimited import DATE_FORMATS, MONTH_FIRST, NULL_TOKENS, _WITH_OFFSET, _moment
 from tests.conftest import rows
 
 
@@ -548,3 +549,20 @@ def test_flat_pieces_change_nothing(key):
             for inside in (False, True):
                 at, ends = json_splits.tokens(piece, inside, key)
                 assert (ends, [k for _, k in at]) == (inside, [] if inside else ["O"])
+
+
+def test_offsets_are_searched_in_marked_moments_only(spark):
+    """The look at the end of the text changes no moment, and comes before the search."""
+    bodies = ["2024-01-05 10:30", "2024-01-05T1:30:00", "2024-01-05 10:30:00.123456", "2024-01-05", "5 10:30", "1/5/2024 10:30", "Jan 5, 2024", ""]
+    ends = ["", "Z", " Z", "UTC", " UTC", "+1", "-1", "+01", "-05:30", " +0530", "+01:00:00", "C", "-", "\u00e9Z"]
+    texts = [body + end + line for body in bodies for end in ends for line in ("", "\n", "\r\n")]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(2)
+    text, formats = F.col("t"), (*DATE_FORMATS, *MONTH_FIRST)
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
+    iso = F.when(text.rlike(_WITH_OFFSET), utc).otherwise(text.try_cast("timestamp_ntz"))
+    plain = F.coalesce(iso, *(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats))
+    found = df.select("t", _moment(text, formats).alias("found"), plain.alias("plain"))
+    assert found.where(text.rlike(_WITH_OFFSET)).count() > 50
+    assert [r for r in found.collect() if r.found != r.plain] == []
+    plan = found.select("found")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(") < plan.index("RLIKE")
